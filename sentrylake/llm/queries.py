@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sentrylake.llm import archives, classifier, mixing, packing, quality_rules, secrets, sharding, simhash, sketches
+from sentrylake.llm import archives, classifier, lm, mixing, packing, quality_rules, secrets, sharding, simhash, sketches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1,
     "op2_best_fit_packing": packing.op2,
+    "op3_lm_scores": lm.op3,
     "op4_archives": archives.op4,
     "op5_simhash": simhash.op5,
     "op6_fingerprints": sketches.op6,
