@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from sentrylake.plans.queries import QUERIES
+from sentrylake.plans.queries import SQL as ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
