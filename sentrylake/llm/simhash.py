@@ -112,8 +112,8 @@ def variant_keys(fp: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of rows of fingerprints."""
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+    """Differing bits of rows of fingerprints (unsigned, as bitwise_count takes the absolute value of a signed number)."""
+    return np.bitwise_count((a ^ b).astype(np.uint64)).sum(axis=-1, dtype=np.int64)
 
 
 def spanning_links(node: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
