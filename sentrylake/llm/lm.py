@@ -33,26 +33,35 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sentrylake.llm.common import materialize
 
-CLASSES, SUBS = 48, 16
+CLASSES, SUBS = 32, 16
 CELLS = CLASSES * SUBS
 ROWS = 1 << 14
 FEATURES = 4
 WIDTH = CLASSES + SUBS
-ROUNDS = 3
+ROUNDS = 2
 BATCH = 1 << 14
 RATE = 0.5
 #: A block ends with the document that brings it to so many tokens.
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 22
 #: Model rows are exchanged in pieces of so many.
 PIECE = 1 << 9
 SEED = 42
 TAIL = b".,;:!?\"')(|*#&%$"
-BLOCK = "block long, doc_ids array<long>, held array<boolean>, n_tokens array<long>, tokens binary, hashes binary, cells binary, counts binary"
+BLOCK = "block long, doc_ids array<long>, held array<boolean>, n_tokens array<long>, tokens binary, hashes binary, marks binary, cells binary, counts binary"
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, byte by byte in four planes, compressed."""
+    return zlib.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def remainder(doc_id: int | None) -> int:
@@ -90,8 +99,8 @@ class BlockBuilder:
         hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, n - 1)
         cells = np.fromiter(map(cell_of, words), np.uint16, n - 1)
         return {
-            "block": block, "doc_ids": self.ids, "held": held, "n_tokens": lengths, "tokens": tokens.tobytes(),
-            "hashes": np.r_[np.uint64(0), hashes].tobytes(), "cells": np.r_[np.uint16(0), cells].tobytes(), "counts": counts.tobytes(),
+            "block": block, "doc_ids": self.ids, "held": held, "n_tokens": lengths, "tokens": packed(tokens),
+            "hashes": np.r_[np.uint64(0), hashes].tobytes(), "marks": np.r_[np.uint64(0), hashes >> np.uint64(32)].astype(np.uint32).tobytes(), "cells": np.r_[np.uint16(0), cells].tobytes(), "counts": packed(counts),
         }
 
 
@@ -120,12 +129,42 @@ def vocabulary(found: DataFrame) -> DataFrame:
         for batch in batches:
             for b, h, c, n in zip(batch["block"], batch["hashes"], batch["cells"], batch["counts"], strict=True):
                 h = np.frombuffer(h, np.int64)
-                yield pd.DataFrame({"block": b, "local": np.arange(len(h), dtype=np.int32), "hash": h, "cell": np.frombuffer(c, np.uint16).astype(np.int32), "n": np.frombuffer(n, np.uint32).astype(np.int64)})
+                yield pd.DataFrame({"block": b, "local": np.arange(len(h), dtype=np.int32), "hash": h, "cell": np.frombuffer(c, np.uint16).astype(np.int16), "n": unpacked(n).astype(np.int64)})
+
+    return found.select("block", "hashes", "cells", "counts").mapInPandas(run, "block long, local int, hash long, cell short, n long")
+
+
+def cell_counts(found: DataFrame) -> np.ndarray:
+    """The training tokens of each cell."""
 
-    return found.select("block", "hashes", "cells", "counts").mapInPandas(run, "block long, local int, hash long, cell int, n long")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(CELLS)
+        for batch in batches:
+            for c, n in zip(batch["cells"], batch["counts"], strict=True):
+                total += np.bincount(np.frombuffer(c, np.uint16), weights=unpacked(n), minlength=CELLS)
+        yield pd.DataFrame({"cell": range(CELLS), "n": total.astype(np.int64)})
+
+    rows = found.select("cells", "counts").mapInPandas(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # CELLS rows
+    out = np.zeros(CELLS, np.int64)
+    for r in rows:
+        out[r["cell"]] = r["n"]
+    return out
+
+
+def spread(listed: DataFrame) -> DataFrame:
+    """block, local, c (where a word's count over all blocks isn't its block's own), and cell at one row of each word seen.
+
+    One shuffle by word; a word has one row for each block at most, so that no word is hot by its number of uses.
+    """
+    w = Window.partitionBy("hash")
+    rows = listed.select("*", F.sum("n").over(w).alias("c"), F.min(F.struct("block", "local")).over(w).alias("first"))
+    first = (F.col("first.block") == F.col("block")) & (F.col("first.local") == F.col("local")) & (F.col("c") > 0)
+    back = F.col("c") != F.col("n")
+    out = rows.where(first | back).select(*[F.when(back, F.col(x)).alias(x) for x in ("block", "local", "c")], F.when(first, F.col("cell")).alias("cell"))
+    return materialize(out, "words")
 
 
-def histories(tokens: np.ndarray, first: np.ndarray, hashes: np.ndarray, cells: np.ndarray) -> np.ndarray:
+def histories(tokens: np.ndarray, first: np.ndarray, marks: np.ndarray, cells: np.ndarray) -> np.ndarray:
     """(tokens, FEATURES) rows of the model for each token's history; ``first`` marks the first token of a document.
 
     Before a document's first word stand end tokens.
@@ -136,7 +175,7 @@ def histories(tokens: np.ndarray, first: np.ndarray, hashes: np.ndarray, cells:
     def back(values: np.ndarray, step: int) -> np.ndarray:
         return np.where(at - step >= start, values[np.maximum(at - step, 0)], 0)
 
-    word = hashes[tokens]
+    word = marks[tokens]
     cell = cells[tokens].astype(np.uint64) + np.uint64(1)
     w1, w2 = back(word, 1), back(word, 2)
     mixed = lambda x, k: (((x + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(50)).astype(np.int64)
@@ -179,8 +218,8 @@ def learn(w: np.ndarray, squares: np.ndarray, bias: np.ndarray, sub_bias: np.nda
 
 
 def opened(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """tokens, lengths of documents, hashes, cells of a block."""
-    return np.frombuffer(row.tokens, np.uint32), np.asarray(row.n_tokens, np.int64), np.frombuffer(row.hashes, np.uint64), np.frombuffer(row.cells, np.uint16)
+    """tokens, lengths of documents, marks (hashes of 32 bits) and cells of words of a block."""
+    return unpacked(row.tokens), np.asarray(row.n_tokens, np.int64), np.frombuffer(row.marks, np.uint32).astype(np.uint64), np.frombuffer(row.cells, np.uint16)
 
 
 def train(found: DataFrame, bias: np.ndarray, sub_bias: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
@@ -196,7 +235,7 @@ def train(found: DataFrame, bias: np.ndarray, sub_bias: np.ndarray, rounds: int
             w, s, seen = w0.copy(), s0.copy(), 0
             for batch in batches:
                 for row in batch.itertuples(index=False):
-                    tokens, lengths, hashes, cells = opened(row)
+                    tokens, lengths, marks, cells = opened(row)
                     chosen = ~np.asarray(row.held, bool) & (np.arange(len(lengths)) % rounds == turn)
                     tokens, lengths = tokens[np.repeat(chosen, lengths)], lengths[chosen]
                     if not len(tokens):
@@ -206,7 +245,7 @@ def train(found: DataFrame, bias: np.ndarray, sub_bias: np.ndarray, rounds: int
                     for lo in range(0, len(tokens), BATCH * 8):
                         hi = min(len(tokens), lo + BATCH * 8)
                         a = max(0, lo - 3)
-                        rows = histories(tokens[a:hi], np.r_[True, first[a + 1 : hi]], hashes, cells)[lo - a :]
+                        rows = histories(tokens[a:hi], np.r_[True, first[a + 1 : hi]], marks, cells)[lo - a :]
                         cell = cells[tokens[lo:hi]].astype(np.int64)
                         for x in range(0, hi - lo, BATCH):
                             learn(w, s, bias, sub_bias, rows[x : x + BATCH], cell[x : x + BATCH])
@@ -214,39 +253,44 @@ def train(found: DataFrame, bias: np.ndarray, sub_bias: np.ndarray, rounds: int
             if seen:
                 change = ((w - w0) * np.float32(seen)).reshape(-1, PIECE, WIDTH)
                 grown = (s - s0).reshape(-1, PIECE)
-                moved = np.flatnonzero(np.abs(change).max(axis=(1, 2)))
                 # half precision is enough for a task's change; it is scaled so as to stay in its range
-                scale = np.abs(change).max(axis=(1, 2)) + 1e-30
-                yield pd.DataFrame({"piece": moved, "n": seen, "scale": scale[moved], "change": [(change[i] / scale[i]).astype(np.float16).tobytes() for i in moved], "squares": [grown[i].tobytes() for i in moved]})
+                scale = np.abs(change).max(axis=(1, 2)).astype(np.float64)
+                moved = np.flatnonzero(scale)
+                yield pd.DataFrame({"piece": [-1], "n": [seen], "scale": [0.0], "change": [b""], "squares": [b""]})
+                for i in moved:
+                    yield pd.DataFrame({"piece": [i], "n": [0], "scale": [scale[i]], "change": [(change[i] / scale[i]).astype(np.float16).tobytes()], "squares": [grown[i].astype(np.float16).tobytes()]})
 
         def added(rows: pd.DataFrame) -> pd.DataFrame:
             change, squares = np.zeros((PIECE, WIDTH)), np.zeros(PIECE)
             for r in rows.itertuples(index=False):
-                change += np.frombuffer(r.change, np.float16).reshape(PIECE, WIDTH).astype(np.float64) * r.scale
-                squares += np.frombuffer(r.squares, np.float32)
-            return pd.DataFrame({"piece": rows["piece"].iloc[:1], "change": [change.astype(np.float32).tobytes()], "squares": [squares.astype(np.float32).tobytes()], "tasks": [len(rows)]})
+                if r.piece >= 0:
+                    change += np.frombuffer(r.change, np.float16).reshape(PIECE, WIDTH).astype(np.float64) * r.scale
+                    squares += np.minimum(np.frombuffer(r.squares, np.float16).astype(np.float64), 6e4)
+            return pd.DataFrame({"piece": rows["piece"].iloc[:1], "n": [rows["n"].sum()], "change": [change.astype(np.float32).tobytes()], "squares": [(squares / len(rows)).astype(np.float32).tobytes()]})
 
         kinds = "piece int, n long, scale double, change binary, squares binary"
-        changes = materialize(found.select("held", "n_tokens", "tokens", "hashes", "cells").mapInPandas(run, kinds), "changes")
-        total = changes.groupBy("piece").agg(F.sum("n").alias("n")).agg(F.max("n").alias("n")).first()["n"]
-        for r in changes.groupBy("piece").applyInPandas(added, "piece int, change binary, squares binary, tasks int").toLocalIterator():  # the model's rows
-            at = slice(r["piece"] * PIECE, (r["piece"] + 1) * PIECE)
-            w[at] += np.frombuffer(r["change"], np.float32).reshape(PIECE, WIDTH) / np.float32(total)
-            squares[at] += np.frombuffer(r["squares"], np.float32) / r["tasks"]
+        changes = found.select("held", "n_tokens", "tokens", "marks", "cells").mapInPandas(run, kinds)
+        summed = changes.groupBy("piece").applyInPandas(added, "piece int, n long, change binary, squares binary").collect()  # the model's rows
+        total = sum(r["n"] for r in summed)
+        for r in summed:
+            if r["piece"] >= 0:
+                at = slice(r["piece"] * PIECE, (r["piece"] + 1) * PIECE)
+                w[at] += np.frombuffer(r["change"], np.float32).reshape(PIECE, WIDTH) / np.float32(total)
+                squares[at] += np.frombuffer(r["squares"], np.float32)
         shared.unpersist()
     return w
 
 
 def score(found: DataFrame, words: DataFrame, w: np.ndarray, bias: np.ndarray, sub_bias: np.ndarray, cells_n: np.ndarray, cells_v: np.ndarray, n: int, v: int) -> DataFrame:
-    """The documents' scores. words: block, local, c (the word's training count) of every word of every block."""
+    """The documents' scores. words: block, local, c (the word's training count) of the words that other blocks count too."""
     shared = found.sparkSession.sparkContext.broadcast((w, bias, sub_bias))
     kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def run(block: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         w, bias, sub_bias = shared.value
         row = next(block.itertuples(index=False))
-        tokens, lengths, hashes, cells = opened(row)
-        c = np.zeros(len(hashes), np.int64)
+        tokens, lengths, marks, cells = opened(row)
+        c = unpacked(row.counts).astype(np.int64)
         c[known["local"].to_numpy()] = known["c"].to_numpy()
         base = np.log10((c + 0.5) / (n + 0.5 * (v + 1))) if n else np.zeros(len(c))
         inner = np.log10((c + 0.5) / (cells_n[cells] + 0.5 * (cells_v[cells] + 1))) if n else np.zeros(len(c))
@@ -257,7 +301,7 @@ def score(found: DataFrame, words: DataFrame, w: np.ndarray, bias: np.ndarray, s
         for lo in range(0, len(tokens) if n else 0, BATCH):
             hi = min(len(tokens), lo + BATCH)
             a = max(0, lo - 3)
-            rows = histories(tokens[a:hi], np.r_[True, first[a + 1 : hi]], hashes, cells)[lo - a :]
+            rows = histories(tokens[a:hi], np.r_[True, first[a + 1 : hi]], marks, cells)[lo - a :]
             of[lo:hi] += log_shares(w, bias, sub_bias, rows, cells[tokens[lo:hi]].astype(np.int64))[0] / np.log(10)
         return pd.DataFrame({
             "doc_id": pd.array([None if pd.isna(i) else int(i) for i in row.doc_ids], "Int64"), "held_out": np.asarray(row.held, bool), "n_tokens": lengths,
@@ -271,18 +315,17 @@ def score(found: DataFrame, words: DataFrame, w: np.ndarray, bias: np.ndarray, s
 def scores(docs: DataFrame, tokens: int = BLOCK_TOKENS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     found = materialize(blocks(docs, tokens), "blocks")
-    listed = vocabulary(found)
-    counts = materialize(listed.groupBy("hash").agg(F.sum("n").alias("c"), F.min("cell").alias("cell")).where("c > 0"), "counts")
-    per_cell = counts.groupBy("cell").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()  # CELLS rows at most
-    cells_n, cells_v = np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64)
-    for r in per_cell:
-        cells_n[r["cell"]], cells_v[r["cell"]] = r["n"], r["v"]
+    words = spread(vocabulary(found))
+    distinct = words.where("cell IS NOT NULL").groupBy("cell").agg(F.count(F.lit(1)).alias("v")).collect()  # CELLS rows at most
+    cells_n, cells_v = cell_counts(found), np.zeros(CELLS, np.int64)
+    for r in distinct:
+        cells_v[r["cell"]] = r["v"]
     shares = (cells_n + 0.5).reshape(CLASSES, SUBS)
     bias = np.log(shares.sum(axis=1) / shares.sum()).astype(np.float32)
     sub_bias = np.log(shares / shares.sum(axis=1, keepdims=True)).astype(np.float32)
     w = train(found, bias, sub_bias, rounds) if cells_n.sum() else np.zeros((FEATURES * ROWS, WIDTH), np.float32)
-    words = listed.select("block", "local", "hash").join(counts.select("hash", "c"), "hash").select("block", "local", "c")
-    return score(found.drop("counts"), words, w, bias, sub_bias, cells_n, cells_v, int(cells_n.sum()), int(cells_v.sum()))
+    back = words.where("block IS NOT NULL").select("block", "local", "c")
+    return score(found.drop("hashes"), back, w, bias, sub_bias, cells_n, cells_v, int(cells_n.sum()), int(cells_v.sum()))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
