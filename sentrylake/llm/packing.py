@@ -21,6 +21,7 @@ taken in the order of doc_id (nulls first), row hash and piece; an empty table g
 from __future__ import annotations
 
 import bisect
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,9 +35,13 @@ from sentrylake.llm.common import materialize
 
 LENGTH = 4096
 END = 1
-#: Words held by a task's tokenizer cache, of some 100 bytes each.
-CACHE_WORDS = 400_000
+#: Parts of texts whose ids a worker keeps, of some 150 bytes each; further ones are looked up again in each batch.
+CACHE = 600_000
+#: Words that are tokenised in one call.
+TOGETHER = 256
 SPACE = re.compile(r"[ \t\n\r]+")
+#: A part's punctuation after its last letter is a part of its own: the tokenizer always cuts there.
+TAIL = re.compile(r"(.*[A-Za-z])([.,!|;:?*%&$#]+)", re.DOTALL)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -48,27 +53,55 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class WordTokenizer:
     """ids of texts as little-endian unsigned 32-bit bytes, by the tokenizer in the file at ``path``.
 
-    A tokenizer that drops white space and never looks past it gives a text the ids of its parts between white space,
-    so each distinct part is tokenised once. Texts with one of the tokenizer's special tokens are tokenised whole.
+    The tokenizer lower-cases, drops white space and never looks past it, nor past the end of a run of letters. So a text
+    has the ids of its parts between white space, and each distinct part is tokenised once. New words of letters alone
+    are tokenised many at a time and told apart by the mark that ends each one's last piece. Texts with one of the
+    tokenizer's special tokens are tokenised whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.known: dict[str, bytes] = {}
+        self.atoms: dict[str, bytes] = {}
+
+    def add_atoms(self, atoms: list[str]) -> None:
+        words = [a for a in atoms if a.isalpha()]
+        other = [a for a in atoms if not a.isalpha()]
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for group, e in zip(groups, self.batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, "<u4")
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) != len(group) or (len(at) and at[-1] != len(ids)):
+                other += group
+                continue
+            raw = ids.tobytes()
+            self.atoms.update(zip(group, (raw[4 * x : 4 * y] for x, y in zip([0, *at[:-1].tolist()], at.tolist(), strict=True)), strict=True))
+        for a, e in zip(other, self.batch(other, add_special_tokens=False), strict=True):
+            self.atoms[a] = np.asarray(e.ids, "<u4").tobytes()
+
+    def add(self, parts: list[str]) -> None:
+        cut = {}
+        for p in parts:
+            low = p.lower() if p.isascii() else p
+            m = TAIL.fullmatch(low)
+            cut[p] = m.groups() if m else (low,)
+        self.add_atoms(list({a for c in cut.values() for a in c if a not in self.atoms}))
+        for p, c in cut.items():
+            self.known[p] = b"".join(map(self.atoms.__getitem__, c))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [SPACE.split(t) for t in texts]
         new = list({w for p in parts for w in p if w not in self.known})
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = list({w for p in parts for w in p})
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[w] = np.asarray(e.ids, "<u4").tobytes()
+        kept = len(self.atoms)
+        self.add(new)
         get = self.known.__getitem__
         out = []
         for t, p in zip(texts, parts, strict=True):
@@ -76,16 +109,32 @@ class WordTokenizer:
                 out.append(np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
             else:
                 out.append(b"".join(map(get, p)))
+        if len(self.known) > CACHE:
+            for w in new:
+                del self.known[w]
+        if len(self.atoms) > CACHE:
+            for a in list(self.atoms)[kept:]:
+                del self.atoms[a]
         return out
 
 
+#: The worker's tokenizers by path: its later tasks find what its earlier ones learnt.
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
+def worker_tokenizer(path: str) -> WordTokenizer:
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
+
+
 def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
     """doc_id, text_hash, piece, start, length, ids_crc32: a row for each piece of each document."""
     path = path or tokenizer_path()
     end = np.asarray([END], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = worker_tokenizer(path)
         for batch in batches:
             texts, doc, hashes = batch["text"].tolist(), batch["doc_id"].astype("Int64"), batch["text_hash"].to_numpy()
             for lo in range(0, len(texts), 256):
