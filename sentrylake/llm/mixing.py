@@ -92,14 +92,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
 
 
 def expand(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with its columns."""
+    """The mix itself: each row of docs as often as it is taken, with its columns (of rows with equal id, text and source, the first's)."""
     none = F.lit(-(2**63)).cast("long")
     taken = mix(docs, **how).where("copies > 0").select(F.coalesce("doc_id", none).alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), F.col("copies").alias("_copies"))
-    taken = taken.groupBy("_id", "_hash", "_source").agg(F.sum("_copies").alias("_copies"), F.count(F.lit(1)).alias("_same"))
+    taken = taken.groupBy("_id", "_hash", "_source").agg(F.sum("_copies").alias("_copies"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), none)).withColumn("_hash", F.xxhash64(text)).dropDuplicates(["_id", "_hash", "source"])
-    rows = rows.join(taken, (rows["_id"] == taken["_id"]) & (rows["_hash"] == taken["_hash"]) & rows["source"].eqNullSafe(taken["_source"]))
-    return rows.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), F.xxhash64(text).alias("hash"), F.col("source").cast("string").alias("of"))
+    rows = rows.dropDuplicates(["id", "hash", "of"])
+    rows = rows.join(taken, (rows["id"] == taken["_id"]) & (rows["hash"] == taken["_hash"]) & rows["of"].eqNullSafe(taken["_source"]))
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("row.*")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +116,7 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT source, source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight, source_size * 3.0::DOUBLE AS cap FROM s),
 r AS (SELECT *, sum(cap) OVER o - cap AS caps_before, sum(weight) OVER () - (sum(weight) OVER o - weight) AS weight_left, sum(source_size) OVER () AS total FROM w WINDOW o AS (ORDER BY cap / weight, source ROWS UNBOUNDED PRECEDING)),
 l AS (SELECT *, (total - caps_before) / weight_left AS level FROM r),
-lv AS (SELECT min(level) AS level FROM l WHERE cap > weight * level),
+lv AS (SELECT arg_min(level, cap / weight) AS level FROM l WHERE cap > weight * level),
 t AS (SELECT source, source_size, CASE WHEN final_level IS NULL THEN cap ELSE least(cap, weight * final_level) END::DOUBLE AS target FROM l CROSS JOIN (SELECT (SELECT level FROM lv) AS final_level) x),
 q AS (SELECT d.*, greatest(0.5, 1.0 - abs(chars / greatest(size, 1) - 6.0) / 12.0) * greatest(0.5, least(1.0, size / 50.0)) AS quality,
   (('0x' || substr(md5('7|' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / {float(1 << 48)}::DOUBLE AS u FROM d),

@@ -251,10 +251,10 @@ def keep_first(docs: DataFrame, width: int = 5, most: int = LOOSE["most"], segme
     """
     none = F.lit(-(2**63)).cast("long")
     found = near_duplicates(docs, width, most, segments, words)
-    kept = found.select(F.coalesce("component_id", none).alias("_id"), F.col("kept_hash").alias("_hash")).distinct()
+    kept = found.select(F.coalesce("component_id", none).alias("id"), F.col("kept_hash").alias("hash")).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), none)).withColumn("_hash", F.xxhash64(text))
-    return rows.join(kept, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), F.xxhash64(text).alias("hash"))
+    return rows.join(kept, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"]).select("row.*")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
