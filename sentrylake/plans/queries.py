@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sentrylake.functions import attack, ids, texts
 from sentrylake.functions.times import bucket, parse_time
-from sentrylake.operators import correlate, detect, findings, fsa, graph, killchain, normalize, reports, sensors, tables, ttp
+from sentrylake.operators import correlate, correlation_rules, detect, findings, fsa, graph, killchain, normalize, reports, sensors, tables, ttp
 from sentrylake.plans.bridge import UTC_TS, duck, ecs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -477,6 +477,34 @@ def chain_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.chains(found, events).withColumn("confidence", F.round("confidence", 6))
 
 
+_STAGED = """x AS (SELECT *, CASE k % 5 WHEN 0 THEN 'process' WHEN 1 THEN 'network' WHEN 2 THEN 'file' WHEN 3 THEN 'authentication' ELSE 'host' END AS cat,
+  CASE k % 7 WHEN 0 THEN 'process_start' WHEN 1 THEN 'user_login' WHEN 2 THEN 'file_modify' WHEN 3 THEN 'file_read' ELSE 'process_start' END AS act,
+  CASE k % 6 WHEN 0 THEN 'SUDO ls' WHEN 1 THEN 'chmod x' WHEN 2 THEN 'tar c' ELSE 'ls' END AS cmd, CASE n % 3 WHEN 0 THEN '/etc/passwd' WHEN 1 THEN '/usr/bin/x' END AS path, CASE WHEN n % 2 = 0 THEN '10.0.0.' || (n % 10) ELSE '8.8.8.' || (n % 10) END AS dip,
+  CASE n % 4 WHEN 0 THEN 443 WHEN 1 THEN 22 WHEN 2 THEN 5000 END AS port, n * 100000 AS bytes FROM ecs),
+y AS (SELECT *, cat = 'process' AND act = 'process_start' AS started, cmd = 'SUDO ls' AS priv FROM x), z AS (SELECT *, [started AND priv, cat = 'network' AND coalesce(port, 0) <> 443, (started AND priv) OR (cat = 'authentication' AND act = 'user_login')] AS lat,
+  [started AND cmd = 'SUDO ls', coalesce(cat = 'file' AND act IN ('file_modify', 'file_read') AND path IS NOT NULL, false), coalesce(cat = 'file' AND act = 'file_modify' AND path = '/etc/passwd', false) OR (started AND cmd IN ('SUDO ls', 'chmod x'))] AS pri,
+  [coalesce(cat = 'file' AND act = 'file_read' AND bytes > 1000000, false) OR (started AND cmd = 'tar c'), cat = 'network' AND n % 2 = 1 AND coalesce(port > 1024 OR port = 443, false), cat = 'network' AND bytes > 10000000] AS exf FROM y)"""
+
+
+@query(duck(_STAGED + """ SELECT event_id, rule, stage FROM (SELECT event_id, unnest(lat) AS hit, unnest([1, 2, 3]) AS stage, 'Lateral Movement' AS rule FROM z UNION ALL SELECT event_id, unnest(pri), unnest([1, 2, 3]), 'Privilege Escalation' FROM z UNION ALL
+  SELECT event_id, unnest(exf), unnest([1, 2, 3]), 'Data Exfiltration' FROM z) WHERE hit"""))
+def correlation_rule_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which stages of which rule each event (with made-up fields) meets."""
+    e, c = ecs(spark, sf_dir), F.col
+    pick = lambda v, m, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (c(v) % m + 1).cast("int"))
+    rows = e.select(
+        "event_id", "host_name", "user_name", F.array(pick("k", 5, "process", "network", "file", "authentication", "host")).alias("category"), pick("k", 7, "process_start", "user_login", "file_modify", "file_read", *["process_start"] * 3).alias("action"),
+        pick("k", 6, "SUDO ls", "chmod x", "tar c", "ls", "ls", "ls").alias("command_line"), pick("n", 3, "/etc/passwd", "/usr/bin/x", None).alias("file_path"), F.lit("10.0.0.1").alias("src_ip"), F.lit("outbound").alias("direction"),
+        F.concat(F.when(c("n") % 2 == 0, "10.0.0.").otherwise("8.8.8."), (c("n") % 10).cast("string")).alias("dst_ip"), F.when(c("n") % 4 == 0, 443).when(c("n") % 4 == 1, 22).when(c("n") % 4 == 2, 5000).cast("bigint").alias("dst_port"),
+        (c("n") * 100000).alias("network_bytes"), (c("n") * 100000).alias("file_size"), F.array(F.lit("connection"), F.lit("flow")).alias("type"), F.lit("x").alias("process_name"),
+    )
+    parts = [r.stage(rows, i).select("event_id", F.lit(r.name).alias("rule"), F.lit(i + 1).alias("stage")) for r in correlation_rules.RULES for i in range(3)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 # --- analyses
 
 
