@@ -2,7 +2,7 @@
 
 A text's sketch holds the K smallest distinct 32-bit hashes of its shingles of five words (fewer words: of the whole
 sequence). Sketches of parts merge to the sketch of the whole. From two sketches follow the texts' resemblance and
-containment, and from one the number of distinct shingles; all three are exact while a text has at most K of them.
+containment, and from one the number of distinct shingles; all three are exact while texts have fewer than K of them.
 
 Defined results: a null text is an empty one, whose sketch is empty; two empty sketches have resemblance 1, an empty and
 another one 0; rows with equal doc_id and text count as one document when a document's successor is sought, and a null
@@ -57,19 +57,25 @@ def distinct_count(a: Column, k: int = K) -> Column:
     return F.when(F.size(a) < k, F.size(a).cast("double")).otherwise(F.lit(k - 1.0) / last)
 
 
+def complete(a: Column, b: Column, k: int = K) -> Column:
+    """Whether both sketches hold all hashes of their texts."""
+    return (F.size(a) < k) & (F.size(b) < k)
+
+
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
-    """The share of the k smallest hashes of both texts together that lie in both."""
+    """The share of the k smallest hashes of both texts together that lie in both; of all hashes, where both are complete."""
 
     def of(u: Column) -> Column:
         return F.when(F.size(u) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u))
 
-    return let(merge(a, b, k), of)
+    return let(F.slice(F.sort_array(F.array_union(a, b)), F.lit(1), F.when(complete(a, b, k), 2 * k).otherwise(k)), of)
 
 
 def containment(a: Column, b: Column, k: int = K) -> Column:
     """The estimated share of a's distinct shingles that b has too."""
     both = resemblance(a, b, k) * distinct_count(merge(a, b, k), k)
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), both / distinct_count(a, k)))
+    exact = F.size(F.array_intersect(a, b)) / F.size(a)
+    return F.when(F.size(a) == 0, F.lit(1.0)).when(complete(a, b, k), exact).otherwise(F.least(F.lit(1.0), both / distinct_count(a, k)))
 
 
 def as_text(a: Column) -> Column:

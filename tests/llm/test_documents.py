@@ -291,3 +291,42 @@ def test_lm_learns_from_history(spark):
     out = lm.scores(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
     gain = sum(r["score"] - r["base_score"] for r in out) / sum(r["n_tokens"] for r in out)
     assert gain > 0.1
+
+
+# --- whole queries
+
+
+def _write(spark, rows, tmp_path):
+    d = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    d.repartition(3).write.parquet(f"file://{tmp_path}/documents.parquet")
+    return f"file://{tmp_path}"
+
+
+def test_op6_query(spark, rows, tmp_path):
+    rows = [r for r in dict.fromkeys(rows) if r[0] is not None]
+    out = {(r["doc_id"]): r for r in sketches.op6(spark, _write(spark, rows, tmp_path)).collect()}
+    ordered = sorted({r[0]: r[1] or "" for r in rows}.items())
+    for k, (i, text) in enumerate(ordered):
+        after = ordered[(k + 1) % len(ordered)][1]
+        n = len(text)
+        edited = text[: n - n // 4] + after[: n // 4]
+        assert out[i]["n_chars"] == n and out[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        sets = [_shingles(t) for t in (text, edited, after)]
+        if all(len(s) < sketches.K for s in sets):
+            like = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
+            assert out[i]["near_edited"] == pytest.approx(like(sets[0], sets[1])) and out[i]["near_next"] == pytest.approx(like(sets[0], sets[2]))
+            assert len(out[i]["fingerprint"]) == 8 * len(sets[0])
+    assert out[100]["fingerprint"] == out[101]["fingerprint"] == out[3]["fingerprint"]
+
+
+def _shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_op5_and_op9_queries(spark, rows, tmp_path):
+    sf = _write(spark, rows, tmp_path)
+    got = Counter((r["doc_id"], r["fingerprint"]) for r in simhash.op5(spark, sf).collect())
+    assert got == Counter((r[0], f"{brute_fingerprint(r[1]):016x}") for r in rows)
+    found = Counter((r["doc_id"], r["base_sha256"], r["n_assign"] + r["n_access"] + r["n_hex"]) for r in secrets.op9(spark, sf).collect())
+    assert found == Counter((r[0], hashlib.sha256((s := brute_spans(r[1] or "")).encode()).hexdigest(), len([x for x in s.split(",") if x])) for r in rows)
