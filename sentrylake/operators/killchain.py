@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrylake.operators import fsa
@@ -13,6 +14,41 @@ from sentrylake.operators.tables import cut
 #: Seconds before a segment's end and after the next one's start in which a path may lie.
 MARGIN_S = 120.0
 CANDIDATES = 20
+KEYS = ["scope", "chain", "pair"]
+
+
+@dataclass(frozen=True)
+class AnchorRule:
+    """Alarms that give other anchors for a join of two states: any one of the conditions is enough."""
+
+    before: str
+    after: str
+    priority: int
+    rtypes: tuple[str, ...] = ()
+    sources: tuple[str, ...] = ()
+    targets: tuple[str, ...] = ()
+    actions: tuple[str, ...] = ()
+
+    def matches(self) -> Column:
+        kind = lambda c: F.substring_index(c, ":", 1)
+        out = F.lit(not (self.rtypes or self.sources or self.targets or self.actions))
+        for c, values in ((F.col("rtype"), self.rtypes), (kind("src_uid"), self.sources), (kind("dst_uid"), self.targets), (F.col("action"), self.actions)):
+            out = out | F.coalesce(c.isin(*values), F.lit(False)) if values else out
+        return out
+
+
+# The joins of states with alarms that may anchor them.
+ANCHOR_RULES = (
+    AnchorRule("Initial Access", "Execution", 1, rtypes=("SPAWN", "RUNS_ON"), targets=("Process",)),
+    AnchorRule("Execution", "Privilege Escalation", 1, rtypes=("SPAWN",), targets=("Process",), actions=("process_start",)),
+    AnchorRule("Privilege Escalation", "Lateral Movement", 1, rtypes=("NET_CONNECT",), sources=("Process", "Host"), targets=("IP",), actions=("network_connection",)),
+    AnchorRule("Lateral Movement", "Command and Control", 1, rtypes=("SPAWN", "RUNS_ON"), targets=("Process",)),
+    AnchorRule("Lateral Movement", "Command and Control", 2, rtypes=("DNS_QUERY", "NET_CONNECT"), sources=("Process",)),
+    AnchorRule("Lateral Movement", "Command and Control", 3, rtypes=("DNS_QUERY", "NET_CONNECT"), targets=("Domain", "IP")),
+    AnchorRule("Command and Control", "Impact", 1, rtypes=("FILE_ACCESS", "SPAWN"), targets=("File", "Process"), actions=("file_delete", "file_write", "process_start")),
+    AnchorRule("Command and Control", "Impact", 2, rtypes=("DNS_QUERY",), targets=("Domain",)),
+    AnchorRule("Command and Control", "Impact", 3, rtypes=("FILE_ACCESS",), sources=("Process",)),
+)
 
 
 def segment_pairs(chain_rows: DataFrame) -> DataFrame:
@@ -21,7 +57,7 @@ def segment_pairs(chain_rows: DataFrame) -> DataFrame:
     runs = fsa.segment_runs(fsa.segments(chain_rows, keys, ["seq"]), keys)
     w = Window.partitionBy(*keys).orderBy("segment")
     nxt = lambda c: F.lead(c).over(w)
-    out = runs.select(*keys, F.col("segment").alias("pair"), F.col("anchor_out").alias("src_uid"), nxt("anchor_in").alias("dst_uid"), (F.col("t_end") - MARGIN_S).alias("t_min"), (nxt("t_start") + MARGIN_S).alias("t_max"), fsa.most_hops(F.col("state"), F.coalesce(nxt("state"), F.col("state"))).alias("hops"))
+    out = runs.select(*keys, F.col("segment").alias("pair"), F.col("anchor_out").alias("src_uid"), nxt("anchor_in").alias("dst_uid"), (F.col("t_end") - MARGIN_S).alias("t_min"), (nxt("t_start") + MARGIN_S).alias("t_max"), fsa.most_hops(F.col("state"), F.coalesce(nxt("state"), F.col("state"))).alias("hops"), F.col("state").alias("before"), nxt("state").alias("after"))
     return out.where("dst_uid IS NOT NULL")
 
 
@@ -32,7 +68,7 @@ def candidate_paths(found: DataFrame, pairs: DataFrame, most: int = CANDIDATES)
     All pairs are searched at once, from their own sources; equal anchors give the empty path. Walks that can't reach
     the target any more are kept until their hops run out, as in any breadth-first search, so ``hops`` bounds the work.
     """
-    keys = ["scope", "chain", "pair"]
+    keys = KEYS + ["order"] * ("order" in pairs.columns)
     pool = found.select(F.col("src_uid").alias("at"), F.col("dst_uid").alias("to"), "event_id", "ts_float")
     both = cut(pool.unionByName(pool.select(F.col("to").alias("at"), F.col("at").alias("to"), "event_id", "ts_float")).where("at <> to"), "pool")
     pairs = cut(pairs, "pairs")
@@ -64,7 +100,7 @@ def choose(pairs: DataFrame, candidates: DataFrame, chooser: Callable[[DataFrame
 
     ``chooser`` may pick among the candidates (one row for each pair); the default is the fewest hops, first in rank.
     """
-    keys = ["scope", "chain", "pair"]
+    keys = KEYS
     if chooser is None:
         w = Window.partitionBy(*keys).orderBy("hops", "rank")
         picked = candidates.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
@@ -76,15 +112,83 @@ def choose(pairs: DataFrame, candidates: DataFrame, chooser: Callable[[DataFrame
 
 def kill_chains(alarms: DataFrame, found: DataFrame) -> DataFrame:
     """scope, chain, n_pairs, hops, events, confidence of each chain that holds together; lone segments have 0.3."""
-    rows = cut(fsa.chains(alarms), "chains")
-    pairs = segment_pairs(rows)
-    picked = choose(pairs, candidate_paths(found, pairs))
+    rows = fsa.chains(alarms)
+    if {"rtype", "action"} <= set(alarms.columns):
+        facts = alarms.groupBy("scope", "event_id", "src_uid", "dst_uid").agg(F.min("rtype").alias("rtype"), F.min("action").alias("action"))
+        rows = rows.join(facts, ["scope", "event_id", "src_uid", "dst_uid"], "left")
+    rows = cut(rows, "chains")
+    pairs = cut(segment_pairs(rows), "pairs")
+    picked = choose(pairs, staged_paths(found, rows, pairs))
     joined = picked.groupBy("scope", "chain").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("hops").cast("long").alias("hops"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("steps")))).alias("events"), F.avg("confidence").alias("confidence"))
     lone = rows.select("scope", "chain").distinct().join(pairs.select("scope", "chain").distinct(), ["scope", "chain"], "left_anti")
     lone = lone.select("scope", "chain", F.lit(0).cast("long").alias("n_pairs"), F.lit(0).cast("long").alias("hops"), F.array().cast("array<string>").alias("events"), F.lit(0.3).alias("confidence"))
     return joined.unionByName(lone)
 
 
+def without(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The pairs that have no candidate yet."""
+    return pairs.join(candidates.select(*KEYS).distinct(), KEYS, "left_anti")
+
+
+def first_order(candidates: DataFrame) -> DataFrame:
+    """Of each pair's candidates by several anchors, those of the first anchors that have any."""
+    w = Window.partitionBy(*KEYS)
+    return candidates.withColumn("_first", F.min("order").over(w)).where("order = _first").drop("_first", "order")
+
+
+def semantic_anchors(chain_rows: DataFrame, pairs: DataFrame, rules: tuple[AnchorRule, ...] = ANCHOR_RULES) -> DataFrame:
+    """pairs by other anchors: targets of the first segment's alarms and sources of the second's that a rule for the two
+    states matches, in order of rule and time. chain_rows need rtype and action.
+    """
+    rows = fsa.segments(chain_rows, ["scope", "chain"], ["seq"])
+    parts = []
+    for r in rules:
+        own = pairs.where((F.col("before") == r.before) & (F.col("after") == r.after)).select(*KEYS)
+        hit = rows.where(r.matches())
+        ends = [hit.select("scope", "chain", (F.col("segment") - back).alias("pair"), F.col(uid).alias(uid), F.struct(F.lit(r.priority).alias("p"), F.col("seq").alias("s")).alias(f"at_{uid}")).join(own, KEYS) for back, uid in ((0, "dst_uid"), (1, "src_uid"))]
+        parts.append(ends)
+    union = lambda k: _union([p[k] for p in parts])
+    first = union(0).groupBy(*KEYS, F.col("dst_uid").alias("a")).agg(F.min("at_dst_uid").alias("at_a"))
+    second = union(1).groupBy(*KEYS, F.col("src_uid").alias("b")).agg(F.min("at_src_uid").alias("at_b"))
+    joined = pairs.drop("src_uid", "dst_uid").join(first, KEYS).join(second, KEYS)
+    w = Window.partitionBy(*KEYS).orderBy("at_a", "a", "at_b", "b")
+    return joined.select(*KEYS, F.col("a").alias("src_uid"), F.col("b").alias("dst_uid"), "t_min", "t_max", "hops", "before", "after", F.row_number().over(w).alias("order"))
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def staged_paths(found: DataFrame, chain_rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Candidates by ever wider searches, each for the pairs that still have none: between the anchors (10 paths); two more
+    hops (25); from any node of the first segment; and, where chain_rows have rtype and action, between semantic anchors.
+    """
+    pairs = cut(pairs, "pairs")
+    wider = lambda p: p.withColumn("hops", F.col("hops") + 2)
+    out = cut(candidate_paths(found, pairs, 10), "found")
+    out = cut(out.unionByName(candidate_paths(found, wider(without(pairs, out)), 25)), "found")
+    segments = fsa.segments(chain_rows, ["scope", "chain"], ["seq"])
+    inside = segments.select("scope", "chain", F.col("segment").alias("pair"), F.explode(F.array("src_uid", "dst_uid")).alias("src_uid")).distinct()
+    other = wider(without(pairs, out)).drop("src_uid").join(inside, KEYS)
+    out = cut(out.unionByName(candidate_paths(found, other, 25)), "found")
+    if {"rtype", "action"} <= set(chain_rows.columns):
+        more = candidate_paths(found, wider(semantic_anchors(chain_rows, without(pairs, out))), 25)
+        out = cut(out.unionByName(first_order(more)), "found")
+    w = Window.partitionBy(*KEYS).orderBy("hops", "steps", "path")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= CANDIDATES)
+
+
+def payload(pairs: DataFrame, candidates: DataFrame, per_pair: int = 8, steps: int = 10) -> DataFrame:
+    """scope, chain, payload (JSON): each chain's pairs with their best candidates, cut to so many steps, for a chooser."""
+    best = heuristic(candidates).where(F.col("rank") <= per_pair)
+    listed = best.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("rank", F.round("score", 6).alias("score"), F.slice("path", 1, steps + 1).alias("path"), F.slice("steps", 1, steps).alias("steps")))).alias("candidates"))
+    rows = pairs.select(*KEYS, "src_uid", "dst_uid", "t_min", "t_max").join(listed, KEYS, "left")
+    return rows.groupBy("scope", "chain").agg(F.to_json(F.array_sort(F.collect_list(F.struct("pair", "src_uid", "dst_uid", "t_min", "t_max", "candidates")))).alias("payload"))
+
+
 def path_signature(path: DataFrame, steps: str = "steps") -> DataFrame:
     """Candidates with the digest of their steps."""
     return path.withColumn("signature", F.substring(F.sha1(F.array_join(steps, "|")), 1, 20))

@@ -237,13 +237,31 @@ def test_chains_and_kill_chain(spark):
     chain = fsa.chains(alarms)
     assert [r["event_id"] for r in chain.orderBy("seq").collect()] == ["e0", "e1", "e2", "e3"]
     pairs = killchain.segment_pairs(chain).orderBy("pair").collect()
-    assert [(r["src_uid"], r["dst_uid"], r["t_min"], r["t_max"], r["hops"]) for r in pairs] == [("n1", "n1", -120.0, 220.0, 8), ("n3", "n4", -20.0, 420.0, 8)]
+    assert [(r["src_uid"], r["dst_uid"], r["t_min"], r["t_max"], r["hops"]) for r in pairs] == [("n1", "n1", -120.0, 220.0, 8), ("n3", "n4", 80.0, 420.0, 8)]
     found = spark.createDataFrame([("n3", "m", "x1", 250.0), ("m", "n4", "x2", 260.0), ("n3", "n4", "late", 9999.0)], "src_uid string, dst_uid string, event_id string, ts_float double")
     out = killchain.kill_chains(alarms, found).collect()
     assert len(out) == 1 and out[0]["events"] == ["x1", "x2"] and out[0]["n_pairs"] == 2 and out[0]["hops"] == 2
     assert killchain.kill_chains(alarms, found.where("event_id = 'late'")).count() == 0
 
 
+def test_wider_searches(spark):
+    """Pairs that the anchors don't join: by two more hops, from another node of the segment, or by semantic anchors."""
+    chain = [("s", 0, 1.0, i, f"e{i}", st, float(i * 10), a, b, r, "x") for i, (st, a, b, r) in enumerate([("Initial Access", "Host:h", "Process:p", "RUNS_ON"), ("Initial Access", "User:u", "Host:q", "LOGON"), ("Execution", "Process:far", "Process:r", "SPAWN")])]
+    rows = spark.createDataFrame(chain, "scope string, chain int, score double, seq int, event_id string, state string, ts_float double, src_uid string, dst_uid string, rtype string, action string")
+    pairs = killchain.segment_pairs(rows)
+    edges = lambda *e: spark.createDataFrame([(a, b, f"x{i}", 5.0 + i) for i, (a, b) in enumerate(e)], "src_uid string, dst_uid string, event_id string, ts_float double")
+    best = lambda found: sorted((r["hops"], r["path"][0]) for r in killchain.staged_paths(found, rows, pairs).collect())
+    assert best(edges(("Host:q", "m"), ("m", "Process:far"))) == [(2, "Host:q")]
+    long = ["Host:q", *[f"n{i}" for i in range(8)], "Process:far"]
+    assert best(edges(*zip(long, long[1:]))) == [(9, "Host:q")]
+    assert best(edges(("Process:p", "Process:far"))) == [(1, "Process:p")]
+    assert best(edges(("Process:p", "none"))) == []
+    order = [(r["src_uid"], r["dst_uid"], r["order"]) for r in killchain.semantic_anchors(rows, pairs).orderBy("order").collect()]
+    assert order == [("Process:p", "Process:far", 1)]
+    body = json.loads(killchain.payload(pairs, killchain.staged_paths(edges(("Host:q", "Process:far")), rows, pairs)).first()["payload"])
+    assert body[0]["candidates"][0]["steps"] == ["x0"]
+
+
 # --- filters and similarity
 
 
