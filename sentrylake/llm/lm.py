@@ -183,36 +183,39 @@ def histories(tokens: np.ndarray, first: np.ndarray, marks: np.ndarray, cells: n
     return np.stack([mixed(w1, 0), mixed(pair, 1), back(cell, 2).astype(np.int64), back(cell, 3).astype(np.int64)], axis=1) + np.arange(FEATURES) * ROWS
 
 
-def log_shares(w: np.ndarray, bias: np.ndarray, sub_bias: np.ndarray, rows: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(natural log of P(cell | history), P(classes), P(sub-classes given the class)) of tokens."""
-    logits = w[rows[:, 0]]
+def log_shares(w: np.ndarray, bias: np.ndarray, sub_bias: np.ndarray, rows: np.ndarray, cell: np.ndarray, shares: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Natural log of P(cell | history) of tokens; with ``shares`` P(classes) and P(sub-classes given the class) too."""
+    logits = np.take(w, rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
-        logits += w[rows[:, k]]
+        logits += np.take(w, rows[:, k], axis=0)
+    np.clip(logits, -60, 60, out=logits)
     c, s, at = cell // SUBS, cell % SUBS, np.arange(len(cell))
-    a, b = logits[:, :CLASSES], logits[:, CLASSES:]
-    a += bias
-    b += sub_bias[c]
+    a, b = logits[:, :CLASSES] + bias, logits[:, CLASSES:] + sub_bias[c]
     out = a[at, c] + b[at, s]
-    np.exp(a - a.max(axis=1, keepdims=True), out=(p := np.empty_like(a)))
-    np.exp(b - b.max(axis=1, keepdims=True), out=(q := np.empty_like(b)))
-    ps, qs = p.sum(axis=1, keepdims=True), q.sum(axis=1, keepdims=True)
-    out -= a.max(axis=1) + b.max(axis=1) + np.log(ps[:, 0]) + np.log(qs[:, 0])
-    return out, p / ps, q / qs
+    np.exp(a, out=a)
+    np.exp(b, out=b)
+    ps, qs = a.sum(axis=1), b.sum(axis=1)
+    out -= np.log(ps) + np.log(qs)
+    if shares:
+        a /= ps[:, None]
+        b /= qs[:, None]
+    return out, a, b
 
 
 def learn(w: np.ndarray, squares: np.ndarray, bias: np.ndarray, sub_bias: np.ndarray, rows: np.ndarray, cell: np.ndarray) -> None:
     """One adaptive gradient step over a batch, in place."""
-    _, p, q = log_shares(w, bias, sub_bias, rows, cell)
+    _, p, q = log_shares(w, bias, sub_bias, rows, cell, shares=True)
     at = np.arange(len(cell))
     p[at, cell // SUBS] -= 1
     q[at, cell % SUBS] -= 1
     error = np.concatenate([p, q], axis=1)
     for k in range(rows.shape[1]):
-        r = rows[:, k]
+        r = (rows[:, k] - k * ROWS).astype(np.uint16)  # narrow numbers are sorted by digits
         order = np.argsort(r, kind="stable")
-        edge = np.flatnonzero(np.r_[True, np.diff(r[order]) != 0])
-        g = np.add.reduceat(error[order], edge, axis=0)
-        u = r[order][edge]
+        r = r[order]
+        edge = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+        g = np.add.reduceat(np.take(error, order, axis=0), edge, axis=0)
+        u = r[edge].astype(np.int64) + k * ROWS
         squares[u] += (g * g).mean(axis=1)
         w[u] -= (RATE / FEATURES) * g / np.sqrt(squares[u] + 1.0)[:, None]
 
