@@ -52,3 +52,9 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def kept_since(df: DataFrame, days: int, today: str, column: str = "ingest_date") -> DataFrame:
     """Retention: rows of the last so many days, by partition."""
     return df.where(F.col(column) >= F.date_sub(F.lit(today).cast("date"), days))
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes the tables that cuts of lineage have left; results that still read them must be stored before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/sentrylake")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

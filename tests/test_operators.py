@@ -289,3 +289,9 @@ def test_empty_inputs(spark):
     assert findings.canonical(none).count() == 0
     e = edge_frame(spark).where("false")
     assert graph.shortest_costs(e, "a").count() == 1 and graph.temporal_paths(e, spark.createDataFrame([("a",)], "uid string"), 2, 0.0, 1.0).count() == 0
+
+
+def test_scratch_can_be_dropped(spark):
+    assert tables.cut(spark.range(3), "t").count() == 3
+    tables.drop_scratch(spark)
+    assert tables.cut(spark.range(2), "t").count() == 2
