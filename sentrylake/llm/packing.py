@@ -36,7 +36,7 @@ from sentrylake.llm.common import materialize
 LENGTH = 4096
 END = 1
 #: Parts of texts whose ids a worker keeps, of some 150 bytes each; further ones are looked up again in each batch.
-CACHE = 600_000
+CACHE = 300_000
 #: Words that are tokenised in one call.
 TOGETHER = 256
 SPACE = re.compile(r"[ \t\n\r]+")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 WINDOW = 5
 STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
-#: Rows of the sample that the rules' costs and selectivities are estimated on.
+#: Rows (about) of the sample that the rules' costs and selectivities are estimated on.
 SAMPLE_ROWS = 2000
 
 
@@ -143,8 +143,9 @@ def order_rules(measured: list[tuple[str, float, int, int]], rules: tuple[Rule,
 
 
 def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """Orders the rules by a sample of at most ``sample_rows`` rows (only the order depends on it)."""
-    return order_rules(measure(docs.select("text").limit(sample_rows), rules), rules)
+    """Orders the rules by a random sample of about ``sample_rows`` rows (only the order depends on it)."""
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    return order_rules(measure(docs.select("text").sample(share, seed=1), rules), rules)
 
 
 def verdict(text: str | None, order: tuple[Rule, ...]) -> tuple[dict[str, int], bool, bool]:

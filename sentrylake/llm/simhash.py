@@ -31,10 +31,10 @@ SHINGLE = 4
 BITS = 64
 MAX_DISTANCE = 4
 SEGMENTS = 3
-#: Settings for a resemblance of 0.8 or more of 5-word shingles: 128 bits, of which 8 segments of 16 bits each. A pair at
-#: resemblance J differs in a bit with probability p = acos(2J / (1 + J)) / pi (0.15 at J = 0.8, 0.10 at 0.9), so
-#: one of the 8 segments differs by one bit at most with probability 0.93 at J = 0.8, 0.98 at 0.85 and 0.997 at 0.9.
-LOOSE = {"width": 5, "most": 22, "segments": 8, "words": 2}
+#: Settings for a resemblance of 0.8 or more of 5-word shingles: 128 bits, cut into 8 segments of 16 bits twice, the second
+#: time half a segment further. A pair at resemblance J differs in a bit with probability p = acos(2J / (1 + J)) / pi (0.15
+#: at J = 0.8, 0.10 at 0.9), so one of the first 8 segments alone differs by one bit at most with probability 0.93 at J = 0.8.
+LOOSE = {"width": 5, "most": 22, "segments": 8, "words": 2, "turns": 2}
 #: Up to this size, all pairs of a bucket are compared by shifting; larger ones are visited breadth first.
 SMALL_BUCKET = 32
 
@@ -94,20 +94,25 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, words: int = 1) -> DataF
     return rows.mapInPandas(run, "doc_id long, text_hash long, " + ", ".join(f"{n} long" for n in names(words)))
 
 
-def variant_keys(fp: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
-    """(rows, bits) keys of fingerprints (rows, words): for every bit, its segment's other bits, with the bit's number.
+def variant_keys(fp: np.ndarray, segments: int = SEGMENTS, turns: int = 1) -> np.ndarray:
+    """(rows, bits * turns) keys of fingerprints (rows, words): for every bit, its segment's other bits, with its number.
 
-    Segments never cross a word, and have at most 40 bits.
+    Segments never cross a word, and have at most 40 bits. On each further turn, words are rotated by a part of a segment.
     """
     rows, words = fp.shape
-    out = np.empty((rows, words * BITS), np.uint64)
+    out = np.empty((rows, turns * words * BITS), np.uint64)
     each = -(-segments // words)
     cuts = [round(i * BITS / each) for i in range(each + 1)]
-    for w in range(words):
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            segment = (fp[:, w].view(np.uint64) >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
-            for bit in range(a, b):
-                out[:, w * BITS + bit] = (segment & np.uint64(~(1 << (bit - a)) & (2**64 - 1))) | np.uint64((w * BITS + bit) << 40)
+    for turn in range(turns):
+        by = turn * BITS // (each * turns)
+        for w in range(words):
+            word = np.ascontiguousarray(fp[:, w]).astype(np.uint64)
+            word = (word >> np.uint64(by)) | (word << np.uint64(BITS - by)) if by else word
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                segment = (word >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
+                for bit in range(a, b):
+                    at = (turn * words + w) * BITS + bit
+                    out[:, at] = (segment & np.uint64(~(1 << (bit - a)) & (2**64 - 1))) | np.uint64(at << 40)
     return out.view(np.int64)
 
 
@@ -156,7 +161,7 @@ def bucket_links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, most: int) -
     return np.concatenate(a), np.concatenate(b)
 
 
-def links(groups: DataFrame, most: int = MAX_DISTANCE, segments: int = SEGMENTS, words: int = 1) -> DataFrame:
+def links(groups: DataFrame, most: int = MAX_DISTANCE, segments: int = SEGMENTS, words: int = 1, turns: int = 1) -> DataFrame:
     """a, b (a < b): links among nodes (node, fp0 ...; distinct fingerprints) with the components of all links found."""
     fields = ", ".join(f"{n} long" for n in ["key", "node", *names(words)])
 
@@ -165,8 +170,8 @@ def links(groups: DataFrame, most: int = MAX_DISTANCE, segments: int = SEGMENTS,
             for at in range(0, len(batch), 2048):
                 part = batch.iloc[at : at + 2048]
                 fp = part[names(words)].to_numpy(np.int64)
-                rows = {n: np.repeat(part[n].to_numpy(np.int64), words * BITS) for n in ["node", *names(words)]}
-                yield pd.DataFrame({"key": variant_keys(fp, segments).ravel()} | rows)
+                rows = {n: np.repeat(part[n].to_numpy(np.int64), words * BITS * turns) for n in ["node", *names(words)]}
+                yield pd.DataFrame({"key": variant_keys(fp, segments, turns).ravel()} | rows)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -226,14 +231,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, most: int = MAX_DISTANCE, segments: int = SEGMENTS, words: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, most: int = MAX_DISTANCE, segments: int = SEGMENTS, words: int = 1, turns: int = 1) -> DataFrame:
     """doc_id, text_hash, fp0 ..., component_id (the smallest doc_id reachable) and kept_hash (the text of that document)."""
     fps = names(words)
     marked = materialize(fingerprints(docs, width, words), "fingerprints")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least")
     groups = marked.groupBy(*fps).agg(least, F.count(F.lit(1)).alias("n_rows"))
     groups = materialize(groups.withColumn("node", F.col("fp0") if words == 1 else F.monotonically_increasing_id()), "groups")
-    found = components(links(groups, most, segments, words))
+    found = components(links(groups, most, segments, words, turns))
     rooted = groups.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = materialize(rooted, "rooted")
     roots = rooted.groupBy("root").agg(F.min("least").alias("rep"), F.count(F.lit(1)).alias("n_rows"))
@@ -244,13 +249,13 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, most: int = MAX_DISTA
     return out.select("doc_id", "text_hash", *fps, F.col("rep.doc_id").alias("component_id"), F.col("rep.text_hash").alias("kept_hash"))
 
 
-def keep_first(docs: DataFrame, width: int = 5, most: int = LOOSE["most"], segments: int = LOOSE["segments"], words: int = LOOSE["words"]) -> DataFrame:
+def keep_first(docs: DataFrame, **settings: int) -> DataFrame:
     """The documents with one row of each group of near-duplicates: the one with its smallest doc_id.
 
-    Rows with equal doc_id and text are repeats, of which one stays.
+    Rows with equal doc_id and text are repeats, of which one stays. ``settings`` are those of near_duplicates (LOOSE).
     """
     none = F.lit(-(2**63)).cast("long")
-    found = near_duplicates(docs, width, most, segments, words)
+    found = near_duplicates(docs, **(settings or LOOSE))
     kept = found.select(F.coalesce("component_id", none).alias("id"), F.col("kept_hash").alias("hash")).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), F.xxhash64(text).alias("hash"))
