@@ -6,8 +6,10 @@ with more segments find most pairs: see LOOSE. Each distinct
 fingerprint is indexed, for every segment, once for each bit of it left out (a one-wildcard variant); fingerprints whose
 segment differs in one bit or none meet under a variant, in an equality join on (segment, bit, remaining bits). Within a
 variant, candidates are verified on all bits. Large buckets yield a spanning forest of their links instead of all
-pairs, found by visiting the bucket's rows breadth first, so that what a bucket emits is at most its size. Components
-are then joined by star contraction over the links, each round written to the shared folder.
+pairs, found by visiting the bucket's rows breadth first, so that what a bucket emits is at most its size. A bucket of
+more than BLOCK_ROWS rows is dealt into blocks, and each two of its blocks meet in a bucket of their own, so no task holds
+more than two blocks of it and no link is lost. Components are then joined by star contraction over the links, each round
+written to the shared folder.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero, linked like any other; equal
 texts are linked; a null doc_id is never a component's name unless nothing else is in it; repeated rows give repeated
@@ -37,6 +39,13 @@ SEGMENTS = 3
 LOOSE = {"width": 5, "most": 22, "segments": 8, "words": 2, "turns": 2}
 #: Up to this size, all pairs of a bucket are compared by shifting; larger ones are visited breadth first.
 SMALL_BUCKET = 32
+#: Larger buckets are dealt into blocks of about so many rows.
+BLOCK_ROWS = 1 << 18
+#: Of so many nodes (about), or a thousandth if that is more, keys are counted to find such buckets; only the balance of
+#: the tasks depends on it.
+SAMPLE_NODES = 1 << 17
+#: No more buckets than this are dealt into blocks; the size of a block follows from it for inputs so large.
+MOST_DEALT = 1 << 20
 
 
 def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
@@ -161,17 +170,57 @@ def bucket_links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, most: int) -
     return np.concatenate(a), np.concatenate(b)
 
 
-def links(groups: DataFrame, most: int = MAX_DISTANCE, segments: int = SEGMENTS, words: int = 1, turns: int = 1) -> DataFrame:
+def large_buckets(groups: DataFrame, segments: int, words: int, turns: int, block: int, sample: int = SAMPLE_NODES) -> tuple[np.ndarray, np.ndarray]:
+    """The keys (sorted) of buckets of about ``block`` rows or more, MOST_DEALT at most, and the number of blocks of each."""
+    total, variants = groups.count(), words * BITS * turns
+    block = max(block, -(-total * variants // MOST_DEALT))
+    if total <= block:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    share = min(1.0, max(sample / total, 0.001))
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 2048):
+                yield pd.DataFrame({"key": variant_keys(batch[names(words)].iloc[at : at + 2048].to_numpy(np.int64), segments, turns).ravel()})
+
+    seen = groups.select(*names(words)).sample(share, seed=1).mapInPandas(keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    found = seen.where(F.col("n") > block * share).orderBy("key").toPandas()  # total * variants / block rows at most
+    return found["key"].to_numpy(np.int64), np.ceil(found["n"].to_numpy(np.float64) / share / block).astype(np.int64)
+
+
+def deal(key: np.ndarray, at: np.ndarray, node: np.ndarray, large: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """key and at (row numbers) with each row of a large bucket once for every pair of blocks that has the row's block.
+
+    Two buckets whose new keys collide are searched as one, which adds no false link.
+    """
+    place = np.searchsorted(large, key)
+    hot = large[np.minimum(place, len(large) - 1)] == key
+    if not hot.any():
+        return key, at
+    p = blocks[place[hot]]
+    own = (mixed(node[at[hot]].view(np.uint64), 1) % p.astype(np.uint64)).astype(np.int64)
+    other = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
+    own, k = np.repeat(own, p), np.repeat(key[hot], p).view(np.uint64)
+    pair = (np.minimum(own, other) << 32 | np.maximum(own, other)).view(np.uint64)
+    return np.r_[key[~hot], mixed(mixed(k, 2) ^ pair, 3).view(np.int64)], np.r_[at[~hot], np.repeat(at[hot], p)]
+
+
+def links(groups: DataFrame, most: int = MAX_DISTANCE, segments: int = SEGMENTS, words: int = 1, turns: int = 1, block: int = BLOCK_ROWS) -> DataFrame:
     """a, b (a < b): links among nodes (node, fp0 ...; distinct fingerprints) with the components of all links found."""
     fields = ", ".join(f"{n} long" for n in ["key", "node", *names(words)])
+    shared = groups.sparkSession.sparkContext.broadcast(large_buckets(groups, segments, words, turns, block))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        large, blocks = shared.value
         for batch in batches:
-            for at in range(0, len(batch), 2048):
-                part = batch.iloc[at : at + 2048]
-                fp = part[names(words)].to_numpy(np.int64)
-                rows = {n: np.repeat(part[n].to_numpy(np.int64), words * BITS * turns) for n in ["node", *names(words)]}
-                yield pd.DataFrame({"key": variant_keys(fp, segments, turns).ravel()} | rows)
+            for lo in range(0, len(batch), 2048):
+                part = batch.iloc[lo : lo + 2048]
+                key = variant_keys(part[names(words)].to_numpy(np.int64), segments, turns)
+                at = np.repeat(np.arange(len(part)), key.shape[1])
+                key = key.ravel()
+                if len(large):
+                    key, at = deal(key, at, part["node"].to_numpy(np.int64), large, blocks)
+                yield pd.DataFrame({"key": key} | {n: part[n].to_numpy(np.int64)[at] for n in ["node", *names(words)]})
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []

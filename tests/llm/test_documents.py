@@ -56,9 +56,10 @@ def test_simhash_against_brute_force(docs, rows, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("size", [8, 400])
-def test_links_keep_all_components(spark, size):
-    """Chains and balls of fingerprints around a few centres, in small and large buckets."""
+@pytest.mark.parametrize(("size", "block"), [(8, simhash.BLOCK_ROWS), (400, simhash.BLOCK_ROWS), (400, 50), (400, 7)])
+def test_links_keep_all_components(spark, size, block, monkeypatch):
+    """Chains and balls of fingerprints around a few centres, in small, large and dealt buckets."""
+    monkeypatch.setattr(simhash, "MOST_DEALT", 1 << 30)
     rng = np.random.default_rng(size)
     fps = set()
     for _ in range(3):
@@ -70,12 +71,24 @@ def test_links_keep_all_components(spark, size):
             fps.add(x)
     rows = [(x - 2**64 if x >= 2**63 else x,) for x in fps]
     d = spark.createDataFrame(rows, "fp0 long").withColumn("node", F.col("fp0"))
-    got = {r["node"] & (2**64 - 1): r["root"] & (2**64 - 1) for r in simhash.components(simhash.links(d)).collect()}
+    got = {r["node"] & (2**64 - 1): r["root"] & (2**64 - 1) for r in simhash.components(simhash.links(d, block=block)).collect()}
     want = brute_components(fps, 4)
     groups = lambda m: {frozenset(k for k in m if m[k] == v) for v in set(m.values())}
     assert groups({f: got.get(f, f) for f in fps}) == groups(want)
 
 
+def test_every_two_rows_of_a_large_bucket_meet():
+    node, key = np.arange(90), np.repeat(np.array([5, 9, 11]), 30)
+    keys, at = simhash.deal(key, np.arange(90), node, np.array([5, 11]), np.array([3, 6]))
+    held = defaultdict(set)
+    for k, i in zip(keys.tolist(), at.tolist(), strict=True):
+        held[k].add(i)
+    for first in (0, 30, 60):
+        mine = range(first, first + 30)
+        assert all(any({a, b} <= m for m in held.values()) for a in mine for b in mine)
+    assert held[9] == set(range(30, 60)) and max(len(m) for m in held.values() if min(m) >= 60 or max(m) < 30) < 30
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
