@@ -2,7 +2,7 @@
 
 Two 64-bit fingerprints that differ in at most 4 bits agree on one of 3 segments but for one bit at most (any distance
 under twice the number of segments is found without loss). For looser likeness, fingerprints of several 64-bit words
-with more segments find most pairs: see LOOSE. Each distinct
+with more segments find candidates, and exact resemblance decides: see LOOSE. Each distinct
 fingerprint is indexed, for every segment, once for each bit of it left out (a one-wildcard variant); fingerprints whose
 segment differs in one bit or none meet under a variant, in an equality join on (segment, bit, remaining bits). Within a
 variant, candidates are verified on all bits. Large buckets yield a spanning forest of their links instead of all
@@ -33,10 +33,16 @@ SHINGLE = 4
 BITS = 64
 MAX_DISTANCE = 4
 SEGMENTS = 3
-#: Settings for a resemblance of 0.8 or more of 5-word shingles: 128 bits, cut into 8 segments of 16 bits twice, the second
-#: time half a segment further. A pair at resemblance J differs in a bit with probability p = acos(2J / (1 + J)) / pi (0.15
-#: at J = 0.8, 0.10 at 0.9), so one of the first 8 segments alone differs by one bit at most with probability 0.93 at J = 0.8.
-LOOSE = {"width": 5, "most": 22, "segments": 8, "words": 2, "turns": 2}
+#: Settings for a resemblance of 0.8 or more of 5-word shingles (sets). Bits only propose pairs; their shingles decide. A pair
+#: at resemblance J differs in a bit with probability p = acos(2J / (1 + J)) / pi: 0.148 at J = 0.8, 0.102 at 0.9. First, links
+#: of at most ``most`` of 128 bits merge the plain copies, so that a large group is not compared pair by pair. Then all pairs
+#: of other groups that agree on one of 16 segments of 16 bits but for one bit at most (0.996 at J = 0.8) and differ in at most
+#: ``near`` of 128 bits and ``wide`` of 256 (0.9999 and 0.9998 of those at J = 0.8) are verified.
+LOOSE = {"width": 5, "most": 22, "near": 34, "wide": 58, "words": 4, "segments": 16}
+#: In hundredths, the least resemblance of near copies.
+RESEMBLANCE = 80
+#: Bits that the index carries, in words.
+CARRIED = 2
 #: Up to this size, all pairs of a bucket are compared by shifting; larger ones are visited breadth first.
 SMALL_BUCKET = 32
 #: Larger buckets are dealt into blocks of about so many rows.
@@ -75,7 +81,10 @@ def mixed(h: np.ndarray, word: int) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int = SHINGLE, words: int = 1) -> list[int]:
     """``words`` words of 64 bits; a bit is 1 if it is set in over half the shingles' hashes."""
-    h = shingle_hashes(text, width)
+    return majority(shingle_hashes(text, width), words)
+
+
+def majority(h: np.ndarray, words: int) -> list[int]:
     out = []
     for word in range(words):
         counts = np.zeros(BITS, np.int64)
@@ -103,6 +112,22 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, words: int = 1) -> DataF
     return rows.mapInPandas(run, "doc_id long, text_hash long, " + ", ".join(f"{n} long" for n in names(words)))
 
 
+def shingle_sets(docs: DataFrame, width: int, words: int) -> DataFrame:
+    """doc_id, text_hash, set_hash and n_shingles of the text's distinct shingles, and their fingerprint fp0 ..."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, width)) for t in batch["text"]]
+            fp = np.array([majority(h, words) for h in sets], np.uint64).reshape(len(batch), words).view(np.int64)
+            digest = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
+            out = {"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "set_hash": digest, "n_shingles": np.array([len(h) for h in sets], np.int64)}
+            yield pd.DataFrame(out | {n: fp[:, i] for i, n in enumerate(names(words))})
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    return rows.mapInPandas(run, "doc_id long, text_hash long, set_hash long, n_shingles long, " + ", ".join(f"{n} long" for n in names(words)))
+
+
 def variant_keys(fp: np.ndarray, segments: int = SEGMENTS, turns: int = 1) -> np.ndarray:
     """(rows, bits * turns) keys of fingerprints (rows, words): for every bit, its segment's other bits, with its number.
 
@@ -170,6 +195,20 @@ def bucket_links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, most: int) -
     return np.concatenate(a), np.concatenate(b)
 
 
+def bucket_pairs(key: np.ndarray, root: np.ndarray, fp: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of a bucket that have different roots and differ in at most ``most`` bits; key is sorted."""
+    at = np.arange(len(key))
+    for step in range(1, len(key)):
+        at = at[at + step < len(key)]
+        at = at[key[at] == key[at + step]]
+        if not len(at):
+            break
+        apart = at[root[at] != root[at + step]]
+        apart = apart[distance(fp[apart], fp[apart + step]) <= most]
+        if len(apart):
+            yield apart, apart + step
+
+
 def large_buckets(groups: DataFrame, segments: int, words: int, turns: int, block: int, sample: int = SAMPLE_NODES) -> tuple[np.ndarray, np.ndarray]:
     """The keys (sorted) of buckets of about ``block`` rows or more, MOST_DEALT at most, and the number of blocks of each."""
     total, variants = groups.count(), words * BITS * turns
@@ -205,9 +244,14 @@ def deal(key: np.ndarray, at: np.ndarray, node: np.ndarray, large: np.ndarray, b
     return np.r_[key[~hot], mixed(mixed(k, 2) ^ pair, 3).view(np.int64)], np.r_[at[~hot], np.repeat(at[hot], p)]
 
 
-def links(groups: DataFrame, most: int = MAX_DISTANCE, segments: int = SEGMENTS, words: int = 1, turns: int = 1, block: int = BLOCK_ROWS) -> DataFrame:
-    """a, b (a < b): links among nodes (node, fp0 ...; distinct fingerprints) with the components of all links found."""
-    fields = ", ".join(f"{n} long" for n in ["key", "node", *names(words)])
+def links(groups: DataFrame, most: int = MAX_DISTANCE, segments: int = SEGMENTS, words: int = 1, turns: int = 1, block: int = BLOCK_ROWS, apart: bool = False) -> DataFrame:
+    """a, b (a < b): links among nodes (node, fp0 ...; distinct fingerprints) with the components of all links found.
+
+    With ``apart``, nodes have a root too, and all pairs of different roots at most ``most`` bits of the CARRIED words apart.
+    """
+    held_names = ["node", *(["root"] if apart else []), *names(min(words, CARRIED) if apart else words)]
+    bits = held_names[2:] if apart else held_names[1:]
+    fields = ", ".join(f"{n} long" for n in ["key", *held_names])
     shared = groups.sparkSession.sparkContext.broadcast(large_buckets(groups, segments, words, turns, block))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,7 +264,7 @@ def links(groups: DataFrame, most: int = MAX_DISTANCE, segments: int = SEGMENTS,
                 key = key.ravel()
                 if len(large):
                     key, at = deal(key, at, part["node"].to_numpy(np.int64), large, blocks)
-                yield pd.DataFrame({"key": key} | {n: part[n].to_numpy(np.int64)[at] for n in ["node", *names(words)]})
+                yield pd.DataFrame({"key": key} | {n: part[n].to_numpy(np.int64)[at] for n in held_names})
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -243,11 +287,26 @@ def links(groups: DataFrame, most: int = MAX_DISTANCE, segments: int = SEGMENTS,
 
     def found(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         key, node = rows["key"].to_numpy(np.int64), rows["node"].to_numpy(np.int64)
-        a, b = bucket_links(key, node, rows[names(words)].to_numpy(np.int64), most)
+        if apart:
+            yield from gathered(node, bucket_pairs(key, rows["root"].to_numpy(np.int64), rows[bits].to_numpy(np.int64), most))
+            return
+        a, b = bucket_links(key, node, rows[bits].to_numpy(np.int64), most)
         if len(a):
             yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
-    rows = groups.select("node", *names(words)).mapInPandas(index, fields)
+    def gathered(node: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for x, y in pairs:
+            held.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]))
+            size += len(x)
+            if size >= 1 << 18:
+                yield pd.DataFrame(np.concatenate(held, axis=1).T, columns=["a", "b"]).drop_duplicates()
+                held, size = [], 0
+        if held:
+            yield pd.DataFrame(np.concatenate(held, axis=1).T, columns=["a", "b"]).drop_duplicates()
+
+    columns = ["node", *(["root"] if apart else []), *names(words)]
+    rows = groups.select(*columns).mapInPandas(index, fields)
     return rows.repartition("key").sortWithinPartitions("key").mapInPandas(verify, "a long, b long").distinct()
 
 
@@ -298,14 +357,75 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, most: int = MAX_DISTA
     return out.select("doc_id", "text_hash", *fps, F.col("rep.doc_id").alias("component_id"), F.col("rep.text_hash").alias("kept_hash"))
 
 
+def resembling(pairs: DataFrame, groups: DataFrame, docs: DataFrame, width: int, words: int, wide: int, hundredths: int = RESEMBLANCE) -> DataFrame:
+    """The pairs (a, b) whose texts' sets of shingles have that resemblance at least, computed from the texts.
+
+    Pairs that differ in more than ``wide`` bits, or whose sets' sizes rule it out, are left out before texts are fetched.
+    """
+    fps = names(words)
+    facts = groups.select("node", "n_shingles", *fps)
+    of = lambda side: facts.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), *[F.col(n).alias(f"{n}_{side}") for n in fps])
+    apart = sum((F.bit_count(F.col(f"{n}_a").bitwiseXOR(F.col(f"{n}_b"))) for n in fps), F.lit(0))
+    sized = 100 * F.least("n_a", "n_b") >= hundredths * F.greatest("n_a", "n_b")
+    near = pairs.join(of("a"), "a").join(of("b"), "b").where(sized & (apart <= wide)).select("a", "b")
+    near = materialize(near, "candidates")
+
+    none = F.lit(-(2**63)).cast("long")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    needed = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    needed = groups.join(needed, "node", "left_semi").select("node", F.coalesce("least.doc_id", none).alias("id"), F.col("least.text_hash").alias("hash"))
+    texts = materialize(rows.join(needed, ["id", "hash"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, np.ndarray] = {}  # of the last rows, which share one side
+
+        def shingles(t: str) -> np.ndarray:
+            if t not in known:
+                if len(known) >= 64:
+                    del known[next(iter(known))]
+                known[t] = np.unique(shingle_hashes(t, width))
+            return known[t]
+
+        for batch in batches:
+            good = np.zeros(len(batch), bool)
+            for i, (x, y) in enumerate(zip(batch["text_a"], batch["text_b"], strict=True)):
+                u, v = shingles(x), shingles(y)
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                good[i] = 100 * both >= hundredths * (len(u) + len(v) - both)
+            yield batch.loc[good, ["a", "b"]]
+
+    told = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("shuffle_merge"), "a")
+    told = told.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("shuffle_merge"), "b")
+    return materialize(told.select("a", "b", "text_a", "text_b").mapInPandas(compare, "a long, b long"), "resembling")
+
+
+def near_copies(docs: DataFrame, width: int, most: int, near: int, wide: int, words: int, segments: int) -> DataFrame:
+    """node, root and least (the smallest doc_id of the node, with its text_hash) of every set of shingles.
+
+    Nodes of one root are joined by links of RESEMBLANCE hundredths or more, each verified; see LOOSE for the settings.
+    """
+    marked = shingle_sets(docs, width, words)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least")
+    groups = materialize(marked.groupBy("set_hash", "n_shingles", *names(words)).agg(least), "sets")
+    groups = materialize(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
+
+    def rooted(edges: DataFrame) -> DataFrame:
+        return materialize(groups.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+
+    sure = resembling(links(groups, most, segments * CARRIED // words, CARRIED), groups, docs, width, words, wide)
+    more = links(rooted(sure), near, segments, words, apart=True)
+    return rooted(sure.unionByName(resembling(more, groups, docs, width, words, wide)))
+
+
 def keep_first(docs: DataFrame, **settings: int) -> DataFrame:
     """The documents with one row of each group of near-duplicates: the one with its smallest doc_id.
 
-    Rows with equal doc_id and text are repeats, of which one stays. ``settings`` are those of near_duplicates (LOOSE).
+    Rows with equal doc_id and text are repeats, of which one stays. ``settings`` are those of near_copies (LOOSE).
     """
     none = F.lit(-(2**63)).cast("long")
-    found = near_duplicates(docs, **(settings or LOOSE))
-    kept = found.select(F.coalesce("component_id", none).alias("id"), F.col("kept_hash").alias("hash")).distinct()
+    found = near_copies(docs, **(LOOSE | settings)).groupBy("root").agg(F.min("least").alias("rep"))
+    kept = found.select(F.coalesce("rep.doc_id", none).alias("id"), F.col("rep.text_hash").alias("hash"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), F.xxhash64(text).alias("hash"))
     return rows.join(kept, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"]).select("row.*")

@@ -103,6 +103,32 @@ def test_one_of_each_group_stays(docs, none):
     assert simhash.keep_first(none).count() == 0
 
 
+def test_near_copies_are_those_of_brute_force_resemblance(spark):
+    """Pairs of every likeness: all of 0.8 and more are linked, and none below."""
+    import random
+
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts = []
+    for family in range(60):
+        base = [word() for _ in range(160)]
+        fresh = 10 + family  # at either side of 0.8, where 0.8 is 18 fresh words at the end of 160
+        texts += [" ".join(base), " ".join(base[: 160 - fresh] + [word() for _ in range(fresh)])]
+    half = [word() for _ in range(80)]
+    texts += [" ".join(half + [word() for _ in range(80)]) for _ in range(120)]  # clean texts that share their half
+    texts += [texts[0] + " " + texts[0]]  # the words of another one, twice
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    want = {min(i for i in range(len(rows)) if root[i] == r) for r in root}
+    assert {r["doc_id"] for r in simhash.keep_first(d).collect()} == want and len(want) > 150
+
+
 # --- sketches
 
 
