@@ -186,6 +186,15 @@ def test_quality_rules(docs, rows, none):
     assert quality_rules.judge(none).count() == 0 and quality_rules.keep(none).count() == 0
 
 
+@pytest.mark.parametrize("n", [4999, 5000, 50_000])
+def test_few_words_said_again_go_at_every_length(n):
+    rng = np.random.default_rng(n)
+    junk = " ".join(f"word{i}" for i in rng.integers(0, 20, n))
+    assert not quality_rules.verdict(junk, quality_rules.RULES)[2]
+    clean = " ".join(f"word{i}" for i in (40_000 * rng.random(n) ** 3).astype(int))
+    assert quality_rules.verdict(clean, quality_rules.RULES)[2]
+
+
 def test_rules_are_ordered_by_rejections_for_cost():
     names = [r.name for r in quality_rules.RULES]
     measured = [(n, 1.0 + i, 100, 10) for i, n in enumerate(names)]
