@@ -34,15 +34,14 @@ BITS = 64
 MAX_DISTANCE = 4
 SEGMENTS = 3
 #: Settings for a resemblance of 0.8 or more of 5-word shingles (sets). Bits only propose pairs; their shingles decide. A pair
-#: at resemblance J differs in a bit with probability p = acos(2J / (1 + J)) / pi: 0.148 at J = 0.8, 0.102 at 0.9. First, links
-#: of at most ``most`` of 128 bits merge the plain copies, so that a large group is not compared pair by pair. Then all pairs
-#: of other groups that agree on one of 16 segments of 16 bits but for one bit at most (0.996 at J = 0.8) and differ in at most
-#: ``near`` of 128 bits and ``wide`` of 256 (0.9999 and 0.9998 of those at J = 0.8) are verified.
-LOOSE = {"width": 5, "most": 22, "near": 34, "wide": 58, "words": 4, "segments": 16}
+#: at resemblance J differs in a bit with probability p = acos(2J / (1 + J)) / pi: 0.148 at J = 0.8, 0.102 at 0.9. Candidates agree
+#: on one of 12 segments of 16 bits but for one bit at most (0.984 at J = 0.8, 0.998 at 0.85) and differ in at most ``most`` of
+#: 192 bits (0.995 at J = 0.8).
+LOOSE = {"width": 5, "most": 41, "words": 3, "segments": 12}
 #: In hundredths, the least resemblance of near copies.
 RESEMBLANCE = 80
-#: Bits that the index carries, in words.
-CARRIED = 2
+#: Nodes, and distinct shingles, that a block of a group of candidates has about.
+BLOCK_NODES, BLOCK_SHINGLES = 1 << 11, 1 << 21
 #: Up to this size, all pairs of a bucket are compared by shifting; larger ones are visited breadth first.
 SMALL_BUCKET = 32
 #: Larger buckets are dealt into blocks of about so many rows.
@@ -50,8 +49,10 @@ BLOCK_ROWS = 1 << 18
 #: Of so many nodes (about), or a thousandth if that is more, keys are counted to find such buckets; only the balance of
 #: the tasks depends on it.
 SAMPLE_NODES = 1 << 17
-#: No more buckets than this are dealt into blocks; the size of a block follows from it for inputs so large.
-MOST_DEALT = 1 << 20
+#: Up to so many of such buckets are known to every task; more are joined by a shuffle.
+MOST_TOLD = 1 << 20
+#: A bucket's blocks of more rows are first cut by parts of the bits that vary in them.
+CUT_ROWS = 1 << 12
 
 
 def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
@@ -172,6 +173,24 @@ def spanning_links(node: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndar
     return (np.concatenate(a), np.concatenate(b)) if a else (node[:0], node[:0])
 
 
+def parts_of(fp: np.ndarray, most: int) -> list[np.ndarray]:
+    """For each of ``most`` + 1 parts of the bits that vary among fingerprints, the groups of rows that agree on it.
+
+    Rows at most ``most`` bits apart agree on a part at least. Where parts would have under six bits, all rows are one group.
+    """
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1)
+    bits = bits[:, np.flatnonzero(bits.min(axis=0) != bits.max(axis=0))]
+    if bits.shape[1] < 6 * (most + 1):
+        return [np.arange(len(fp))]
+    out = []
+    for part in np.array_split(np.arange(bits.shape[1]), most + 1):
+        value = np.packbits(bits[:, part[:64]], axis=1)
+        value = np.ascontiguousarray(np.pad(value, ((0, 0), (0, 8 - value.shape[1])))).view(np.uint64).ravel()
+        order = np.argsort(value, kind="stable")
+        out += [g for g in np.split(order, np.flatnonzero(np.diff(value[order])) + 1) if len(g) > 1]
+    return out
+
+
 def bucket_links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Links found in whole buckets: key is sorted, and nodes are distinct in each bucket."""
     if not len(key):
@@ -189,32 +208,19 @@ def bucket_links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, most: int) -
         a.append(n[at])
         b.append(n[at + step])
     for s, size in zip(edges[sizes > SMALL_BUCKET], sizes[sizes > SMALL_BUCKET], strict=True):
-        x, y = spanning_links(node[s : s + size], fp[s : s + size], most)
-        a.append(x)
-        b.append(y)
+        at = s + np.argsort(node[s : s + size])  # links of other buckets then begin at the same nodes
+        for part in parts_of(fp[at], most) if size > CUT_ROWS else [np.arange(size)]:
+            x, y = spanning_links(node[at[part]], fp[at[part]], most)
+            a.append(x)
+            b.append(y)
     return np.concatenate(a), np.concatenate(b)
 
 
-def bucket_pairs(key: np.ndarray, root: np.ndarray, fp: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of all pairs of a bucket that have different roots and differ in at most ``most`` bits; key is sorted."""
-    at = np.arange(len(key))
-    for step in range(1, len(key)):
-        at = at[at + step < len(key)]
-        at = at[key[at] == key[at + step]]
-        if not len(at):
-            break
-        apart = at[root[at] != root[at + step]]
-        apart = apart[distance(fp[apart], fp[apart + step]) <= most]
-        if len(apart):
-            yield apart, apart + step
-
-
-def large_buckets(groups: DataFrame, segments: int, words: int, turns: int, block: int, sample: int = SAMPLE_NODES) -> tuple[np.ndarray, np.ndarray]:
-    """The keys (sorted) of buckets of about ``block`` rows or more, MOST_DEALT at most, and the number of blocks of each."""
-    total, variants = groups.count(), words * BITS * turns
-    block = max(block, -(-total * variants // MOST_DEALT))
+def large_buckets(groups: DataFrame, segments: int, words: int, turns: int, block: int, sample: int = SAMPLE_NODES) -> DataFrame | None:
+    """key and blocks (their number) of the buckets of about ``block`` rows or more; None where there can't be one."""
+    total = groups.count()
     if total <= block:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return None
     share = min(1.0, max(sample / total, 0.001))
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,90 +229,62 @@ def large_buckets(groups: DataFrame, segments: int, words: int, turns: int, bloc
                 yield pd.DataFrame({"key": variant_keys(batch[names(words)].iloc[at : at + 2048].to_numpy(np.int64), segments, turns).ravel()})
 
     seen = groups.select(*names(words)).sample(share, seed=1).mapInPandas(keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    found = seen.where(F.col("n") > block * share).orderBy("key").toPandas()  # total * variants / block rows at most
-    return found["key"].to_numpy(np.int64), np.ceil(found["n"].to_numpy(np.float64) / share / block).astype(np.int64)
+    return materialize(seen.where(F.col("n") > block * share).select("key", F.ceil(F.col("n") / share / block).alias("blocks")), "large-buckets")
 
 
-def deal(key: np.ndarray, at: np.ndarray, node: np.ndarray, large: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """key and at (row numbers) with each row of a large bucket once for every pair of blocks that has the row's block.
+def dealt(rows: DataFrame, large: DataFrame, most_told: int = MOST_TOLD) -> DataFrame:
+    """rows (key, node, ...) with each row of a large bucket once for every pair of blocks that has the row's block.
 
     Two buckets whose new keys collide are searched as one, which adds no false link.
     """
-    place = np.searchsorted(large, key)
-    hot = large[np.minimum(place, len(large) - 1)] == key
-    if not hot.any():
-        return key, at
-    p = blocks[place[hot]]
-    own = (mixed(node[at[hot]].view(np.uint64), 1) % p.astype(np.uint64)).astype(np.int64)
-    other = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
-    own, k = np.repeat(own, p), np.repeat(key[hot], p).view(np.uint64)
-    pair = (np.minimum(own, other) << 32 | np.maximum(own, other)).view(np.uint64)
-    return np.r_[key[~hot], mixed(mixed(k, 2) ^ pair, 3).view(np.int64)], np.r_[at[~hot], np.repeat(at[hot], p)]
-
-
-def links(groups: DataFrame, most: int = MAX_DISTANCE, segments: int = SEGMENTS, words: int = 1, turns: int = 1, block: int = BLOCK_ROWS, apart: bool = False) -> DataFrame:
-    """a, b (a < b): links among nodes (node, fp0 ...; distinct fingerprints) with the components of all links found.
-
-    With ``apart``, nodes have a root too, and all pairs of different roots at most ``most`` bits of the CARRIED words apart.
-    """
-    held_names = ["node", *(["root"] if apart else []), *names(min(words, CARRIED) if apart else words)]
-    bits = held_names[2:] if apart else held_names[1:]
-    fields = ", ".join(f"{n} long" for n in ["key", *held_names])
-    shared = groups.sparkSession.sparkContext.broadcast(large_buckets(groups, segments, words, turns, block))
+    told = large.hint("broadcast" if large.count() <= most_told else "shuffle_merge")
+    own = F.pmod(F.xxhash64(F.lit(1), "node"), F.col("blocks"))
+    others = F.when(F.col("blocks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    rows = rows.join(told, "key", "left").withColumn("own", own).withColumn("other", F.explode(others))
+    pair = F.xxhash64(F.lit(2), "key", F.least("own", "other"), F.greatest("own", "other"))
+    return rows.withColumn("key", F.when(F.col("other") < 0, F.col("key")).otherwise(pair)).drop("blocks", "own", "other")
+
+
+def by_runs(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Batches of whole runs of equal keys, from batches of rows sorted by key."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        if held and batch[key].iloc[-1] == held[-1][key].iloc[-1]:
+            held.append(batch)  # still the same run
+            continue
+        rows = pd.concat([*held, batch]) if held else batch
+        whole = int(rows[key].searchsorted(rows[key].iloc[-1]))
+        if whole:
+            yield rows.iloc[:whole]
+        held = [rows.iloc[whole:]]
+    if held:
+        yield pd.concat(held)
+
+
+def links(groups: DataFrame, most: int = MAX_DISTANCE, segments: int = SEGMENTS, words: int = 1, turns: int = 1, block: int = BLOCK_ROWS, most_told: int = MOST_TOLD) -> DataFrame:
+    """a, b (a < b): links among nodes (node, fp0 ...; distinct fingerprints) with the components of all links found."""
+    columns = ["node", *names(words)]
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        large, blocks = shared.value
         for batch in batches:
             for lo in range(0, len(batch), 2048):
                 part = batch.iloc[lo : lo + 2048]
                 key = variant_keys(part[names(words)].to_numpy(np.int64), segments, turns)
                 at = np.repeat(np.arange(len(part)), key.shape[1])
-                key = key.ravel()
-                if len(large):
-                    key, at = deal(key, at, part["node"].to_numpy(np.int64), large, blocks)
-                yield pd.DataFrame({"key": key} | {n: part[n].to_numpy(np.int64)[at] for n in held_names})
+                yield pd.DataFrame({"key": key.ravel()} | {n: part[n].to_numpy(np.int64)[at] for n in columns})
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        last = None
-        for batch in batches:
-            key = batch["key"].to_numpy(np.int64)
-            if not len(key):
-                continue
-            if held and key[-1] == last:
-                held.append(batch)  # still the same bucket
-                continue
-            held.append(batch)
-            last = key[-1]
-            rows = pd.concat(held) if len(held) > 1 else batch
-            whole = int(np.searchsorted(rows["key"].to_numpy(np.int64), last))
-            yield from found(rows.iloc[:whole])
-            held = [rows.iloc[whole:]]
-        if held:
-            yield from found(pd.concat(held))
-
-    def found(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        key, node = rows["key"].to_numpy(np.int64), rows["node"].to_numpy(np.int64)
-        if apart:
-            yield from gathered(node, bucket_pairs(key, rows["root"].to_numpy(np.int64), rows[bits].to_numpy(np.int64), most))
-            return
-        a, b = bucket_links(key, node, rows[bits].to_numpy(np.int64), most)
-        if len(a):
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-    def gathered(node: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-        for x, y in pairs:
-            held.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]))
-            size += len(x)
-            if size >= 1 << 18:
-                yield pd.DataFrame(np.concatenate(held, axis=1).T, columns=["a", "b"]).drop_duplicates()
-                held, size = [], 0
-        if held:
-            yield pd.DataFrame(np.concatenate(held, axis=1).T, columns=["a", "b"]).drop_duplicates()
-
-    columns = ["node", *(["root"] if apart else []), *names(words)]
-    rows = groups.select(*columns).mapInPandas(index, fields)
+        for rows in by_runs(batches, "key"):
+            a, b = bucket_links(rows["key"].to_numpy(np.int64), rows["node"].to_numpy(np.int64), rows[names(words)].to_numpy(np.int64), most)
+            if len(a):
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    large = large_buckets(groups, segments, words, turns, block)
+    rows = groups.select(*columns).mapInPandas(index, ", ".join(f"{n} long" for n in ["key", *columns]))
+    if large is not None and not large.isEmpty():
+        rows = dealt(rows, large, most_told)
     return rows.repartition("key").sortWithinPartitions("key").mapInPandas(verify, "a long, b long").distinct()
 
 
@@ -357,68 +335,91 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, most: int = MAX_DISTA
     return out.select("doc_id", "text_hash", *fps, F.col("rep.doc_id").alias("component_id"), F.col("rep.text_hash").alias("kept_hash"))
 
 
-def resembling(pairs: DataFrame, groups: DataFrame, docs: DataFrame, width: int, words: int, wide: int, hundredths: int = RESEMBLANCE) -> DataFrame:
-    """The pairs (a, b) whose texts' sets of shingles have that resemblance at least, computed from the texts.
+def set_links(node: np.ndarray, sets: list[np.ndarray], hundredths: int = RESEMBLANCE) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among nodes whose sets have that resemblance at least, breadth first.
 
-    Pairs that differ in more than ``wide`` bits, or whose sets' sizes rule it out, are left out before texts are fetched.
+    Shared elements are counted by the lists of the nodes that have each of them.
     """
-    fps = names(words)
-    facts = groups.select("node", "n_shingles", *fps)
-    of = lambda side: facts.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), *[F.col(n).alias(f"{n}_{side}") for n in fps])
-    apart = sum((F.bit_count(F.col(f"{n}_a").bitwiseXOR(F.col(f"{n}_b"))) for n in fps), F.lit(0))
-    sized = 100 * F.least("n_a", "n_b") >= hundredths * F.greatest("n_a", "n_b")
-    near = pairs.join(of("a"), "a").join(of("b"), "b").where(sized & (apart <= wide)).select("a", "b")
-    near = materialize(near, "candidates")
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    value, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    shared = times[inverse] > 1
+    # a link shares at least that part of either set
+    able = 100 * np.bincount(owner[shared], minlength=len(sets)) >= hundredths * size
+    use = shared & able[owner]
+    inverse, owner = inverse[use], owner[use]
+    order = np.argsort(inverse, kind="stable")
+    lists, begin = owner[order], np.r_[0, np.cumsum(np.bincount(inverse, minlength=len(value)))]
+    first = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(sets)))]
+    left = able.copy()
+    a, b = [node[:0]], [node[:0]]
+    for x in np.flatnonzero(able):
+        if not left[x]:
+            continue
+        left[x], front = False, [x]
+        while front:
+            x = front.pop()
+            mine = inverse[first[x] : first[x + 1]]
+            lo, n = begin[mine], begin[mine + 1] - begin[mine]
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both = np.bincount(lists[at], minlength=len(sets))
+            found = np.flatnonzero(left & (100 * both >= hundredths * (size[x] + size - both)))
+            if len(found):
+                a.append(np.full(len(found), node[x], node.dtype))
+                b.append(node[found])
+                left[found] = False
+                front.extend(found)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def resembling(loose: DataFrame, docs: DataFrame, width: int, hundredths: int = RESEMBLANCE, block: tuple[int, int] = (BLOCK_NODES, BLOCK_SHINGLES)) -> DataFrame:
+    """a, b: links among the nodes of each root whose texts' sets of shingles have that resemblance at least.
 
+    loose: node, root, n_shingles and least of the nodes that have candidates. The links keep the components of all such
+    links. A root of more nodes or shingles than a block's is dealt into blocks, each two of which meet in a task.
+    """
+    sizes = loose.groupBy("root").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n_shingles").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("nodes") / block[0], F.col("shingles") / block[1]))
+    total = max(1, loose.count())
+    sizes = materialize(sizes.select("root", F.col("nodes").alias("n_rows"), F.least(blocks, F.col("nodes")).alias("blocks")), "roots")
     none = F.lit(-(2**63)).cast("long")
+    needed = join_by_key(loose, sizes, "root", max(1000, total // 1000)).select("node", "root", "blocks", F.coalesce("least.doc_id", none).alias("id"), F.col("least.text_hash").alias("hash"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    needed = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    needed = groups.join(needed, "node", "left_semi").select("node", F.coalesce("least.doc_id", none).alias("id"), F.col("least.text_hash").alias("hash"))
-    texts = materialize(rows.join(needed, ["id", "hash"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+    texts = rows.join(needed, ["id", "hash"]).dropDuplicates(["node"])
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    texts = texts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pair = F.when(F.col("blocks") == 1, F.xxhash64("root")).otherwise(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, np.ndarray] = {}  # of the last rows, which share one side
-
-        def shingles(t: str) -> np.ndarray:
-            if t not in known:
-                if len(known) >= 64:
-                    del known[next(iter(known))]
-                known[t] = np.unique(shingle_hashes(t, width))
-            return known[t]
-
-        for batch in batches:
-            good = np.zeros(len(batch), bool)
-            for i, (x, y) in enumerate(zip(batch["text_a"], batch["text_b"], strict=True)):
-                u, v = shingles(x), shingles(y)
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                good[i] = 100 * both >= hundredths * (len(u) + len(v) - both)
-            yield batch.loc[good, ["a", "b"]]
+        for rows in by_runs(batches, "key"):
+            key, node, texts = rows["key"].to_numpy(np.int64), rows["node"].to_numpy(np.int64), rows["text"].to_numpy()
+            edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+            out = [set_links(node[x:y], [np.unique(shingle_hashes(t, width)) for t in texts[x:y]], hundredths) for x, y in zip(edges, edges[1:], strict=False) if y - x > 1]
+            if out:
+                yield pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([y for _, y in out])})
 
-    told = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("shuffle_merge"), "a")
-    told = told.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("shuffle_merge"), "b")
-    return materialize(told.select("a", "b", "text_a", "text_b").mapInPandas(compare, "a long, b long"), "resembling")
+    dealt_rows = texts.select(pair.alias("key"), "node", "text").repartition("key").sortWithinPartitions("key")
+    return dealt_rows.mapInPandas(compare, "a long, b long")
 
 
-def near_copies(docs: DataFrame, width: int, most: int, near: int, wide: int, words: int, segments: int) -> DataFrame:
+def near_copies(docs: DataFrame, width: int, most: int, words: int, segments: int, block: tuple[int, int] = (BLOCK_NODES, BLOCK_SHINGLES)) -> DataFrame:
     """node, root and least (the smallest doc_id of the node, with its text_hash) of every set of shingles.
 
     Nodes of one root are joined by links of RESEMBLANCE hundredths or more, each verified; see LOOSE for the settings.
+    The candidates of the index are joined to groups first (a spanning forest a bucket, never all its pairs), and the links
+    are searched within these.
     """
     marked = shingle_sets(docs, width, words)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least")
     groups = materialize(marked.groupBy("set_hash", "n_shingles", *names(words)).agg(least), "sets")
     groups = materialize(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
-
-    def rooted(edges: DataFrame) -> DataFrame:
-        return materialize(groups.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-
-    sure = resembling(links(groups, most, segments * CARRIED // words, CARRIED), groups, docs, width, words, wide)
-    more = links(rooted(sure), near, segments, words, apart=True)
-    return rooted(sure.unionByName(resembling(more, groups, docs, width, words, wide)))
+    loose = groups.select("node", "n_shingles", "least").join(components(links(groups, most, segments, words)), "node")
+    sure = components(resembling(materialize(loose, "loose"), docs, width, RESEMBLANCE, block))
+    return materialize(groups.join(sure, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
 
 
-def keep_first(docs: DataFrame, **settings: int) -> DataFrame:
+def keep_first(docs: DataFrame, **settings) -> DataFrame:
     """The documents with one row of each group of near-duplicates: the one with its smallest doc_id.
 
     Rows with equal doc_id and text are repeats, of which one stays. ``settings`` are those of near_copies (LOOSE).

@@ -95,13 +95,13 @@ def test_pipeline_stages(spark, docs, rows, tmp_path):
 
 
 def _deduplicated(rows):
-    fps = [simhash.fingerprint(r["text"], 5, 2) for r in rows]
+    sets = [set(simhash.shingle_hashes(r["text"], 5).tolist()) for r in rows]
     order = sorted(range(len(rows)), key=lambda i: (rows[i]["doc_id"] is None, rows[i]["doc_id"] or 0))
     n = len(rows)
     near = defaultdict(list)
     for i in range(n):
         for j in range(i):
-            if sum((a ^ b).bit_count() for a, b in zip(fps[i], fps[j], strict=True)) <= simhash.LOOSE["most"]:
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
                 near[i].append(j)
                 near[j].append(i)
     seen, kept = set(), []

@@ -56,10 +56,10 @@ def test_simhash_against_brute_force(docs, rows, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize(("size", "block"), [(8, simhash.BLOCK_ROWS), (400, simhash.BLOCK_ROWS), (400, 50), (400, 7)])
-def test_links_keep_all_components(spark, size, block, monkeypatch):
-    """Chains and balls of fingerprints around a few centres, in small, large and dealt buckets."""
-    monkeypatch.setattr(simhash, "MOST_DEALT", 1 << 30)
+@pytest.mark.parametrize(("size", "block", "told"), [(8, simhash.BLOCK_ROWS, 9), (400, simhash.BLOCK_ROWS, 9), (400, 50, 1 << 20), (400, 7, 0)])
+def test_links_keep_all_components(spark, size, block, told, monkeypatch):
+    """Chains and balls of fingerprints around a few centres, in small, large, cut and dealt buckets."""
+    monkeypatch.setattr(simhash, "CUT_ROWS", 100)
     rng = np.random.default_rng(size)
     fps = set()
     for _ in range(3):
@@ -71,24 +71,32 @@ def test_links_keep_all_components(spark, size, block, monkeypatch):
             fps.add(x)
     rows = [(x - 2**64 if x >= 2**63 else x,) for x in fps]
     d = spark.createDataFrame(rows, "fp0 long").withColumn("node", F.col("fp0"))
-    got = {r["node"] & (2**64 - 1): r["root"] & (2**64 - 1) for r in simhash.components(simhash.links(d, block=block)).collect()}
+    got = {r["node"] & (2**64 - 1): r["root"] & (2**64 - 1) for r in simhash.components(simhash.links(d, block=block, most_told=told)).collect()}
     want = brute_components(fps, 4)
     groups = lambda m: {frozenset(k for k in m if m[k] == v) for v in set(m.values())}
     assert groups({f: got.get(f, f) for f in fps}) == groups(want)
 
 
-def test_every_two_rows_of_a_large_bucket_meet():
-    node, key = np.arange(90), np.repeat(np.array([5, 9, 11]), 30)
-    keys, at = simhash.deal(key, np.arange(90), node, np.array([5, 11]), np.array([3, 6]))
+def test_every_two_rows_of_a_large_bucket_meet(spark):
+    rows = spark.createDataFrame([(k, 30 * i + j) for i, k in enumerate((5, 9, 11)) for j in range(30)], "key long, node long")
+    large = spark.createDataFrame([(5, 3), (11, 6)], "key long, blocks long")
     held = defaultdict(set)
-    for k, i in zip(keys.tolist(), at.tolist(), strict=True):
-        held[k].add(i)
+    for r in simhash.dealt(rows, large).collect():
+        held[r["key"]].add(r["node"])
     for first in (0, 30, 60):
         mine = range(first, first + 30)
         assert all(any({a, b} <= m for m in held.values()) for a in mine for b in mine)
     assert held[9] == set(range(30, 60)) and max(len(m) for m in held.values() if min(m) >= 60 or max(m) < 30) < 30
 
 
+def test_parts_lose_no_pair():
+    rng = np.random.default_rng(3)
+    fp = rng.integers(0, 2**62, (300, 1))
+    fp = np.r_[fp, fp ^ sum(1 << int(b) for b in rng.choice(60, 4, replace=False))]
+    parts = simhash.parts_of(fp, 4)
+    assert all(any({i, i + 300} <= set(g.tolist()) for g in parts) for i in range(300)) and max(map(len, parts)) < 60
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
@@ -104,7 +112,7 @@ def test_one_of_each_group_stays(docs, none):
 
 
 def test_near_copies_are_those_of_brute_force_resemblance(spark):
-    """Pairs of every likeness: all of 0.8 and more are linked, and none below."""
+    """Pairs and stars of every likeness: all of 0.8 and more are linked, and none below."""
     import random
 
     rng = random.Random(17)
@@ -117,6 +125,12 @@ def test_near_copies_are_those_of_brute_force_resemblance(spark):
     half = [word() for _ in range(80)]
     texts += [" ".join(half + [word() for _ in range(80)]) for _ in range(120)]  # clean texts that share their half
     texts += [texts[0] + " " + texts[0]]  # the words of another one, twice
+    star = [word() for _ in range(150)]
+    for edits in (*range(1, 9), *([4] * 60)):  # copies of one text with words replaced: few are near each other
+        copy = list(star)
+        for at in rng.sample(range(150), edits):
+            copy[at] = word()
+        texts.append(" ".join(copy))
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
@@ -126,7 +140,22 @@ def test_near_copies_are_those_of_brute_force_resemblance(spark):
             if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
                 root = [root[j] if r == root[i] else r for r in root]
     want = {min(i for i in range(len(rows)) if root[i] == r) for r in root}
-    assert {r["doc_id"] for r in simhash.keep_first(d).collect()} == want and len(want) > 150
+    for settings in ({}, {"block": (16, 1 << 21)}, {"block": (1 << 11, 3000)}):
+        assert {r["doc_id"] for r in simhash.keep_first(d, **settings).collect()} == want
+    assert len(want) > 150
+
+
+def test_recall_of_near_copies_at_the_threshold(spark):
+    """Pairs at a resemblance of 0.80 to 0.82: at least 95 of 100 are found."""
+    import random
+
+    rng, texts = random.Random(23), []
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    for _ in range(400):
+        base = [word() for _ in range(203)]
+        texts += [" ".join(base), " ".join(base[:181] + [word() for _ in range(22)])]  # 177 of 221 shingles are shared
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert 400 <= simhash.keep_first(d).count() <= 420
 
 
 # --- sketches
