@@ -22,12 +22,14 @@ from __future__ import annotations
 
 import bisect
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,13 +37,14 @@ from sentrylake.llm.common import materialize
 
 LENGTH = 4096
 END = 1
-#: Parts of texts whose ids a worker keeps, of some 150 bytes each; further ones are looked up again in each batch.
+#: Parts of texts whose ids a worker keeps, of some 150 bytes each; further ones are tokenised once a chunk.
 CACHE = 300_000
 #: Words that are tokenised in one call.
 TOGETHER = 256
-SPACE = re.compile(r"[ \t\n\r]+")
+#: Bytes of text (about, a document is never cut) that are tokenised together.
+CHUNK = 1 << 24
 #: A part's punctuation after its last letter is a part of its own: the tokenizer always cuts there.
-TAIL = re.compile(r"(.*[A-Za-z])([.,!|;:?*%&$#]+)", re.DOTALL)
+TAIL = r"^(.*[A-Za-z])([.,!|;:?*%&$#]+)$"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -51,12 +54,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordTokenizer:
-    """ids of texts as little-endian unsigned 32-bit bytes, by the tokenizer in the file at ``path``.
+    """ids of texts by the tokenizer in the file at ``path``.
 
     The tokenizer lower-cases, drops white space and never looks past it, nor past the end of a run of letters. So a text
-    has the ids of its parts between white space, and each distinct part is tokenised once. New words of letters alone
-    are tokenised many at a time and told apart by the mark that ends each one's last piece. Texts with one of the
-    tokenizer's special tokens are tokenised whole.
+    has the ids of its parts between white space, and each distinct part of a chunk is tokenised once: Arrow splits texts
+    and numbers the parts, and numpy puts their ids in order. New words of letters alone are tokenised many at a time and
+    told apart by the mark that ends each one's last piece. Texts with one of the tokenizer's special tokens are tokenised whole.
     """
 
     def __init__(self, path: str):
@@ -69,12 +72,15 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.known: dict[str, bytes] = {}
-        self.atoms: dict[str, bytes] = {}
-
-    def add_atoms(self, atoms: list[str]) -> None:
-        words = [a for a in atoms if a.isalpha()]
-        other = [a for a in atoms if not a.isalpha()]
+        self.known: dict[str, bytes] = {"": b""}
+
+    def tokenised(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of new parts."""
+        low = {p: p.lower() if p.isascii() else p for p in parts}
+        words, other = [], []
+        for x in set(low.values()):
+            (words if x.isalpha() else other).append(x)
+        found: dict[str, bytes] = {}
         groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
         for group, e in zip(groups, self.batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.asarray(e.ids, "<u4")
@@ -83,40 +89,66 @@ class WordTokenizer:
                 other += group
                 continue
             raw = ids.tobytes()
-            self.atoms.update(zip(group, (raw[4 * x : 4 * y] for x, y in zip([0, *at[:-1].tolist()], at.tolist(), strict=True)), strict=True))
+            found.update(zip(group, (raw[4 * x : 4 * y] for x, y in zip([0, *at[:-1].tolist()], at.tolist(), strict=True)), strict=True))
         for a, e in zip(other, self.batch(other, add_special_tokens=False), strict=True):
-            self.atoms[a] = np.asarray(e.ids, "<u4").tobytes()
-
-    def add(self, parts: list[str]) -> None:
-        cut = {}
-        for p in parts:
-            low = p.lower() if p.isascii() else p
-            m = TAIL.fullmatch(low)
-            cut[p] = m.groups() if m else (low,)
-        self.add_atoms(list({a for c in cut.values() for a in c if a not in self.atoms}))
-        for p, c in cut.items():
-            self.known[p] = b"".join(map(self.atoms.__getitem__, c))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [SPACE.split(t) for t in texts]
-        new = list({w for p in parts for w in p if w not in self.known})
-        kept = len(self.atoms)
-        self.add(new)
-        get = self.known.__getitem__
-        out = []
-        for t, p in zip(texts, parts, strict=True):
-            if any(s in t for s in self.special):
-                out.append(np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                out.append(b"".join(map(get, p)))
-        if len(self.known) > CACHE:
-            for w in new:
-                del self.known[w]
-        if len(self.atoms) > CACHE:
-            for a in list(self.atoms)[kept:]:
-                del self.atoms[a]
+            found[a] = np.asarray(e.ids, "<u4").tobytes()
+        return {p: found[x] for p, x in low.items()}
+
+    def parts(self, parts: list[str]) -> list[bytes]:
+        """The ids of distinct parts."""
+        out = list(map(self.known.get, parts))
+        new = [i for i, x in enumerate(out) if x is None]
+        if new:
+            found = self.tokenised([parts[i] for i in new])
+            for i, x in zip(new, found.values(), strict=True):
+                out[i] = x
+            if (room := CACHE - len(self.known)) > 0:
+                self.known.update(islice(found.items(), room))
         return out
 
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (none null), and where each text's ids begin (with the end of the last)."""
+        whole = np.zeros(len(texts), bool)
+        for s in self.special:
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        split = pc.ascii_split_whitespace(pc.if_else(pa.array(whole), "", texts) if whole.any() else texts)
+        first = split.offsets.to_numpy()  # of each text's parts
+        numbered = split.flatten().dictionary_encode()
+        cut = pc.split_pattern(pc.replace_substring_regex(numbered.dictionary, TAIL, r"\1 \2"), " ")
+        atoms = cut.flatten().dictionary_encode()
+        flat, begin = gathered(self.parts(atoms.dictionary.to_pylist()), atoms.indices.to_numpy(zero_copy_only=False))
+        edges = begin[cut.offsets.to_numpy()]  # of each part's ids
+        code = numbered.indices.to_numpy(zero_copy_only=False)
+        if whole.any():  # one part each, with the ids of all
+            ids = [np.asarray(e.ids, "<u4") for e in self.batch([t for t, w in zip(texts.to_pylist(), whole, strict=True) if w], add_special_tokens=False)]
+            code = code.copy()
+            code[first[:-1][whole]] = np.arange(len(edges) - 1, len(edges) - 1 + len(ids))
+            flat, edges = np.concatenate([flat, *ids]), np.r_[edges, edges[-1] + np.cumsum([len(x) for x in ids])]
+        flat, begin = taken(flat, edges, code)
+        return flat, begin[first]
+
+
+def taken(flat: np.ndarray, edges: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of flat (between edges) that code numbers, one after the other, and where each begins, with the end."""
+    n = np.diff(edges)[code]
+    ends = np.cumsum(n)
+    at = np.repeat(edges[:-1][code] - ends + n, n)
+    at += np.arange(len(at))
+    return flat[at], np.r_[0, ends]
+
+
+def gathered(ids: list[bytes], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edges = np.r_[0, np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)]
+    return taken(np.frombuffer(b"".join(ids), "<u4"), edges, code)
+
+
+def chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about CHUNK bytes, of one text at least."""
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(size) - size) // CHUNK
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    return ((a, b) for a, b in zip(edges, edges[1:], strict=False) if a < b)
+
 
 #: The worker's tokenizers by path: its later tasks find what its earlier ones learnt.
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -132,24 +164,25 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Da
     """doc_id, text_hash, piece, start, length, ids_crc32: a row for each piece of each document."""
     path = path or tokenizer_path()
     end = np.asarray([END], "<u4").tobytes()
+    kinds = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = worker_tokenizer(path)
         for batch in batches:
-            texts, doc, hashes = batch["text"].tolist(), batch["doc_id"].astype("Int64"), batch["text_hash"].to_numpy()
-            for lo in range(0, len(texts), 256):
-                rows = []
-                for i, ids in enumerate(tokenizer.encode(texts[lo : lo + 256]), lo):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), 4 * length)):
-                        part = ids[at : at + 4 * length]
-                        rows.append((i, k, at // 4, len(part) // 4, zlib.crc32(part)))
-                at, k, start, n, crc = map(list, zip(*rows, strict=True))
-                yield pd.DataFrame({"doc_id": doc.iloc[at].array, "text_hash": hashes[at], "piece": np.array(k, np.int32), "start": start, "length": n, "ids_crc32": crc})
+            for lo, hi in chunks(batch["text"]):
+                ids, first = tokenizer.encode(batch["text"][lo:hi])
+                raw, rows = ids.tobytes(), []
+                for i, (x, y) in enumerate(zip(first.tolist(), first[1:].tolist(), strict=False), lo):
+                    n = y - x + 1
+                    for k, at in enumerate(range(0, n, length)):
+                        part = raw[4 * (x + at) : 4 * min(y, x + at + length)] + (end if at + length >= n else b"")
+                        rows.append((i, k, at, len(part) // 4, zlib.crc32(part)))
+                at, *rest = map(list, zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(at)), batch["text_hash"].take(pa.array(at)), *[pa.array(x, f.type) for x, f in zip(rest, list(kinds)[2:], strict=True)]], schema=kinds)
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    return rows.mapInPandas(run, "doc_id long, text_hash long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(runs: list[tuple[int, int]], capacity: int = LENGTH) -> list[tuple[int, int, int]]:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -138,5 +139,21 @@ def test_words_are_tokenised_as_in_whole_texts():
 
     t = Tokenizer.from_file(packing.tokenizer_path())
     texts = ["It's  a b c\x0bd\x1ce <|endoftext|> ÀÉ é I'LL\r\nx", "<|startoftext|>", "", " \t\n", "don't 123 4-5 ΣΑΣ İ ǅ \U0001f600\U0001f600 a​b"]
-    got = packing.WordTokenizer(packing.tokenizer_path()).encode(texts)
-    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    tokenizer, want = packing.WordTokenizer(packing.tokenizer_path()), [t.encode(x, add_special_tokens=False).ids for x in texts]
+    for _ in range(2):
+        ids, first = tokenizer.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(first, first[1:], strict=False)] == want
+
+
+def test_texts_of_megabytes_are_packed_whole(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 50)
+    rng = np.random.default_rng(5)
+    long = " ".join("".join(rng.choice(list("abcdefgh"), 5)) + "," * (i % 7 == 0) for i in range(300_000))
+    from tokenizers import Tokenizer
+
+    ids = [*Tokenizer.from_file(packing.tokenizer_path()).encode(long, add_special_tokens=False).ids, 1]
+    tokenizer = packing.WordTokenizer(packing.tokenizer_path())
+    got, first = tokenizer.encode(pa.array(["a b", long, "x"]))
+    assert got[first[1] : first[2]].tolist() == ids[:-1]
+    cut = packing.pieces(spark.createDataFrame([(1, long), (2, "a")], "doc_id long, text string")).where("doc_id = 1").orderBy("piece").collect()
+    assert [(r["start"], r["length"], r["ids_crc32"]) for r in cut] == [(k, len(ids[k : k + 4096]), zlib.crc32(np.array(ids[k : k + 4096], "<u4").tobytes())) for k in range(0, len(ids), 4096)]
