@@ -286,6 +286,52 @@ def test_ownership_separates_examples(spark):
     assert (out[100]["n_live"], out[100]["n_example"], [s["kind"] for s in out[100]["spans"]]) == (1, 0, ["access", "bare"])
 
 
+def test_copies_within_one_source_are_examples(spark):
+    """A value in many texts of one owner is an example; in many copies of one text it is not."""
+    wide, copied = "zz98YY76xx54WW32vv10UU", "qk1pWd2ee3uRh4tx5jYm"
+    rows = [(i, f"text {i} {wide}", "hot") for i in range(30)] + [(100 + i, f"copy {copied}", "hot") for i in range(30)]
+    rows += [(200, "a/path/with_words/and-more/words1/words2/words3", "hot"), (201, "1a1a1a1a1a1a1a1a1a1a1a1a", "hot")]
+    out = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert out[0] == [] and out[100] == ["bare"] and out[200] == [] and out[201] == ["hex"]
+
+
+def test_added_spans_and_masks_against_brute_force(spark):
+    import random
+
+    rng = random.Random(11)
+    bits = ["token=abcdefgh", "AKIA" + "A" * 16, "0123456789abcdef" * 2, "Qw3rTy7UiOp9AsDfGh5JkL", "Qw3rTy7-iOp9AsD-Gh5JkL", "word", "\n", "é\U0001f600", "secret: 'x'", "password=" + "0f" * 13 + ".AKIA" + "B" * 20, "ABCDEFGHIJKLMNOPQRST" + "12"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", " ", "."]) for _ in range(rng.randint(0, 60))) for _ in range(60)] + [" ".join(bits * 200), None, ""]
+    d = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    some = d.where("doc_id % 2 = 0 OR doc_id >= 60")
+    found = {r["doc_id"]: r for r in secrets.scan(some, live_repositories=1000).collect()}
+    cleared = {r["doc_id"]: r["text"] for r in secrets.redact(some, live_repositories=1000).collect()}
+    bare = re.compile(secrets.BARE[1])
+    for i in found:
+        t = texts[i] or ""
+        base = [tuple(map(int, x.split(":")[1:])) for x in brute_spans(t).split(",") if x]
+        runs = [m.span() for m in bare.finditer(t)]
+        want = [(a, b) for a, b in runs if not any(a < y and x < b for x, y in base) and -sum(t[a:b].count(c) / (b - a) * math.log2(t[a:b].count(c) / (b - a)) for c in set(t[a:b])) >= secrets.ENTROPY]
+        want = [(a, b) for a, b in want if max(map(len, re.split("[/_-]", t[a:b]))) >= 16]
+        assert [(s["start"], s["end"]) for s in found[i]["spans"] if s["kind"] == "bare"] == want
+        out, at = "", 0
+        for a, b in sorted(base + want):
+            if a > at or (a == 0 and not out):
+                out += t[at:a] + "[secret]"
+            at = max(at, b)
+        assert cleared[i] == (None if texts[i] is None else out + t[at:])
+
+
+def test_time_grows_with_the_hits_of_one_text(spark):
+    import time
+
+    text = " ".join(f"{i:032x}" for i in range(1 << 60, (1 << 60) + 32000))
+    d = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string").cache()
+    d.count()
+    began = time.time()
+    r = secrets.redact(d).collect()[0]
+    assert r["text"] == " ".join(["[secret]"] * 32000) and time.time() - began < 30
+
+
 def test_redaction(docs, rows, none):
     out = secrets.redact(docs)
     assert out.columns == docs.columns
