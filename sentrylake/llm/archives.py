@@ -6,19 +6,24 @@ address, date, content type, result code, checksum, location, offset, file name,
 second line says which. Nothing but declared lengths ends a record, so payloads may hold anything that looks like one.
 
 Each record becomes a WARC record: a name-based identifier (the same in every run), the ARC date as a WARC timestamp,
-type response, or revisit for a payload seen before, and SHA-256 digests of the payload.
+type response, or revisit for a payload seen before, the address of the server, and SHA-256 digests of the payload.
+Payloads are bytes throughout and need not be text.
 
 Archives are written by Spark's text writer (a record a row, ended by its own last byte), so they land in any store
-that Spark can write, with its commit protocol; they are read back as binary files of bounded size.
+that Spark can write, with its commit protocol. They are read back as binary files: records are written by classes of
+their size, and the larger they are, the fewer a file holds, so that a file has about FILE_BYTES or one record.
 
 Defined results: a null payload is an empty one; a null id sorts last; equal rows are records each, the first in order
-of id being the response; ids that repeat with equal payloads are all responses if theirs is the smallest; an empty
-table gives an empty archive and no rows; other columns are ignored.
+of id being the response; ids that repeat with equal payloads are all responses if theirs is the smallest; a very long
+payload has a file of its own (the longest that a row can hold has 2 GB); an empty table gives an empty archive and no
+rows; other columns are ignored, whatever their names. Spaces in a URL of a header line become %20; a line that is not
+UTF-8 is read as Latin-1.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,8 +34,10 @@ from sentrylake.llm.common import join_by_key, materialize, scratch_path
 
 #: Payloads under this many bytes are always responses.
 LEAST_REVISIT = 100
-#: Records of an archive file.
-FILE_RECORDS = 500
+#: Records and (about) bytes of an archive file.
+FILE_RECORDS, FILE_BYTES = 500, 1 << 28
+#: Marks the page's id at the end of the URLs that to_arc writes.
+MARK = "#sentrylake-page="
 FIELDS = {1: ("url", "ip", "date", "type", "length"), 2: ("url", "ip", "date", "type", "result", "checksum", "location", "offset", "filename", "length")}
 ARC_DATE = "20240115120000"
 
@@ -49,6 +56,13 @@ def arc_version_block(version: int, filename: str, date: str) -> bytes:
     return arc_header(version, f"filedesc://{filename}", date, "text/plain", len(body), filename=filename) + body + b"\n"
 
 
+def header_text(line: bytes) -> str:
+    try:
+        return line.decode()
+    except UnicodeDecodeError:
+        return line.decode("latin-1")
+
+
 def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields, payload) of each record of an ARC file but its version block."""
     at, version = 0, 0
@@ -56,7 +70,7 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         end = data.find(b"\n", at)
         if end < 0:
             raise ValueError(f"header line at {at} has no end")
-        parts = data[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
+        parts = header_text(data[at:end]).rstrip("\r").split(" ")
         if not version:
             length = int(parts[-1])
             version = int(data[end + 1 : end + 1 + length].split(b" ", 1)[0])
@@ -64,6 +78,8 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
                 raise ValueError(f"version {version} of the format isn't known")
             at = end + 1 + length + 1
             continue
+        if (more := len(parts) - len(FIELDS[version])) > 0:
+            parts = ["%20".join(parts[: more + 1]), *parts[more + 1 :]]
         if len(parts) != len(FIELDS[version]):
             raise ValueError(f"header line at {at} has {len(parts)} fields, version {version} has {len(FIELDS[version])}")
         fields = dict(zip(FIELDS[version], parts, strict=True))
@@ -81,42 +97,57 @@ def warc_date(arc: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def to_arc(pages: DataFrame, key: str, url: str, payload: str, per_file: int = 64) -> DataFrame:
-    """arc (binary): small ARC files of up to ``per_file`` records (version 1 and 2 by turns) of the pages.
+def to_arc(pages: DataFrame, key: str, url: str, payload: str, per_file: int = 64, bytes_per_file: int = 1 << 26, mark: str = MARK) -> DataFrame:
+    """arc (binary): small ARC files (version 1 and 2 by turns) of the pages, payloads being text or bytes.
 
-    A record's URL is followed by its id in the form ``#id=N``, which the converter reads back.
+    A record's URL is followed by its id behind ``mark``, which the converter reads back.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for turn, batch in enumerate(batches):
-            for lo in range(0, len(batch), per_file):
-                version = 1 + (turn + lo // per_file) % 2
-                out = [arc_version_block(version, "pages.arc", ARC_DATE)]
-                for i, u, p in batch.iloc[lo : lo + per_file].itertuples(index=False):
-                    body = (p or "").encode("utf-8", "surrogatepass")
-                    name = "" if pd.isna(i) else str(int(i))
-                    out += [arc_header(version, f"{u or '-'}#id={name}", ARC_DATE, "text/html", len(body)), body, b"\n"]
+        turn = 0
+
+        def opened() -> list[bytes]:
+            return [arc_version_block(1 + turn % 2, "pages.arc", ARC_DATE)]
+
+        for batch in batches:
+            out, n, size = opened(), 0, 0
+            for i, u, p in batch.itertuples(index=False):
+                if n and (n >= per_file or size + len(p) > bytes_per_file):
+                    yield pd.DataFrame({"arc": [b"".join(out)]})
+                    turn += 1
+                    out, n, size = opened(), 0, 0
+                name = "" if pd.isna(i) else str(int(i))
+                out += [arc_header(1 + turn % 2, f"{u or '-'}{mark}{name}", ARC_DATE, "text/html", len(p)), p, b"\n"]
+                n, size = n + 1, size + len(p)
+            if n:
                 yield pd.DataFrame({"arc": [b"".join(out)]})
+                turn += 1
 
-    rows = pages.select(F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.col(payload).cast("string").alias("payload"))
+    body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
+    rows = pages.select(F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("url"), body.alias("payload"))
     return rows.mapInPandas(run, "arc binary")
 
 
-def parsed(arcs: DataFrame) -> DataFrame:
-    """record_key, url, date, type, payload (string), payload_bytes, payload_digest of ARC files' records."""
+def parsed(arcs: DataFrame, mark: str | None = None) -> DataFrame:
+    """record_key, url, ip, date, type, payload (binary), payload_bytes, payload_digest of ARC files' records.
+
+    Without ``mark``, or where a URL doesn't end in it and a number, records have no key and keep their whole URL.
+    """
+    numbered = re.compile(f"(.*){re.escape(mark)}(-?[0-9]{{1,18}})?", re.DOTALL) if mark else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for data in batch["arc"]:
                 rows = []
                 for f, payload in parse_arc(data):
-                    url, _, name = f["url"].rpartition("#id=")
-                    rows.append((int(name) if name else None, url, f["date"], f["type"], payload.decode("utf-8", "surrogatepass"), len(payload), hashlib.sha256(payload).hexdigest()))
-                out = pd.DataFrame(rows, columns=["record_key", "url", "date", "type", "payload", "payload_bytes", "payload_digest"])
+                    m = numbered.fullmatch(f["url"]) if numbered else None
+                    url, name = m.groups() if m else (f["url"], None)
+                    rows.append((int(name) if name else None, url, f["ip"], f["date"], f["type"], payload, len(payload), hashlib.sha256(payload).hexdigest()))
+                out = pd.DataFrame(rows, columns=["record_key", "url", "ip", "date", "type", "payload", "payload_bytes", "payload_digest"])
                 out["record_key"] = out["record_key"].astype("Int64")
                 yield out
 
-    return arcs.mapInPandas(run, "record_key long, url string, date string, type string, payload string, payload_bytes long, payload_digest string")
+    return arcs.mapInPandas(run, "record_key long, url string, ip string, date string, type string, payload binary, payload_bytes long, payload_digest string")
 
 
 def with_types(records: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
@@ -130,8 +161,8 @@ def with_types(records: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     return out.withColumn("refers_to", F.when(revisit, F.col("first_key"))).drop("first_key", "n_rows")
 
 
-def warc_text(records: DataFrame) -> Column:
-    """A whole WARC record as text: header lines, a blank line, the payload and two line ends."""
+def warc_record(records: DataFrame) -> Column:
+    """A whole WARC record as bytes: header lines, a blank line, the payload and two line ends."""
 
     def urn(key: Column, digest: Column) -> Column:
         h = F.md5(F.concat_ws("|", F.lit("warc"), F.coalesce(key.cast("string"), F.lit("")), digest))
@@ -146,18 +177,28 @@ def warc_text(records: DataFrame) -> Column:
         F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), F.col("record_type")), F.concat(F.lit("WARC-Record-ID: "), urn(F.col("record_key"), F.col("payload_digest"))),
         F.concat(F.lit("WARC-Date: "), date), F.concat(F.lit("WARC-Target-URI: "), F.col("url")), F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("payload_digest")),
         F.concat(F.lit("WARC-Source-Key: "), key),
+        F.when(~F.col("ip").isin("", "-", "0.0.0.0"), F.concat(F.lit("WARC-IP-Address: "), F.col("ip"))),
         F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), urn(F.col("refers_to"), F.col("payload_digest")), F.lit("\r\nWARC-Refers-To-Key: "), F.col("refers_to").cast("string"))),
         F.when(F.col("type") != "", F.concat(F.lit("Content-Type: "), F.col("type"))), F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes")).cast("string")),
     ]
-    body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
-    return F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"))
+    body = F.when(revisit, F.lit(b"")).otherwise(F.col("payload"))
+    return F.concat(F.concat_ws("\r\n", *lines).cast("binary"), F.lit(b"\r\n\r\n"), body, F.lit(b"\r\n\r\n"))
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """Writes records (of with_types) as WARC files; a revisit has no body, its length and digest are its response's."""
-    text = records.select(warc_text(records).alias("value"))
+def write_warc(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Writes records (of with_types) as WARC files; a revisit has no body, its length and digest are its response's.
+
+    The records of class k have up to file_bytes / FILE_RECORDS * 4^k bytes; its files are in the folder size=k.
+    """
+    least = file_bytes // FILE_RECORDS
+    size = F.when(F.col("record_type") == "revisit", F.lit(0)).otherwise(F.col("payload_bytes"))
+    of = F.greatest(F.ceil(F.log2(F.greatest(size, F.lit(1)) / least) / 2), F.lit(0)).cast("int")
+    found = records.groupBy(of.alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy("k").collect()  # a row for each class, 12 at most
     # the writer puts a line feed after each row: the record's own last byte
-    text.select(F.expr("left(value, length(value) - 1)").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    value = F.expr("left(record, length(record) - 1)").cast("string").alias("value")
+    for k in [r["k"] for r in found] or [0]:
+        rows = records.where(of == k).select(warc_record(records).alias("record")).select(value)
+        rows.write.option("lineSep", "\n").option("maxRecordsPerFile", max(1, FILE_RECORDS >> 2 * k)).text(f"{path}/size={k}")
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -165,7 +206,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n") if end >= 0 else [""]
+        lines = header_text(data[at:end]).split("\r\n") if end >= 0 else [""]
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no record begins at {at}")
         fields = dict(x.split(": ", 1) for x in lines[1:])
@@ -179,7 +220,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """key, record_type, refers_to, body_bytes, body_digest, declared_digest, record_id, date, url, body of each record."""
+    """key, record_type, refers_to, body_bytes, body_digest, declared_digest, record_id, date, url, ip, body (binary) of each record."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -188,27 +229,29 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 for f, body in parse_warc(bytes(data)):
                     key, to = f.get("WARC-Source-Key", ""), f.get("WARC-Refers-To-Key", "")
                     declared = f["WARC-Payload-Digest"].removeprefix("sha256:")
-                    rows.append((int(key) if key else None, f["WARC-Type"], int(to) if to else None, len(body), hashlib.sha256(body).hexdigest(), declared, f["WARC-Record-ID"], f["WARC-Date"], f["WARC-Target-URI"], body.decode("utf-8", "surrogatepass")))
-                out = pd.DataFrame(rows, columns=["key", "record_type", "refers_to", "body_bytes", "body_digest", "declared_digest", "record_id", "date", "url", "body"])
+                    rows.append((int(key) if key else None, f["WARC-Type"], int(to) if to else None, len(body), hashlib.sha256(body).hexdigest(), declared, f["WARC-Record-ID"], f["WARC-Date"], f["WARC-Target-URI"], f.get("WARC-IP-Address"), body))
+                out = pd.DataFrame(rows, columns=["key", "record_type", "refers_to", "body_bytes", "body_digest", "declared_digest", "record_id", "date", "url", "ip", "body"])
                 yield out.astype({"key": "Int64", "refers_to": "Int64"})
 
-    kinds = "key long, record_type string, refers_to long, body_bytes long, body_digest string, declared_digest string, record_id string, date string, url string, body string"
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, kinds)
+    kinds = "key long, record_type string, refers_to long, body_bytes long, body_digest string, declared_digest string, record_id string, date string, url string, ip string, body binary"
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInPandas(run, kinds)
 
 
-def convert(spark: SparkSession, arcs: DataFrame, path: str | None = None) -> tuple[DataFrame, str]:
+def convert(spark: SparkSession, arcs: DataFrame, path: str | None = None, mark: str | None = None, file_bytes: int = FILE_BYTES) -> tuple[DataFrame, str]:
     """Converts ARC files (arc binary) to WARC files at ``path``; returns what reading them back gives, and the path."""
     path = path or scratch_path(spark, "warc")
-    records = materialize(parsed(arcs), "arc-records")
-    light = with_types(records)
-    write_warc(light, path)
+    records = parsed(arcs, mark)
+    if mark is None:  # records of other makers' archives are numbered
+        records = records.withColumn("record_key", F.monotonically_increasing_id())
+    records = materialize(records, "arc-records")
+    write_warc(with_types(records), path, file_bytes)
     return read_warc(spark, path), path
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as ARC files, converted to WARC and read back; a revisit's payload is its response's."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    back, _ = convert(spark, to_arc(pages, "page_id", "url", "html"))
+    back, _ = convert(spark, to_arc(pages, "page_id", "url", "html"), mark=MARK)
     back = materialize(back.drop("body"), "read-back")
     # the full payload of a revisit is the body of the response that it refers to, found by its digest
     seen = back.where("record_type = 'response'").groupBy("body_digest").agg(F.min("body_bytes").alias("n"), F.count(F.lit(1)).alias("n_rows"))

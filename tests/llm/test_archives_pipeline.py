@@ -33,13 +33,13 @@ PAGES = [
 
 def test_archives_round_trip(spark, tmp_path):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
-    back, _ = archives.convert(spark, archives.to_arc(pages, "page_id", "url", "html", per_file=3), f"file://{tmp_path}/warc")
+    back, _ = archives.convert(spark, archives.to_arc(pages, "page_id", "url", "html", per_file=3), f"file://{tmp_path}/warc", archives.MARK)
     rows = back.collect()
     assert len(rows) == len(PAGES)
     bodies = Counter((r["key"], r["body"]) for r in rows if r["record_type"] == "response")
     want = brute(PAGES)
     assert Counter((r["key"], r["record_type"], r["refers_to"]) for r in rows) == _summed(want)
-    assert all((i, h or "") in bodies for i, _, h in PAGES if (i, len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest(), "response", None) in want)
+    assert all((i, (h or "").encode()) in bodies for i, _, h in PAGES if (i, len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest(), "response", None) in want)
     pages.write.parquet(f"file://{tmp_path}/sf/pages.parquet")
     got = archives.op4(spark, f"file://{tmp_path}/sf").collect()
     assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == want
@@ -47,6 +47,30 @@ def test_archives_round_trip(spark, tmp_path):
     assert archives.op4(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_foreign_archives_of_any_bytes(spark, tmp_path):
+    """Payloads in other encodings, marks in URLs, spaces in URLs, addresses and payloads of every size survive the round trip."""
+    bodies = [("http://x/#id=abc", "192.0.2.7", "caf\xe9 ".encode("latin-1") * 30), (f"http://y/{archives.MARK}z", "-", bytes(range(256)) * 5), ("http://x y", "0.0.0.0", b"\xff\xfe\r\n\r\nWARC/1.1\r\n" * 900),
+              ("http://caf\u00e9/", "198.51.100.1", b""), ("http://big", "-", b"\xc3" * 3_000_000), ("http://again", "-", b"\xc3" * 3_000_000), ("http://mid", "-", b"m" * 40_000)]
+    data = archives.arc_version_block(1, "f.arc", "20240101000000")
+    for url, ip, body in bodies:
+        data += f"{url} {ip} 20240102030405 text/html {len(body)}".encode("utf-8" if "caf" not in url else "latin-1") + b"\n" + body + b"\n"
+    arcs = spark.createDataFrame([(bytearray(data),)], "arc binary")
+    back, path = archives.convert(spark, arcs, f"file://{tmp_path}/warc", file_bytes=5_000_000)
+    rows = {r["url"]: r for r in back.collect()}
+    for url, ip, body in bodies:
+        r = rows[url.replace(" ", "%20")]
+        again = url == "http://again"
+        assert bytes(r["body"]) == (b"" if again else body) and r["declared_digest"] == hashlib.sha256(body).hexdigest() and r["record_type"] == ("revisit" if again else "response")
+        assert r["ip"] == (ip if ip[0] == "1" else None)
+    assert len(rows) == len(bodies) and {p.name for p in (tmp_path / "warc").iterdir()} == {"size=0", "size=1", "size=5"}
+
+
+def test_pages_may_be_bytes(spark):
+    pages = spark.createDataFrame([(1, "u", bytearray(b"\xe9" * 120)), (2, "v", bytearray(b"\xe9" * 120)), (3, None, None)], "page_id long, url string, html binary")
+    rows = {r["key"]: r for r in archives.convert(spark, archives.to_arc(pages, "page_id", "url", "html", bytes_per_file=100), mark=archives.MARK)[0].collect()}
+    assert (rows[1]["record_type"], rows[2]["record_type"], rows[2]["refers_to"], bytes(rows[1]["body"])) == ("response", "revisit", 1, b"\xe9" * 120) and rows[3]["url"] == "-"
+
+
 def _summed(want):
     out = Counter()
     for (a, _, _, d, e), n in want.items():
