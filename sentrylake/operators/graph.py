@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrylake.functions import ids
-from sentrylake.operators.tables import cut
+from sentrylake.operators.tables import cut, last_of
 
 # The endpoint types that an edge type may have.
 ENDPOINTS = {
@@ -28,7 +28,32 @@ def user_uid() -> Column:
 
 
 def process_uid() -> Column:
-    return ids.node_uid("Process", **{"process.entity_id": F.col("process_entity_id")})
+    """By the given id, else by one made of host, pid, start (or time) and executable, where all are there."""
+    start = F.coalesce("process_start", F.col("ts_us").cast("string"))
+    known = F.col("host_id").isNotNull() & F.col("pid").isNotNull() & F.col("executable").isNotNull()
+    made = F.when(known, ids.process_entity_id(F.col("host_id"), F.col("pid"), start, F.col("executable")))
+    return ids.node_uid("Process", **{"process.entity_id": F.coalesce("process_entity_id", made)})
+
+
+def file_op(action: Column) -> Column:
+    """write, read or execute by what the action says, else the action itself."""
+    low = F.lower(action)
+    return F.when(low.rlike("write|modify|create|delete"), "write").when(low.rlike("read|open"), "read").when(F.contains(low, F.lit("execute")), "execute").otherwise(action)
+
+
+#: What else is read from rows where they have it, with its type.
+OPTIONAL = {
+    "pid": "long", "executable": "string", "process_start": "string", "parent_entity_id": "string", "file_path": "string", "dst_domain": "string", "dst_port": "long", "dns_answers": "array<string>", "host_ips": "array<string>",
+    "category": "array<string>", "outcome": "string", "session_id": "string", "rule_id": "string", "rule_name": "string", "tactic_name": "string", "confidence": "double", "providers": "array<string>", "fingerprint": "string",
+}
+#: Properties that an edge takes over from its event, and those that only alerts give.
+EVENT_PROPS = ("kind", "dataset", "action", "category", "outcome", "session_id")
+ALERT_PROPS = ("rule_id", "rule_name", "tactic_name", "confidence", "providers", "fingerprint", "evidence_ids")
+
+
+def completed(rows: DataFrame) -> DataFrame:
+    """rows with nulls for the columns of OPTIONAL that they don't have."""
+    return rows.withColumns({c: F.lit(None).cast(t) for c, t in OPTIONAL.items() if c not in rows.columns})
 
 
 def file_uid() -> Column:
@@ -55,7 +80,7 @@ UIDS = ("_host", "_user", "_process", "_file", "_ip", "_domain", "_parent")
 def with_uids(rows: DataFrame) -> DataFrame:
     """rows with the uids of what they name, each computed once."""
     parent = ids.node_uid("Process", **{"process.entity_id": F.col("parent_entity_id")})
-    return rows.withColumns(dict(zip(UIDS, (host_uid(), user_uid(), process_uid(), file_uid(), ip_uid(F.col("dst_ip")), domain_uid(F.col("dst_domain")), parent), strict=True)))
+    return completed(rows).withColumns(dict(zip(UIDS, (host_uid(), user_uid(), process_uid(), file_uid(), ip_uid(F.col("dst_ip")), domain_uid(F.col("dst_domain")), parent), strict=True)))
 
 
 def with_links(rows: DataFrame) -> DataFrame:
@@ -69,23 +94,28 @@ def with_links(rows: DataFrame) -> DataFrame:
         return F.when(when & src.isNotNull() & dst.isNotNull(), F.struct(src.alias("src_uid"), F.lit(rtype).alias("rtype"), dst.alias("dst_uid")))
 
     process = has("process") | (ds == "hostlog.process")
-    net = (ds == "netflow.flow") | ((ds == "hostbehavior.syscall") & (F.col("action") == "connect")) | ((F.col("kind") == "alert") & has("network"))
-    dns = (ds == "netflow.dns") | ((F.col("kind") == "alert") & has("dns"))
+    net = (ds == "netflow.flow") | ((ds == "hostbehavior.syscall") & F.contains(F.lower("action"), F.lit("connect"))) | ((F.col("kind") == "alert") & has("network"))
+    dns = (ds == "netflow.dns") | ((F.col("kind") == "alert") & (has("dns") | F.contains(F.lower("action"), F.lit("dns"))))
     links = F.array(
         link(has("authentication") | (ds == "hostlog.auth"), u, "LOGON", h), link(process, p, "RUNS_ON", h), link(process, parent, "SPAWN", p),
         link(has("file") | ds.isin("hostbehavior.file", "hostlog.file_registry"), F.when(ds == "hostlog.file_registry", F.coalesce(p, h)).otherwise(p), "FILE_ACCESS", f),
-        link(net, actor, "NET_CONNECT", ip), link(dns, actor, "DNS_QUERY", domain), link(dns, domain, "RESOLVES_TO", ip),
+        link(net, actor, "NET_CONNECT", ip), link(dns, actor, "DNS_QUERY", domain),
     )
     own = F.transform(F.coalesce("host_ips", F.array().cast("array<string>")), lambda x: F.when(h.isNotNull() & (F.trim(x) != ""), F.struct(h.alias("src_uid"), F.lit("HAS_IP").alias("rtype"), F.concat(F.lit("IP:ip="), x).alias("dst_uid"))))
-    return rows.withColumn("links", F.array_compact(F.concat(links, own)))
+    answers = F.transform(F.coalesce("dns_answers", F.array().cast("array<string>")), lambda x: link(dns & (F.trim(x) != ""), domain, "RESOLVES_TO", F.concat(F.lit("IP:ip="), x)))
+    return rows.withColumn("links", F.array_compact(F.concat(links, own, answers)))
 
 
 def edges(rows: DataFrame) -> DataFrame:
-    """src_uid, dst_uid, rtype, event_id, ts_us, ts_float, is_alarm, tactic_id, technique_id, severity of eligible rows."""
+    """src_uid, dst_uid, rtype, event_id, ts_us, ts_float, is_alarm, tactic_id, technique_id, severity, op (of file accesses), dst_port
+    (of connections), EVENT_PROPS and, of alarms, ALERT_PROPS of eligible rows' links.
+    """
     # explode_outer: for explode, Spark infers a filter on the list's size, which computes the whole list twice
     out = with_links(with_uids(eligible(rows))).select("*", F.explode_outer("links").alias("l")).where("l.src_uid IS NOT NULL")
     return out.select(
-        "l.src_uid", "l.dst_uid", "l.rtype", "event_id", "ts_us", (F.col("ts_us") / F.lit(1e6)).alias("ts_float"), (F.col("kind") == "alert").alias("is_alarm"), "tactic_id", "technique_id", "severity"
+        "l.src_uid", "l.dst_uid", "l.rtype", "event_id", "ts_us", (F.col("ts_us") / F.lit(1e6)).alias("ts_float"), (F.col("kind") == "alert").alias("is_alarm"), "tactic_id", "technique_id", "severity",
+        F.when(F.col("l.rtype") == "FILE_ACCESS", file_op(F.col("action"))).alias("op"), F.when(F.col("l.rtype") == "NET_CONNECT", F.col("dst_port")).alias("dst_port"),
+        *EVENT_PROPS, *[F.when(F.col("kind") == "alert", F.col(c)).alias(c) for c in ALERT_PROPS],
     )
 
 
@@ -113,22 +143,24 @@ def merge_nodes(updates: DataFrame, stored: DataFrame | None = None) -> DataFram
     if stored is not None:
         updates = stored.select("uid", "props", F.lit(-1).cast("long").alias("ord")).unionByName(updates.select("uid", "props", "ord"))
     flat = updates.select("uid", "ord", F.explode("props").alias("k", "v"))
-    last = flat.groupBy("uid", "k").agg(F.max_by("v", "ord").alias("v"))
+    last = flat.groupBy("uid", "k").agg(F.max_by("v", F.struct("ord", "v")).alias("v"))
     return last.groupBy("uid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("props"))
 
 
 def merge_edges(updates: DataFrame, stored: DataFrame | None = None, order: str = "ts_us") -> DataFrame:
-    """One row for each (source, target, type, event); the last one by ``order`` wins. An edge without event is an error."""
+    """One row for each (source, target, type, event); the last one by ``order`` wins, ties going to the
+    greatest of the other values. An edge without event is an error.
+    """
     rows = updates if stored is None else stored.unionByName(updates, allowMissingColumns=True)
     rest = [c for c in rows.columns if c not in EDGE_KEY]
     checked = rows.withColumn("event_id", F.coalesce("event_id", F.raise_error(F.lit("an edge needs an event id")).cast("string")))
-    out = checked.groupBy(*EDGE_KEY).agg(F.max_by(F.struct(*rest), order).alias("_r"))
+    out = checked.groupBy(*EDGE_KEY).agg(F.max_by(F.struct(*rest), F.struct(order, F.to_json(F.struct(*rest)))).alias("_r"))
     return out.select(*EDGE_KEY, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def write_analysis(found: DataFrame, results: DataFrame, fields: list[str]) -> DataFrame:
     """Sets analysis columns of the edges that results name; edges of the key without a value get null."""
-    return found.drop(*fields).join(results.select(*EDGE_KEY, *fields), EDGE_KEY, "left")
+    return found.drop(*fields).join(last_of(results.select(*EDGE_KEY, *fields), EDGE_KEY, []), EDGE_KEY, "left")
 
 
 def in_window(found: DataFrame, t_min: float, t_max: float, rtypes: list[str] | None = None, alarms_only: bool = False) -> DataFrame:
@@ -171,32 +203,39 @@ def parallel_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("src_uid", "rtype", "dst_uid").agg(F.count(F.lit(1)).alias("n_edges"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
 
 
-def shortest_costs(found: DataFrame, source: str, risks: dict[str, float] | None = None, least_risk: float = 0.0, most_hops: int = 32) -> DataFrame:
+def shortest_costs(found: DataFrame, source: str, risks: dict[str, float] | None = None, least_risk: float = 0.0, window: tuple[float, float] | None = None) -> DataFrame:
     """uid, cost, hops, path of the cheapest directed path from source to every node it reaches.
 
     An edge costs max_risk + 1 - its type's risk (1.0 where none is given); types below ``least_risk`` are left out.
-    Relaxes from the nodes that became cheaper in the last round only; rounds end when none did. The cheapest of
-    parallel edges is kept before the first round, and every round cuts its lineage.
+    Only edges in ``window`` (seconds, if given) count. Relaxes from the nodes that became cheaper in the last round only;
+    rounds end when none did, however many hops that takes. The cheapest of parallel edges is kept before the first round,
+    every round cuts its lineage, and rounds carry predecessors alone: paths are put together at the end by doubling.
     """
     risks = risks or {}
     top = max([1.0, *risks.values()])
     risk = F.lit(1.0)
     for t, r in risks.items():
         risk = F.when(F.col("rtype") == t, F.lit(float(r))).otherwise(risk)
-    step = found.withColumn("risk", risk).where(F.col("risk") >= least_risk)
+    used = found if window is None else in_window(found, *window)
+    step = used.withColumn("risk", risk).where(F.col("risk") >= least_risk)
     step = cut(step.groupBy("src_uid", "dst_uid").agg(F.min(F.lit(top + 1.0) - F.col("risk")).alias("step")), "steps")
-    start = found.sparkSession.createDataFrame([(source, 0.0, 0, [source])], "uid string, cost double, hops int, path array<string>")
+    start = found.sparkSession.createDataFrame([(source, 0.0, 0, None)], "uid string, cost double, hops int, before string")
     best, front = cut(start, "best"), start
-    for _ in range(most_hops):
-        reached = front.join(step, F.col("uid") == F.col("src_uid")).select(F.col("dst_uid").alias("uid"), (F.col("cost") + F.col("step")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("dst_uid")).alias("path"))
-        order = F.struct("cost", "hops", "path")
-        reached = reached.groupBy("uid").agg(F.min(order).alias("n"))
-        better = reached.join(best.select("uid", F.col("cost").alias("old")), "uid", "left").where("old IS NULL OR n.cost < old - 1e-12").select("uid", "n.cost", "n.hops", "n.path")
+    while True:  # ends: costs are positive, so each node's falls to its least
+        reached = front.join(step, F.col("uid") == F.col("src_uid")).select(F.col("dst_uid").alias("uid"), (F.col("cost") + F.col("step")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("src_uid").alias("before"))
+        reached = reached.groupBy("uid").agg(F.min(F.struct("cost", "hops", "before")).alias("n"))
+        better = reached.join(best.select("uid", F.col("cost").alias("old")), "uid", "left").where("old IS NULL OR n.cost < old - 1e-12").select("uid", "n.cost", "n.hops", "n.before")
         front = cut(better, "front")
         if front.isEmpty():
             break
         best = cut(best.join(front.select("uid"), "uid", "left_anti").unionByName(front), "best")
-    return best
+    # path: the known end of a node's path; back: the node before it
+    paths = cut(best.select("uid", F.col("before").alias("back"), F.array("uid").alias("path")), "paths")
+    while not paths.where("back IS NOT NULL").isEmpty():
+        more = paths.select(F.col("uid").alias("back"), F.col("back").alias("_back"), F.col("path").alias("_path"))
+        joined = paths.join(more, "back", "left")
+        paths = cut(joined.select("uid", F.col("_back").alias("back"), F.concat(F.coalesce("_path", F.array().cast("array<string>")), "path").alias("path")), "paths")
+    return best.drop("before").join(paths.select("uid", "path"), "uid")
 
 
 def temporal_paths(found: DataFrame, sources: DataFrame, most_hops: int, t_min: float, t_max: float, targets: DataFrame | None = None, per_pair: int = 20) -> DataFrame:

@@ -170,10 +170,11 @@ def dedup_event_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GRAPH_SQL = """g AS (SELECT *, 'Host:host.id=' || host_id AS h, 'User:user.id=' || user_id AS u, CASE WHEN process_entity_id IS NOT NULL THEN 'Process:process.entity_id=' || process_entity_id END AS p,
   CASE WHEN file_sha256 IS NOT NULL THEN 'File:file.path=/f/' || k || ';host.id=' || host_id END AS f, CASE WHEN dst_ip IS NOT NULL THEN 'IP:ip=' || dst_ip END AS i, CASE WHEN dst_domain IS NOT NULL THEN 'Domain:domain.name=' || dst_domain END AS d,
   CASE WHEN kind = 'alert' THEN 'finding.canonical' ELSE dataset END AS ds FROM ecs),
-edges AS (SELECT src_uid, dst_uid, rtype, event_id, ts_us, kind = 'alert' AS is_alarm, tactic_id, technique_id, severity FROM (
+edges AS (SELECT src_uid, dst_uid, rtype, event_id, ts_us, kind = 'alert' AS is_alarm, tactic_id, technique_id, severity, kind, ds, action, confidence, k, provider FROM (
   SELECT g.*, u AS src_uid, h AS dst_uid, 'LOGON' AS rtype FROM g WHERE ds = 'hostlog.auth' UNION ALL SELECT g.*, p, h, 'RUNS_ON' FROM g WHERE ds = 'hostlog.process' UNION ALL
   SELECT g.*, p, f, 'FILE_ACCESS' FROM g WHERE ds = 'hostbehavior.file' UNION ALL SELECT g.*, coalesce(p, h), i, 'NET_CONNECT' FROM g WHERE ds = 'netflow.flow' OR kind = 'alert' UNION ALL
   SELECT g.*, coalesce(p, h), d, 'DNS_QUERY' FROM g WHERE ds = 'netflow.dns' UNION ALL SELECT g.*, d, i, 'RESOLVES_TO' FROM g WHERE ds = 'netflow.dns' UNION ALL
+  SELECT g.*, d, 'IP:ip=10.9.9.' || (k % 3), 'RESOLVES_TO' FROM g WHERE ds = 'netflow.dns' AND dst_ip IS NOT NULL UNION ALL
   SELECT g.*, h, 'IP:ip=' || host_ip, 'HAS_IP' FROM g) WHERE src_uid IS NOT NULL AND dst_uid IS NOT NULL)"""
 
 
@@ -183,7 +184,8 @@ def _graph_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         "n", "k", "event_id", "ts_us", "kind", F.when(alert, "finding.canonical").otherwise(F.col("dataset")).alias("dataset"), "action", "host_id", "host_name", "user_id", "user_name", "process_entity_id", "process_name",
         F.lit(None).cast("string").alias("parent_entity_id"), F.when(F.col("file_sha256").isNotNull(), F.concat(F.lit("/f/"), F.col("k").cast("string"))).alias("file_path"), "dst_ip", "dst_domain", F.array("host_ip").alias("host_ips"),
-        F.when(alert, F.array(F.lit("network"))).alias("category"), F.array("event_id").alias("evidence_ids"), "tactic_id", "technique_id", "severity",
+        F.when(alert, F.array(F.lit("network"))).alias("category"), F.array("event_id").alias("evidence_ids"), "tactic_id", "technique_id", "severity", "confidence", F.array("provider").alias("providers"),
+        F.when(F.col("dst_ip").isNotNull(), F.array(F.col("dst_ip"), F.concat(F.lit("10.9.9."), (F.col("k") % 3).cast("string")))).alias("dns_answers"), F.concat(F.lit("R"), F.col("k").cast("string")).alias("rule_name"),
     )
 
 
@@ -196,7 +198,7 @@ EDGE = "src_uid, dst_uid, rtype, event_id, ts_us, is_alarm, tactic_id, technique
 
 @query(duck(f"{_GRAPH_SQL} SELECT {EDGE} FROM edges"))
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(spark, sf_dir).drop("ts_float")
+    return _edges(spark, sf_dir).select(*EDGE.split(", "))
 
 
 @query(duck(f"""{_GRAPH_SQL}, named AS (SELECT h AS uid, host_name AS name, ts_us FROM g UNION ALL SELECT u, user_name, ts_us FROM g UNION ALL SELECT p, process_name, ts_us FROM g UNION ALL SELECT f, '/f/' || k, ts_us FROM g UNION ALL
@@ -223,19 +225,50 @@ def edge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.merge_edges(rows)
 
 
+@query(duck(f"""{_GRAPH_SQL} SELECT src_uid, dst_uid, rtype, event_id, kind, ds AS dataset, action, CASE WHEN rtype = 'FILE_ACCESS' THEN action END AS op, CASE WHEN is_alarm THEN round(confidence, 6) END AS confidence,
+  CASE WHEN is_alarm THEN provider END AS providers, CASE WHEN is_alarm THEN 'R' || k END AS rule_name, CASE WHEN is_alarm THEN event_id END AS evidence_ids FROM edges"""))
+def edge_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What edges take over from their events, and from alerts alone."""
+    return _edges(spark, sf_dir).select(*graph.EDGE_KEY, "kind", "dataset", "action", "op", r6("confidence"), listed("providers"), "rule_name", listed("evidence_ids"))
+
+
+@query(duck("""x AS (SELECT event_id, host_id, k, action, ts_us, CASE WHEN k % 4 = 0 THEN process_entity_id WHEN k % 4 = 1 THEN 'p-' || substr(sha1(host_id || ':' || k || ':' || ts_us || ':/bin/' || action), 1, 16) END AS p FROM ecs)
+SELECT event_id, 'Process:process.entity_id=' || p AS src_uid, CASE k % 5 WHEN 0 THEN 'write' WHEN 1 THEN 'read' WHEN 2 THEN 'execute' WHEN 3 THEN 'raw' END AS op FROM x WHERE p IS NOT NULL"""))
+def file_accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File accesses (with made-up actions) by processes with a given id, and with one made of host, pid, time and executable."""
+    c = F.col
+    action = F.element_at(F.array(*map(F.lit, ["file_modify", "Open", "file_execute", "raw", None])), (c("k") % 5 + 1).cast("int"))
+    rows = ecs(spark, sf_dir).select(
+        "event_id", "ts_us", F.lit("event").alias("kind"), F.lit("hostbehavior.file").alias("dataset"), action.alias("action"), "host_id", "host_name", "user_id", "user_name", "process_entity_id", "process_name", "dst_ip",
+        F.when(c("k") % 4 == 1, c("k")).alias("pid"), F.concat(F.lit("/bin/"), c("action")).alias("executable"), F.lit("/etc/x").alias("file_path"), F.array().cast("array<string>").alias("evidence_ids"), "tactic_id", "technique_id", "severity",
+    )
+    return graph.edges(rows).where("rtype = 'FILE_ACCESS'").select("event_id", "src_uid", "op")
+
+
+@query(duck(f"""{_GRAPH_SQL}, m AS (SELECT DISTINCT src_uid AS a, dst_uid AS b, CASE rtype WHEN 'NET_CONNECT' THEN 1.0 WHEN 'LOGON' THEN 1.5 ELSE 1.0 END::DOUBLE AS w FROM edges WHERE rtype <> 'RUNS_ON'),
+l AS (SELECT a, b, min(w) AS w FROM m GROUP BY a, b), s0 AS (SELECT min(src_uid) AS uid FROM edges WHERE rtype = 'LOGON'), p1 AS (SELECT uid, 0.0::DOUBLE AS c FROM s0),
+p2 AS (SELECT b AS uid, c + w AS c FROM p1 JOIN l ON a = uid), p3 AS (SELECT b AS uid, c + w AS c FROM p2 JOIN l ON a = uid), p4 AS (SELECT b AS uid, c + w AS c FROM p3 JOIN l ON a = uid), p5 AS (SELECT b AS uid, c + w AS c FROM p4 JOIN l ON a = uid),
+o AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4 UNION ALL SELECT * FROM p5) SELECT uid, round(min(c), 6) AS cost FROM o GROUP BY uid"""))
+def event_graph_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs over the events' whole graph from the first user; no edge leaves addresses, so that paths end by themselves."""
+    found = _edges(spark, sf_dir).where("rtype <> 'RUNS_ON'")
+    source = found.where("rtype = 'LOGON'").agg(F.min("src_uid").alias("uid")).first()["uid"]
+    return graph.shortest_costs(found, source, {"LOGON": 0.5}).select("uid", r6("cost"))
+
+
 @query(duck(f"{_GRAPH_SQL} SELECT {EDGE} FROM edges WHERE is_alarm"))
 def alarm_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.alarms(_edges(spark, sf_dir)).drop("ts_float")
+    return graph.alarms(_edges(spark, sf_dir)).select(*EDGE.split(", "))
 
 
 @query(duck(f"{_GRAPH_SQL} SELECT {EDGE} FROM edges WHERE ts_us BETWEEN 1704500000000000 AND 1705000000000000 AND rtype IN ('NET_CONNECT', 'DNS_QUERY')"))
 def edges_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.in_window(_edges(spark, sf_dir), 1704500000.0, 1705000000.0, ["NET_CONNECT", "DNS_QUERY"]).drop("ts_float")
+    return graph.in_window(_edges(spark, sf_dir), 1704500000.0, 1705000000.0, ["NET_CONNECT", "DNS_QUERY"]).select(*EDGE.split(", "))
 
 
 @query(duck(f"{_GRAPH_SQL} SELECT {EDGE} FROM edges WHERE technique_id = 'T1041' OR tactic_id = 'T1041'"))
 def edges_by_attack_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.by_attack_id(_edges(spark, sf_dir), "T1041").drop("ts_float")
+    return graph.by_attack_id(_edges(spark, sf_dir), "T1041").select(*EDGE.split(", "))
 
 
 @query(duck(f"{_GRAPH_SQL}, a AS (SELECT * FROM edges WHERE is_alarm), e AS (SELECT src_uid AS uid FROM a UNION SELECT dst_uid FROM a) SELECT uid, split_part(uid, ':', 1) AS ntype FROM e"))
@@ -246,7 +279,7 @@ def edge_endpoints_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(duck(f"{_GRAPH_SQL} SELECT {EDGE} FROM edges WHERE src_uid = 'IP:ip=10.0.0.5' OR dst_uid = 'IP:ip=10.0.0.5'"))
 def incident_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.incident(_edges(spark, sf_dir), "IP:ip=10.0.0.5").drop("ts_float")
+    return graph.incident(_edges(spark, sf_dir), "IP:ip=10.0.0.5").select(*EDGE.split(", "))
 
 
 @query(duck(f"{_GRAPH_SQL} SELECT arg_min(src_uid, (ts_us, event_id)) AS host_uid FROM edges WHERE dst_uid = 'IP:ip=10.0.0.5' AND src_uid LIKE 'Host:%'"))
@@ -275,11 +308,11 @@ def _nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(name(F.col("c_nationkey")).alias("src_uid"), name((F.col("c_nationkey") * 7 + F.col("c_custkey") % 3) % 25).alias("dst_uid"), F.when(F.col("c_custkey") % 3 == 0, "SPAWN").otherwise("LOGON").alias("rtype"), F.col("c_custkey").cast("string").alias("event_id"), F.lit(0.0).alias("ts_float"))
 
 
-@query(f"""WITH RECURSIVE {_NATION}, m AS (SELECT a, b, min(w) AS w FROM steps GROUP BY a, b), walk(uid, cost, hops) AS (SELECT 'N0', 0.0::DOUBLE, 0 UNION SELECT m.b, walk.cost + m.w, hops + 1 FROM walk JOIN m ON m.a = walk.uid WHERE hops < 8)
+@query(f"""WITH RECURSIVE {_NATION}, m AS (SELECT a, b, min(w) AS w FROM steps GROUP BY a, b), walk(uid, cost, hops) AS (SELECT 'N0', 0.0::DOUBLE, 0 UNION SELECT m.b, walk.cost + m.w, hops + 1 FROM walk JOIN m ON m.a = walk.uid WHERE hops < 25)
 SELECT uid, round(min(cost), 6) AS cost FROM walk GROUP BY uid""")
 def shortest_path_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costs from one node: 1.0 for the riskiest type and 1.5 for the other."""
-    out = graph.shortest_costs(_nation_edges(spark, sf_dir), "N0", {"SPAWN": 1.0, "LOGON": 0.5}, most_hops=8)
+    out = graph.shortest_costs(_nation_edges(spark, sf_dir), "N0", {"SPAWN": 1.0, "LOGON": 0.5})
     return out.select("uid", r6("cost"))
 
 
@@ -436,25 +469,25 @@ def authlog_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- correlation
 
-_COR = f"l AS (SELECT *, {_LEVEL} AS level, CASE WHEN k % 8 = 0 THEN 0.6 WHEN k % 4 = 0 THEN 0.4 ELSE 0.0 END::DOUBLE AS lc, '10.0.0.' || (k % 10) AS dip FROM ecs)"
+_COR = f"l AS (SELECT *, {_LEVEL} AS level, CASE WHEN k % 8 = 0 THEN 0.6 WHEN k % 4 = 0 THEN 0.4 ELSE 0.0 END::DOUBLE AS lc, '10.0.0.' || (k % 10) AS dip, CASE WHEN k % 6 <> 0 THEN 'u' || (user_id % 5) END AS un, CASE WHEN k % 7 <> 0 THEN host_ip END AS hip FROM ecs)"
 
 
 def _correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _leveled(spark, sf_dir).select("n", "event_id", "ts_us", "host_name", "host_id", (F.concat(F.lit("u"), (F.col("user_id") % 5).cast("string"))).alias("user_name"), "host_ip", F.col("host_ip").alias("src_ip"), F.concat(F.lit("10.0.0."), (F.col("k") % 10).cast("string")).alias("dst_ip"), "level", "level_confidence", "action")
+    return _leveled(spark, sf_dir).select("n", "event_id", "ts_us", "host_name", "host_id", F.when(F.col("k") % 6 != 0, F.concat(F.lit("u"), (F.col("user_id") % 5).cast("string"))).alias("user_name"), F.when(F.col("k") % 7 != 0, F.col("host_ip")).alias("host_ip"), F.col("host_ip").alias("src_ip"), F.concat(F.lit("10.0.0."), (F.col("k") % 10).cast("string")).alias("dst_ip"), "level", "level_confidence", "action")
 
 
-@query(duck(_COR + """, a AS (SELECT * FROM l WHERE action = 'signup' AND n % 5 = 0), b AS (SELECT * FROM l WHERE action = 'error' AND n % 5 = 0),
+@query(duck(_COR + """, a AS (SELECT * FROM l WHERE action = 'signup'), b AS (SELECT * FROM l WHERE action = 'error'),
 p AS (SELECT DISTINCT a.event_id AS id1, b.event_id AS id2, a.ts_us, greatest(a.lc, b.lc) AS top FROM a JOIN b ON (a.dip = b.host_ip OR a.host_ip = b.dip) AND a.host_name <> b.host_name AND abs(a.ts_us - b.ts_us) <= 21600000000)
 SELECT id1, id2, ts_us, round(CASE WHEN top > 0 THEN least(1.0, 0.8 + 0.2 * top) ELSE 0.8 END, 6)::DOUBLE AS score, 'corr-' || substr(md5(id1 || '-' || id2), 1, 16) AS correlation_id FROM p"""))
 def corr_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _correlated(spark, sf_dir).where("n % 5 = 0")
+    e = _correlated(spark, sf_dir)
     return correlate.two_stage(e.where("action = 'signup'"), e.where("action = 'error'"), 6 * 3600 * 1000000).withColumn("score", F.round("score", 6))
 
 
-_THREE = _COR + """, u AS (SELECT *, 'u' || (user_id % 5) AS un FROM l), q1 AS (SELECT * FROM u WHERE action = 'signup'), q2 AS (SELECT * FROM u WHERE action = 'click'), q3 AS (SELECT * FROM u WHERE action = 'error'),
-m1 AS (SELECT q2.*, q1.event_id AS id1, q1.ts_us AS ts1, q1.lc AS lc1, row_number() OVER (PARTITION BY q2.event_id ORDER BY q1.ts_us DESC, q1.event_id) AS rn FROM q2 JOIN q1 ON q1.host_name = q2.host_name AND q1.un = q2.un AND q1.ts_us <= q2.ts_us),
-m2 AS (SELECT m1.event_id AS id2, id1, ts1, lc1, m1.lc AS lc2, m1.host_name AS h2, q3.event_id AS id3, q3.lc AS lc3, q3.host_name AS h3, row_number() OVER (PARTITION BY m1.event_id ORDER BY q3.ts_us, q3.event_id) AS rn FROM m1 JOIN q3 ON q3.host_ip = m1.dip AND q3.un = m1.un AND q3.ts_us >= m1.ts_us WHERE m1.rn = 1),
-m3 AS (SELECT *, greatest(lc1, lc2, lc3) AS top FROM m2 WHERE rn = 1 AND h2 <> h3),
+_THREE = _COR + """, q1 AS (SELECT * FROM l WHERE action = 'signup'), q2 AS (SELECT * FROM l WHERE action = 'click'), q3 AS (SELECT * FROM l WHERE action = 'error'),
+m1 AS (SELECT q2.*, q1.event_id AS id1, q1.ts_us AS ts1, q1.lc AS lc1, row_number() OVER (PARTITION BY q2.event_id ORDER BY q1.ts_us DESC, q1.event_id) AS rn FROM q2 JOIN q1 ON q1.host_name = q2.host_name AND coalesce(q1.un = q2.un, true) AND q1.ts_us <= q2.ts_us),
+m2 AS (SELECT m1.event_id AS id2, id1, ts1, lc1, m1.lc AS lc2, m1.host_name AS h2, q3.event_id AS id3, q3.lc AS lc3, q3.host_name AS h3, row_number() OVER (PARTITION BY m1.event_id ORDER BY q3.ts_us, q3.event_id) AS rn FROM m1 JOIN q3 ON coalesce(q3.hip = m1.dip, true) AND coalesce(q3.un = m1.un, true) AND q3.host_name <> m1.host_name AND q3.ts_us >= m1.ts_us WHERE m1.rn = 1),
+m3 AS (SELECT *, greatest(lc1, lc2, lc3) AS top FROM m2 WHERE rn = 1),
 c3 AS (SELECT 'corr-' || substr(md5(id1 || '-' || id2 || '-' || id3), 1, 16) AS correlation_id, id1, id2, id3, ts1 AS ts_us, CASE WHEN top > 0 THEN least(1.0, 0.9 + 0.1 * top) ELSE 0.9 END AS score FROM m3)"""
 
 

@@ -134,6 +134,11 @@ def test_upserts(spark):
     new = spark.createDataFrame([(2, "z", None), (3, "w", 5)], "k int, a string, b int")
     assert sorted(map(tuple, tables.upserted(old, new, ["k"]).collect())) == [(1, "x", 1), (2, "z", None), (3, "w", 5)]
     assert sorted(map(tuple, tables.merged(old, new, ["k"]).collect())) == [(1, "x", 1), (2, "z", 2), (3, "w", 5)]
+    twice = spark.createDataFrame([(1, "p", 7, 1), (1, "q", None, 2), (9, "n", None, 1)], "k int, a string, b int, c int")
+    assert sorted(map(tuple, tables.upserted(old, twice, ["k"], ["c"]).collect())) == [(1, "q", None, 2), (2, "y", 2, None), (9, "n", None, 1)]
+    assert sorted(map(tuple, tables.merged(old, twice, ["k"], ["c"]).collect())) == [(1, "q", 7, 2), (2, "y", 2, None), (9, "n", None, 1)]
+    lost = spark.createDataFrame([(1, "p"), (1, "q"), (9, "n"), (None, "x")], "k int, a string")
+    assert {r["outcome"]: r["n"] for r in tables.upsert_counts(old, lost, ["k"]).collect()} == {"replaced": 1, "inserted": 1, "failed": 1}
     with pytest.raises(Exception, match="event id"):
         graph.merge_edges(spark.createDataFrame([("a", "b", "SPAWN", None, 1)], "src_uid string, dst_uid string, rtype string, event_id string, ts_us long")).collect()
 
@@ -171,6 +176,10 @@ def test_paths(spark):
     assert Counter((tuple(r["path"]), tuple(r["steps"])) for r in got) == brute_paths("a", 3)
     costs = {r["uid"]: (r["cost"], r["hops"]) for r in graph.shortest_costs(e, "a").collect()}
     assert costs == {"a": (0.0, 0), "b": (1.0, 1), "c": (1.0, 1), "d": (2.0, 2)}
+    assert {r["uid"] for r in graph.shortest_costs(e, "a", window=(0.0, 1.6)).collect()} == {"a", "b"}
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "SPAWN", f"c{i}", 1.0) for i in range(40)], "src_uid string, dst_uid string, rtype string, event_id string, ts_float double")
+    far = {r["uid"]: r for r in graph.shortest_costs(chain, "n0").collect()}
+    assert len(far) == 41 and far["n40"]["hops"] == 40 and far["n40"]["path"] == [f"n{i}" for i in range(41)]
     best = graph.temporal_paths(e, spark.createDataFrame([("a",)], "uid string"), 3, 0.0, 10.0, spark.createDataFrame([("d",)], "uid string"), per_pair=2).collect()
     assert len(best) == 2 and min(r["hops"] for r in best) == 1
 
@@ -179,24 +188,26 @@ def test_paths(spark):
 
 
 def correlated(rng, n):
-    return [(f"e{i}", rng.randint(0, 50) * 1000000, f"host{rng.randint(0, 3)}", f"h{rng.randint(0, 3)}", rng.choice(["u", "v"]), f"10.0.0.{rng.randint(0, 3)}", f"10.0.0.{rng.randint(0, 3)}", f"10.0.0.{rng.randint(0, 3)}", 0, 0.0) for i in range(n)]
+    return [(f"e{i}", rng.randint(0, 50) * 1000000, f"host{rng.randint(0, 3)}", f"h{rng.randint(0, 3)}", rng.choice(["u", "v", None]), rng.choice(["10.0.0.0", "10.0.0.1", "10.0.0.2", None]), f"10.0.0.{rng.randint(0, 3)}", f"10.0.0.{rng.randint(0, 3)}", 0, 0.0) for i in range(n)]
 
 
-def test_nearest_three_against_brute_force(spark):
+@pytest.mark.parametrize("slot", [correlate.SLOT_US, 7_000_000])
+def test_nearest_three_against_brute_force(spark, slot, monkeypatch):
+    """Users and addresses may be missing, hosts share addresses, and slots of time are wide or narrow."""
+    nearest = correlate.nearest
+    monkeypatch.setattr(correlate, "nearest", lambda *a, **k: nearest(*a, slot_us=slot, **k))
     rng = random.Random(2)
-    rows = correlated(rng, 90)
+    rows = correlated(rng, 120)
     d = spark.createDataFrame(rows, "event_id string, ts_us long, host_name string, host_id string, user_name string, host_ip string, src_ip string, dst_ip string, level int, level_confidence double").cache()
-    parts = [rows[0:30], rows[30:60], rows[60:90]]
+    parts = [rows[0:40], rows[40:80], rows[80:120]]
     frames = [d.where(F.col("event_id").isin(*[r[0] for r in p])) for p in parts]
-    want = set()
+    want, users = set(), lambda x, y: x is None or y is None or x == y
     for e2 in parts[1]:
-        before = [e for e in parts[0] if e[2] == e2[2] and e[4] == e2[4] and e[1] <= e2[1]]
-        after = [e for e in parts[2] if e[5] == e2[7] and e[4] == e2[4] and e[1] >= e2[1]]
+        before = [e for e in parts[0] if e[2] == e2[2] and users(e[4], e2[4]) and e[1] <= e2[1]]
+        after = [e for e in parts[2] if e[5] in (None, e2[7]) and users(e[4], e2[4]) and e[1] >= e2[1] and e[2] != e2[2]]
         if before and after:
-            e1, e3 = min(before, key=lambda e: (-e[1], e[0])), min(after, key=lambda e: (e[1], e[0]))
-            if e3[2] != e2[2]:
-                want.add((e1[0], e2[0], e3[0]))
-    assert {(r["id1"], r["id2"], r["id3"]) for r in correlate.three_stage(*frames).collect()} == want and want
+            want.add((min(before, key=lambda e: (-e[1], e[0]))[0], e2[0], min(after, key=lambda e: (e[1], e[0]))[0]))
+    assert {(r["id1"], r["id2"], r["id3"]) for r in correlate.three_stage(*frames).collect()} == want and len(want) > 20
     pairs = {(a[0], b[0]) for a in parts[0] for b in parts[1] if a[2] != b[2] and (a[7] == b[6] or a[6] == b[7]) and abs(a[1] - b[1]) <= 9_000_000}
     assert {(r["id1"], r["id2"]) for r in correlate.two_stage(frames[0], frames[1], 9_000_000).collect()} == pairs
 
