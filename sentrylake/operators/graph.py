@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrylake.functions import ids
@@ -257,7 +257,42 @@ def temporal_paths(found: DataFrame, sources: DataFrame, most_hops: int, t_min:
     rows = reduce(DataFrame.unionByName, out).select("src_uid", F.col("end").alias("dst_uid"), F.size("steps").alias("hops"), "path", "steps")
     if goals is None:
         return rows
-    from pyspark.sql import Window
-
     w = Window.partitionBy("src_uid", "dst_uid").orderBy("hops", "steps", "path")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_pair).drop("rank")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node, root of every node of links (a, b), root being the smallest node that it is connected with.
+
+    Each round, nodes take the least root in their neighbourhood and then their root's root; every round cuts its lineage.
+    """
+    both = cut(links.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("near"))).distinct(), "links")
+    roots = cut(both.groupBy("node").agg(F.least(F.min("near"), F.first("node")).alias("root")), "roots")
+    while True:
+        told = both.join(roots.select(F.col("node").alias("near"), F.col("root").alias("_near")), "near").groupBy("node").agg(F.min("_near").alias("_near"))
+        next_roots = roots.join(told, "node").select("node", F.least("root", "_near").alias("root"), F.col("root").alias("old"))
+        above = roots.select(F.col("node").alias("root"), F.col("root").alias("_above"))
+        next_roots = cut(next_roots.join(above, "root", "left").select("node", F.least("root", F.coalesce("_above", "root")).alias("root"), "old"), "roots")
+        roots = next_roots.select("node", "root")
+        if next_roots.where("root <> old").isEmpty():
+            return roots
+
+
+def incidents(found: DataFrame, own_ips: DataFrame, gap_s: float = 6 * 3600.0) -> DataFrame:
+    """The alarm edges with ``scope``: connected incidents over hosts.
+
+    A source's alarms with gaps of up to ``gap_s`` are a session, whatever the day; a session is joined to that of another
+    host (own_ips: ip_uid, host_uid) which one of its alarms goes to, if that one is on within the gap. Joined sessions are an incident.
+    """
+    w = Window.partitionBy("src_uid").orderBy("ts_float", "event_id")
+    fresh = F.coalesce((F.col("ts_float") - F.lag("ts_float").over(w) > gap_s).cast("int"), F.lit(1))
+    rows = alarms(found).withColumn("_fresh", fresh).withColumn("_n", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = cut(rows.withColumn("session", F.concat_ws("#", "src_uid", F.col("_n").cast("string"))).drop("_fresh", "_n"), "sessions")
+    spans = rows.groupBy("src_uid", "session").agg(F.min("ts_float").alias("t_start"), F.max("ts_float").alias("t_end"))
+    # sessions of a host lie over a gap apart, so at most two are within it of a time: few rows a slot
+    slots = F.sequence(F.floor((F.col("t_start") - gap_s) / gap_s).cast("long"), F.floor((F.col("t_end") + gap_s) / gap_s).cast("long"))
+    spans = spans.select(F.col("src_uid").alias("host_uid"), F.col("session").alias("b"), "t_start", "t_end", F.explode(slots).alias("slot"))
+    goes = rows.select(F.col("session").alias("a"), F.col("src_uid"), F.col("dst_uid").alias("ip_uid"), "ts_float", F.floor(F.col("ts_float") / gap_s).cast("long").alias("slot")).join(own_ips.select("ip_uid", "host_uid").distinct(), "ip_uid").where("src_uid <> host_uid")
+    links = goes.join(spans, ["host_uid", "slot"]).where((F.col("ts_float") >= F.col("t_start") - gap_s) & (F.col("ts_float") <= F.col("t_end") + gap_s)).select("a", "b").distinct()
+    roots = components(links)
+    return rows.join(roots.select(F.col("node").alias("session"), "root"), "session", "left").withColumn("scope", F.coalesce("root", "session")).drop("session", "root")

@@ -63,51 +63,113 @@ def segment_pairs(chain_rows: DataFrame) -> DataFrame:
 
 def candidate_paths(found: DataFrame, pairs: DataFrame, most: int = CANDIDATES) -> DataFrame:
     """scope, chain, pair, hops, path, steps: for each pair the first ``most`` simple undirected paths from its source to
-    its target whose times lie in its window and never descend, by (hops, steps).
+    its target whose times lie in its window and never descend, by (hops, steps); equal anchors give the empty path.
 
-    All pairs are searched at once, from their own sources; equal anchors give the empty path. Walks that can't reach
-    the target any more are kept until their hops run out, as in any breadth-first search, so ``hops`` bounds the work.
+    All pairs are searched at once, from their own sources. A walk goes on only to nodes from which the target can be
+    reached with the hops that are left, and walks over the same nodes are one: the one that arrives first, with the
+    smallest ids of edges, from which every continuation of the others is open too.
     """
     keys = KEYS + ["order"] * ("order" in pairs.columns)
     pool = found.select(F.col("src_uid").alias("at"), F.col("dst_uid").alias("to"), "event_id", "ts_float")
     both = cut(pool.unionByName(pool.select(F.col("to").alias("at"), F.col("at").alias("to"), "event_id", "ts_float")).where("at <> to"), "pool")
     pairs = cut(pairs, "pairs")
-    front = pairs.select(*keys, "dst_uid", "t_min", "t_max", F.col("hops").alias("most"), F.col("src_uid").alias("end"), F.array("src_uid").alias("path"), F.array().cast("array<string>").alias("steps"), F.lit(-1e300).alias("last"))
-    done = front.where("end = dst_uid")
-    front = front.where("end <> dst_uid")
+    # windows of pairs hold few distinct links of the pool; searches run over these
+    near = pairs.select(*keys, "src_uid", "dst_uid", "t_min", "t_max", F.col("hops").alias("most"))
     limit = pairs.agg(F.max("hops").alias("n")).first()["n"] or 0
+    reach = near.select(*keys, "t_min", "t_max", "most", F.col("dst_uid").alias("node"), F.lit(0).alias("left"))
+    front = cut(reach, "reach")
+    reach = front
     for hop in range(1, limit + 1):
-        j = front.where(F.col("most") >= hop).join(both, F.col("end") == F.col("at")).where("ts_float BETWEEN t_min AND t_max AND ts_float >= last AND NOT array_contains(path, to)")
-        walked = cut(j.select(*keys, "dst_uid", "t_min", "t_max", "most", F.col("to").alias("end"), F.concat("path", F.array("to")).alias("path"), F.concat("steps", F.array("event_id")).alias("steps"), F.col("ts_float").alias("last")), "walks")
+        front = front.where(F.col("most") >= hop).join(both.withColumnRenamed("at", "_at"), F.col("node") == F.col("to")).where("ts_float BETWEEN t_min AND t_max")
+        front = front.select(*keys, "t_min", "t_max", "most", F.col("_at").alias("node"), F.lit(hop).alias("left")).distinct()
+        front = cut(front.join(reach.select(*keys, "node"), [*keys, "node"], "left_anti"), "reach")
+        if front.isEmpty():
+            break
+        reach = reach.unionByName(front)
+    reach = cut(reach.select(*keys, F.col("node").alias("to"), "left"), "distances")
+    walks = near.select(*keys, "dst_uid", "t_min", "t_max", "most", F.col("src_uid").alias("end"), F.array("src_uid").alias("path"), F.array().cast("array<string>").alias("steps"), F.lit(-1e300).alias("last"))
+    done = walks.where("end = dst_uid")
+    walks = walks.where("end <> dst_uid")
+    for hop in range(1, limit + 1):
+        j = walks.where(F.col("most") >= hop).join(both, F.col("end") == F.col("at")).where("ts_float BETWEEN t_min AND t_max AND ts_float >= last AND NOT array_contains(path, to)")
+        j = j.join(reach, [*keys, "to"]).where(F.col("left") + hop <= F.col("most"))
+        same = [*keys, "dst_uid", "t_min", "t_max", "most", F.col("to").alias("end"), F.concat("path", F.array("to")).alias("path")]
+        arrival = F.struct(F.col("ts_float").alias("last"), F.concat("steps", F.array("event_id")).alias("steps"))
+        walked = cut(j.groupBy(*same).agg(F.min(arrival).alias("a")).select("*", "a.steps", "a.last").drop("a"), "walks")
         done = done.unionByName(walked.where("end = dst_uid"))
         # a pair that has its candidates needs no longer ones
         full = done.groupBy(*keys).count().where(F.col("count") >= most).select(*keys)
-        front = walked.where("end <> dst_uid").join(full, keys, "left_anti")
-        if front.isEmpty():
+        walks = walked.where("end <> dst_uid").join(full, keys, "left_anti")
+        if walks.isEmpty():
             break
     w = Window.partitionBy(*keys).orderBy("hops", "steps", "path")
     out = done.select(*keys, F.size("steps").alias("hops"), "path", "steps")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
+OVERLAP = 0.5
+
+
 def heuristic(candidates: DataFrame) -> DataFrame:
-    """candidates with score 10 / (1 + hops)."""
-    return candidates.withColumn("score", F.lit(10.0) / (F.lit(1.0) + F.col("hops")))
+    """candidates with score: 10 / (1 + hops), and OVERLAP for each node shared with the best path of an earlier pair of the chain.
+
+    A pair's best path is its first in rank, so earlier pairs' nodes are one running union of their chain's pairs.
+    """
+    best = candidates.where("rank = 1").select(*KEYS, "path")
+    w = Window.partitionBy("scope", "chain").orderBy("pair").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = best.select(*KEYS, F.coalesce(F.flatten(F.collect_list("path").over(w)), F.array().cast("array<string>")).alias("_seen"))
+    shared = F.size(F.array_intersect("path", F.coalesce("_seen", F.array().cast("array<string>"))))
+    out = candidates.join(earlier, KEYS, "left").withColumn("score", F.lit(10.0) / (F.lit(1.0) + F.col("hops")) + F.lit(OVERLAP) * shared)
+    return out.drop("_seen")
+
+
+def validated(chosen: DataFrame, pairs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """scope, chain, problem: chains whose choice is wrong, and why: ``count`` (not one path for each pair) or ``membership``
+    (a path that is none of the pair's candidates). chosen: scope, chain, pair, path, steps.
+    """
+    wanted = pairs.groupBy("scope", "chain").agg(F.count(F.lit(1)).alias("wanted"))
+    given = chosen.groupBy("scope", "chain").agg(F.count(F.lit(1)).alias("given"), F.count_distinct("pair").alias("pairs"))
+    count = wanted.join(given, ["scope", "chain"], "full_outer").where("coalesce(wanted, 0) <> coalesce(given, 0) OR given <> pairs").select("scope", "chain", F.lit("count").alias("problem"))
+    odd = chosen.join(candidates.select(*KEYS, "path", "steps"), [*KEYS, "path", "steps"], "left_anti").select("scope", "chain").distinct()
+    return count.unionByName(odd.join(count, ["scope", "chain"], "left_anti").withColumn("problem", F.lit("membership")))
 
 
 def choose(pairs: DataFrame, candidates: DataFrame, chooser: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """scope, chain, pair, path, steps, confidence: one path for each pair of the chains all of whose pairs have one.
 
-    ``chooser`` may pick among the candidates (one row for each pair); the default is the fewest hops, first in rank.
+    ``chooser`` may pick among the candidates (one row for each pair); the default is the highest score, first in rank.
+    Chains for which a chooser's answer is not valid get the default.
     """
     keys = KEYS
-    if chooser is None:
-        w = Window.partitionBy(*keys).orderBy("hops", "rank")
-        picked = candidates.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    else:
-        picked = chooser(candidates)
-    broken = pairs.join(picked.select(*keys), keys, "left_anti").select("scope", "chain").distinct()
-    return picked.join(broken, ["scope", "chain"], "left_anti").select(*keys, "hops", "path", "steps", F.lit(0.5).alias("confidence"))
+    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "rank")
+    picked = heuristic(candidates).withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*keys, "hops", "path", "steps")
+    if chooser is not None:
+        own = cut(chooser(candidates).select(*keys, "path", "steps"), "chosen")
+        wrong = cut(validated(own, pairs, candidates).select("scope", "chain").distinct(), "wrong")
+        own = own.join(wrong, ["scope", "chain"], "left_anti").withColumn("hops", F.size("steps"))
+        picked = picked.join(own.select("scope", "chain").distinct(), ["scope", "chain"], "left_anti").unionByName(own)
+    gone = dropped(pairs, candidates).select("scope", "chain").distinct()
+    return picked.join(gone, ["scope", "chain"], "left_anti").select(*keys, "hops", "path", "steps", F.lit(0.5).alias("confidence"))
+
+
+def dropped(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """scope, chain, pair, before, after, reason of the joins that no path makes: why their chains are dropped."""
+    return without(pairs, candidates).select(*KEYS, "before", "after", F.concat_ws(" ", F.lit("no path from"), "before", F.lit("to"), "after").alias("reason"))
+
+
+def write_back(found: DataFrame, all_nodes: DataFrame, chain_rows: DataFrame, picked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges and nodes with killchain (an id made of scope and chain): those of the chains' alarms and chosen paths.
+
+    Of several chains the first by id names an edge or a node; the others keep what they had.
+    """
+    name = F.concat(F.lit("kc-"), F.substring(F.sha1(F.concat_ws("|", "scope", F.col("chain").cast("string"))), 1, 16)).alias("_killchain")
+    kept = chain_rows.join(picked.select("scope", "chain").distinct(), ["scope", "chain"], "left_semi")
+    events = kept.select(name, "event_id").unionByName(picked.select(name, F.explode("steps").alias("event_id")))
+    events = events.groupBy("event_id").agg(F.min("_killchain").alias("_killchain"))
+    old = F.col("killchain") if "killchain" in found.columns else F.lit(None).cast("string")
+    out = found.withColumn("killchain", old).join(events, "event_id", "left").withColumn("killchain", F.coalesce("_killchain", "killchain")).drop("_killchain")
+    touched = out.where("killchain IS NOT NULL").select(F.explode(F.array("src_uid", "dst_uid")).alias("uid"), F.col("killchain").alias("_killchain")).groupBy("uid").agg(F.min("_killchain").alias("killchain"))
+    return out, all_nodes.drop("killchain").join(touched, "uid", "left")
 
 
 def kill_chains(alarms: DataFrame, found: DataFrame) -> DataFrame:

@@ -587,10 +587,10 @@ def apt_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chain_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The alarms between hosts and addresses, a scope for each host and day, in order of time."""
-    found = graph.alarms(_edges(spark, sf_dir)).where("rtype = 'NET_CONNECT'")
-    day = F.floor(F.col("ts_us") / 86400000000).cast("string")
-    return found.withColumn("scope", F.concat_ws("/", F.substring_index("src_uid", "=", -1), day)).withColumn("tactic_name", attack.tactic_name_of_id(F.col("tactic_id")))
+    """The alarms of connected incidents over hosts, in order of time."""
+    found = _edges(spark, sf_dir)
+    own = found.where("rtype = 'HAS_IP'").select(F.col("dst_uid").alias("ip_uid"), F.col("src_uid").alias("host_uid"))
+    return graph.incidents(found.where("rtype <> 'HAS_IP'"), own).withColumn("tactic_name", attack.tactic_name_of_id(F.col("tactic_id")))
 
 
 _RUNS = """s AS (SELECT host_name AS scope, event_id, tactic_id AS state, ts_us FROM ecs WHERE kind = 'alert'), d AS (SELECT *, coalesce((lag(state) OVER w <> state)::INT, 0) AS ch FROM s WINDOW w AS (PARTITION BY scope ORDER BY ts_us, event_id)),
@@ -652,7 +652,8 @@ def fsa_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def killchain_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return killchain.kill_chains(_chain_alarms(spark, sf_dir), _edges(spark, sf_dir).where("rtype = 'NET_CONNECT' AND is_alarm"))
+    """Paths through all edges, alarms or not."""
+    return killchain.kill_chains(_chain_alarms(spark, sf_dir), _edges(spark, sf_dir))
 
 
 @query()

@@ -1,17 +1,24 @@
-"""The ingest job as a stream: normalise, drop repeats, store by table and day, canonicalise, project to the graph."""
+"""The ingest job as a stream: normalise, drop repeats, store by table, canonicalise, project to the graph.
+
+Each batch adds a folder to every table, and tables are merged when they are read: a fingerprint's, node's or edge's last
+state counts. So a batch that is tried again replaces its own folders, and nothing that was written is changed.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sentrylake.functions import ids
 from sentrylake.operators import findings, graph
 from sentrylake.operators.normalize import normalized
+from sentrylake.operators.tables import last_of
 
 
 def flat(rows: DataFrame) -> DataFrame:
@@ -19,10 +26,21 @@ def flat(rows: DataFrame) -> DataFrame:
     return rows.withColumn("ts_us", F.unix_micros("ts")).withColumn("provider", F.try_element_at("providers", F.lit(1)))
 
 
-def normalized_stream(lines: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """A stream of good rows, each id once within the watermark."""
-    rows = normalized(lines).where("drop_reason IS NULL")
-    return rows.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
+def normalized_stream(lines: DataFrame, horizon: str = "7 days") -> DataFrame:
+    """A stream of good rows, each id once within ``horizon`` of its arrival; rows may be late by any time.
+
+    The watermark is on the time of ingestion, so a sensor with a fast clock makes no other row late. Every batch reports
+    its lines, bytes and dropped rows as the observation ``tick``.
+    """
+    rows = normalized(lines)
+    seen = rows.observe("tick", F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("raw")).alias("bytes"), F.count("drop_reason").alias("dropped"))
+    return seen.where("drop_reason IS NULL").withWatermark("ingested", horizon).dropDuplicatesWithinWatermark(["event_id"])
+
+
+def ticks(query: StreamingQuery) -> list[dict]:
+    """batch, lines, bytes and dropped of the query's recent batches."""
+    seen = [(p["batchId"], (p.get("observedMetrics") or {}).get("tick")) for p in query.recentProgress]
+    return [{"batch": b, "lines": t["lines"] or 0, "bytes": t["bytes"] or 0, "dropped": t["dropped"] or 0} for b, t in seen if t]
 
 
 def store(rows: DataFrame, out: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
@@ -32,29 +50,77 @@ def store(rows: DataFrame, out: str, checkpoint: str, interval: str | None = Non
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def batch_tables(batch: DataFrame) -> dict[str, DataFrame]:
-    """What one batch of normalised rows adds: events, raw findings, canonical findings, nodes and edges."""
-    rows = flat(batch)
-    raw = rows.where("target_table = 'raw_findings'")
-    canonical = findings.canonical(raw)
-    stored = rows.where("target_table = 'events'")
-    return {"events": stored, "raw_findings": raw, "canonical_findings": canonical, "nodes": graph.nodes(stored), "edges": graph.edges(stored)}
+def canonical_rows(raw: DataFrame) -> DataFrame:
+    """Canonical findings of flat raw ones, with the other fields of the finding that won, as the graph takes them."""
+    merged = findings.canonical(raw)
+    new = {"dataset", "severity", "confidence", "providers", "evidence_ids", "fingerprint", "n_merged"}
+    rest = [c for c in raw.columns if c not in new and c != "event_id"]
+    return merged.select("event_id", *sorted(new)).join(raw.select("event_id", *rest).dropDuplicates(["event_id"]), "event_id")
+
 
+def batch_tables(batch: DataFrame, stored: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What one batch of normalised rows adds: events, raw findings, canonical findings, nodes and edges.
 
-def run(lines: DataFrame, out: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    ``stored`` are the raw findings of earlier batches; the fingerprints that the batch touches are merged with theirs.
+    """
+    rows = flat(batch)
+    raw = rows.where("target_table = 'raw_findings'").withColumn("fingerprint", ids.fingerprint_id(findings.fingerprint_key()))
+    every = raw
+    if stored is not None:
+        every = raw.unionByName(stored.select(raw.columns).join(raw.select("fingerprint").distinct(), "fingerprint", "left_semi").select(raw.columns)).dropDuplicates(["event_id"])
+    given = rows.where("target_table = 'canonical_findings'").withColumn("fingerprint", F.col("event_id")).withColumn("n_merged", F.lit(1).cast("long"))
+    canonical = canonical_rows(every).unionByName(given, allowMissingColumns=True)
+    events = rows.where("target_table = 'events'")
+    linked = events.unionByName(canonical, allowMissingColumns=True)
+    return {"events": events, "raw_findings": raw, "canonical_findings": canonical, "nodes": graph.nodes(linked), "edges": graph.edges(linked)}
+
+
+def read(spark: SparkSession, out: str, name: str) -> DataFrame | None:
+    """All batches' rows of a table, or None where there are none yet."""
+    try:
+        return spark.read.option("basePath", f"{out}/{name}").parquet(f"{out}/{name}/batch=*")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+def current(spark: SparkSession, out: str) -> dict[str, DataFrame]:
+    """The tables as they stand: each fingerprint's, node's and edge's last state; alarms of findings that were superseded go."""
+    tables = {n: read(spark, out, n) for n in ("events", "raw_findings", "canonical_findings", "nodes", "edges")}
+    if any(t is None for t in tables.values()):
+        raise ValueError(f"no batch has been stored at {out}")
+    canonical = last_of(tables["canonical_findings"], ["fingerprint"], ["batch"])
+    edges = last_of(tables["edges"], graph.EDGE_KEY, ["batch"])
+    winners = canonical.select("fingerprint", "event_id")
+    edges = edges.where("NOT is_alarm").unionByName(edges.where("is_alarm").join(winners, ["fingerprint", "event_id"], "left_semi").select(edges.columns))
+    last = F.when(F.col("name").isNotNull(), F.struct("ts_us", "batch", "name"))
+    nodes = tables["nodes"].groupBy("uid", "ntype").agg(F.max("ts_us").alias("ts_us"), F.max_by("name", last).alias("name"))
+    return {"events": tables["events"].drop("batch"), "raw_findings": tables["raw_findings"].drop("batch"), "canonical_findings": canonical.drop("batch"), "nodes": nodes, "edges": edges.drop("batch")}
+
+
+def run(lines: DataFrame, out: str, checkpoint: str, interval: str | None = None, horizon: str = "7 days") -> StreamingQuery:
     """The whole tick. A batch's tables go to folders named by its number and are replaced when it is tried again, so a
-    failure between writes repeats no row.
+    failure between writes repeats no row. Raw findings lie by day, and those of the batch's own days alone are read again.
     """
 
     def tick(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         batch.persist()
         try:
-            for name, df in batch_tables(batch).items():
-                df.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+            alerts = batch.where("target_table = 'raw_findings'")
+            days = [r["day"] for r in alerts.select(F.to_date("ts").alias("day")).distinct().collect()]  # the days of one batch
+            stored = read(spark, out, "raw_findings") if days else None
+            if stored is not None:
+                stored = stored.where(F.col("day").isin(days) & (F.col("batch") < number))
+            for name, df in batch_tables(batch, stored).items():
+                to = df.withColumn("day", F.to_date(F.timestamp_micros("ts_us"))) if name == "raw_findings" else df
+                writer = to.write.mode("overwrite")
+                (writer.partitionBy("day") if name == "raw_findings" else writer).parquet(f"{out}/{name}/batch={number}")
         finally:
             batch.unpersist()
 
-    writer = normalized_stream(lines).writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint)
+    writer = normalized_stream(lines, horizon).writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 

@@ -15,19 +15,30 @@ def line(i, kind="event", **event):
 
 
 def test_stream_equals_batch(spark, tmp_path):
+    """In one batch or in one for each file, whose rows are hours late, the tables come out alike."""
     src = tmp_path / "in"
     src.mkdir()
-    (src / "a.jsonl").write_text("\n".join([line(1), line(2, "alert"), line(1), "{broken"]))
-    (src / "b.jsonl").write_text("\n".join([line(3, "alert"), line(2, "alert"), line(4)]))
-    q = ingest.run(readers.lines(spark, f"file://{src}", stream=True, files_per_trigger=10), f"file://{tmp_path}/out", f"file://{tmp_path}/ck")
-    q.awaitTermination(120)
-    assert q.exception() is None
-    read = lambda t: spark.read.parquet(f"file://{tmp_path}/out/{t}")
-    assert sorted(r["event_id"] for r in read("events").collect()) == ["e1", "e4"] and sorted(r["event_id"] for r in read("raw_findings").collect()) == ["e2", "e3"]
+    alert = lambda i, at, who, sev: json.dumps({"@timestamp": at, "event": {"id": f"a{i}", "kind": "alert", "dataset": who, "severity": sev, "category": ["network"]}, "host": {"name": "h"}, "destination": {"ip": "10.0.0.9"}, "tags": ["attack.t1021"]})
+    (src / "a.jsonl").write_text("\n".join([line(1), line(2, "alert"), line(1), "{broken", alert(1, "2024-01-01T09:00:10Z", "falco", 40)]))
+    (src / "b.jsonl").write_text("\n".join([line(3, "alert"), line(2, "alert"), line(4), alert(2, "2024-01-01T09:00:20Z", "suricata", 90)]))
+    (src / "c.jsonl").write_text("\n".join([line(5).replace("2024-01-01T00", "2023-12-31T20"), line(4), alert(3, "2024-01-01T09:00:30Z", "falco", 10)]))
+    found = {}
+    for files in (10, 1):
+        out = f"file://{tmp_path}/out{files}"
+        q = ingest.run(readers.lines(spark, f"file://{src}", stream=True, files_per_trigger=files), out, f"file://{tmp_path}/ck{files}")
+        q.awaitTermination(240)
+        assert q.exception() is None
+        assert sum(t["lines"] for t in ingest.ticks(q)) == 12 and sum(t["dropped"] for t in ingest.ticks(q)) == 1 and sum(t["bytes"] for t in ingest.ticks(q)) > 1000
+        now = ingest.current(spark, out)
+        found[files] = {n: sorted(str(r) for r in df.select(sorted(c for c in df.columns if c != "ingested")).collect()) for n, df in now.items()}
+        assert sorted(r["event_id"] for r in now["events"].collect()) == ["e1", "e4", "e5"] and sorted(r["event_id"] for r in now["raw_findings"].collect()) == ["a1", "a2", "a3", "e2", "e3"]
+        merged = {r["event_id"]: r for r in now["canonical_findings"].collect()}
+        assert merged["a2"]["n_merged"] == 3 and merged["a2"]["providers"] == ["falco", "suricata"] and merged["a2"]["evidence_ids"] == ["a1", "a2", "a3"] and "a1" not in merged
+        assert [(r["event_id"], r["dst_uid"]) for r in now["edges"].where("is_alarm AND rtype = 'NET_CONNECT'").collect()] == [("a2", "IP:ip=10.0.0.9")]
+    assert found[10] == found[1]
     batch = ingest.flat(normalized(readers.lines(spark, f"file://{src}")).where("drop_reason IS NULL")).dropDuplicates(["event_id"])
     want = sorted(r["fingerprint"] for r in findings.canonical(batch.where("kind = 'alert'")).collect())
-    assert sorted(r["fingerprint"] for r in read("canonical_findings").collect()) == want
-    assert {r["rtype"] for r in read("edges").collect()} == {"LOGON"} and {r["ntype"] for r in read("nodes").collect()} == {"Host", "User"}
+    assert sorted(r["fingerprint"] for r in now["canonical_findings"].collect()) == want
 
 
 def test_fingerprint_state(spark, tmp_path):
