@@ -92,11 +92,16 @@ DATA_EXFILTRATION = Rule("Data Exfiltration", (
 RULES = (LATERAL_MOVEMENT, PRIVILEGE_ESCALATION, DATA_EXFILTRATION)
 
 
-def apply(rule: Rule, events: DataFrame) -> DataFrame:
-    """The rule's three-stage correlations among events, which also need event_id, ts_us, user_name, host_ip."""
+def with_levels(events: DataFrame) -> DataFrame:
+    """events with the fields that rules read, and their privilege levels."""
     rows = with_missing(events)
     rows = rows.withColumn("level", correlate.privilege_level(F.col("process_name"), F.col("command_line"), F.col("parent_name")))
-    rows = rows.withColumn("level_confidence", correlate.level_confidence(F.col("level")))
+    return rows.withColumn("level_confidence", correlate.level_confidence(F.col("level")))
+
+
+def apply(rule: Rule, events: DataFrame) -> DataFrame:
+    """The rule's three-stage correlations among events, which also need event_id, ts_us, user_name, host_ip."""
+    rows = with_levels(events)
     return correlate.three_stage(*[rule.stage(rows, i) for i in range(3)]).withColumn("rule", F.lit(rule.name))
 
 

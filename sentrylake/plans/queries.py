@@ -656,7 +656,17 @@ def killchain_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return killchain.kill_chains(_chain_alarms(spark, sf_dir), _edges(spark, sf_dir))
 
 
-@query()
+_FALCO = """f AS (SELECT *, k % 4 AS t, n % 4 AS pr, '/bin/' || process_name AS exe FROM ecs),
+g AS (SELECT *, CASE t WHEN 0 THEN 'execve' WHEN 1 THEN 'openat' WHEN 2 THEN 'connect' ELSE 'unlink' END AS evt FROM f),
+h AS (SELECT *, 'event' AS kd, CASE WHEN t = 0 THEN 'hostlog.process' ELSE 'hostbehavior.file' END AS ds, CASE WHEN t = 0 THEN 'process' ELSE 'file' END AS cat, CASE t WHEN 0 THEN 'process_start' WHEN 3 THEN 'file_delete' ELSE 'file_read' END AS act FROM g
+  UNION ALL SELECT *, 'alert', 'finding.raw.falco', 'intrusion_detection', evt FROM g WHERE pr >= 2)
+SELECT event_id AS message, kd AS kind, ds AS dataset, cat AS category, act AS action, ts_us, host_name, host_id, user_name, process_name, exe AS executable, k::BIGINT AS pid,
+  'p-' || substr(sha1(host_id || ':' || k || ':' || strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S.%fZ') || ':' || exe), 1, 16) AS process_entity_id, CASE t WHEN 0 THEN NULL WHEN 2 THEN host_ip || ':1->10.0.0.9:443' ELSE '/etc/passwd' END AS file_path,
+  CASE WHEN t = 2 THEN host_ip END AS src_ip, CASE WHEN t = 2 THEN 1 END AS src_port, CASE WHEN t = 2 THEN '10.0.0.9' END AS dst_ip, CASE WHEN t = 2 THEN 443 END AS dst_port, 'Run shell untrusted' AS rule_name,
+  CASE pr WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 4 ELSE 8 END AS severity, CASE pr WHEN 0 THEN 10 WHEN 1 THEN 30 WHEN 2 THEN 40 ELSE 80 END AS risk_score, 'TA0002' AS tactic_id, 'T1059.004' AS technique_id FROM h"""
+
+
+@query(duck(_FALCO))
 def falco_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Syscall sensor lines made of the events, mapped to rows of events and alerts."""
     c = F.col
@@ -668,4 +678,6 @@ def falco_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = ecs(spark, sf_dir).select(F.to_json(F.struct(
         F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("time"), F.lit("Run shell untrusted").alias("rule"), priority.alias("priority"), c("host_name").alias("hostname"), fields.alias("output_fields"), c("event_id").alias("output"),
     )).alias("value"))
-    return sensors.falco(lines)
+    found = sensors.falco(lines)
+    same = ["kind", "dataset", "action", "host_name", "host_id", "user_name", "process_name", "executable", "pid", "process_entity_id", "file_path", "src_ip", "src_port", "dst_ip", "dst_port", "rule_name", "severity", "risk_score", "tactic_id", "technique_id"]
+    return found.select("message", listed("category"), F.unix_micros("ts").alias("ts_us"), *same)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sentrylake.functions import attack, ids, texts
 from sentrylake.functions.times import graph_seconds, parse_time, rfc3339
-from sentrylake.operators import correlate, detect, findings, fsa, graph, killchain, normalize, reports, sensors, tables, ttp
+from sentrylake.operators import analysis, correlate, detect, findings, fsa, graph, killchain, normalize, reports, sensors, tables, ttp
 from sentrylake.sources import readers
 
 
@@ -255,6 +255,130 @@ def test_chains_and_kill_chain(spark):
     assert killchain.kill_chains(alarms, found.where("event_id = 'late'")).count() == 0
 
 
+def test_candidate_paths_against_brute_force(spark):
+    """One candidate for each simple path of nodes in time order, with the edges that arrive first."""
+    rng = random.Random(9)
+    names = list("abcdefg")
+    rows = [(*rng.sample(names, 2), f"e{i:02d}", float(rng.randint(0, 30))) for i in range(45)]
+    found = spark.createDataFrame(rows, "src_uid string, dst_uid string, event_id string, ts_float double")
+    asked = [("s", 0, i, a, b, float(lo), float(lo + 18), hops, "x", "y") for i, (a, b, lo, hops) in enumerate([("a", "d", 0, 3), ("b", "g", 5, 4), ("c", "c", 0, 2), ("e", "f", 10, 2), ("a", "g", 12, 5)])]
+    pairs = spark.createDataFrame(asked, "scope string, chain int, pair int, src_uid string, dst_uid string, t_min double, t_max double, hops int, before string, after string")
+    want = {}
+    for _, _, pair, a, b, lo, hi, hops, _, _ in asked:
+        done = []
+
+        def go(path, steps, last):
+            if path[-1] == b:
+                done.append((len(steps), steps, path))
+                return
+            for to in set(names) - set(path):
+                first = min(((t, e) for s, d, e, t in rows if {s, d} == {path[-1], to} and lo <= t <= hi and t >= last), default=None)
+                if first and len(steps) < hops:
+                    go([*path, to], [*steps, first[1]], first[0])
+
+        go([a], [], -1e300)
+        want[pair] = sorted(done)[:20]
+    got = {}
+    for r in killchain.candidate_paths(found, pairs).orderBy("pair", "rank").collect():
+        got.setdefault(r["pair"], []).append((r["hops"], r["steps"], r["path"]))
+    assert got == {k: v for k, v in want.items() if v} and len(got[4]) > 3
+
+
+def test_choice_of_paths(spark):
+    pairs = spark.createDataFrame([("s", 0, 0, "A", "B"), ("s", 0, 1, "B", "C"), ("s", 1, 0, "A", "B")], "scope string, chain int, pair int, before string, after string")
+    rows = [("s", 0, 0, 1, ["a", "b"], ["e1"], 1), ("s", 0, 1, 2, ["x", "y", "z"], ["e2", "e3"], 1), ("s", 0, 1, 2, ["a", "b", "z"], ["e4", "e5"], 2)]
+    found = spark.createDataFrame(rows, "scope string, chain int, pair int, hops int, path array<string>, steps array<string>, rank int")
+    scores = {tuple(r["steps"]): r["score"] for r in killchain.heuristic(found).collect()}
+    assert scores[("e1",)] == 5.0 and scores[("e4", "e5")] == pytest.approx(10 / 3 + 1.0) and scores[("e2", "e3")] == pytest.approx(10 / 3)
+    assert sorted(r["steps"] for r in killchain.choose(pairs, found).collect()) == [["e1"], ["e4", "e5"]]
+    assert [(r["chain"], r["reason"]) for r in killchain.dropped(pairs, found).collect()] == [(1, "no path from A to B")]
+    ask = lambda f: sorted(r["steps"] for r in killchain.choose(pairs, found, f).collect())
+    assert ask(lambda c: c.where("rank = 1")) == [["e1"], ["e2", "e3"]] and ask(lambda c: c.where("pair = 0")) == [["e1"], ["e4", "e5"]]
+    assert ask(lambda c: c.withColumn("steps", F.array(F.lit("made up")))) == [["e1"], ["e4", "e5"]]
+    wrong = {r["chain"]: r["problem"] for r in killchain.validated(found.where("pair = 0"), pairs, found).collect()}
+    assert wrong == {0: "count", 1: "count"}
+    edges = spark.createDataFrame([("u", "v", "X", "e1"), ("v", "w", "X", "k"), ("p", "q", "X", "no")], "src_uid string, dst_uid string, rtype string, event_id string")
+    chain = spark.createDataFrame([("s", 0, "k")], "scope string, chain int, event_id string")
+    nodes = spark.createDataFrame([(x,) for x in "uvwpq"], "uid string")
+    marked, touched = killchain.write_back(edges, nodes, chain, found.where("pair = 0"))
+    assert {r["event_id"] for r in marked.where("killchain IS NOT NULL").collect()} == {"e1", "k"} and {r["uid"] for r in touched.where("killchain IS NOT NULL").collect()} == {"u", "v", "w"}
+
+
+def test_incidents_span_hosts_and_midnight(spark):
+    h = 3600.0
+    rows = [("H:a", "IP:b", 23 * h, "1"), ("H:a", "IP:x", 27 * h, "2"), ("H:b", "IP:y", 28 * h, "3"), ("H:b", "IP:y", 60 * h, "4"), ("H:c", "IP:a", 90 * h, "5")]
+    found = spark.createDataFrame(rows, "src_uid string, dst_uid string, ts_float double, event_id string").withColumn("is_alarm", F.lit(True))
+    own = spark.createDataFrame([("IP:a", "H:a"), ("IP:b", "H:b")], "ip_uid string, host_uid string")
+    scope = {r["event_id"]: r["scope"] for r in graph.incidents(found, own).collect()}
+    assert scope["1"] == scope["2"] == scope["3"] and len({scope[x] for x in "1345"}) == 3
+    links = spark.createDataFrame([(f"{i:02d}", f"{i + 1:02d}") for i in range(30)] + [("x", "y")], "a string, b string")
+    assert {r["node"]: r["root"] for r in graph.components(links).collect()} == {f"{i:02d}": "00" for i in range(31)} | {"x": "x", "y": "x"}
+
+
+def test_kill_chain_query_over_the_events(spark):
+    """Every chain that is left holds: its events are edges, and lone segments have none."""
+    from sentrylake import registry
+
+    out = registry.QUERIES["killchain_paths"](spark, "/root/testdata/sf0.001").collect()
+    known = {r["event_id"] for r in registry.QUERIES["graph_edges"](spark, "/root/testdata/sf0.001").select("event_id").distinct().collect()}
+    assert out and all(set(r["events"]) <= known and (r["n_pairs"] > 0 or not r["events"]) for r in out)
+    chains = registry.QUERIES["fsa_chains"](spark, "/root/testdata/sf0.001").collect()
+    by = {}
+    for r in sorted(chains, key=lambda r: r["seq"]):
+        by.setdefault((r["scope"], r["chain"]), []).append(r)
+    for rows in by.values():
+        states = [r["state"] for r in rows]
+        assert states[-1] in fsa.ACCEPT and all(fsa.Policy().allows(a, b) for a, b in zip(states, states[1:])) and [r["ts_float"] for r in rows] == sorted(r["ts_float"] for r in rows)
+
+
+# --- reads and jobs
+
+
+def test_reads_and_jobs(spark, tmp_path):
+    d = spark.createDataFrame([("a", 1, "event", "hostlog.auth"), ("b", None, "alert", "x"), ("c", 3, "event", "netflow.flow")], "event_id string, ts_us long, kind string, dataset string")
+    rows, total = analysis.page(d, [F.col("event_id")], 1, 1)
+    assert [r["event_id"] for r in rows.collect()] == ["b"] and total == 3
+    q = {"bool": {"filter": [{"term": {"a": 1}}, {"bool": {"must": {"range": {"t": {"gte": 2}}}}}]}}
+    assert analysis.first_clause(q, "range") == {"t": {"gte": 2}} and analysis.first_clause(q, "term") == {"a": 1} and analysis.first_clause(q, "ids") is None
+    good, bad = (lambda s: d), (lambda s: s.read.parquet(f"file://{tmp_path}/none"))
+    out, told, status = analysis.routes(spark, {"one": good, "two": bad})
+    assert out.count() == 3 and status == "partial" and told["one"] == "ok" and "PATH_NOT_FOUND" in told["two"] and analysis.routes(spark, {"two": bad})[2] == "failed"
+    analysis.write_split(d, f"file://{tmp_path}/split")
+    assert spark.read.json(f"file://{tmp_path}/split/normal").count() == 2 and spark.read.json(f"file://{tmp_path}/split/abnormal").count() == 1
+    assert {r["event_id"] for r in analysis.recent(d, 300_000_002).collect()} == {"b", "c"} and {r["event_id"] for r in tables.kept_since(d.withColumn("ingest_date", F.lit("2024-01-05").cast("date")), 3, "2024-01-09").collect()} == set()
+    none = d.where("false").withColumn("provider", F.lit("x"))
+    assert analysis.high_water(none, 4_000_000_000) == 400_000_000 and analysis.high_water(d.withColumn("provider", F.lit("security_analytics")), 9_000_000) == 4_000_000
+    assert tables.read_or_empty(spark, f"file://{tmp_path}/none", "a int").count() == 0
+    rules = spark.createDataFrame([("r1", 1), ("r2", 2)], "name string, level int")
+    once = analysis.registered(rules, spark.createDataFrame([("r2", 5), ("r3", 3)], "name string, level int"))
+    assert sorted(map(tuple, once.collect())) == [("r1", 1), ("r2", 5), ("r3", 3)] == sorted(map(tuple, analysis.registered(once, once).collect()))
+    log, task = [], "trace-" + "0" * 36
+    assert analysis.analysis_task(task, 1, 2, {"n": d.count}, lambda *x: log.append(x)) == {"n": 3} and [x[1] for x in log] == ["running", "done"]
+    with pytest.raises(ZeroDivisionError):
+        analysis.analysis_task(task, 1, 2, {"n": lambda: 1 / 0}, lambda *x: log.append(x))
+    assert log[-1][1] == "failed" and "division" in log[-1][2]
+    for args in ((task, 3, 2), ("trace-1", 1, 2)):
+        with pytest.raises(ValueError):
+            analysis.analysis_task(*args, {}, print)
+
+
+def test_correlation_before_merge(spark):
+    """A privileged start, a connection to another host and a privileged start there become one finding with its evidence."""
+    t, rows = 1_700_000_000_000_000, []
+    for i, (host, ip, action, cat, src, dst) in enumerate([("a", "10.0.0.1", "process_start", "process", None, None), ("a", "10.0.0.1", "conn", "network", "10.0.0.1", "10.0.0.2"), ("b", "10.0.0.2", "process_start", "process", "10.0.0.2", None)]):
+        rows.append((f"e{i}", t + i, host, f"h-{host}", ip, action, [cat], "sudo x" if cat == "process" else None, src, dst, "outbound", "u"))
+    events = spark.createDataFrame(rows, "event_id string, ts_us long, host_name string, host_id string, host_ip string, action string, category array<string>, command_line string, src_ip string, dst_ip string, direction string, user_name string")
+    raw = flat(spark, [("r", t, "T1021", "TA0008", "h-a", None, None, None, None, "falco", 10, 0.5)])
+    out = analysis.correlated_then_merged(events, raw.withColumn("evidence_ids", F.array("event_id"))).collect()
+    assert len(out) == 1 and out[0]["n_merged"] == 2 and out[0]["providers"] == ["correlation_rules", "falco"] and set(out[0]["evidence_ids"]) == {"r", "e0", "e1", "e2"} and out[0]["severity"] == 50
+
+
+def test_tags_of_matched_rules_and_answers(spark):
+    doc = {"@timestamp": "2024-01-01T00:00:00Z", "event": {"id": "e", "kind": "alert", "dataset": "finding.raw.falco"}, "host": {"name": "h"}, "anomaly": {"matched_rules": [{"name": "r"}, {"tags": ["attack.t1059", "attack.execution"]}]}, "dns": {"answers": [{"data": "1.1.1.1"}, {"ip": "2.2.2.2"}], "resolved_ip": "3.3.3.3"}}
+    r = normalize.normalized(spark.createDataFrame([(json.dumps(doc),)], "value string")).first()
+    assert (r["tactic_id"], r["technique_id"], r["dns_answers"]) == ("TA0002", "T1059", ["1.1.1.1", "2.2.2.2", "3.3.3.3"])
+
+
 def test_wider_searches(spark):
     """Pairs that the anchors don't join: by two more hops, from another node of the segment, or by semantic anchors."""
     chain = [("s", 0, 1.0, i, f"e{i}", st, float(i * 10), a, b, r, "x") for i, (st, a, b, r) in enumerate([("Initial Access", "Host:h", "Process:p", "RUNS_ON"), ("Initial Access", "User:u", "Host:q", "LOGON"), ("Execution", "Process:far", "Process:r", "SPAWN")])]
