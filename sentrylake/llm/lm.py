@@ -1,20 +1,22 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
-A text is its lower-cased (A-Z) words and one end token. A word's cell is a pair of hashes of its spelling: a class of
-its last letters and a sub-class of its first ones. The model is
+A text is its lower-cased (A-Z) words and one end token. A word's cell is three numbers: a class hashed from its last
+letters, a sub-class hashed from its first ones, and a slot hashed from the whole word. The model is
 
-    P(word | history) = P(class | history) * P(sub-class | class, history) * P(word | cell)
+    P(word | history) = P(class | history) * P(sub-class | class, history) * P(slot | class, sub-class, history) * P(word | cell)
 
-The first two factors are softmaxes over hashed n-gram and skip features of the history: the last word, the last two
-words, and the cells of the words two and three back. The third is the word's smoothed share of its cell, which is what
-a maximum-entropy model with word features alone comes to. Words not seen in training share one event in each cell.
+The first three factors are softmaxes over hashed n-gram and skip features of the history: the last word, the last two
+words, and the cells of the words two and three back. The last is the word's smoothed share of the few words of its cell,
+which is what a maximum-entropy model with word features alone comes to. Words not seen in training share one event in
+each cell.
 
 1. Tasks turn texts into blocks: token numbers, with a vocabulary of the block of its own. No text is read twice.
 2. Words are counted over all blocks by their 64-bit hashes (a collision of two words is expected once in some billion
    distinct words), and counts go back to the blocks that have the word.
 3. Training is bulk-synchronous: in each round every task takes gradient steps over its blocks' share of the training
-   documents, and the tasks' changes, weighted by tokens, are summed by rows of the model in a shuffle. Each training
-   document is used once. The model's size is fixed: ROWS rows for each feature.
+   documents, and the tasks' changes, weighted by tokens, are summed by rows of the model in two shuffles, of FAN_IN tasks
+   at most and then of their sums. Each training document is used once. What is counted grows with the corpus; the features'
+   table does not (ROWS rows for each, a parameter), as every task sends its changes of all of it.
 4. Blocks are scored with their words' counts, in sparse numpy batches.
 
 Defined results: a null text is an empty one and has the end token alone; a null doc_id counts as the empty text for the
@@ -24,10 +26,12 @@ has probability 1; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -38,11 +42,12 @@ from pyspark.sql import functions as F
 
 from sentrylake.llm.common import materialize
 
-CLASSES, SUBS = 32, 16
-CELLS = CLASSES * SUBS
+#: Classes, sub-classes of a class and slots of a sub-class.
+LEVEL = 16
+CELLS = LEVEL**3
 ROWS = 1 << 14
 FEATURES = 4
-WIDTH = CLASSES + SUBS
+WIDTH = 3 * LEVEL
 ROUNDS = 2
 BATCH = 1 << 14
 RATE = 0.5
@@ -50,6 +55,8 @@ RATE = 0.5
 BLOCK_TOKENS = 1 << 22
 #: Model rows are exchanged in pieces of so many.
 PIECE = 1 << 9
+#: Tasks whose changes are summed at once.
+FAN_IN = 256
 SEED = 42
 TAIL = b".,;:!?\"')(|*#&%$"
 BLOCK = "block long, doc_ids array<long>, held array<boolean>, n_tokens array<long>, tokens binary, hashes binary, marks binary, cells binary, counts binary"
@@ -70,7 +77,8 @@ def remainder(doc_id: int | None) -> int:
 
 def cell_of(word: bytes) -> int:
     bare = word.strip(TAIL) or word
-    return xxhash.xxh32_intdigest(bare[-3:], 1) % CLASSES * SUBS + (xxhash.xxh32_intdigest(bare[:3], 2) + (word[-1:] != bare[-1:])) % SUBS
+    last, first = xxhash.xxh32_intdigest(bare[-3:], 1) % LEVEL, (xxhash.xxh32_intdigest(bare[:3], 2) + (word[-1:] != bare[-1:])) % LEVEL
+    return (last * LEVEL + first) * LEVEL + xxhash.xxh32_intdigest(word, 3) % LEVEL
 
 
 class BlockBuilder:
@@ -183,32 +191,47 @@ def histories(tokens: np.ndarray, first: np.ndarray, marks: np.ndarray, cells: n
     return np.stack([mixed(w1, 0), mixed(pair, 1), back(cell, 2).astype(np.int64), back(cell, 3).astype(np.int64)], axis=1) + np.arange(FEATURES) * ROWS
 
 
-def log_shares(w: np.ndarray, bias: np.ndarray, sub_bias: np.ndarray, rows: np.ndarray, cell: np.ndarray, shares: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Natural log of P(cell | history) of tokens; with ``shares`` P(classes) and P(sub-classes given the class) too."""
+class Biases(NamedTuple):
+    """Logarithms of the shares of classes, of sub-classes in their class and of slots in their sub-class."""
+
+    of_class: np.ndarray
+    of_sub: np.ndarray
+    of_slot: np.ndarray
+
+    @classmethod
+    def of(cls, cells_n: np.ndarray) -> Biases:
+        n = (cells_n + 0.5 / LEVEL).reshape(LEVEL, LEVEL, LEVEL)
+        sub, whole = n.sum(axis=2), n.sum(axis=(1, 2))
+        shares = (whole / whole.sum(), sub / whole[:, None], (n / sub[:, :, None]).reshape(-1, LEVEL))
+        return cls(*[np.log(x).astype(np.float32) for x in shares])
+
+
+def log_shares(w: np.ndarray, bias: Biases, rows: np.ndarray, cell: np.ndarray, shares: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log of P(cell | history) of tokens, and with ``shares`` the probabilities of each level's numbers (WIDTH columns)."""
     logits = np.take(w, rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
         logits += np.take(w, rows[:, k], axis=0)
     np.clip(logits, -60, 60, out=logits)
-    c, s, at = cell // SUBS, cell % SUBS, np.arange(len(cell))
-    a, b = logits[:, :CLASSES] + bias, logits[:, CLASSES:] + sub_bias[c]
-    out = a[at, c] + b[at, s]
-    np.exp(a, out=a)
-    np.exp(b, out=b)
-    ps, qs = a.sum(axis=1), b.sum(axis=1)
-    out -= np.log(ps) + np.log(qs)
+    at, sub = np.arange(len(cell)), cell // LEVEL
+    levels = logits.reshape(-1, 3, LEVEL)
+    levels[:, 0] += bias.of_class
+    levels[:, 1] += np.take(bias.of_sub, sub // LEVEL, axis=0)
+    levels[:, 2] += np.take(bias.of_slot, sub, axis=0)
+    out = levels[at, 0, sub // LEVEL] + levels[at, 1, sub % LEVEL] + levels[at, 2, cell % LEVEL]
+    np.exp(logits, out=logits)
+    sums = levels.sum(axis=2)
+    out -= np.log(sums).sum(axis=1)
     if shares:
-        a /= ps[:, None]
-        b /= qs[:, None]
-    return out, a, b
+        levels /= sums[:, :, None]
+    return out, logits
 
 
-def learn(w: np.ndarray, squares: np.ndarray, bias: np.ndarray, sub_bias: np.ndarray, rows: np.ndarray, cell: np.ndarray) -> None:
+def learn(w: np.ndarray, squares: np.ndarray, bias: Biases, rows: np.ndarray, cell: np.ndarray) -> None:
     """One adaptive gradient step over a batch, in place."""
-    _, p, q = log_shares(w, bias, sub_bias, rows, cell, shares=True)
+    error = log_shares(w, bias, rows, cell, shares=True)[1]
     at = np.arange(len(cell))
-    p[at, cell // SUBS] -= 1
-    q[at, cell % SUBS] -= 1
-    error = np.concatenate([p, q], axis=1)
+    for level, number in enumerate((cell // LEVEL**2, cell // LEVEL % LEVEL, cell % LEVEL)):
+        error[at, level * LEVEL + number] -= 1
     for k in range(rows.shape[1]):
         r = (rows[:, k] - k * ROWS).astype(np.uint16)  # narrow numbers are sorted by digits
         order = np.argsort(r, kind="stable")
@@ -225,16 +248,29 @@ def opened(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return unpacked(row.tokens), np.asarray(row.n_tokens, np.int64), np.frombuffer(row.marks, np.uint32).astype(np.uint64), np.frombuffer(row.cells, np.uint16)
 
 
-def train(found: DataFrame, bias: np.ndarray, sub_bias: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+def halved(x: np.ndarray) -> bytes:
+    """Numbers in half precision, scaled so that the greatest fits, behind their scale."""
+    x = x.ravel()
+    scale = np.float32(np.abs(x).max(initial=0.0)) or np.float32(1)
+    return scale.tobytes() + (x / scale).astype(np.float16).tobytes()
+
+
+def doubled(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, np.float16, offset=4).astype(np.float32) * np.frombuffer(b, np.float32, 1)
+
+
+def train(found: DataFrame, bias: Biases, rounds: int = ROUNDS, fan_in: int = FAN_IN) -> np.ndarray:
     """The model's weights (FEATURES * ROWS, WIDTH)."""
     spark = found.sparkSession
     w = np.zeros((FEATURES * ROWS, WIDTH), np.float32)
     squares = np.zeros(FEATURES * ROWS, np.float32)
+    # sums of sums, until all tasks' are one
+    levels = max(1, math.ceil(math.log(max(2, found.rdd.getNumPartitions()), fan_in)))
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((w, squares, bias, sub_bias))
+        shared = spark.sparkContext.broadcast((w, squares, bias))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared, turn=turn) -> Iterator[pd.DataFrame]:
-            w0, s0, bias, sub_bias = shared.value
+            w0, s0, bias = shared.value
             w, s, seen = w0.copy(), s0.copy(), 0
             for batch in batches:
                 for row in batch.itertuples(index=False):
@@ -251,46 +287,46 @@ def train(found: DataFrame, bias: np.ndarray, sub_bias: np.ndarray, rounds: int
                         rows = histories(tokens[a:hi], np.r_[True, first[a + 1 : hi]], marks, cells)[lo - a :]
                         cell = cells[tokens[lo:hi]].astype(np.int64)
                         for x in range(0, hi - lo, BATCH):
-                            learn(w, s, bias, sub_bias, rows[x : x + BATCH], cell[x : x + BATCH])
+                            learn(w, s, bias, rows[x : x + BATCH], cell[x : x + BATCH])
                     seen += len(tokens)
             if seen:
-                change = ((w - w0) * np.float32(seen)).reshape(-1, PIECE, WIDTH)
-                grown = (s - s0).reshape(-1, PIECE)
-                # half precision is enough for a task's change; it is scaled so as to stay in its range
-                scale = np.abs(change).max(axis=(1, 2)).astype(np.float64)
-                moved = np.flatnonzero(scale)
-                yield pd.DataFrame({"piece": [-1], "n": [seen], "scale": [0.0], "change": [b""], "squares": [b""]})
-                for i in moved:
-                    yield pd.DataFrame({"piece": [i], "n": [0], "scale": [scale[i]], "change": [(change[i] / scale[i]).astype(np.float16).tobytes()], "squares": [grown[i].astype(np.float16).tobytes()]})
+                part = TaskContext.get().partitionId()
+                change, grown = ((w - w0) * np.float32(seen)).reshape(-1, PIECE, WIDTH), (s - s0).reshape(-1, PIECE)
+                yield pd.DataFrame({"part": [part], "piece": [-1], "n": [seen], "parts": [1], "change": [b""], "squares": [b""]})
+                for i in np.flatnonzero(np.abs(change).max(axis=(1, 2))):
+                    yield pd.DataFrame({"part": [part], "piece": [i], "n": [0], "parts": [1], "change": [halved(change[i])], "squares": [halved(grown[i])]})
 
         def added(rows: pd.DataFrame) -> pd.DataFrame:
-            change, squares = np.zeros((PIECE, WIDTH)), np.zeros(PIECE)
+            change, squares = np.zeros(PIECE * WIDTH, np.float32), np.zeros(PIECE, np.float32)
             for r in rows.itertuples(index=False):
                 if r.piece >= 0:
-                    change += np.frombuffer(r.change, np.float16).reshape(PIECE, WIDTH).astype(np.float64) * r.scale
-                    squares += np.minimum(np.frombuffer(r.squares, np.float16).astype(np.float64), 6e4)
-            return pd.DataFrame({"piece": rows["piece"].iloc[:1], "n": [rows["n"].sum()], "change": [change.astype(np.float32).tobytes()], "squares": [(squares / len(rows)).astype(np.float32).tobytes()]})
+                    change += doubled(r.change)
+                    squares += doubled(r.squares)
+            out = {"part": rows["part"].iloc[:1] // fan_in, "piece": rows["piece"].iloc[:1], "n": [rows["n"].sum()], "parts": [rows["parts"].sum()]}
+            return pd.DataFrame(out | {"change": [halved(change)], "squares": [halved(squares)]})
 
-        kinds = "piece int, n long, scale double, change binary, squares binary"
+        kinds = "part int, piece int, n long, parts long, change binary, squares binary"
         changes = found.select("held", "n_tokens", "tokens", "marks", "cells").mapInPandas(run, kinds)
-        summed = changes.groupBy("piece").applyInPandas(added, "piece int, n long, change binary, squares binary").collect()  # the model's rows
+        for _ in range(levels):
+            changes = changes.groupBy("piece", F.floor(F.col("part") / fan_in)).applyInPandas(added, kinds)
+        summed = changes.collect()  # the model's rows
         total = sum(r["n"] for r in summed)
         for r in summed:
             if r["piece"] >= 0:
                 at = slice(r["piece"] * PIECE, (r["piece"] + 1) * PIECE)
-                w[at] += np.frombuffer(r["change"], np.float32).reshape(PIECE, WIDTH) / np.float32(total)
-                squares[at] += np.frombuffer(r["squares"], np.float32)
+                w[at] += doubled(r["change"]).reshape(PIECE, WIDTH) / np.float32(total)
+                squares[at] += doubled(r["squares"]) / np.float32(r["parts"])
         shared.unpersist()
     return w
 
 
-def score(found: DataFrame, words: DataFrame, w: np.ndarray, bias: np.ndarray, sub_bias: np.ndarray, cells_n: np.ndarray, cells_v: np.ndarray, n: int, v: int) -> DataFrame:
+def score(found: DataFrame, words: DataFrame, w: np.ndarray, bias: Biases, cells_n: np.ndarray, cells_v: np.ndarray, n: int, v: int) -> DataFrame:
     """The documents' scores. words: block, local, c (the word's training count) of the words that other blocks count too."""
-    shared = found.sparkSession.sparkContext.broadcast((w, bias, sub_bias))
+    shared = found.sparkSession.sparkContext.broadcast((w, bias))
     kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def run(block: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        w, bias, sub_bias = shared.value
+        w, bias = shared.value
         row = next(block.itertuples(index=False))
         tokens, lengths, marks, cells = opened(row)
         c = unpacked(row.counts).astype(np.int64)
@@ -305,7 +341,7 @@ def score(found: DataFrame, words: DataFrame, w: np.ndarray, bias: np.ndarray, s
             hi = min(len(tokens), lo + BATCH)
             a = max(0, lo - 3)
             rows = histories(tokens[a:hi], np.r_[True, first[a + 1 : hi]], marks, cells)[lo - a :]
-            of[lo:hi] += log_shares(w, bias, sub_bias, rows, cells[tokens[lo:hi]].astype(np.int64))[0] / np.log(10)
+            of[lo:hi] += log_shares(w, bias, rows, cells[tokens[lo:hi]].astype(np.int64))[0] / np.log(10)
         return pd.DataFrame({
             "doc_id": pd.array([None if pd.isna(i) else int(i) for i in row.doc_ids], "Int64"), "held_out": np.asarray(row.held, bool), "n_tokens": lengths,
             "n_known": np.add.reduceat((c > 0)[tokens].astype(np.int64), starts), "train_tokens": n,
@@ -323,12 +359,10 @@ def scores(docs: DataFrame, tokens: int = BLOCK_TOKENS, rounds: int = ROUNDS) ->
     cells_n, cells_v = cell_counts(found), np.zeros(CELLS, np.int64)
     for r in distinct:
         cells_v[r["cell"]] = r["v"]
-    shares = (cells_n + 0.5).reshape(CLASSES, SUBS)
-    bias = np.log(shares.sum(axis=1) / shares.sum()).astype(np.float32)
-    sub_bias = np.log(shares / shares.sum(axis=1, keepdims=True)).astype(np.float32)
-    w = train(found, bias, sub_bias, rounds) if cells_n.sum() else np.zeros((FEATURES * ROWS, WIDTH), np.float32)
+    bias = Biases.of(cells_n)
+    w = train(found, bias, rounds) if cells_n.sum() else np.zeros((FEATURES * ROWS, WIDTH), np.float32)
     back = words.where("block IS NOT NULL").select("block", "local", "c")
-    return score(found.drop("hashes"), back, w, bias, sub_bias, cells_n, cells_v, int(cells_n.sum()), int(cells_v.sum()))
+    return score(found.drop("hashes"), back, w, bias, cells_n, cells_v, int(cells_n.sum()), int(cells_v.sum()))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

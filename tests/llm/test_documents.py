@@ -397,15 +397,83 @@ def test_lm_is_a_distribution():
     """Over the known words and one unknown event a cell, probabilities sum to one after any history."""
     rng = np.random.default_rng(1)
     w = rng.normal(0, 0.3, (lm.FEATURES * lm.ROWS, lm.WIDTH)).astype(np.float32)
-    bias, sub = rng.normal(0, 1, lm.CLASSES).astype(np.float32), rng.normal(0, 1, (lm.CLASSES, lm.SUBS)).astype(np.float32)
+    bias = lm.Biases.of(rng.integers(0, 9, lm.CELLS))
     rows = np.repeat(np.array([[5, lm.ROWS + 6, 2 * lm.ROWS + 7, 3 * lm.ROWS + 8]]), lm.CELLS, axis=0)
-    logs, *_ = lm.log_shares(w, bias, sub, rows, np.arange(lm.CELLS))
+    logs, *_ = lm.log_shares(w, bias, rows, np.arange(lm.CELLS))
     assert np.exp(logs.astype(np.float64)).sum() == pytest.approx(1.0, abs=1e-4)
     c = np.array([3, 1, 0, 7])
     inner = (c + 0.5) / (c.sum() + 0.5 * ((c > 0).sum() + 1))
     assert inner[c > 0].sum() + inner[2] == pytest.approx(1.0)
 
 
+def plain_lm_scores(texts):
+    """The model by plain sums over tokens, in one process: two rounds over every other training document."""
+    words = [[w.encode() for w in t.lower().split()] + [b""] for t in texts]
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
+    cell = lambda w: lm.cell_of(w) if w else 0
+    mark = lambda w: np.uint64(xxhash.xxh64_intdigest(w, 42) >> 32) if w else np.uint64(0)
+    c = Counter(w for i, ws in enumerate(words) if not held[i] for w in ws)
+    cells_n, cells_v = np.zeros(lm.CELLS, np.int64), np.zeros(lm.CELLS, np.int64)
+    for w, n in c.items():
+        cells_n[cell(w)] += n
+        cells_v[cell(w)] += 1
+    bias, weights, squares = lm.Biases.of(cells_n), defaultdict(lambda: np.zeros(lm.WIDTH)), defaultdict(float)
+
+    def of(doc):
+        known = sorted(set(doc))
+        at = {w: i for i, w in enumerate(known)}
+        return lm.histories(np.array([at[w] for w in doc]), np.arange(len(doc)) == 0, np.array([mark(w) for w in known]), np.array([cell(w) for w in known], np.uint16))
+
+    def shares(rows, x):
+        logits = sum(weights[r] for r in rows).reshape(3, lm.LEVEL) + np.stack([bias.of_class, bias.of_sub[x // lm.LEVEL**2], bias.of_slot[x // lm.LEVEL]])
+        return np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+
+    numbers = lambda x: (x // lm.LEVEL**2, x // lm.LEVEL % lm.LEVEL, x % lm.LEVEL)
+    for turn in range(lm.ROUNDS):
+        slope = defaultdict(lambda: np.zeros(lm.WIDTH))
+        for i, doc in enumerate(words):
+            if not held[i] and i % lm.ROUNDS == turn:
+                for rows, w in zip(of(doc).tolist(), doc, strict=True):
+                    error = shares(rows, cell(w))
+                    for level, x in enumerate(numbers(cell(w))):
+                        error[level, x] -= 1
+                    for r in rows:
+                        slope[r] += error.ravel()
+        for r, g in slope.items():
+            squares[r] += (g * g).mean()
+            weights[r] = weights[r] - lm.RATE / lm.FEATURES * g / math.sqrt(squares[r] + 1)
+    out = []
+    for doc in words:
+        total = 0.0
+        for rows, w in zip(of(doc).tolist(), doc, strict=True):
+            p = shares(rows, cell(w))
+            total += sum(math.log10(p[level, x]) for level, x in enumerate(numbers(cell(w)))) + math.log10((c[w] + 0.5) / (cells_n[cell(w)] + 0.5 * (cells_v[cell(w)] + 1)))
+        out.append(total)
+    return out
+
+
+def test_lm_against_a_plain_trainer(spark):
+    rng = np.random.default_rng(8)
+    bits = [f"{a}{b}" for a in ("ta", "ko", "mi", "re", "su") for b in ("na", "lo", "x", "ve,")]
+    texts = [" ".join(rng.choice(bits, rng.integers(1, 40))) for _ in range(80)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["score"] for r in lm.scores(d).collect()}
+    want = plain_lm_scores(texts)
+    assert max(abs(got[i] - x) / max(1, len(texts[i].split())) for i, x in enumerate(want)) < 2e-3
+
+
+def test_lm_sums_of_sums(spark):
+    """Changes of many tasks, summed at once or two at a time, and of any size."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, 999).astype(np.float32) * np.float32(1e9)
+    assert np.abs(lm.doubled(lm.halved(x)) - x).max() < 1e-3 * np.abs(x).max() and not lm.doubled(lm.halved(x * 0)).any()
+    d = spark.createDataFrame([(i, " ".join(rng.choice(["ab", "cd", "ef", "gh"], 50))) for i in range(60)], "doc_id long, text string").repartition(7)
+    found = lm.materialize(lm.blocks(d), "test-blocks")
+    bias = lm.Biases.of(lm.cell_counts(found))
+    a, b = lm.train(found, bias, fan_in=2), lm.train(found, bias)
+    assert np.abs(a - b).max() < 0.01 * np.abs(b).max() > 0
+
+
 def test_lm_learns_from_history(spark):
     """Texts of two languages: the last words tell which words follow."""
     rng = np.random.default_rng(3)
