@@ -6,11 +6,13 @@ variate divided by its quality weight, so that ascending keys are a weighted dra
 whole epochs of all documents come first; the rest of the target is filled in key order as long as a document brings
 the running sum of words nearer to the budget, so that it ends within half a document of it.
 
-The running sums never put a source into one task: keys fall into 4096 fixed cells of their distribution, cells are
-summed and prefix-summed (4096 rows a source), and rows are sorted only within their cell of their source.
+The running sums never put a source into one task: rows are range-partitioned by source and key, so that a large source
+lies in many ranges; a source's ranges are summed and prefix-summed (sources + ranges rows), and rows are added up
+only within their range of their source.
 
 Defined results: a null text has size 0 and is never taken; a null source is a source of its own, after all others; ties
-of keys are broken by doc_id and text hash, null first; an empty table gives no rows; a mix of empty texts takes nothing.
+of keys are broken by doc_id and text hash, null first; repeated rows are taken one by one; very long texts are counted whole, and
+the budget is met within half of one; callers' columns keep their names and values, whatever they are; an empty table gives no rows; a mix of empty texts takes nothing.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ from sentrylake.llm.common import WORD, global_rank, materialize, unit_hash
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
-CELLS = 4096
 
 
 def size_of(text: Column) -> Column:
@@ -71,18 +72,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     if quality is None:
         rows = rows.withColumn("quality", quality_weight(F.col("size"), F.col("chars")))
     key = -F.log(unit_hash(F.lit(seed), F.col("doc_id"))) / F.greatest(F.coalesce("quality", F.lit(1e-6)), F.lit(1e-6))
-    # exp(-key) of an exponential key is spread over (0, 1); the cells only group keys, in their order
-    cell = F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * F.lit(CELLS)).cast("int")
-    rows = materialize(rows.drop("chars").withColumn("key", key).withColumn("cell", cell), "mix")
-    cells = rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
-    cells = materialize(cells, "cells")
+    rows = materialize(rows.drop("chars").withColumn("key", key).withColumn("at", F.monotonically_increasing_id()), "mix")
+    order = [F.col("source"), F.col("key"), F.col("doc_id"), F.col("text_hash"), F.col("at")]
+    rows = materialize(rows.repartitionByRange(*order).withColumn("cell", F.spark_partition_id()), "ranges")
+    cells = materialize(rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size")), "cells")
     aims = targets(cells.groupBy("source").agg(F.sum("cell_size").cast("long").alias("source_size")), weights, share, most)
     before = F.sum("cell_size").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
     cells = cells.withColumn("cells_before", F.coalesce(before, F.lit(0)))
     cells = cells.join(aims, cells["source"].eqNullSafe(aims["source"])).drop(aims["source"])
     both = rows["source"].eqNullSafe(cells["source"]) & (rows["cell"] == cells["cell"])
     rows = rows.join(cells, both).drop(cells["source"], cells["cell"])
-    within = Window.partitionBy("source", "cell").orderBy("key", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "cell").orderBy("key", "doc_id", "text_hash", "at").rowsBetween(Window.unboundedPreceding, 0)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rows = rows.withColumn("running", F.col("cells_before") + F.sum("size").over(within)).withColumn("epochs", epochs)
     budget = F.col("target") - F.col("epochs") * F.col("source_size")
