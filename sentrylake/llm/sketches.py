@@ -5,7 +5,7 @@ sequence). Sketches of parts merge to the sketch of the whole. From two sketches
 containment, and from one the number of distinct shingles; all three are exact while texts have fewer than K of them.
 
 Defined results: a null text is an empty one, whose sketch is empty; two empty sketches have resemblance 1, an empty and
-another one 0; rows with equal doc_id and text count as one document when a document's successor is sought, and a null
+another one 0; equal hashes of different shingles count once; very long texts are sketched whole, in K hashes; rows with equal doc_id and text count as one document when a document's successor is sought, and a null
 doc_id comes first; a lone document follows itself; an empty table gives no rows; other columns are ignored.
 """
 
@@ -113,4 +113,5 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("other")).alias("edited_fingerprint"),
         resemblance(F.col("own"), F.col("other")).alias("near_edited"), resemblance(F.col("own"), F.col("next_sketch")).alias("near_next"),
+        distinct_count(F.col("own")).alias("n_shingles"), distinct_count(F.col("other")).alias("edited_n_shingles"), containment(F.col("own"), F.col("other")).alias("contained_in_edited"), containment(F.col("own"), F.col("next_sketch")).alias("contained_in_next"),
     )
