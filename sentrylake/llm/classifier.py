@@ -2,25 +2,29 @@
 
 Statistics of whole texts are standardised by the means and deviations of all documents. Random Fourier features of
 fixed seed approximate a Gaussian kernel over them. Tasks sum the normal equations of their labelled rows, and their sums
-are summed by row of the matrix; the driver solves one system of FEATURES + 1 unknowns. Raw scores of the labelled rows
-are counted into 1024 bins, and a pool of adjacent violators over those makes them probabilities.
+are summed by row of the matrix, in bounded fan-in; the driver solves one system of FEATURES + 1 unknowns. Raw scores of
+the labelled rows of a fold that the ridge has not seen are counted into 1024 bins, and a pool of adjacent violators over
+those makes them probabilities.
 
 All labelled training rows are used. Labels, lang, source and doc_id are never inputs of a score.
 
 Defined results: a null or empty text has the statistics of a text without words and gets their score; a null doc_id is
 scored, is never labelled and counts as held out as the remainder of an empty text says (crc32 of it is 0); a document's
 repeated labels count once, by their maximum, and null labels not at all; without any labelled row every score is 0.5;
-repeated rows are scored one by one; an empty table gives no rows; other columns are ignored.
+repeated rows are scored one by one; equal texts have equal scores; very long texts are read whole, and their statistics
+are bounded; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,18 +41,23 @@ SYMBOL = re.compile(r"[#*$%&|<>@_~^=+{}\\]")
 DIGIT = re.compile(r"[0-9]")
 PUNCTUATION = re.compile(r"[.,;:!?]")
 THRESHOLD = 0.3
+#: Of so many folds of the labelled rows, one calibrates.
+FOLDS = 5
+#: Tasks whose sums are added at once.
+FAN_IN = 256
 
 
 def statistics(text: str | None) -> list[float]:
     """The statistics of a whole text, each of a bounded range."""
     text = text or ""
-    words = text.split()
+    raw = text.encode("utf-8", "surrogatepass")  # bytes are split at the six ASCII white-space characters alone
+    words = b" ".join(raw.split()).decode("utf-8", "surrogatepass").split(" ") if raw and not raw.isspace() else []
     n = len(words)
     if not n:
         return [0.0] * len(STATS)
     lengths = np.fromiter(map(len, words), np.float64, n)
     counts = Counter(words)
-    lines = [x for x in text.split("\n") if x and not x.isspace()]
+    lines = [x for x in raw.split(b"\n") if x and not x.isspace()]
     pairs = Counter(zip(words, words[1:], words[2:], strict=False))
     return [
         float(np.log1p(n)), float(min(lengths.mean(), 30)), float(min(lengths.std(), 30)), sum(map(str.isupper, words)) / n,
@@ -108,24 +117,34 @@ def pooled(n: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 def fit(stats: DataFrame, labelled: DataFrame) -> tuple[FourierFeatures, np.ndarray, np.ndarray]:
-    """(features, weights, calibrated share of each bin) from stats of all rows and labelled rows (STATS, label)."""
+    """(features, weights, calibrated share of each bin) from stats of all rows and labelled rows (STATS, label, fold).
+
+    The ridge is fitted on all folds but 0, which calibrates it; where that leaves either without rows, both see all.
+    """
     sums = stats.agg(*[F.avg(s).alias(f"m_{s}") for s in STATS], *[F.stddev_pop(s).alias(f"d_{s}") for s in STATS]).first()
     mean = np.array([sums[f"m_{s}"] or 0.0 for s in STATS])
     spread = np.array([sums[f"d_{s}"] or 0.0 for s in STATS])
     features = FourierFeatures(mean, np.where(spread > 1e-9, spread, 1.0))
     size = FEATURES + 1
 
+    sizes = {r["f"]: r["n"] for r in labelled.groupBy((F.col("fold") == 0).alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    both = len(sizes) == 2
+    fitted, calibrating = (labelled.where("fold <> 0"), labelled.where("fold = 0")) if both else (labelled, labelled)
+
     def normal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((size, size + 1))
         for batch in batches:
             z = features(batch[list(STATS)].to_numpy(np.float64))
             total += z.T @ np.c_[z, batch["label"].to_numpy(np.float64)]
-        yield pd.DataFrame({"i": range(size), "row": list(total)})
+        yield pd.DataFrame({"part": TaskContext.get().partitionId(), "i": range(size), "row": list(total)})
 
     def added(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": rows["i"].iloc[:1], "row": [np.sum(np.stack(rows["row"].tolist()), axis=0)]})
+        return pd.DataFrame({"part": rows["part"].iloc[:1] // FAN_IN, "i": rows["i"].iloc[:1], "row": [np.sum(np.stack(rows["row"].tolist()), axis=0)]})
 
-    parts = labelled.mapInPandas(normal, "i int, row array<double>").groupBy("i").applyInPandas(added, "i int, row array<double>")
+    kinds, parts = "part int, i int, row array<double>", fitted.mapInPandas(normal, "part int, i int, row array<double>")
+    # sums of FAN_IN tasks at most, and sums of those, until all tasks' are one
+    for _ in range(max(1, math.ceil(math.log(max(2, fitted.rdd.getNumPartitions()), FAN_IN)))):
+        parts = parts.groupBy("i", F.floor(F.col("part") / FAN_IN)).applyInPandas(added, kinds)
     found = {r["i"]: r["row"] for r in parts.collect()}  # FEATURES + 1 rows
     if not found:
         return features, np.zeros(size), np.full(BINS, 0.5)
@@ -141,7 +160,7 @@ def fit(stats: DataFrame, labelled: DataFrame) -> tuple[FourierFeatures, np.ndar
         full = np.flatnonzero(n)
         yield pd.DataFrame({"bin": full, "n": n[full], "ones": ones[full]})
 
-    rows = labelled.mapInPandas(binned, "bin long, n long, ones long").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).collect()  # BINS rows at most
+    rows = calibrating.mapInPandas(binned, "bin long, n long, ones long").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).collect()  # BINS rows at most
     n, ones = np.zeros(BINS), np.zeros(BINS)
     for r in rows:
         n[r["bin"]], ones[r["bin"]] = r["n"], r["ones"]
@@ -161,7 +180,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Data
     stats = materialize(document_statistics(docs), "statistics")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("label IS NOT NULL")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
-    labelled = materialize(stats.where(~held_out(F.col("doc_id"))).join(known, "doc_id").select(*STATS, "label"), "labelled")
+    labelled = materialize(stats.where(~held_out(F.col("doc_id"))).join(known, "doc_id").select(*STATS, "label", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).alias("fold")), "labelled")
     features, weights, shares = fit(stats, labelled)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

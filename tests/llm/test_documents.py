@@ -202,10 +202,11 @@ def brute_repeats(text):
 def test_quality_rules(docs, rows, none):
     extra = ["a b c d e f a b c d e f g h i", "x\nx\n\ny\n x\nx", "#*$ %& |<> one", "la " * 50]
     for text in [r[1] for r in rows] + extra:
-        _, f = quality_rules.base_figures(text)
+        t = quality_rules.Text(text)
+        f = {n: getattr(t, n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
         assert f["n_repeat_words"] == brute_repeats(text)
         assert f["n_words"] == len(re.findall(r"[^\x20\x09-\x0D]+", text or "")) and f["word_chars"] == len(re.sub(r"[\x20\x09-\x0D]+", "", text or ""))
-    assert quality_rules.base_figures("x\nx\n\ny\n x\nx")[1]["n_dup_lines"] == 2
+    assert quality_rules.Text("x\nx\n\ny\n x\nx").n_dup_lines == 2
     order = quality_rules.plan_cascade(docs)
     assert set(order) == set(quality_rules.RULES)
     got, other = (sorted(map(str, quality_rules.judge(docs, o).collect())) for o in (order, order[::-1]))
@@ -224,6 +225,43 @@ def test_few_words_said_again_go_at_every_length(n):
     assert quality_rules.verdict(clean, quality_rules.RULES)[2]
 
 
+def test_verdicts_alone_are_those_with_figures(spark, docs, rows):
+    """The cascade with the base rules keeps what the figures' query keeps; non-breaking spaces part no words."""
+    more = ["A\u00a0B " * 20, "X\u0085Y z " * 9, "UP " * 5 + "low " * 4, "# " * 20, "ab " * 300, None, "x" * 3_000_000, "w " * 9 + "\x0b", " ".join(f"w{i}" for i in range(400_000))]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate([r[1] for r in rows] + more)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in quality_rules.keep(d).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in quality_rules.judge(d).where("kept").collect()} and len(kept) > 30
+    assert kept == {r["doc_id"] for r in quality_rules.keep(d, quality_rules.ALL_RULES[::-1]).select("doc_id").collect()}
+
+
+def plain_verdict(text):
+    """The rules by regular expressions and sets, one after the other."""
+    t = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    n, lines = len(words), [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = Counter(tuple(words[i : i + 5]) for i in range(n - 4))
+    repeated = len({k for i in range(n - 4) if windows[tuple(words[i : i + 5])] > 1 for k in range(i, i + 5)})
+    dup = len(lines) - len(set(lines))
+    bad = [
+        n < 10, 100 * repeated > 20 * n, 10 * len(re.findall(r"[#*$%&|<>]", t)) > 3 * n, dup > 2 and 10 * dup > 3 * len(lines), not 2 * n <= sum(map(len, words)) <= 20 * n, 2 * sum(w.isupper() for w in words) > n,
+        t.isascii() and 2 * sum(w.upper() != w.lower() for w in words) < n, 10 * len(set(words)) < min(n, 5000**0.2 * n**0.8), 10 * sum(a == b for a, b in zip(words, words[1:])) > 3 * n,
+    ]
+    return not any(bad)
+
+
+def test_kept_against_plain_rules(spark, docs, rows):
+    import random
+
+    rng = random.Random(31)
+    bits = ["word", "Other", "#", "12", "SHOUT", "same", "l\nm", "é", "a\u00a0b", "longwordlongwordlongwordlongword"]
+    texts = [r[1] for r in rows]
+    for _ in range(200):
+        pool = rng.sample(bits, 4) + [f"w{rng.randint(0, 300)}" for _ in range(rng.choice([0, 5, 40]))]
+        texts.append(" ".join(rng.choice(pool) for _ in range(rng.randint(5, 150))))
+    out = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [out[i] for i in range(len(texts))] == [plain_verdict(t) for t in texts] and 20 < sum(out.values()) < len(texts) - 20
+
+
 def test_rules_are_ordered_by_rejections_for_cost():
     names = [r.name for r in quality_rules.RULES]
     measured = [(n, 1.0 + i, 100, 10) for i, n in enumerate(names)]
@@ -248,6 +286,29 @@ def test_classifier(spark, docs, rows, none):
     assert classifier.classify(docs, labels).count() == len(rows) and classifier.classify(none, labels).count() == 0
 
 
+def test_classifier_against_a_plain_fit(spark):
+    """Statistics, ridge and calibration in one process, by numpy alone."""
+    rng = np.random.default_rng(12)
+    texts = [" ".join(rng.choice(["Alpha", "beta,", "ga\u00a0mma", "***", "d\ne"], rng.integers(1, 60), p=[0.3, 0.3, 0.1, 0.3 if i % 3 else 0.0, 0.0 if i % 3 else 0.3])) for i in range(240)]
+    quality = [int(i % 3 == 0 or i % 11 == 0) for i in range(240)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame(list(enumerate(quality)), "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in classifier.classify(d, labels).collect()}
+    x = np.array([classifier.statistics(t) for t in texts], np.float32).astype(np.float64)
+    spread = x.std(axis=0)
+    z = classifier.FourierFeatures(x.mean(axis=0), np.where(spread > 1e-9, spread, 1.0))(x)
+    fold = {r["doc_id"]: r["f"] for r in d.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("f")).collect()}
+    known = [i for i in range(240) if zlib.crc32(str(i).encode()) % 5]
+    a, b = [i for i in known if fold[i]], [i for i in known if not fold[i]]
+    y = np.array(quality, np.float64)
+    w = np.linalg.solve(z[a].T @ z[a] + np.eye(z.shape[1]), z[a].T @ y[a])
+    at = classifier.bin_of(z[b] @ w)
+    shares = classifier.pooled(np.bincount(at, minlength=classifier.BINS), np.bincount(at, weights=y[b], minlength=classifier.BINS))
+    want = np.interp(classifier.place(z @ w), np.arange(classifier.BINS), shares)
+    assert max(abs(got[i] - want[i]) for i in range(240)) < 1e-4
+    assert classifier.statistics("a\u00a0b c")[0] == pytest.approx(math.log1p(2)) and classifier.statistics("\u2003 \x85")[0] > 0
+
+
 def test_pooling_is_monotone():
     n, ones = np.array([4, 0, 5, 5, 1, 9]), np.array([3, 0, 1, 4, 1, 7])
     p = classifier.pooled(n, ones)
