@@ -75,10 +75,15 @@ def remainder(doc_id: int | None) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5
 
 
-def cell_of(word: bytes) -> int:
+def sub_class_of(word: bytes) -> int:
+    """The number of a word's sub-class among all."""
     bare = word.strip(TAIL) or word
-    last, first = xxhash.xxh32_intdigest(bare[-3:], 1) % LEVEL, (xxhash.xxh32_intdigest(bare[:3], 2) + (word[-1:] != bare[-1:])) % LEVEL
-    return (last * LEVEL + first) * LEVEL + xxhash.xxh32_intdigest(word, 3) % LEVEL
+    return xxhash.xxh32_intdigest(bare[-3:], 1) % LEVEL * LEVEL + (xxhash.xxh32_intdigest(bare[:3], 2) + (word[-1:] != bare[-1:])) % LEVEL
+
+
+def cells_of(words: list[bytes], hashes: np.ndarray) -> np.ndarray:
+    """The words' cells; their slots are the last bits of their hashes."""
+    return np.fromiter(map(sub_class_of, words), np.uint16, len(words)) * np.uint16(LEVEL) + (hashes % np.uint64(LEVEL)).astype(np.uint16)
 
 
 class BlockBuilder:
@@ -105,7 +110,7 @@ class BlockBuilder:
         n = len(words) + 1
         counts = np.bincount(tokens[np.repeat(~np.array(held), lengths)], minlength=n).astype(np.uint32)
         hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, n - 1)
-        cells = np.fromiter(map(cell_of, words), np.uint16, n - 1)
+        cells = cells_of(words, hashes)
         return {
             "block": block, "doc_ids": self.ids, "held": held, "n_tokens": lengths, "tokens": packed(tokens),
             "hashes": np.r_[np.uint64(0), hashes].tobytes(), "marks": np.r_[np.uint64(0), hashes >> np.uint64(32)].astype(np.uint32).tobytes(), "cells": np.r_[np.uint16(0), cells].tobytes(), "counts": packed(counts),
@@ -197,13 +202,20 @@ class Biases(NamedTuple):
     of_class: np.ndarray
     of_sub: np.ndarray
     of_slot: np.ndarray
+    #: The three side by side, a row for each sub-class.
+    rows: np.ndarray
 
     @classmethod
     def of(cls, cells_n: np.ndarray) -> Biases:
         n = (cells_n + 0.5 / LEVEL).reshape(LEVEL, LEVEL, LEVEL)
         sub, whole = n.sum(axis=2), n.sum(axis=(1, 2))
         shares = (whole / whole.sum(), sub / whole[:, None], (n / sub[:, :, None]).reshape(-1, LEVEL))
-        return cls(*[np.log(x).astype(np.float32) for x in shares])
+        a, b, c = (np.log(x).astype(np.float32) for x in shares)
+        return cls(a, b, c, np.concatenate([np.tile(a, (LEVEL**2, 1)), np.repeat(b, LEVEL, axis=0), c], axis=1))
+
+
+#: Which columns belong to which level: products with it sum a level's columns, and with its transpose spread a level's value.
+OF_LEVEL = np.repeat(np.eye(3, dtype=np.float32), LEVEL, axis=0)
 
 
 def log_shares(w: np.ndarray, bias: Biases, rows: np.ndarray, cell: np.ndarray, shares: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -213,16 +225,13 @@ def log_shares(w: np.ndarray, bias: Biases, rows: np.ndarray, cell: np.ndarray,
         logits += np.take(w, rows[:, k], axis=0)
     np.clip(logits, -60, 60, out=logits)
     at, sub = np.arange(len(cell)), cell // LEVEL
-    levels = logits.reshape(-1, 3, LEVEL)
-    levels[:, 0] += bias.of_class
-    levels[:, 1] += np.take(bias.of_sub, sub // LEVEL, axis=0)
-    levels[:, 2] += np.take(bias.of_slot, sub, axis=0)
-    out = levels[at, 0, sub // LEVEL] + levels[at, 1, sub % LEVEL] + levels[at, 2, cell % LEVEL]
+    logits += np.take(bias.rows, sub, axis=0)
+    out = logits[at, sub // LEVEL] + logits[at, LEVEL + sub % LEVEL] + logits[at, 2 * LEVEL + cell % LEVEL]
     np.exp(logits, out=logits)
-    sums = levels.sum(axis=2)
+    sums = logits @ OF_LEVEL
     out -= np.log(sums).sum(axis=1)
     if shares:
-        levels /= sums[:, :, None]
+        logits *= (1 / sums) @ OF_LEVEL.T
     return out, logits
 
 
