@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents.
+
+Nulls, empty and very long texts, ties and repeated rows have the results that the operators state: texts of under ten
+words (null ones too) go in the first stage, repeated rows of one id and text are one from the second on, and an
+empty table gives no rows. Clashing names of other columns don't matter.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (5-word shingles, resemblance of about 0.8 or more) one document stays."""
+    """Of each group of near-duplicates (5-word shingles, links of resemblance 0.8 or more) one document stays."""
     return simhash.keep_first(docs)
 
 
@@ -39,7 +43,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("SimHash near-dedup", near_duplicates), ("secret scans", secret_scan), ("mixing", mix), ("packing", pack)]
 
-#: SQL can't express the SimHash, tokenizer and best-fit stages; tests hold run() against a brute-force version.
+#: SQL can't express the SimHash, tokenizer and best-fit stages; tests hold the first two stages, the masks of the third and
+#: the packing against brute-force versions.
 ORACLE_SQL = None
 
 
