@@ -42,6 +42,8 @@ LOOSE = {"width": 5, "most": 41, "words": 3, "segments": 12}
 RESEMBLANCE = 80
 #: Nodes, and distinct shingles, that a block of a group of candidates has about.
 BLOCK_NODES, BLOCK_SHINGLES = 1 << 11, 1 << 21
+#: Pivots of large groups are broadcast while they have so many bytes together at most.
+PIVOT_BYTES = 1 << 25
 #: Up to this size, all pairs of a bucket are compared by shifting; larger ones are visited breadth first.
 SMALL_BUCKET = 32
 #: Larger buckets are dealt into blocks of about so many rows.
@@ -288,16 +290,15 @@ def links(groups: DataFrame, most: int = MAX_DISTANCE, segments: int = SEGMENTS,
     return rows.repartition("key").sortWithinPartitions("key").mapInPandas(verify, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root of every node of edges (a, b), root being its component's smallest node.
 
     Large-star and small-star contraction: each round, a node's larger neighbours and then its smaller ones are linked
     to the smallest in its neighbourhood. Minima are taken with partial aggregation; ends after a round without change.
     """
     edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
-    for _ in range(rounds):
-        if edges.isEmpty():
-            break
+    changed = not edges.isEmpty()
+    while changed:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -307,12 +308,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         small = materialize(small.where("u != v").distinct(), "small-star")
         # a forest of stars, unchanged by the round: every node has one link, to a node that has no smaller one
-        changed = small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty()
+        changed = not (small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty())
         edges = small
-        if changed:
-            break
-    else:
-        raise RuntimeError("the components did not settle")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
@@ -335,10 +332,11 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, most: int = MAX_DISTA
     return out.select("doc_id", "text_hash", *fps, F.col("rep.doc_id").alias("component_id"), F.col("rep.text_hash").alias("kept_hash"))
 
 
-def set_links(node: np.ndarray, sets: list[np.ndarray], hundredths: int = RESEMBLANCE) -> tuple[np.ndarray, np.ndarray]:
+def set_links(node: np.ndarray, sets: list[np.ndarray], hundredths: int = RESEMBLANCE, joined: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links among nodes whose sets have that resemblance at least, breadth first.
 
-    Shared elements are counted by the lists of the nodes that have each of them.
+    Shared elements are counted by the lists of the nodes that have each of them. Nodes marked ``joined`` are known to be
+    connected: links among them aren't searched, and one link to them is enough for any other node.
     """
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     value, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -351,9 +349,10 @@ def set_links(node: np.ndarray, sets: list[np.ndarray], hundredths: int = RESEMB
     order = np.argsort(inverse, kind="stable")
     lists, begin = owner[order], np.r_[0, np.cumsum(np.bincount(inverse, minlength=len(value)))]
     first = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(sets)))]
-    left = able.copy()
+    joined = np.zeros(len(sets), bool) if joined is None else joined
+    left = able & ~joined
     a, b = [node[:0]], [node[:0]]
-    for x in np.flatnonzero(able):
+    for x in np.flatnonzero(left):
         if not left[x]:
             continue
         left[x], front = False, [x]
@@ -363,7 +362,12 @@ def set_links(node: np.ndarray, sets: list[np.ndarray], hundredths: int = RESEMB
             lo, n = begin[mine], begin[mine + 1] - begin[mine]
             at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
             both = np.bincount(lists[at], minlength=len(sets))
-            found = np.flatnonzero(left & (100 * both >= hundredths * (size[x] + size - both)))
+            alike = 100 * both >= hundredths * (size[x] + size - both)
+            found = np.flatnonzero(left & alike)
+            anchor = np.flatnonzero(joined & able & alike)[:1]
+            if len(anchor):
+                a.append(node[[x]])
+                b.append(node[anchor])
             if len(found):
                 a.append(np.full(len(found), node[x], node.dtype))
                 b.append(node[found])
@@ -372,35 +376,74 @@ def set_links(node: np.ndarray, sets: list[np.ndarray], hundredths: int = RESEMB
     return np.concatenate(a), np.concatenate(b)
 
 
+def attached(large: DataFrame, width: int, hundredths: int) -> DataFrame:
+    """large (node, root, n_shingles, text) with ``pivot``, a node of the root, and ``near``: the pivot and what it is linked to.
+
+    A root's pivot is one row. Pivots are broadcast while their texts have PIVOT_BYTES together at most, else joined.
+    """
+    chosen = large.groupBy("root").agg(F.min(F.struct(F.xxhash64("node"), "node")).getField("node").alias("pivot"))
+    pivots = materialize(large.join(chosen, "root").where("node = pivot").select("root", "pivot", F.col("text").alias("pivot_text")), "pivots")
+    total = pivots.agg(F.sum(F.octet_length("pivot_text") + F.lit(32))).first()[0] or 0
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = {p: np.unique(shingle_hashes(t, width)) for p, t in batch.drop_duplicates("pivot")[["pivot", "pivot_text"]].itertuples(index=False)}
+            found = []
+            for node, pivot, text in batch[["node", "pivot", "text"]].itertuples(index=False):
+                mine = np.unique(shingle_hashes(text, width))
+                both = len(np.intersect1d(mine, sets[pivot], assume_unique=True))
+                found.append(node == pivot or 100 * both >= hundredths * (len(mine) + len(sets[pivot]) - both))
+            yield batch.drop(columns="pivot_text").assign(near=np.array(found, bool))
+
+    rows = large.join(F.broadcast(pivots) if total <= PIVOT_BYTES else pivots, "root").select("node", "root", "n_shingles", "text", "pivot", "pivot_text")
+    return materialize(rows.mapInPandas(near, "node long, root long, n_shingles long, text string, pivot long, near boolean"), "attached")
+
+
 def resembling(loose: DataFrame, docs: DataFrame, width: int, hundredths: int = RESEMBLANCE, block: tuple[int, int] = (BLOCK_NODES, BLOCK_SHINGLES)) -> DataFrame:
     """a, b: links among the nodes of each root whose texts' sets of shingles have that resemblance at least.
 
     loose: node, root, n_shingles and least of the nodes that have candidates. The links keep the components of all such
-    links. A root of more nodes or shingles than a block's is dealt into blocks, each two of which meet in a task.
+    links. A root of at most a block's nodes and shingles is searched in one task. In a larger one, all nodes are first
+    compared with one of them, the pivot; those linked to it are connected and not compared with each other. The rest is dealt
+    into blocks, each two of which meet in a task, and each of which meets the blocks of the connected ones. So a
+    text of a large group of near copies travels once for each block of what its pivot leaves, and not for each block.
     """
+    of_blocks = lambda nodes, shingles: F.ceil(F.greatest(nodes / block[0], shingles / block[1]))
     sizes = loose.groupBy("root").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n_shingles").alias("shingles"))
-    blocks = F.ceil(F.greatest(F.col("nodes") / block[0], F.col("shingles") / block[1]))
     total = max(1, loose.count())
-    sizes = materialize(sizes.select("root", F.col("nodes").alias("n_rows"), F.least(blocks, F.col("nodes")).alias("blocks")), "roots")
+    sizes = materialize(sizes.select("root", F.col("nodes").alias("n_rows"), (of_blocks(F.col("nodes"), F.col("shingles")) > 1).alias("large")), "roots")
     none = F.lit(-(2**63)).cast("long")
-    needed = join_by_key(loose, sizes, "root", max(1000, total // 1000)).select("node", "root", "blocks", F.coalesce("least.doc_id", none).alias("id"), F.col("least.text_hash").alias("hash"))
+    needed = join_by_key(loose, sizes, "root", max(1000, total // 1000)).select("node", "root", "n_shingles", "large", F.coalesce("least.doc_id", none).alias("id"), F.col("least.text_hash").alias("hash"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     texts = rows.join(needed, ["id", "hash"]).dropDuplicates(["node"])
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    texts = texts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pair = F.when(F.col("blocks") == 1, F.xxhash64("root")).otherwise(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in by_runs(batches, "key"):
-            key, node, texts = rows["key"].to_numpy(np.int64), rows["node"].to_numpy(np.int64), rows["text"].to_numpy()
+            key, node, texts, near = rows["key"].to_numpy(np.int64), rows["node"].to_numpy(np.int64), rows["text"].to_numpy(), rows["near"].to_numpy(bool)
             edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-            out = [set_links(node[x:y], [np.unique(shingle_hashes(t, width)) for t in texts[x:y]], hundredths) for x, y in zip(edges, edges[1:], strict=False) if y - x > 1]
+            out = [set_links(node[x:y], [np.unique(shingle_hashes(t, width)) for t in texts[x:y]], hundredths, near[x:y]) for x, y in zip(edges, edges[1:], strict=False) if y - x > 1]
             if out:
                 yield pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([y for _, y in out])})
 
-    dealt_rows = texts.select(pair.alias("key"), "node", "text").repartition("key").sortWithinPartitions("key")
-    return dealt_rows.mapInPandas(compare, "a long, b long")
+    if sizes.where("large").isEmpty():
+        small = texts.select(F.xxhash64("root").alias("key"), "node", F.lit(False).alias("near"), "text")
+        return small.repartition("key").sortWithinPartitions("key").mapInPandas(compare, "a long, b long")
+    texts = materialize(texts.select("node", "root", "n_shingles", "large", "text"), "candidate-texts")
+    marked = attached(texts.where("large").drop("large"), width, hundredths)
+    part = lambda near: of_blocks(F.count(F.when(F.col("near") == near, 1)), F.coalesce(F.sum(F.when(F.col("near") == near, F.col("n_shingles"))), F.lit(0)))
+    blocks = materialize(marked.groupBy("root").agg(F.count(F.lit(1)).alias("n_rows"), part(True).alias("joined"), part(False).alias("rest")).where("rest > 0"), "blocks")
+    dealt_rows = join_by_key(marked, blocks, "root", max(1000, total // 1000), "inner").where("rest > 0")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("near"), F.col("joined")).otherwise(F.col("rest")))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    joined, rest = F.col("joined"), F.col("rest")
+    met = F.when(F.col("near"), F.transform(upto(rest), lambda o: F.xxhash64("root", F.lit(1), o, F.col("own")))).otherwise(
+        F.concat(F.transform(upto(joined), lambda o: F.xxhash64("root", F.lit(1), F.col("own"), o)), F.transform(upto(rest), lambda o: F.xxhash64("root", F.lit(2), F.least("own", o), F.greatest("own", o))))
+    )
+    dealt_rows = dealt_rows.withColumn("own", own).select(F.explode(met).alias("key"), "node", "near", "text")
+    small = texts.where("NOT large").select(F.xxhash64("root").alias("key"), "node", F.lit(False).alias("near"), "text")
+    compared = dealt_rows.unionByName(small).repartition("key").sortWithinPartitions("key").mapInPandas(compare, "a long, b long")
+    return compared.unionByName(marked.where("near AND node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
 
 
 def near_copies(docs: DataFrame, width: int, most: int, words: int, segments: int, block: tuple[int, int] = (BLOCK_NODES, BLOCK_SHINGLES)) -> DataFrame:
@@ -422,14 +465,16 @@ def near_copies(docs: DataFrame, width: int, most: int, words: int, segments: in
 def keep_first(docs: DataFrame, **settings) -> DataFrame:
     """The documents with one row of each group of near-duplicates: the one with its smallest doc_id.
 
-    Rows with equal doc_id and text are repeats, of which one stays. ``settings`` are those of near_copies (LOOSE).
+    Rows with equal doc_id and text are repeats, of which one stays: the first by the hashes of its other columns, so that
+    reruns agree. ``settings`` are those of near_copies (LOOSE).
     """
     none = F.lit(-(2**63)).cast("long")
     found = near_copies(docs, **(LOOSE | settings)).groupBy("root").agg(F.min("least").alias("rep"))
     kept = found.select(F.coalesce("rep.doc_id", none).alias("id"), F.col("rep.text_hash").alias("hash"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), F.xxhash64(text).alias("hash"))
-    return rows.join(kept, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"]).select("row.*")
+    first = rows.join(kept, ["id", "hash"], "left_semi").groupBy("id", "hash").agg(F.min_by("row", F.struct(*[F.xxhash64(F.col(f"row.{c}")) for c in docs.columns if c != "text"])).alias("row"))
+    return first.select("row.*")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,5 +24,5 @@ def test_query_equals_its_sql(spark, name):
 def test_all_are_registered():
     import __spark_entry__
 
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.QUERIES}
     assert {*queries.QUERIES, "pipeline"} <= set(__spark_entry__.queries())
