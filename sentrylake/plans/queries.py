@@ -480,8 +480,22 @@ def _correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
 p AS (SELECT DISTINCT a.event_id AS id1, b.event_id AS id2, a.ts_us, greatest(a.lc, b.lc) AS top FROM a JOIN b ON (a.dip = b.host_ip OR a.host_ip = b.dip) AND a.host_name <> b.host_name AND abs(a.ts_us - b.ts_us) <= 21600000000)
 SELECT id1, id2, ts_us, round(CASE WHEN top > 0 THEN least(1.0, 0.8 + 0.2 * top) ELSE 0.8 END, 6)::DOUBLE AS score, 'corr-' || substr(md5(id1 || '-' || id2), 1, 16) AS correlation_id FROM p"""))
 def corr_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs, expanded from ranges of links."""
     e = _correlated(spark, sf_dir)
-    return correlate.two_stage(e.where("action = 'signup'"), e.where("action = 'error'"), 6 * 3600 * 1000000).withColumn("score", F.round("score", 6))
+    second = e.where("action = 'error'")
+    _, ranges = correlate.two_stage(e.where("action = 'signup'"), second, 6 * 3600 * 1000000)
+    return correlate.two_stage_pairs(ranges, second).withColumn("score", F.round("score", 6))
+
+
+@query(duck(_COR + """, a AS (SELECT * FROM l WHERE action = 'signup'), b AS (SELECT * FROM l WHERE action = 'error'),
+p AS (SELECT DISTINCT a.event_id AS id1, b.event_id AS id2, a.ts_us, b.ts_us AS t2, greatest(a.lc, b.lc) AS top FROM a JOIN b ON (a.dip = b.host_ip OR a.host_ip = b.dip) AND a.host_name <> b.host_name AND abs(a.ts_us - b.ts_us) <= 86400000000),
+g AS (SELECT id1, any_value(ts_us) AS ts_us, count(*) AS n_links, arg_min(id2, (-t2, id2)) AS id2, arg_min(top, (-t2, id2)) AS top FROM p GROUP BY id1)
+SELECT id1, ts_us, n_links, id2, round(CASE WHEN top > 0 THEN least(1.0, 0.8 + 0.2 * top) ELSE 0.8 END, 6)::DOUBLE AS score FROM g"""))
+def corr_two_stage_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each event the number of its links within a day, and its latest partner; no pair is made."""
+    e = _correlated(spark, sf_dir)
+    links, _ = correlate.two_stage(e.where("action = 'signup'"), e.where("action = 'error'"))
+    return links.select("id1", "ts_us", "n_links", "id2", r6("score"))
 
 
 _THREE = _COR + """, q1 AS (SELECT * FROM l WHERE action = 'signup'), q2 AS (SELECT * FROM l WHERE action = 'click'), q3 AS (SELECT * FROM l WHERE action = 'error'),

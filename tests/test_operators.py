@@ -191,25 +191,81 @@ def correlated(rng, n):
     return [(f"e{i}", rng.randint(0, 50) * 1000000, f"host{rng.randint(0, 3)}", f"h{rng.randint(0, 3)}", rng.choice(["u", "v", None]), rng.choice(["10.0.0.0", "10.0.0.1", "10.0.0.2", None]), f"10.0.0.{rng.randint(0, 3)}", f"10.0.0.{rng.randint(0, 3)}", 0, 0.0) for i in range(n)]
 
 
-@pytest.mark.parametrize("slot", [correlate.SLOT_US, 7_000_000])
-def test_nearest_three_against_brute_force(spark, slot, monkeypatch):
-    """Users and addresses may be missing, hosts share addresses, and slots of time are wide or narrow."""
-    nearest = correlate.nearest
-    monkeypatch.setattr(correlate, "nearest", lambda *a, **k: nearest(*a, slot_us=slot, **k))
-    rng = random.Random(2)
-    rows = correlated(rng, 120)
-    d = spark.createDataFrame(rows, "event_id string, ts_us long, host_name string, host_id string, user_name string, host_ip string, src_ip string, dst_ip string, level int, level_confidence double").cache()
-    parts = [rows[0:40], rows[40:80], rows[80:120]]
-    frames = [d.where(F.col("event_id").isin(*[r[0] for r in p])) for p in parts]
-    want, users = set(), lambda x, y: x is None or y is None or x == y
-    for e2 in parts[1]:
-        before = [e for e in parts[0] if e[2] == e2[2] and users(e[4], e2[4]) and e[1] <= e2[1]]
-        after = [e for e in parts[2] if e[5] in (None, e2[7]) and users(e[4], e2[4]) and e[1] >= e2[1] and e[2] != e2[2]]
-        if before and after:
-            want.add((min(before, key=lambda e: (-e[1], e[0]))[0], e2[0], min(after, key=lambda e: (e[1], e[0]))[0]))
-    assert {(r["id1"], r["id2"], r["id3"]) for r in correlate.three_stage(*frames).collect()} == want and len(want) > 20
-    pairs = {(a[0], b[0]) for a in parts[0] for b in parts[1] if a[2] != b[2] and (a[7] == b[6] or a[6] == b[7]) and abs(a[1] - b[1]) <= 9_000_000}
-    assert {(r["id1"], r["id2"]) for r in correlate.two_stage(frames[0], frames[1], 9_000_000).collect()} == pairs
+CORRELATED = "event_id string, ts_us long, host_name string, host_id string, user_name string, host_ip string, src_ip string, dst_ip string, level int, level_confidence double"
+
+
+@pytest.mark.parametrize("partitions", ["1", "4", "37"])
+def test_nearest_three_against_brute_force(spark, partitions):
+    """Users and addresses may be missing, hosts share addresses, and keys cross many boundaries of partitions."""
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rng = random.Random(2)
+        rows = correlated(rng, 120)
+        d = spark.createDataFrame(rows, CORRELATED).cache()
+        parts = [rows[0:40], rows[40:80], rows[80:120]]
+        frames = [d.where(F.col("event_id").isin(*[r[0] for r in p])) for p in parts]
+        want, users = set(), lambda x, y: x is None or y is None or x == y
+        for e2 in parts[1]:
+            before = [e for e in parts[0] if e[2] == e2[2] and users(e[4], e2[4]) and e[1] <= e2[1]]
+            after = [e for e in parts[2] if e[5] in (None, e2[7]) and users(e[4], e2[4]) and e[1] >= e2[1] and e[2] != e2[2]]
+            if before and after:
+                want.add((min(before, key=lambda e: (-e[1], e[0]))[0], e2[0], min(after, key=lambda e: (e[1], e[0]))[0]))
+        assert {(r["id1"], r["id2"], r["id3"]) for r in correlate.three_stage(*frames).collect()} == want and len(want) > 20
+    finally:
+        spark.conf.unset("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize(("hot", "n"), [(0.1, 90), (0.9, 150)])
+def test_two_stage_against_all_pairs(spark, hot, n):
+    """One address in a tenth or in nine of ten rows; ranges, counts, latest partners and pairs agree with all pairs."""
+    rng = random.Random(n)
+    ip = lambda: None if rng.random() < 0.05 else "10.0.0.1" if rng.random() < hot else f"10.0.0.{rng.randint(2, 9)}"
+    rows = [(f"e{i}", rng.randint(0, 40) * 1_000_000, f"h{rng.randint(0, 3)}" if rng.random() < 0.95 else None, "x", "u", ip(), ip(), ip(), 0, rng.choice([0.0, 0.4])) for i in range(2 * n)]
+    a, b = rows[:n], rows[n:]
+    first, second = (spark.createDataFrame(x, CORRELATED).repartition(5) for x in (a, b))
+    links, ranges = correlate.two_stage(first, second, 9_000_000)
+    met = lambda x, y: x is not None and x == y
+    want = [(p, q) for p in a for q in b if p[2] and q[2] and p[2] != q[2] and (met(p[7], q[6]) or met(p[6], q[7])) and abs(p[1] - q[1]) <= 9_000_000]
+    assert Counter((r["id1"], r["id2"]) for r in correlate.two_stage_pairs(ranges, second).collect()) == Counter((p[0], q[0]) for p, q in want) and len(want) > 100
+    by = {}
+    for p, q in want:
+        by.setdefault(p[0], []).append(q)
+    got = {r["id1"]: r for r in links.collect()}
+    assert set(got) == set(by)
+    for i, partners in by.items():
+        assert (got[i]["n_links"], got[i]["id2"]) == (len(partners), min(partners, key=lambda q: (-q[1], q[0]))[0])
+
+
+@pytest.mark.parametrize("forward", [False, True])
+def test_as_of_over_boundaries(spark, forward):
+    """A key of most rows and many ties; with another value asked for or not; nothing is dealt to a single partition."""
+    from sentrylake.operators import asof
+
+    rng = random.Random(7)
+    key = lambda: rng.choice(["hot"] * 9 + ["a", "b", None])
+    events = [(key(), rng.choice([None, *range(60)]), f"e{i:03}", rng.choice(["x", "x", "x", "y", None])) for i in range(300)]
+    seekers = [(key(), rng.choice([None, *range(60)]), i, rng.choice(["x", "y"])) for i in range(200)]
+    e = spark.createDataFrame(events, "key string, ts_us long, event_id string, host string").repartitionByRange(9, "event_id")
+    s = spark.createDataFrame(seekers, "key string, ts_us long, n long, host string")
+    for other in (None, "host"):
+        got = {r["n"]: r for r in asof.nearest(e, s, forward, other).collect()}
+        assert set(got) == {r[2] for r in seekers if r[0] is not None and r[1] is not None}
+        for k, t, n, host in seekers:
+            if k is None or t is None:
+                continue
+            good = [x for x in events if x[0] == k and x[1] is not None and (x[1] >= t if forward else x[1] <= t) and (other is None or x[3] is not None)]
+            assert got[n]["seen"] == len(good)
+            near = [x for x in good if other is None or x[3] != host]
+            best = min(near, key=lambda x: (abs(x[1] - t), x[2]))[2] if near else None
+            assert (got[n]["found"] and got[n]["found"]["event_id"]) == best
+    ranked = asof.ranks(e).collect()
+    of = lambda k: sorted((r for r in ranked if r["key"] == k), key=lambda r: r["rank"])
+    for k in ("hot", "a", "b"):
+        assert [r["rank"] for r in of(k)] == list(range(1, len(of(k)) + 1)) and [r["ts_us"] for r in of(k)] == sorted(r["ts_us"] for r in of(k))
+    assert asof.nearest(e.limit(0), s).where("found IS NOT NULL OR seen > 0").isEmpty() and asof.nearest(e, s.limit(0)).isEmpty()
 
 
 def test_privilege_levels(spark):
