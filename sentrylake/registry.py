@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sentrylake.plans import analysis_queries  # noqa: F401 (registers its queries)
+from sentrylake.plans import analysis_queries, detection_queries  # noqa: F401 (they register their queries)
 from sentrylake.plans.queries import QUERIES
 from sentrylake.plans.queries import SQL as ORACLE_SQL
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sentrylake.functions import ids
 from sentrylake.operators.detect import MessageRule
+from sentrylake.operators.rules import Rule, with_condition
 
 
 def lines(spark: SparkSession, path: str, pattern: str | None = None, stream: bool = False, files_per_trigger: int = 100) -> DataFrame:
@@ -84,4 +85,21 @@ def rule_of(yaml, body: bytes) -> MessageRule | None:
                     contains += many(value)
                 elif key in ("event.id", "event.kind"):
                     equals[key.replace("event.", "event_" if key == "event.id" else "")] = tuple(many(value))
-    return MessageRule(str(doc.get("title", "unknown")), str(doc.get("level", "medium")).lower(), tuple(contains), tuple(groups), equals, tuple(map(str, doc.get("tags") or ())))
+    kept = {k: str(v) for k, v in doc["detection"].items() if k in ("condition", "timeframe")}
+    return MessageRule(str(doc.get("title", "unknown")), str(doc.get("level", "medium")).lower(), tuple(contains), tuple(groups), equals, tuple(map(str, doc.get("tags") or ())), **kept)
+
+
+def condition_rules(spark: SparkSession, path: str) -> tuple[list[Rule], dict[str, str]]:
+    """Rules with conditions from YAML files, in order of file name, and for each file that is none, why."""
+    import yaml
+
+    out, bad = [], {}
+    for f in spark.read.format("binaryFile").option("pathGlobFilter", "*.yml").load(path).select("path", "content").orderBy("path").collect():
+        try:
+            rule = with_condition(yaml.safe_load(bytes(f["content"])))
+            rule.parsed()
+        except (yaml.YAMLError, ValueError, KeyError, TypeError, AttributeError) as e:
+            bad[f["path"]] = f"{type(e).__name__}: {e}"
+        else:
+            out.append(rule)
+    return out, bad
