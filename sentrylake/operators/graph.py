@@ -120,7 +120,7 @@ def edges(rows: DataFrame) -> DataFrame:
 
 
 def nodes(rows: DataFrame) -> DataFrame:
-    """uid, ntype, ts_us (of the last mention), name; one row for each node that a row names or an edge touches."""
+    """uid, ntype, ts_us (of the last mention), name and name_us (of its last one); one row for each node that a row names or an edge touches."""
     pick = lambda uid, kind, name: F.when(F.col(uid).isNotNull(), F.struct(F.col(uid).alias("uid"), F.lit(kind).alias("ntype"), F.col(name).cast("string").alias("name")))
     own = (("_host", "Host", "host_name"), ("_user", "User", "user_name"), ("_process", "Process", "process_name"), ("_file", "File", "file_path"), ("_ip", "IP", "dst_ip"), ("_domain", "Domain", "dst_domain"))
     end = lambda x: F.struct(x.alias("uid"), F.substring_index(x, ":", 1).alias("ntype"), F.lit(None).cast("string").alias("name"))
@@ -128,7 +128,7 @@ def nodes(rows: DataFrame) -> DataFrame:
     named = F.array_compact(F.concat(F.array(*[pick(*x) for x in own]), touched))
     out = with_links(with_uids(eligible(rows))).select("ts_us", "event_id", F.explode_outer(named).alias("n")).where("n.uid IS NOT NULL")
     last = F.struct("ts_us", "event_id")
-    return out.groupBy("n.uid", "n.ntype").agg(F.max("ts_us").alias("ts_us"), F.max_by("n.name", F.when(F.col("n.name").isNotNull(), last)).alias("name"))
+    return out.groupBy("n.uid", "n.ntype").agg(F.max("ts_us").alias("ts_us"), F.max_by("n.name", F.when(F.col("n.name").isNotNull(), last)).alias("name"), F.max(F.when(F.col("n.name").isNotNull(), F.col("ts_us"))).alias("name_us"))
 
 
 def invalid_edges(found: DataFrame) -> DataFrame:

@@ -1,24 +1,28 @@
 """The ingest job as a stream: normalise, drop repeats, store by table, canonicalise, project to the graph.
 
-Each batch adds a folder to every table, and tables are merged when they are read: a fingerprint's, node's or edge's last
-state counts. So a batch that is tried again replaces its own folders, and nothing that was written is changed.
+Tables are keyed ones (``store``): each batch is a commit, a fingerprint's, node's or edge's last state counts, and a batch
+that is tried again replaces its own rows. Findings are merged in the state of a stream of their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
 from sentrylake.functions import ids
 from sentrylake.operators import findings, graph
 from sentrylake.operators.normalize import normalized
-from sentrylake.operators.tables import last_of
+from sentrylake.operators.store import KeyedTable
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: How long the state of a fingerprint stays after its last finding.
+TTL_MS = 7 * 24 * 3600 * 1000
 
 
 def flat(rows: DataFrame) -> DataFrame:
@@ -58,100 +62,164 @@ def canonical_rows(raw: DataFrame) -> DataFrame:
     return merged.select("event_id", *sorted(new)).join(raw.select("event_id", *rest).dropDuplicates(["event_id"]), "event_id")
 
 
-def batch_tables(batch: DataFrame, stored: DataFrame | None = None) -> dict[str, DataFrame]:
-    """What one batch of normalised rows adds: events, raw findings, canonical findings, nodes and edges.
-
-    ``stored`` are the raw findings of earlier batches; the fingerprints that the batch touches are merged with theirs.
-    """
+def batch_tables(batch: DataFrame) -> dict[str, DataFrame]:
+    """What normalised rows come to, taken by themselves: events, raw findings, canonical findings, nodes and edges."""
     rows = flat(batch)
     raw = rows.where("target_table = 'raw_findings'").withColumn("fingerprint", ids.fingerprint_id(findings.fingerprint_key()))
-    every = raw
-    if stored is not None:
-        every = raw.unionByName(stored.select(raw.columns).join(raw.select("fingerprint").distinct(), "fingerprint", "left_semi").select(raw.columns)).dropDuplicates(["event_id"])
     given = rows.where("target_table = 'canonical_findings'").withColumn("fingerprint", F.col("event_id")).withColumn("n_merged", F.lit(1).cast("long"))
-    canonical = canonical_rows(every).unionByName(given, allowMissingColumns=True)
+    canonical = canonical_rows(raw).unionByName(given, allowMissingColumns=True)
     events = rows.where("target_table = 'events'")
     linked = events.unionByName(canonical, allowMissingColumns=True)
     return {"events": events, "raw_findings": raw, "canonical_findings": canonical, "nodes": graph.nodes(linked), "edges": graph.edges(linked)}
 
 
-def read(spark: SparkSession, out: str, name: str) -> DataFrame | None:
-    """All batches' rows of a table, or None where there are none yet."""
-    try:
-        return spark.read.option("basePath", f"{out}/{name}").parquet(f"{out}/{name}/batch=*")
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return None
+def _last_named(rows: DataFrame) -> DataFrame:
+    """Nodes by uid: the last mention, and the last name that one had."""
+    named = F.when(F.col("name").isNotNull(), F.struct("name_us", "_seq", "name"))
+    return rows.groupBy("uid").agg(F.first("ntype").alias("ntype"), F.max("ts_us").alias("ts_us"), F.max_by("name", named).alias("name"), F.max("name_us").alias("name_us"))
+
+
+def tables(spark: SparkSession, out: str, buckets: int = 64) -> dict[str, KeyedTable]:
+    """The job's tables at ``out``: events and raw findings by id, canonical findings by fingerprint, nodes by uid, edges by their key."""
+    empty = batch_tables(normalized(spark.createDataFrame([], "value string")).where("drop_reason IS NULL"))
+    keys = {"events": ["event_id"], "raw_findings": ["event_id"], "canonical_findings": ["fingerprint"], "nodes": ["uid"], "edges": graph.EDGE_KEY}
+    return {n: KeyedTable(spark, f"{out}/{n}", keys[n], empty[n].schema, buckets, merge=_last_named if n == "nodes" else None) for n in keys}
 
 
 def current(spark: SparkSession, out: str) -> dict[str, DataFrame]:
-    """The tables as they stand: each fingerprint's, node's and edge's last state; alarms of findings that were superseded go."""
-    tables = {n: read(spark, out, n) for n in ("events", "raw_findings", "canonical_findings", "nodes", "edges")}
-    if any(t is None for t in tables.values()):
-        raise ValueError(f"no batch has been stored at {out}")
-    canonical = last_of(tables["canonical_findings"], ["fingerprint"], ["batch"])
-    edges = last_of(tables["edges"], graph.EDGE_KEY, ["batch"])
-    winners = canonical.select("fingerprint", "event_id")
+    """The tables as they stand; alarms of findings that were superseded go. Each is a committed state, whatever is being written."""
+    found = {n: t.read() for n, t in tables(spark, out).items()}
+    winners = found["canonical_findings"].select("fingerprint", "event_id")
+    edges = found["edges"]
     edges = edges.where("NOT is_alarm").unionByName(edges.where("is_alarm").join(winners, ["fingerprint", "event_id"], "left_semi").select(edges.columns))
-    last = F.when(F.col("name").isNotNull(), F.struct("ts_us", "batch", "name"))
-    nodes = tables["nodes"].groupBy("uid", "ntype").agg(F.max("ts_us").alias("ts_us"), F.max_by("name", last).alias("name"))
-    return {"events": tables["events"].drop("batch"), "raw_findings": tables["raw_findings"].drop("batch"), "canonical_findings": canonical.drop("batch"), "nodes": nodes, "edges": edges.drop("batch")}
+    return found | {"nodes": found["nodes"].drop("name_us"), "edges": edges}
+
+
+def compact(spark: SparkSession, out: str, most: int = 8) -> dict[str, int]:
+    """Puts buckets that lie in more than so many batches' folders together; to be run now and then beside the job."""
+    return {n: t.compact(most) for n, t in tables(spark, out).items()}
+
+
+class Merge(StatefulProcessor):
+    """Of each fingerprint the winner (as JSON), its place in the order, providers, evidence, severity and number; and the ids merged."""
+
+    STATE = "winner string, confidence double, severity int, ts_us long, event_id string, top int, n long, providers array<string>, evidence array<string>"
+    OUT = "fingerprint string, winner string, confidence double, severity int, n_merged long, providers array<string>, evidence_ids array<string>"
+
+    def __init__(self, ttl_ms: int) -> None:
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.merged = handle.getValueState("merged", self.STATE, self.ttl_ms)
+        self.ids = handle.getMapState("ids", "id string", "seen boolean", self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        best, top, n, who, evidence, fresh = None, None, 0, set(), set(), False
+        if self.merged.exists():
+            winner, c, s, t, e, top, n, names, ids_ = self.merged.get()
+            best, who, evidence = ((-c, -s, -t, e), winner), set(names), set(ids_)
+        for batch in rows:
+            for event, c, s, t, provider, proof, row in batch[["event_id", "confidence", "severity", "ts_us", "provider", "evidence_ids", "row"]].itertuples(index=False):
+                if self.ids.containsKey((event,)):
+                    continue
+                self.ids.updateValue((event,), (True,))
+                c, s = 0.0 if pd.isna(c) else float(c), 0 if pd.isna(s) else int(s)
+                mine = ((-c, -s, -int(t), str(event)), row)
+                best = mine if best is None or mine[0] < best[0] else best
+                top, n, fresh = max(s, top or 0), n + 1, True
+                who |= {provider} - {None}
+                evidence |= set(proof) if proof is not None else {event}
+        if not fresh:
+            return
+        (c, s, t, e), winner = best
+        providers, proofs = sorted(who), sorted(evidence)
+        self.merged.update((winner, -c, -s, -t, e, top, n, providers, proofs))
+        raised = min(-c + 0.1 * len(providers), 1.0) if n > 1 else -c
+        yield pd.DataFrame({"fingerprint": [key[0]], "winner": [winner], "confidence": [raised], "severity": [top], "n_merged": [n], "providers": [providers], "evidence_ids": [proofs]})
+
+    def close(self) -> None:
+        pass
+
+
+def merged_findings(rows: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
+    """A stream of normalised raw findings to a stream of canonical ones, whole rows with evidence, merged in a state for each
+    fingerprint. An id counts once. State goes ``ttl_ms`` after its last change; the state store must be RocksDB.
+    """
+    raw = flat(rows).where("ts_us IS NOT NULL").withColumn("fingerprint", ids.fingerprint_id(findings.fingerprint_key()))
+    new = ["dataset", "severity", "confidence", "providers", "evidence_ids", "fingerprint"]
+    rest = [c for c in raw.columns if c not in new]
+    asked = raw.select("fingerprint", "event_id", "confidence", "severity", "ts_us", "provider", "evidence_ids", F.to_json(F.struct(*rest)).alias("row"))
+    out = asked.groupBy("fingerprint").transformWithStateInPandas(Merge(ttl_ms), Merge.OUT, "Update", "ProcessingTime")
+    won = F.from_json("winner", StructType([raw.schema[c] for c in rest]))
+    return out.select(won.alias("w"), *[c for c in out.columns if c != "winner"], F.lit("finding.canonical").alias("dataset")).select("w.*", *new, "n_merged")
+
+
+@dataclass
+class Ingest:
+    """The two queries of the job, which read the same lines: one for rows as they come, one for what findings merge to."""
 
+    rows: StreamingQuery
+    merged: StreamingQuery
 
-def run(lines: DataFrame, out: str, checkpoint: str, interval: str | None = None, horizon: str = "7 days") -> StreamingQuery:
-    """The whole tick. A batch's tables go to folders named by its number and are replaced when it is tried again, so a
-    failure between writes repeats no row. Raw findings lie by day, and those of the batch's own days alone are read again.
+    def await_termination(self, seconds: int | None = None) -> None:
+        for q in (self.rows, self.merged):
+            q.awaitTermination(seconds) if seconds else q.awaitTermination()
+            if q.exception() is not None:
+                raise q.exception()
+
+    def stop(self) -> None:
+        self.rows.stop()
+        self.merged.stop()
+
+
+def run(lines: DataFrame, out: str, checkpoint: str, interval: str | None = None, horizon: str = "7 days", ttl_ms: int = TTL_MS) -> Ingest:
+    """The whole job. Each batch is a commit of each table, under its number, so a batch that is tried again replaces its own
+    rows. Canonical findings come from state, not from stored findings, and what the batch changes is projected to the graph.
     """
+    spark = lines.sparkSession
+    if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
+        raise ValueError(f"spark.sql.streaming.stateStore.providerClass must be {ROCKSDB}")
+    to = tables(spark, out)
+
+    def add(parts: dict[str, DataFrame], number: int) -> None:
+        for name, df in parts.items():
+            to[name].append(df, number)
 
-    def tick(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+    def rows_tick(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            alerts = batch.where("target_table = 'raw_findings'")
-            days = [r["day"] for r in alerts.select(F.to_date("ts").alias("day")).distinct().collect()]  # the days of one batch
-            stored = read(spark, out, "raw_findings") if days else None
-            if stored is not None:
-                stored = stored.where(F.col("day").isin(days) & (F.col("batch") < number))
-            for name, df in batch_tables(batch, stored).items():
-                to = df.withColumn("day", F.to_date(F.timestamp_micros("ts_us"))) if name == "raw_findings" else df
-                writer = to.write.mode("overwrite")
-                (writer.partitionBy("day") if name == "raw_findings" else writer).parquet(f"{out}/{name}/batch={number}")
+            rows = flat(batch)
+            events = rows.where("target_table = 'events'")
+            raw = rows.where("target_table = 'raw_findings'").withColumn("fingerprint", ids.fingerprint_id(findings.fingerprint_key()))
+            given = rows.where("target_table = 'canonical_findings'").withColumn("fingerprint", F.col("event_id")).withColumn("n_merged", F.lit(1).cast("long"))
+            linked = events.unionByName(given, allowMissingColumns=True)
+            add({"events": events, "raw_findings": raw, "canonical_findings": shaped(given, to["canonical_findings"]), "nodes": graph.nodes(linked), "edges": shaped(graph.edges(linked), to["edges"])}, 2 * number)
         finally:
             batch.unpersist()
 
-    writer = normalized_stream(lines, horizon).writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
-
+    def merged_tick(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            add({"canonical_findings": shaped(batch, to["canonical_findings"]), "nodes": graph.nodes(batch), "edges": shaped(graph.edges(batch), to["edges"])}, 2 * number + 1)
+        finally:
+            batch.unpersist()
 
-MERGED = "key string, event_id string, confidence double, severity int, n_merged long, providers array<string>"
+    def started(stream: DataFrame, mode: str, tick, name: str) -> StreamingQuery:
+        writer = stream.writeStream.outputMode(mode).foreachBatch(tick).option("checkpointLocation", f"{checkpoint}/{name}")
+        return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
+    raw = normalized(lines).where("drop_reason IS NULL AND target_table = 'raw_findings'")
+    rows = started(normalized_stream(lines, horizon), "append", rows_tick, "rows")
+    # state that ends by the clock would ask for batches without data, one after the other and for ever
+    idle = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(idle, "true")
+    spark.conf.set(idle, "false")
+    try:
+        return Ingest(rows, started(merged_findings(raw, ttl_ms), "update", merged_tick, "merged"))
+    finally:
+        spark.conf.set(idle, before)
 
-def merged_fingerprints(rows: DataFrame) -> DataFrame:
-    """A stream of flat findings (with ts) to a stream of updates of canonical findings, with one state for each
-    fingerprint: the winner, the greatest severity, the number merged and the providers. State goes 10 minutes after its bucket.
-    """
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        best, top, n, who = None, -1, 0, set()
-        if state.exists:
-            conf, ts, won, event, top, n, names = state.get
-            best, who = (-conf, -won, -ts, event), set(names)
-        for b in batches:
-            for e, c, s, t, p in zip(b["event_id"], b["confidence"], b["severity"], b["ts_us"], b["provider"], strict=True):
-                candidate = (-float(c), -int(s), -int(t), str(e))
-                best = candidate if best is None or candidate < best else best
-                top, n = max(top, int(s)), n + 1
-                who |= {p} - {None}
-        conf, won, ts, event = -best[0], -best[1], -best[2], best[3]
-        state.update((conf, ts, won, event, top, n, sorted(who)))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, ts // 1000 + (findings.BUCKET_MINUTES + 10) * 60_000))
-        raised = min(conf + 0.1 * len(who), 1.0) if n > 1 else conf
-        yield pd.DataFrame({"key": [key[0]], "event_id": [event], "confidence": [raised], "severity": [top], "n_merged": [n], "providers": [sorted(who)]})
-
-    keyed = rows.withColumn("key", findings.fingerprint_key()).withWatermark("ts", "10 minutes")
-    state = "confidence double, ts_us long, won int, event_id string, top int, n long, providers array<string>"
-    return keyed.groupBy("key").applyInPandasWithState(update, MERGED, state, "update", GroupStateTimeout.EventTimeTimeout)
+def shaped(df: DataFrame, table: KeyedTable) -> DataFrame:
+    """df with the table's columns; those that it lacks are null."""
+    return df.select(*[F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema])

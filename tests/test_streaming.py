@@ -2,8 +2,6 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import functions as F
-
 from sentrylake.operators import findings
 from sentrylake.operators.normalize import normalized
 from sentrylake.sources import readers
@@ -26,9 +24,9 @@ def test_stream_equals_batch(spark, tmp_path):
     for files in (10, 1):
         out = f"file://{tmp_path}/out{files}"
         q = ingest.run(readers.lines(spark, f"file://{src}", stream=True, files_per_trigger=files), out, f"file://{tmp_path}/ck{files}")
-        q.awaitTermination(240)
-        assert q.exception() is None
-        assert sum(t["lines"] for t in ingest.ticks(q)) == 12 and sum(t["dropped"] for t in ingest.ticks(q)) == 1 and sum(t["bytes"] for t in ingest.ticks(q)) > 1000
+        q.await_termination(240)
+        ticks = ingest.ticks(q.rows)
+        assert sum(t["lines"] for t in ticks) == 12 and sum(t["dropped"] for t in ticks) == 1 and sum(t["bytes"] for t in ticks) > 1000
         now = ingest.current(spark, out)
         found[files] = {n: sorted(str(r) for r in df.select(sorted(c for c in df.columns if c != "ingested")).collect()) for n, df in now.items()}
         assert sorted(r["event_id"] for r in now["events"].collect()) == ["e1", "e4", "e5"] and sorted(r["event_id"] for r in now["raw_findings"].collect()) == ["a1", "a2", "a3", "e2", "e3"]
@@ -41,15 +39,26 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(r["fingerprint"] for r in now["canonical_findings"].collect()) == want
 
 
-def test_fingerprint_state(spark, tmp_path):
-    src = tmp_path / "f"
-    rows = [("a", 1_000_000, "falco", 10, 0.5), ("b", 2_000_000, "suricata", 90, 0.4), ("c", 400_000_000, "falco", 1, 0.1)]
-    flat = spark.createDataFrame(rows, "event_id string, ts_us long, provider string, severity int, confidence double")
-    none = F.lit(None).cast("string")
-    flat = flat.select("*", F.timestamp_micros("ts_us").alias("ts"), F.lit("T1").alias("technique_id"), F.lit("h").alias("host_id"), none.alias("process_entity_id"), none.alias("dst_ip"), none.alias("dst_domain"), none.alias("file_sha256"))
-    flat.coalesce(1).write.parquet(f"file://{src}")
-    q = ingest.merged_fingerprints(spark.readStream.schema(flat.schema).parquet(f"file://{src}")).writeStream.outputMode("update").format("memory").queryName("merged").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert q.exception() is None
-    got = {r["event_id"]: r for r in spark.table("merged").collect()}
-    assert got["a"]["n_merged"] == 2 and got["a"]["severity"] == 90 and abs(got["a"]["confidence"] - 0.7) < 1e-9 and got["a"]["providers"] == ["falco", "suricata"] and got["c"]["n_merged"] == 1
+def test_state_over_batches_and_a_restart(spark, tmp_path):
+    """Findings merge in state across batches and a restart from the checkpoint; repeats count once; all fields of the winner come along."""
+    src, out = tmp_path / "f", f"file://{tmp_path}/out"
+    src.mkdir()
+
+    def alert(i, second, who, sev):
+        return json.dumps({"@timestamp": f"2024-01-01T09:00:{second:02d}Z", "event": {"id": f"a{i}", "kind": "alert", "dataset": who, "severity": sev, "category": ["network"]}, "host": {"name": "h"}, "destination": {"ip": "10.0.0.9"}, "tags": ["attack.t1021"]})
+
+    def job():
+        q = ingest.run(readers.lines(spark, f"file://{src}", stream=True), out, f"file://{tmp_path}/ck")
+        q.await_termination(240)
+        return {r["event_id"]: r for r in ingest.current(spark, out)["canonical_findings"].collect()}
+
+    (src / "a.jsonl").write_text("\n".join([alert(1, 10, "falco", 40), alert(1, 10, "falco", 40)]))
+    first = job()
+    assert first["a1"]["n_merged"] == 1 and first["a1"]["evidence_ids"] == ["a1"] and first["a1"]["host_name"] == "h" and first["a1"]["technique_id"] == "T1021" and first["a1"]["dst_ip"] == "10.0.0.9"
+    (src / "b.jsonl").write_text("\n".join([alert(2, 20, "suricata", 90), alert(1, 10, "falco", 40)]))
+    (src / "c.jsonl").write_text(alert(3, 30, "falco", 10))
+    second = job()
+    assert set(second) == {"a2"} and (second["a2"]["n_merged"], second["a2"]["severity"], second["a2"]["providers"], second["a2"]["evidence_ids"]) == (3, 90, ["falco", "suricata"], ["a1", "a2", "a3"])
+    assert abs(second["a2"]["confidence"] - 0.7) < 1e-9
+    assert sum(ingest.compact(spark, out, 1).values()) > 0 and [r["dst_uid"] for r in ingest.current(spark, out)["edges"].where("rtype = 'NET_CONNECT'").collect()] == ["IP:ip=10.0.0.9"]
+    assert sorted(r["event_id"] for r in ingest.tables(spark, out)["raw_findings"].lookup(["a1", "a3", "zz"]).collect()) == ["a1", "a3"]
