@@ -20,9 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/sentrylake/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df, written to and read from the shared folder, so that loops don't grow plans and lost executors cost little."""
-    path = f"{shared_dir(df.sparkSession)}/sentrylake/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -79,11 +84,6 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def kept_since(df: DataFrame, days: int, today: str, column: str = "ingest_date") -> DataFrame:
-    """Retention: rows of the last so many days, by partition."""
-    return df.where(F.col(column) >= F.date_sub(F.lit(today).cast("date"), days))
-
-
 def drop_scratch(spark: SparkSession) -> None:
     """Deletes the tables that cuts of lineage have left; results that still read them must be stored before."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/sentrylake")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TOP, EXPLAINED = 3, 5
@@ -62,3 +62,33 @@ def ranked(attack_techniques: DataFrame, attack_tactics: DataFrame, uses: DataFr
     score = F.lit(0.5) * F.coalesce("c1", F.lit(0.0)) + F.lit(0.5) * F.coalesce("c2", F.lit(0.0))
     out = a.join(b, "group_id", "full_outer").select("group_id", score.alias("score"), "techniques", "tactics").where("score > 0")
     return out.orderBy(F.col("score").desc(), "group_id").limit(top)
+
+
+def cosines(attacks: DataFrame, uses: DataFrame, weights: DataFrame, term: str) -> DataFrame:
+    """entity, group_id, cosine, shared of all entities (entity, term) and the groups that they share a term with.
+
+    A sparse product: entities meet groups by equal terms, and products are summed by pairs; pairs without a shared term
+    are never made. Groups, their terms and weights are a table of reference data and small beside the entities.
+    """
+    own = attacks.select("entity", term).distinct().join(weights.select(term, "idf"), term)
+    length = own.groupBy("entity").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("own_norm"))
+    hits = own.join(uses.select("group_id", term).distinct(), term)
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("w"), F.col(term).alias("t")))), 1, EXPLAINED)
+    both = hits.groupBy("entity", "group_id").agg(F.sum(F.col("idf") * F.col("idf")).alias("dot"), best.alias("b"))
+    out = both.join(length, "entity").join(norms(uses, weights, term), "group_id")
+    return out.select("entity", "group_id", (F.col("dot") / (F.col("norm") * F.col("own_norm"))).alias("cosine"), F.transform("b", lambda x: x["t"]).alias("shared"))
+
+
+def ranked_all(techniques: DataFrame, tactics: DataFrame, uses: DataFrame, tactic_uses: DataFrame, top: int = TOP) -> DataFrame:
+    """entity, place, group_id, score, techniques, tactics: ``ranked`` for all entities at once, the best ``top`` groups of each.
+
+    Ties (scores equal to 12 decimals) go by group_id.
+    """
+    n = uses.select("group_id").distinct().count()
+    sides = [cosines(a, u, idf(u, term, n), term) for a, u, term in ((techniques, uses, "technique_id"), (tactics, tactic_uses, "tactic_id"))]
+    a = sides[0].select("entity", "group_id", F.col("cosine").alias("c1"), F.col("shared").alias("techniques"))
+    b = sides[1].select("entity", "group_id", F.col("cosine").alias("c2"), F.col("shared").alias("tactics"))
+    score = F.lit(0.5) * F.coalesce("c1", F.lit(0.0)) + F.lit(0.5) * F.coalesce("c2", F.lit(0.0))
+    out = a.join(b, ["entity", "group_id"], "full_outer").select("entity", "group_id", score.alias("score"), "techniques", "tactics").where("score > 0")
+    place = F.row_number().over(Window.partitionBy("entity").orderBy(F.round("score", 12).desc(), "group_id"))
+    return out.withColumn("place", place).where(F.col("place") <= top)

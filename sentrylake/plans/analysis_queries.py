@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrylake.functions import ids
-from sentrylake.operators import analysis, correlate, detect, findings, tables
-from sentrylake.operators.tables import last_of
+from sentrylake.operators import analysis, correlate, detect, findings, tables, ttp
+from sentrylake.operators.store import KeyedTable, drop_days, scan_days, store_days
+from sentrylake.operators.tables import last_of, scratch
 from sentrylake.plans.bridge import duck, ecs
-from sentrylake.plans.queries import _GRAPH_SQL, _THREE, CANONICAL, KEY, RULES, _alerts, _edges, _three, listed, query, r6
+from sentrylake.plans.queries import _GRAPH_SQL, _IDF, _THREE, CANONICAL, KEY, RULES, _alerts, _edges, _three, _uses, listed, query, r6
 
 HOST = "host-3"
 
@@ -53,12 +54,86 @@ def detector_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "ts_us", "severity", r6("confidence"), "rule_id", "rule_name", "tactic_id", "technique_id", "host_id", listed("evidence_ids").alias("evidence"))
 
 
-@query(duck("""x AS (SELECT event_id, CASE WHEN k % 9 <> 4 THEN ts_us END AS t, k FROM ecs WHERE kind = 'alert'), m AS (SELECT max(t) AS mark FROM x WHERE k % 2 = 0) SELECT event_id FROM x, m WHERE k % 2 = 1 AND (t IS NULL OR t > greatest(mark, 1700000000000000 - 5000000))"""))
+@query(duck("x AS (SELECT 1) SELECT event_id FROM ecs WHERE kind = 'alert' AND k % 2 = 1"))
 def new_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings over the stored ones' high-water mark; those without a time are kept."""
-    rows = _alerts(spark, sf_dir).select("event_id", F.when(F.col("k") % 9 != 4, F.col("ts_us")).alias("ts_us"), F.lit("security_analytics").alias("provider"), "k")
-    mark = analysis.high_water(rows.where("k % 2 = 0"), 1700000000000000)
-    return analysis.newer(rows.where("k % 2 = 1"), mark).select("event_id")
+    """Findings that aren't stored yet: late ones, repeated ones, and some without a time."""
+    rows = _alerts(spark, sf_dir).select("event_id", F.when(F.col("k") % 9 != 4, F.col("ts_us")).alias("ts_us"), "k")
+    return analysis.unseen(rows.unionByName(rows.where("k % 3 = 1")), rows.where("k % 2 = 0")).select("event_id")
+
+
+@query(duck("""x AS (SELECT *, k % 3 AS came FROM ecs WHERE kind = 'alert' AND k % 11 <> 5) SELECT event_id, min(came)::INT AS poll, any_value(ts_us // 1000000 * 1000000) AS ts_us, any_value('sa-rule-d' || k) AS rule_id FROM x GROUP BY event_id"""))
+def detector_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three polls of a detector, each of which gives all that came before once more, in a stored table; some lines are unusable."""
+    rows, k = _alerts(spark, sf_dir), F.col("k")
+    usable = k % 11 != 5
+    line = F.to_json(F.struct(F.when(usable, F.col("event_id")).alias("id"), F.when(usable, F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("timestamp"), F.struct(F.concat(F.lit("d"), k.cast("string")).alias("id")).alias("detector")))
+    table = KeyedTable(spark, scratch(spark, "detector-flow"), ["event_id"], analysis.detector_findings(rows.limit(0).select(line.alias("value"))).schema, buckets=8)
+    first = {}
+    for n in range(3):
+        analysis.poll(rows.where(k % 3 <= n).select(line.alias("value")), table, F.timestamp_micros(F.lit(0)))
+        first[n] = table.manifest()
+    out, polls = None, [table.read(manifest=first[n]).select("event_id", "ts_us", "rule_id") for n in range(3)]
+    for n, now in enumerate(polls):
+        mine = (now if n == 0 else now.join(polls[n - 1].select("event_id"), "event_id", "left_anti")).withColumn("poll", F.lit(n))
+        out = mine if out is None else out.unionByName(mine)
+    return out
+
+
+@query(duck("x AS (SELECT host_name || '/' || (n % 50) AS key, n, action, dst_ip, k % 3 AS batch FROM ecs) SELECT key, arg_max(n, (batch, n)) AS n, arg_max(action, (batch, n)) AS action, max(struct_pack(b := batch, n := n, d := dst_ip)).d AS dst_ip FROM x GROUP BY key"))
+def store_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three commits of rows by key with a compaction between; of a key the last commit counts, and in it the last row."""
+    rows = ecs(spark, sf_dir).select(F.concat("host_name", F.lit("/"), (F.col("n") % 50).cast("string")).alias("key"), "n", "action", "dst_ip", "k")
+    table = KeyedTable(spark, scratch(spark, "compacted"), ["key"], "key string, n long, action string, dst_ip string", buckets=8, order=("n",))
+    for batch in range(3):
+        table.append(rows.where(F.col("k") % 3 == batch), batch)
+        if batch == 1:
+            table.compact()
+    return table.read()
+
+
+@query(duck("x AS (SELECT 1) SELECT event_id, ts_us, action FROM ecs WHERE event_id IN ('evt-0', 'evt-7', 'evt-77', 'evt-777', 'evt-none')"))
+def event_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some events of a stored table, by id: their buckets alone are read."""
+    rows = ecs(spark, sf_dir).select("event_id", "ts_us", "action", "kind")
+    table = KeyedTable(spark, scratch(spark, "by-id"), ["event_id"], "event_id string, ts_us long, action string", buckets=16)
+    for kind in ("event", "alert"):
+        table.append(rows.where(F.col("kind") == kind))
+    return table.lookup(["evt-0", "evt-7", "evt-77", "evt-777", "evt-none"])
+
+
+@query(duck("x AS (SELECT *, strftime(make_timestamp(ts_us), '%Y-%m-%d') AS day FROM ecs) SELECT event_id, ts_us, day FROM x WHERE day BETWEEN '2024-01-05' AND '2024-01-08' AND dataset LIKE 'netflow.%'"))
+def multi_day_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events stored by day, of four days."""
+    path = scratch(spark, "days")
+    store_days(ecs(spark, sf_dir).select("event_id", "ts_us", "dataset"), path)
+    return scan_days(spark, path, "2024-01-05", "2024-01-08").where("dataset LIKE 'netflow.%'").select("event_id", "ts_us", "day")
+
+
+@query(duck("x AS (SELECT strftime(make_timestamp(ts_us), '%Y-%m-%d') AS day FROM ecs), m AS (SELECT max(day) AS last FROM x) SELECT day, count(*) AS n FROM x, m WHERE day >= strftime(last::DATE - 10, '%Y-%m-%d') GROUP BY day"))
+def retained_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What retention leaves of events stored by day, ten days before the last."""
+    path = scratch(spark, "retained")
+    store_days(ecs(spark, sf_dir).select("event_id", "ts_us"), path)
+    days = spark.read.parquet(path).agg(F.max(F.col("day").cast("string")).alias("d")).first()["d"]
+    drop_days(spark, path, 10, days)
+    return spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""{duck("hx AS (SELECT 1)")}, {_IDF}, al AS (SELECT host_id || '@' || (ts_us // 86400000000) AS entity, k FROM ecs WHERE kind = 'alert'),
+ht AS (SELECT DISTINCT entity, 'T1' || lpad((k % 41)::VARCHAR, 3, '0') AS term FROM al), ha AS (SELECT DISTINCT entity, 'TA00' || lpad((k % 11)::VARCHAR, 2, '0') AS term FROM al WHERE k % 11 > 0),
+gt AS (SELECT group_id, sqrt(sum(idf * idf)) AS norm FROM tt JOIN ti USING (term) GROUP BY 1), ga AS (SELECT group_id, sqrt(sum(idf * idf)) AS norm FROM aa JOIN ai USING (term) GROUP BY 1),
+nt AS (SELECT entity, sqrt(sum(idf * idf)) AS own FROM ht JOIN ti USING (term) GROUP BY 1), na AS (SELECT entity, sqrt(sum(idf * idf)) AS own FROM ha JOIN ai USING (term) GROUP BY 1),
+c1 AS (SELECT entity, group_id, sum(idf * idf) / any_value(norm) / any_value(own) AS c FROM ht JOIN ti USING (term) JOIN tt USING (term) JOIN gt USING (group_id) JOIN nt USING (entity) GROUP BY 1, 2),
+c2 AS (SELECT entity, group_id, sum(idf * idf) / any_value(norm) / any_value(own) AS c FROM ha JOIN ai USING (term) JOIN aa USING (term) JOIN ga USING (group_id) JOIN na USING (entity) GROUP BY 1, 2),
+sc AS (SELECT entity, group_id, 0.5 * coalesce(c1.c, 0) + 0.5 * coalesce(c2.c, 0) AS score FROM c1 FULL JOIN c2 USING (entity, group_id)),
+pl AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY round(score, 12) DESC, group_id)::INT AS place FROM sc) SELECT entity, place, group_id, round(score, 6) AS score FROM pl WHERE place <= 3""")
+def host_apt_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three groups that each host's day is most like, by its findings' techniques and tactics (made-up here)."""
+    uses, tactics = _uses(spark, sf_dir)
+    k = F.col("k")
+    made = lambda lead, m, w: F.concat(F.lit(lead), F.lpad((k % m).cast("string"), w, "0"))
+    rows = _alerts(spark, sf_dir).withColumns({"technique_id": made("T1", 41, 3), "tactic_id": made("TA00", 11, 2)})
+    return ttp.ranked_all(*analysis.techniques_by_host(rows, 86_400_000_000), uses, tactics).select("entity", "place", "group_id", r6("score"))
 
 
 @query(duck(f"""{_GRAPH_SQL}, t AS (SELECT *, CASE WHEN severity % 2 = 0 THEN 'trace-1' ELSE 'trace-2' END AS task, severity % 3 = 0 AS on_path FROM edges WHERE is_alarm)
