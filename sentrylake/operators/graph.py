@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrylake.functions import ids
+from sentrylake.operators.asof import nearest
 from sentrylake.operators.tables import cut, last_of
 
 # The endpoint types that an edge type may have.
@@ -45,10 +46,11 @@ def file_op(action: Column) -> Column:
 OPTIONAL = {
     "pid": "long", "executable": "string", "process_start": "string", "parent_entity_id": "string", "file_path": "string", "dst_domain": "string", "dst_port": "long", "dns_answers": "array<string>", "host_ips": "array<string>",
     "category": "array<string>", "outcome": "string", "session_id": "string", "rule_id": "string", "rule_name": "string", "tactic_name": "string", "confidence": "double", "providers": "array<string>", "fingerprint": "string",
+    "event_type": "array<string>", "event_code": "string", "ruleset": "string", "framework": "string", "stage": "string", "command_line": "string", "process_name": "string", "file_sha256": "string", "parent_name": "string",
 }
 #: Properties that an edge takes over from its event, and those that only alerts give.
-EVENT_PROPS = ("kind", "dataset", "action", "category", "outcome", "session_id")
-ALERT_PROPS = ("rule_id", "rule_name", "tactic_name", "confidence", "providers", "fingerprint", "evidence_ids")
+EVENT_PROPS = ("kind", "dataset", "action", "category", "event_type", "event_code", "outcome", "session_id")
+ALERT_PROPS = ("rule_id", "rule_name", "tactic_name", "confidence", "providers", "fingerprint", "evidence_ids", "ruleset", "framework", "stage")
 
 
 def completed(rows: DataFrame) -> DataFrame:
@@ -131,6 +133,29 @@ def nodes(rows: DataFrame) -> DataFrame:
     return out.groupBy("n.uid", "n.ntype").agg(F.max("ts_us").alias("ts_us"), F.max_by("n.name", F.when(F.col("n.name").isNotNull(), last)).alias("name"), F.max(F.when(F.col("n.name").isNotNull(), F.col("ts_us"))).alias("name_us"))
 
 
+def node_properties(rows: DataFrame) -> DataFrame:
+    """uid, props of the nodes that eligible rows name: of each property the last value, by time; absent ones don't erase any."""
+    c = F.col
+
+    def node(uid: str, **props: str) -> Column:
+        given = F.create_map(*[x for k, column in props.items() for x in (F.lit(k.replace("__", ".")), c(column).cast("string"))])
+        return F.when(c(uid).isNotNull(), F.struct(c(uid).alias("uid"), F.map_filter(given, lambda _, v: v.isNotNull()).alias("props")))
+
+    own = F.array(
+        node("_host", host__id="host_id", host__name="host_name"), node("_user", user__id="user_id", user__name="user_name", host__id="host_id"),
+        node("_process", process__pid="pid", process__name="process_name", process__executable="executable", process__command_line="command_line", process__start="process_start", host__id="host_id"),
+        node("_parent", process__name="parent_name", host__id="host_id"), node("_file", file__path="file_path", file__hash__sha256="file_sha256", host__id="host_id"),
+        node("_ip", ip="dst_ip"), node("_domain", domain__name="dst_domain"),
+    )
+    named = with_uids(eligible(rows)).select("ts_us", F.explode_outer(F.array_compact(own)).alias("n")).where("n.uid IS NOT NULL")
+    return merge_nodes(named.select("n.uid", "n.props", F.col("ts_us").alias("ord")))
+
+
+def duplicate_nodes(stored: DataFrame) -> DataFrame:
+    """uid, n: nodes that are stored more than once, or under more than one type."""
+    return stored.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def invalid_edges(found: DataFrame) -> DataFrame:
     """Edges whose endpoints' types their own type doesn't allow: for quarantine."""
     src, dst = F.substring_index("src_uid", ":", 1), F.substring_index("dst_uid", ":", 1)
@@ -261,6 +286,41 @@ def temporal_paths(found: DataFrame, sources: DataFrame, most_hops: int, t_min:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_pair).drop("rank")
 
 
+def latest_departures(both: DataFrame, goals: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, node, left, departs: from where, with so many hops left, a goal is reached by edges whose times never descend, if
+    the first of them leaves at ``departs`` or before. The search goes backwards from the goals.
+
+    both: at, to, ts_float, event_id of edges in both directions; goals: keys, node, t_min, t_max, most (hops). Of each
+    node the rows whose departure is later than with fewer hops are given, so at most ``most`` + 1; rounds carry a row for each node
+    that got a later departure, and no paths. A departure allows walks that come by a node again, so it never misses a path.
+    """
+    limit = goals.agg(F.max("most").alias("n")).first()["n"] or 0
+    bounds = [*keys, "t_min", "t_max", "most"]
+    front = cut(goals.select(*bounds, "node", F.lit(0).alias("left"), F.col("t_max").alias("departs")), "departures")
+    best = front
+    out = [front]
+    for hop in range(1, limit + 1):
+        j = front.where(F.col("most") >= hop).join(both.select("at", "to", "ts_float"), F.col("node") == F.col("to")).where("ts_float >= t_min AND ts_float <= departs")
+        later = j.groupBy(*bounds, F.col("at").alias("node")).agg(F.max("ts_float").alias("departs"))
+        known = best.groupBy(*keys, "node").agg(F.max("departs").alias("known"))
+        front = cut(later.join(known, [*keys, "node"], "left").where("known IS NULL OR departs > known").select(*bounds, "node", F.lit(hop).alias("left"), "departs"), "departures")
+        if front.isEmpty():
+            break
+        out.append(front)
+        best = reduce(DataFrame.unionByName, out)
+    return reduce(DataFrame.unionByName, out).select(*keys, "node", "left", "departs")
+
+
+def reverse_paths(found: DataFrame, targets: DataFrame, most_hops: int, t_min: float, t_max: float) -> DataFrame:
+    """dst_uid, uid, hops, departs: from which nodes each target (uid) can be reached within the window by undirected edges in
+    time order, and how late one may leave: for each number of hops with which one may leave later than with fewer.
+    """
+    pool = in_window(found, t_min, t_max).select(F.col("src_uid").alias("at"), F.col("dst_uid").alias("to"), "event_id", "ts_float")
+    both = cut(pool.unionByName(pool.select(F.col("to").alias("at"), F.col("at").alias("to"), "event_id", "ts_float")).where("at <> to"), "pool")
+    goals = targets.select(F.col("uid").alias("dst_uid"), F.col("uid").alias("node"), F.lit(float(t_min)).alias("t_min"), F.lit(float(t_max)).alias("t_max"), F.lit(most_hops).alias("most")).distinct()
+    return latest_departures(both, goals, ["dst_uid"]).select("dst_uid", F.col("node").alias("uid"), F.col("left").alias("hops"), "departs")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root of every node of links (a, b), root being the smallest node that it is connected with.
 
@@ -284,10 +344,13 @@ def incidents(found: DataFrame, own_ips: DataFrame, gap_s: float = 6 * 3600.0) -
     A source's alarms with gaps of up to ``gap_s`` are a session, whatever the day; a session is joined to that of another
     host (own_ips: ip_uid, host_uid) which one of its alarms goes to, if that one is on within the gap. Joined sessions are an incident.
     """
-    w = Window.partitionBy("src_uid").orderBy("ts_float", "event_id")
-    fresh = F.coalesce((F.col("ts_float") - F.lag("ts_float").over(w) > gap_s).cast("int"), F.lit(1))
-    rows = alarms(found).withColumn("_fresh", fresh).withColumn("_n", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    rows = cut(rows.withColumn("session", F.concat_ws("#", "src_uid", F.col("_n").cast("string"))).drop("_fresh", "_n"), "sessions")
+    found_alarms = alarms(found).where("src_uid IS NOT NULL AND ts_float IS NOT NULL").withColumns({"key": F.col("src_uid"), "ts_us": F.round(F.col("ts_float") * F.lit(1e6)).cast("long")})
+    times = cut(found_alarms.select("key", "ts_us").distinct().withColumn("event_id", F.lit("")), "alarm-times")
+    before = nearest(times, times.select("key", (F.col("ts_us") - 1).alias("ts_us")))
+    gap_us = F.lit(round(gap_s * 1e6))
+    starts = before.where((F.col("found").isNull()) | (F.col("ts_us") + 1 - F.col("found.ts_us") > gap_us)).select("key", (F.col("ts_us") + 1).alias("ts_us"), F.lit("").alias("event_id"))
+    rows = nearest(starts, found_alarms).withColumn("session", F.concat_ws("#", "src_uid", F.col("found.ts_us").cast("string")))
+    rows = cut(rows.select(*found.columns, "session"), "sessions")
     spans = rows.groupBy("src_uid", "session").agg(F.min("ts_float").alias("t_start"), F.max("ts_float").alias("t_end"))
     # sessions of a host lie over a gap apart, so at most two are within it of a time: few rows a slot
     slots = F.sequence(F.floor((F.col("t_start") - gap_s) / gap_s).cast("long"), F.floor((F.col("t_end") + gap_s) / gap_s).cast("long"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentrylake.operators import fsa
+from sentrylake.operators import fsa, graph
 from sentrylake.operators.tables import cut
 
 #: Seconds before a segment's end and after the next one's start in which a path may lie.
@@ -65,8 +65,8 @@ def candidate_paths(found: DataFrame, pairs: DataFrame, most: int = CANDIDATES)
     """scope, chain, pair, hops, path, steps: for each pair the first ``most`` simple undirected paths from its source to
     its target whose times lie in its window and never descend, by (hops, steps); equal anchors give the empty path.
 
-    All pairs are searched at once, from their own sources. A walk goes on only to nodes from which the target can be
-    reached with the hops that are left, and walks over the same nodes are one: the one that arrives first, with the
+    All pairs are searched at once, from their own sources. A search backwards from the targets comes first; a walk then goes
+    on only to nodes from which its target can still be reached, with the hops that are left and by edges that aren't too early, and walks over the same nodes are one: the one that arrives first, with the
     smallest ids of edges, from which every continuation of the others is open too.
     """
     keys = KEYS + ["order"] * ("order" in pairs.columns)
@@ -76,23 +76,15 @@ def candidate_paths(found: DataFrame, pairs: DataFrame, most: int = CANDIDATES)
     # windows of pairs hold few distinct links of the pool; searches run over these
     near = pairs.select(*keys, "src_uid", "dst_uid", "t_min", "t_max", F.col("hops").alias("most"))
     limit = pairs.agg(F.max("hops").alias("n")).first()["n"] or 0
-    reach = near.select(*keys, "t_min", "t_max", "most", F.col("dst_uid").alias("node"), F.lit(0).alias("left"))
-    front = cut(reach, "reach")
-    reach = front
-    for hop in range(1, limit + 1):
-        front = front.where(F.col("most") >= hop).join(both.withColumnRenamed("at", "_at"), F.col("node") == F.col("to")).where("ts_float BETWEEN t_min AND t_max")
-        front = front.select(*keys, "t_min", "t_max", "most", F.col("_at").alias("node"), F.lit(hop).alias("left")).distinct()
-        front = cut(front.join(reach.select(*keys, "node"), [*keys, "node"], "left_anti"), "reach")
-        if front.isEmpty():
-            break
-        reach = reach.unionByName(front)
-    reach = cut(reach.select(*keys, F.col("node").alias("to"), "left"), "distances")
+    reach = graph.latest_departures(both, near.select(*keys, "t_min", "t_max", "most", F.col("dst_uid").alias("node")), keys)
+    # of each node the hops and departures from which the target can be reached: at most as many as there are hops
+    reach = cut(reach.groupBy(*keys, F.col("node").alias("to")).agg(F.collect_list(F.struct("left", "departs")).alias("open")), "reach")
     walks = near.select(*keys, "dst_uid", "t_min", "t_max", "most", F.col("src_uid").alias("end"), F.array("src_uid").alias("path"), F.array().cast("array<string>").alias("steps"), F.lit(-1e300).alias("last"))
     done = walks.where("end = dst_uid")
     walks = walks.where("end <> dst_uid")
     for hop in range(1, limit + 1):
         j = walks.where(F.col("most") >= hop).join(both, F.col("end") == F.col("at")).where("ts_float BETWEEN t_min AND t_max AND ts_float >= last AND NOT array_contains(path, to)")
-        j = j.join(reach, [*keys, "to"]).where(F.col("left") + hop <= F.col("most"))
+        j = j.join(reach, [*keys, "to"]).where(F.exists("open", lambda o: (o["left"] + hop <= F.col("most")) & (o["departs"] >= F.col("ts_float"))))
         same = [*keys, "dst_uid", "t_min", "t_max", "most", F.col("to").alias("end"), F.concat("path", F.array("to")).alias("path")]
         arrival = F.struct(F.col("ts_float").alias("last"), F.concat("steps", F.array("event_id")).alias("steps"))
         walked = cut(j.groupBy(*same).agg(F.min(arrival).alias("a")).select("*", "a.steps", "a.last").drop("a"), "walks")

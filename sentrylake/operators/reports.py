@@ -94,10 +94,11 @@ def search(df: DataFrame, condition: Column, order: list[Column], offset: int =
     return df.where(condition).orderBy(*order).offset(offset).limit(size)
 
 
-def events_condition(start_us: int, end_us: int, host_name: str | None = None, ids: list[str] | None = None, datasets: list[str] | None = None) -> Column:
-    """Events in a closed time window, by host, ids and datasets (which may hold * and ?)."""
+def events_condition(start_us: int, end_us: int, host_name: str | None = None, ids: list[str] | None = None, datasets: list[str] | None = None, host_id: str | None = None) -> Column:
+    """Events in a closed time window, by host (name or id), ids and datasets (which may hold * and ?)."""
     out = F.col("ts_us").between(start_us, end_us)
     out = out & (F.col("host_name") == host_name) if host_name else out
+    out = out & (F.col("host_id") == host_id) if host_id else out
     out = out & F.col("event_id").isin(*ids) if ids else out
     if datasets:
         any_of = F.lit(False)
@@ -107,9 +108,11 @@ def events_condition(start_us: int, end_us: int, host_name: str | None = None, i
     return out
 
 
-def findings_condition(tactics: list[str] | None = None, techniques: list[str] | None = None, providers: list[str] | None = None, least_severity: int | None = None) -> Column:
+def findings_condition(tactics: list[str] | None = None, techniques: list[str] | None = None, providers: list[str] | None = None, least_severity: int | None = None, rules: list[str] | None = None) -> Column:
+    """Findings by tactic, technique, provider, severity and rule (its id or its name)."""
     out = F.lit(True)
     out = out & F.col("tactic_id").isin(*tactics) if tactics else out
     out = out & F.col("technique_id").isin(*techniques) if techniques else out
+    out = out & (F.col("rule_id").isin(*rules) | F.col("rule_name").isin(*rules)) if rules else out
     out = out & F.arrays_overlap("providers", F.array(*map(F.lit, providers))) if providers else out
     return out & (F.col("severity") >= least_severity) if least_severity is not None else out

@@ -5,6 +5,7 @@ Doubles are rounded to six places on both sides; lists are joined texts.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -256,6 +257,33 @@ def event_graph_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.shortest_costs(found, source, {"LOGON": 0.5}).select("uid", r6("cost"))
 
 
+@query(duck("""x AS (SELECT *, 'Host:host.id=' || host_id AS h, 'User:user.id=' || user_id AS u, 'Process:process.entity_id=' || process_entity_id AS p, 'Process:process.entity_id=parent-' || (k % 9) AS q FROM ecs),
+v AS (SELECT h AS uid, 'host.id' AS k, host_id AS v, ts_us FROM x UNION ALL SELECT h, 'host.name', host_name, ts_us FROM x UNION ALL SELECT u, 'user.id', user_id::VARCHAR, ts_us FROM x UNION ALL SELECT u, 'user.name', user_name, ts_us FROM x UNION ALL SELECT u, 'host.id', host_id, ts_us FROM x
+  UNION ALL SELECT p, 'process.name', process_name, ts_us FROM x UNION ALL SELECT p, 'host.id', host_id, ts_us FROM x UNION ALL SELECT p, 'process.command_line', CASE WHEN k % 3 = 0 THEN action || ' -' || k END, ts_us FROM x
+  UNION ALL SELECT q, 'process.name', 'init', ts_us FROM x WHERE k % 2 = 0 UNION ALL SELECT q, 'host.id', host_id, ts_us FROM x WHERE k % 2 = 0 UNION ALL SELECT 'IP:ip=' || dst_ip, 'ip', dst_ip, ts_us FROM x UNION ALL SELECT 'Domain:domain.name=' || dst_domain, 'domain.name', dst_domain, ts_us FROM x)
+SELECT uid, k AS property, arg_max(v, (ts_us, v)) AS value FROM v WHERE uid IS NOT NULL AND v IS NOT NULL GROUP BY 1, 2"""))
+def node_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of hosts, users, processes, their parents, addresses and domains, each as it was last told."""
+    rows = ecs(spark, sf_dir).withColumns({
+        "kind": F.lit("event"), "evidence_ids": F.array("event_id"), "parent_entity_id": F.when(F.col("k") % 2 == 0, F.concat(F.lit("parent-"), (F.col("k") % 9).cast("string"))), "parent_name": F.lit("init"),
+        "command_line": F.when(F.col("k") % 3 == 0, F.concat("action", F.lit(" -"), F.col("k").cast("string"))), "file_path": F.lit(None).cast("string"),
+    })
+    return graph.node_properties(rows).select("uid", F.explode(F.map_entries("props")).alias("e")).select("uid", F.col("e.key").alias("property"), F.col("e.value").alias("value"))
+
+
+@query(duck("""x AS (SELECT *, 'Process:process.entity_id=' || process_entity_id AS p FROM ecs WHERE action = 'click' AND process_entity_id IS NOT NULL)
+SELECT 'Process:process.entity_id=parent-' || (k % 9) AS src_uid, p AS dst_uid, 'SPAWN' AS rtype, event_id, 'start,' || action AS event_type, 'c' || k AS event_code, NULL AS ruleset FROM x UNION ALL
+SELECT p, 'Host:host.id=' || host_id, 'RUNS_ON', event_id, 'start,' || action, 'c' || k, NULL FROM x"""))
+def spawn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Processes with parents: what spawned them and where they run, with the event's types and code."""
+    k = F.col("k").cast("string")
+    rows = ecs(spark, sf_dir).where("action = 'click' AND process_entity_id IS NOT NULL").withColumns({
+        "kind": F.lit("event"), "dataset": F.lit("hostlog.process"), "evidence_ids": F.array("event_id"), "parent_entity_id": F.concat(F.lit("parent-"), (F.col("k") % 9).cast("string")),
+        "event_type": F.array(F.lit("start"), F.col("action")), "event_code": F.concat(F.lit("c"), k), "ruleset": F.lit("for alerts alone"),
+    })
+    return graph.edges(rows).select(*graph.EDGE_KEY, listed("event_type"), "event_code", "ruleset")
+
+
 @query(duck(f"{_GRAPH_SQL} SELECT {EDGE} FROM edges WHERE is_alarm"))
 def alarm_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.alarms(_edges(spark, sf_dir)).select(*EDGE.split(", "))
@@ -333,6 +361,22 @@ def k_hop_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("src_uid", "dst_uid", "hops", F.array_join("path", ">").alias("path"), listed("steps"))
 
 
+_BACK = """p AS (SELECT src_uid AS a, dst_uid AS b, ts_us / 1e6 AS t FROM edges WHERE ts_us BETWEEN 1704100000000000 AND 1704400000000000 AND rtype <> 'HAS_IP' AND src_uid <> dst_uid),
+e AS (SELECT a, b, t FROM p UNION ALL SELECT b, a, t FROM p), r0 AS (SELECT DISTINCT b AS g, b AS node, 1704400000.0::DOUBLE AS dep FROM e WHERE b LIKE 'Domain:%'),
+n1 AS (SELECT g, e.a AS node, max(t) AS dep FROM r0 JOIN e ON e.b = r0.node WHERE t <= dep GROUP BY 1, 2), k1 AS (SELECT g, node, dep FROM r0), r1 AS (SELECT n1.* FROM n1 LEFT JOIN k1 USING (g, node) WHERE k1.dep IS NULL OR n1.dep > k1.dep),
+n2 AS (SELECT g, e.a AS node, max(t) AS dep FROM r1 JOIN e ON e.b = r1.node WHERE t <= dep GROUP BY 1, 2), k2 AS (SELECT g, node, max(dep) AS dep FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1) GROUP BY 1, 2), r2 AS (SELECT n2.* FROM n2 LEFT JOIN k2 USING (g, node) WHERE k2.dep IS NULL OR n2.dep > k2.dep),
+n3 AS (SELECT g, e.a AS node, max(t) AS dep FROM r2 JOIN e ON e.b = r2.node WHERE t <= dep GROUP BY 1, 2), k3 AS (SELECT g, node, max(dep) AS dep FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2) GROUP BY 1, 2), r3 AS (SELECT n3.* FROM n3 LEFT JOIN k3 USING (g, node) WHERE k3.dep IS NULL OR n3.dep > k3.dep),
+o AS (SELECT g, node, 0 AS hops, dep FROM r0 UNION ALL SELECT g, node, 1, dep FROM r1 UNION ALL SELECT g, node, 2, dep FROM r2 UNION ALL SELECT g, node, 3, dep FROM r3)"""
+
+
+@query(duck(f"{_GRAPH_SQL}, {_BACK} SELECT g AS dst_uid, node AS uid, hops, round(dep, 6) AS departs FROM o"))
+def reverse_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From where the domains of some days can be reached in three hops in time order, and how late one may leave."""
+    found = _edges(spark, sf_dir).where("rtype <> 'HAS_IP'")
+    targets = graph.endpoints(graph.in_window(found, 1704100000.0, 1704400000.0)).where("uid LIKE 'Domain:%'")
+    return graph.reverse_paths(found, targets, 3, 1704100000.0, 1704400000.0).select("dst_uid", "uid", "hops", r6("departs"))
+
+
 # --- search and reports
 
 
@@ -348,6 +392,19 @@ def findings_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(reports.findings_condition(["TA0004", "TA0010"], providers=["falco"], least_severity=70)).select("event_id", "tactic_id", "severity")
 
 
+@query(duck("x AS (SELECT 1) SELECT event_id, ts_us FROM ecs WHERE host_id = 'h-' || substr(sha1('host-3'), 1, 16) AND ts_us BETWEEN 1704500000000000 AND 1705000000000000 ORDER BY ts_us, event_id LIMIT 200"))
+def events_of_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    condition = reports.events_condition(1704500000000000, 1705000000000000, host_id="h-" + hashlib.sha1(b"host-3").hexdigest()[:16])
+    return reports.search(ecs(spark, sf_dir), condition, [F.col("ts_us"), F.col("event_id")], 0, 200).select("event_id", "ts_us")
+
+
+@query(duck("x AS (SELECT *, 'R' || k AS rule_name, 'rule-' || substr(sha1('R' || k), 1, 16) AS rule_id FROM ecs WHERE kind = 'alert') SELECT event_id, rule_id FROM x WHERE rule_name IN ('R5', 'R50') OR rule_id = 'rule-' || substr(sha1('R17'), 1, 16)"))
+def findings_of_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _alerts(spark, sf_dir).withColumn("rule_name", F.concat(F.lit("R"), F.col("k").cast("string")))
+    rows = rows.withColumn("rule_id", ids.rule_id(F.lit(None).cast("string"), F.col("rule_name")))
+    return rows.where(reports.findings_condition(rules=["R5", "R50", "rule-" + hashlib.sha1(b"R17").hexdigest()[:16]])).select("event_id", "rule_id")
+
+
 @query("SELECT o_orderkey AS task_id, o_orderstatus AS status, epoch_us(o_orderdate) AS created_us FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 10 = 3 ORDER BY created_us DESC, task_id LIMIT 20")
 def tasks_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders stand in for analysis tasks: status, target and newest first."""
@@ -695,3 +752,29 @@ def falco_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sensors.falco(lines)
     same = ["kind", "dataset", "action", "host_name", "host_id", "user_name", "process_name", "executable", "pid", "process_entity_id", "file_path", "src_ip", "src_port", "dst_ip", "dst_port", "rule_name", "severity", "risk_score", "tactic_id", "technique_id"]
     return found.select("message", listed("category"), F.unix_micros("ts").alias("ts_us"), *same)
+
+
+_KNOWN = ", ".join(f"({i}, '{rule.replace(chr(39), chr(39) * 2)}', '{tactic}', '{technique}')" for i, (rule, (tactic, technique)) in enumerate(sorted(sensors.RULE_ATTACK.items())))
+
+
+@query(duck(f"""r(i, rule, ta, te) AS (VALUES {_KNOWN}), x AS (SELECT e.*, e.n % 31 AS j FROM ecs e)
+SELECT event_id AS message, coalesce(rule, 'Own rule') AS rule_name, coalesce(ta, CASE WHEN j % 2 = 0 THEN 'TA0007' ELSE 'TA0000' END) AS tactic_id,
+  coalesce(nullif(te, ''), CASE WHEN rule IS NULL AND j % 2 = 0 THEN 'T1083' ELSE 'T0000' END) AS technique_id FROM x LEFT JOIN r ON r.i = x.j"""))
+def falco_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule that is known by name, and others, half of which name their tactic and technique in tags."""
+    c, j = F.col, F.col("n") % 31
+    names = F.array(*map(F.lit, sorted(sensors.RULE_ATTACK)))
+    rule = F.coalesce(F.try_element_at(names, (j + 1).cast("int")), F.lit("Own rule"))
+    tags = F.when((j >= len(sensors.RULE_ATTACK)) & (j % 2 == 0), F.array(F.lit("mitre.tactic.id=TA0007"), F.lit("attack.technique.id:T1083")))
+    lines = ecs(spark, sf_dir).select(F.to_json(F.struct(
+        F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("time"), rule.alias("rule"), F.lit("Debug").alias("priority"), c("host_name").alias("hostname"), tags.alias("tags"), c("event_id").alias("output"),
+        F.create_map(F.lit("evt.type"), F.lit("connect")).alias("output_fields"),
+    )).alias("value"))
+    return sensors.falco(lines).select("message", "rule_name", "tactic_id", "technique_id")
+
+
+@query(duck("x AS (SELECT 1) SELECT event_id, CASE k % 3 WHEN 0 THEN 'TA0011' WHEN 1 THEN 'TA0002' ELSE 'TA0001' END AS tactic_id, CASE WHEN k % 3 = 2 THEN 'T1078' ELSE 'T0000' END AS technique_id FROM ecs"))
+def attack_tactic_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tactics given by their number, by their name, or by a technique."""
+    tag = F.element_at(F.array(*map(F.lit, ["attack.ta0011", "Attack.Execution", "attack.t1078"])), (F.col("k") % 3 + 1).cast("int"))
+    return ecs(spark, sf_dir).select("event_id", normalize.attack_tags(F.array(F.lit("other"), tag)).alias("a")).select("event_id", "a.tactic_id", "a.technique_id")

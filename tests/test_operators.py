@@ -184,6 +184,29 @@ def test_paths(spark):
     assert len(best) == 2 and min(r["hops"] for r in best) == 1
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_reverse_search_against_all_walks(spark, seed):
+    """Latest departures for each number of hops, with times that tie and edges that go both ways."""
+    rng = random.Random(seed)
+    edges = [(f"n{rng.randrange(7)}", f"n{rng.randrange(7)}", "SPAWN", f"e{i}", float(rng.randint(0, 12))) for i in range(14)]
+    d = spark.createDataFrame(edges, "src_uid string, dst_uid string, rtype string, event_id string, ts_float double")
+    both = [(a, b, t) for a, b, _, _, t in edges if a != b and 1 <= t <= 11] + [(b, a, t) for a, b, _, _, t in edges if a != b and 1 <= t <= 11]
+    want = set()
+    for goal in ("n0", "n3"):
+        best, level = {goal: 11.0}, {goal: 11.0}
+        want.add((goal, goal, 0, 11.0))
+        for hop in range(1, 5):
+            reached = {}
+            for a, b, t in both:
+                if b in level and t <= level[b]:
+                    reached[a] = max(reached.get(a, -1.0), t)
+            level = {n: t for n, t in reached.items() if t > best.get(n, -1.0)}
+            best |= level
+            want |= {(goal, n, hop, t) for n, t in level.items()}
+    targets = spark.createDataFrame([("n0",), ("n3",), ("n3",)], "uid string")
+    assert {tuple(r) for r in graph.reverse_paths(d, targets, 4, 1.0, 11.0).collect()} == want
+
+
 # --- correlation
 
 
