@@ -5,7 +5,7 @@ in fewer than MATCHES coordinates are no candidates: at a resemblance of 0.8 the
 and fewer than 18 of 40 have a probability of about 1e-7. Two signatures with MATCHES agreeing coordinates agree in one
 of any PREFIX = COORDINATES - MATCHES + 1 of them, so sets are posted under the first PREFIX pairs of coordinate and value
 alone. In a posting list, agreements of the others are counted, and rows of a long list are only compared where they agree in
-another coordinate, of which again PREFIX are enough: whatever can't reach MATCHES is skipped without being counted.
+another coordinate, of which again PREFIX are enough: whatever can't reach MATCHES is skipped without being counted, and so is a pair in all lists but the first that it shares.
 
 A list of more than LIST_ROWS rows (a value that very many sets share) is posted again, under pairs of two coordinates, so
 that unlike sets part; what is still as long is dealt into blocks, each two of which meet in one task. A list yields a spanning
@@ -37,7 +37,9 @@ COORDINATES, MATCHES = 40, 18
 PREFIX = COORDINATES - MATCHES + 1
 #: Longer posting lists are posted again under two coordinates, and then dealt into blocks of about so many rows.
 LIST_ROWS = 1 << 17
-#: In a task, lists of more rows are cut by a second coordinate.
+#: In a task, all pairs of lists of up to so many rows are compared by shifting; longer ones are visited breadth first.
+SHORT_LIST = 16
+#: In a task, lists of more rows with many components are cut by a second coordinate.
 CUT_ROWS = 1 << 9
 #: Of so many sets (about), or a thousandth if that is more, posting lists are counted to find long ones; only the balance of
 #: the tasks depends on it.
@@ -111,34 +113,32 @@ def spanning(node: np.ndarray, sig: np.ndarray, size: np.ndarray, hundredths: in
     that allow the resemblance. Ends after so many comparisons; the rows of components that aren't complete by then come third.
     """
     left, a, b = np.arange(len(node)), [], []
+    rest, sizes = sig, size  # of those left
     while len(left) > 1:
-        before, front, left = left, [left[0]], left[1:]
+        before, front, left, rest, sizes = left, [left[0]], left[1:], rest[1:], sizes[1:]
         while front and len(left):
             if work < 0:
                 return a, b, before
             x = front.pop()
             work -= len(left)
-            near = np.flatnonzero(100 * np.minimum(size[left], size[x]) >= hundredths * np.maximum(size[left], size[x]))
-            near = near[np.count_nonzero(sig[left[near]] == sig[x], axis=1) >= MATCHES]
-            if len(near):
+            near = (100 * np.minimum(sizes, size[x]) >= hundredths * np.maximum(sizes, size[x])) & (np.count_nonzero(rest == sig[x], axis=1) >= MATCHES)
+            if near.any():
                 found = left[near]
                 a.append(np.full(len(found), node[x], node.dtype))
                 b.append(node[found])
                 front.extend(found.tolist())
-                left = np.delete(left, near)
+                left, rest, sizes = left[~near], rest[~near], sizes[~near]
     return a, b, left[:0]
 
 
 def list_links(node: np.ndarray, sig: np.ndarray, size: np.ndarray, hundredths: int = RESEMBLANCE) -> tuple[np.ndarray, np.ndarray]:
     """Spanning candidates of one posting list. Where its rows have too many components to be told apart by comparing rows,
-    they are cut by a further coordinate.
+    they are cut by a further coordinate, if that leaves fewer pairs to compare.
     """
     a, b, todo = [node[:0]], [node[:0]], [np.unique(node, return_index=True)[1]]
     while todo:
         rows = todo.pop()
-        alike = int((sig[rows] == sig[rows[0]]).all(axis=0).sum())
-        whole = len(rows) <= CUT_ROWS or alike >= MATCHES
-        x, y, rest = spanning(node[rows], sig[rows], size[rows], hundredths, len(rows) * (len(rows) if whole else CUT_ROWS))
+        x, y, rest = spanning(node[rows], sig[rows], size[rows], hundredths, len(rows) * CUT_ROWS)
         a += x
         b += y
         rows = rows[rest]
@@ -146,12 +146,49 @@ def list_links(node: np.ndarray, sig: np.ndarray, size: np.ndarray, hundredths:
             continue
         # rows agree in some coordinates; of the others, so many are enough for the agreements that are lacking
         free = np.flatnonzero((sig[rows] != sig[rows[0]]).any(axis=0))
-        for j in free[: len(free) - (MATCHES - (COORDINATES - len(free))) + 1]:
-            order = rows[np.argsort(sig[rows, j], kind="stable")]
-            todo += [part for part in np.split(order, np.flatnonzero(np.diff(sig[order, j])) + 1) if len(part) > 1]
+        lacking = MATCHES - (COORDINATES - len(free))
+        free = free[: len(free) - lacking + 1] if lacking > 0 else free[:0]
+        orders = [rows[np.argsort(sig[rows, j], kind="stable")] for j in free]
+        parts = [np.split(order, np.flatnonzero(np.diff(sig[order, j])) + 1) for j, order in zip(free, orders, strict=True)]
+        parts = [part for cut in parts for part in cut if len(part) > 1]
+        if len(free) and 2 * sum(len(p) ** 2 for p in parts) < len(rows) ** 2:
+            todo += parts
+        else:
+            x, y, _ = spanning(node[rows], sig[rows], size[rows], hundredths, len(rows) ** 2)
+            a += x
+            b += y
     return np.concatenate(a), np.concatenate(b)
 
 
+def short_links(key: np.ndarray, node: np.ndarray, sig: np.ndarray, size: np.ndarray, hundredths: int = RESEMBLANCE) -> tuple[np.ndarray, np.ndarray]:
+    """The candidate pairs of short lists, key being sorted. A pair that meets in several lists is taken in the first of them:
+    the one of its first posted coordinate in which it agrees. Lists of two coordinates take all their pairs.
+    """
+    a, b = [node[:0]], [node[:0]]
+    at_coordinate = np.where(key >> 62 == 0, key >> 16, 0)
+    for step in range(1, SHORT_LIST):
+        x = np.flatnonzero(key[step:] == key[:-step])
+        if not len(x):
+            break
+        x = x[100 * np.minimum(size[x], size[x + step]) >= hundredths * np.maximum(size[x], size[x + step])]
+        equal = sig[x] == sig[x + step]
+        first = (equal[:, :PREFIX].argmax(axis=1) >= at_coordinate[x]) & (node[x] != node[x + step])
+        x = x[first & (np.count_nonzero(equal, axis=1) >= MATCHES)]
+        a.append(node[x])
+        b.append(node[x + step])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def links_of(key: np.ndarray, node: np.ndarray, sig: np.ndarray, size: np.ndarray, hundredths: int = RESEMBLANCE) -> tuple[np.ndarray, np.ndarray]:
+    """The candidates of whole lists, key being sorted."""
+    edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+    sizes = np.diff(edges)
+    short = np.repeat((sizes > 1) & (sizes <= SHORT_LIST), sizes)
+    found = [short_links(key[short], node[short], sig[short], size[short], hundredths)]
+    found += [list_links(node[x : x + n], sig[x : x + n], size[x : x + n], hundredths) for x, n in zip(edges[:-1][sizes > SHORT_LIST], sizes[sizes > SHORT_LIST], strict=True)]
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+
 def post(sets: DataFrame, twice: DataFrame | None = None) -> DataFrame:
     """key, node, size, signature of every posting; under the keys of ``twice`` (key), postings of two coordinates instead."""
 
@@ -194,10 +231,9 @@ def candidates(sets: DataFrame, hundredths: int = RESEMBLANCE, list_rows: int =
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in by_runs(batches, "key"):
             key, node, size, sig = rows["key"].to_numpy(np.int64), rows["node"].to_numpy(np.int64), rows["size"].to_numpy(np.int64), values_of(rows["signature"])
-            edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-            out = [list_links(node[x:y], sig[x:y], size[x:y], hundredths) for x, y in zip(edges, edges[1:], strict=False) if y - x > 1]
-            if out:
-                yield pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([y for _, y in out])}).drop_duplicates()
+            a, b = links_of(key, node, sig, size, hundredths)
+            if len(a):
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     total = sets.count()
     postings = post(sets)

@@ -41,7 +41,9 @@ LOOSE = {"width": 5, "most": 41, "words": 3, "segments": 12}
 #: In hundredths, the least resemblance of near copies.
 RESEMBLANCE = 80
 #: Nodes, and distinct shingles, that a block of a group of candidates has about.
-BLOCK_NODES, BLOCK_SHINGLES = 1 << 11, 1 << 21
+BLOCK_NODES, BLOCK_SHINGLES = 1 << 12, 1 << 21
+#: So many links (16 bytes each) are contracted in one task; more by rounds over all tasks.
+LOCAL_LINKS = 1 << 18
 #: Pivots of large groups are broadcast while they have so many bytes together at most.
 PIVOT_BYTES = 1 << 25
 #: Up to this size, all pairs of a bucket are compared by shifting; larger ones are visited breadth first.
@@ -290,14 +292,46 @@ def links(groups: DataFrame, most: int = MAX_DISTANCE, segments: int = SEGMENTS,
     return rows.repartition("key").sortWithinPartitions("key").mapInPandas(verify, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """node, root of every node of links, root being its component's smallest node: labels fall along links and jump to
+    their label's label until nothing changes.
+    """
+    node, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(node))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        for side in (label[a], label[b]):  # roots are pulled, so that whole trees move at once
+            np.minimum.at(new, side, least)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, label):
+            return node, node[label]
+        label = new
+
+
+def components(edges: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
     """node, root of every node of edges (a, b), root being its component's smallest node.
 
     Large-star and small-star contraction: each round, a node's larger neighbours and then its smaller ones are linked
-    to the smallest in its neighbourhood. Minima are taken with partial aggregation; ends after a round without change.
+    to the smallest in its neighbourhood. Minima are taken with partial aggregation; ends after a round without change. Up to
+    ``local`` links, a few megabytes whatever the input, are contracted in one task instead.
     """
+    # a set of links by its size and the sum of their hashes
+    told = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
-    changed = not edges.isEmpty()
+    before = told(edges)
+    if before[0] <= local:
+
+        def contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = list(batches)
+            if held:
+                rows = pd.concat(held)
+                yield pd.DataFrame(dict(zip(("node", "root"), stars(rows["u"].to_numpy(np.int64), rows["v"].to_numpy(np.int64)), strict=True)))
+
+        return materialize(edges.coalesce(1).mapInPandas(contract, "node long, root long"), "stars")
+    changed = True
     while changed:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -308,10 +342,11 @@ def components(edges: DataFrame) -> DataFrame:
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         small = materialize(small.where("u != v").distinct(), "small-star")
         # a forest of stars, unchanged by the round: every node has one link, to a node that has no smaller one
-        changed = not (small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty())
+        now = told(small)
+        changed, before = now != before, now
         edges = small
-    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    found = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return found.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, most: int = MAX_DISTANCE, segments: int = SEGMENTS, words: int = 1, turns: int = 1) -> DataFrame:
