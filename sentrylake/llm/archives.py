@@ -16,7 +16,8 @@ their size, and the larger they are, the fewer a file holds, so that a file has
 Defined results: a null payload is an empty one; a null id sorts last; equal rows are records each, the first in order
 of id being the response; ids that repeat with equal payloads are all responses if theirs is the smallest; a very long
 payload has a file of its own (the longest that a row can hold has 2 GB); an empty table gives an empty archive and no
-rows; other columns are ignored, whatever their names. Spaces in a URL of a header line become %20; a line that is not
+rows; other columns are ignored, whatever their names. A file that is cut short, or whose header can't be read, is converted up to
+there and the rest goes to the rejects, so that one bad file never ends a job; dates that name no time are 1970-01-01. Spaces in a URL of a header line become %20; a line that is not
 UTF-8 is read as Latin-1.
 """
 
@@ -40,6 +41,7 @@ FILE_RECORDS, FILE_BYTES = 500, 1 << 28
 MARK = "#sentrylake-page="
 FIELDS = {1: ("url", "ip", "date", "type", "length"), 2: ("url", "ip", "date", "type", "result", "checksum", "location", "offset", "filename", "length")}
 ARC_DATE = "20240115120000"
+EPOCH = "1970-01-01T00:00:00Z"
 
 
 def arc_header(version: int, url: str, date: str, kind: str, length: int, ip: str = "0.0.0.0", checksum: str = "-", offset: int = 0, filename: str = "-") -> bytes:
@@ -63,38 +65,58 @@ def header_text(line: bytes) -> str:
         return line.decode("latin-1")
 
 
+class Broken(ValueError):
+    """A record that can't be read, at a place of its file."""
+
+    def __init__(self, place: int, reason: str) -> None:
+        super().__init__(f"at {place}: {reason}")
+        self.place, self.reason = place, reason
+
+
+def _number(text: bytes | str, place: int, what: str) -> int:
+    if not (text.isdigit() and len(text) < 19):
+        raise Broken(place, f"{what} is no number")
+    return int(text)
+
+
 def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, payload) of each record of an ARC file but its version block."""
+    """(header fields, payload) of each record of an ARC file but its version block; Broken where one can't be read."""
     at, version = 0, 0
     while at < len(data):
         end = data.find(b"\n", at)
         if end < 0:
-            raise ValueError(f"header line at {at} has no end")
+            raise Broken(at, "the header line has no end")
         parts = header_text(data[at:end]).rstrip("\r").split(" ")
         if not version:
-            length = int(parts[-1])
-            version = int(data[end + 1 : end + 1 + length].split(b" ", 1)[0])
+            length = _number(parts[-1], at, "the version block's length")
+            version = _number(data[end + 1 : end + 1 + length].split(b" ", 1)[0], at, "the version")
             if version not in FIELDS:
-                raise ValueError(f"version {version} of the format isn't known")
+                raise Broken(at, f"version {version} of the format isn't known")
             at = end + 1 + length + 1
             continue
         if (more := len(parts) - len(FIELDS[version])) > 0:
             parts = ["%20".join(parts[: more + 1]), *parts[more + 1 :]]
         if len(parts) != len(FIELDS[version]):
-            raise ValueError(f"header line at {at} has {len(parts)} fields, version {version} has {len(FIELDS[version])}")
+            raise Broken(at, f"the header line has {len(parts)} fields, version {version} has {len(FIELDS[version])}")
         fields = dict(zip(FIELDS[version], parts, strict=True))
-        length = int(fields["length"])
+        length = _number(fields["length"], at, "the declared length")
         payload = data[end + 1 : end + 1 + length]
-        if length < 0 or len(payload) < length:
-            raise ValueError(f"record at {at} declares {length} bytes and has {len(payload)}")
+        if len(payload) < length:
+            raise Broken(at, f"the record declares {length} bytes and has {len(payload)}")
         yield fields, payload
         at = end + 1 + length + 1  # a line feed follows each record
 
 
-def warc_date(arc: str) -> str:
-    """14, 12 or 8 digits of an ARC date as a WARC timestamp."""
-    d = (arc + "00000000000000")[:14] if len(arc) >= 8 else "19700101000000"
-    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+def warc_date(arc: Column) -> Column:
+    """An ARC date of 4 to 14 leading digits (more are fractions) as a WARC timestamp; parts that it lacks are the first of their
+    kind, and what names no time (no year, a 13th month) is EPOCH.
+    """
+    digits = F.regexp_extract(F.coalesce(arc, F.lit("")), r"^[0-9]{4}(?:[0-9]{2}){0,5}", 0)
+    whole = F.concat(digits, F.substr(F.lit("00000101000000"), F.length(digits) + 1))
+    part = lambda a, n: F.substring(whole, a, n)
+    made = F.format_string("%s-%s-%sT%s:%s:%sZ", part(1, 4), part(5, 2), part(7, 2), part(9, 2), part(11, 2), part(13, 2))
+    valid = (digits > "0001") & F.try_to_timestamp(whole, F.lit("yyyyMMddHHmmss")).isNotNull()
+    return F.when(valid, made).otherwise(F.lit(EPOCH))
 
 
 def to_arc(pages: DataFrame, key: str, url: str, payload: str, per_file: int = 64, bytes_per_file: int = 1 << 26, mark: str = MARK) -> DataFrame:
@@ -129,25 +151,31 @@ def to_arc(pages: DataFrame, key: str, url: str, payload: str, per_file: int = 6
 
 
 def parsed(arcs: DataFrame, mark: str | None = None) -> DataFrame:
-    """record_key, url, ip, date, type, payload (binary), payload_bytes, payload_digest of ARC files' records.
+    """record_key, url, ip, date, type, payload (binary), payload_bytes, payload_digest of ARC files' records, and rejects.
 
-    Without ``mark``, or where a URL doesn't end in it and a number, records have no key and keep their whole URL.
+    Without ``mark``, or where a URL doesn't end in it and a number, records have no key and keep their whole URL. A file
+    is read up to its first record that can't be; of the rest, the file (arcs' ``path``, if it has one), place and reason are
+    a row (columns file, place, reason), whose other columns are null.
     """
     numbered = re.compile(f"(.*){re.escape(mark)}(-?[0-9]{{1,18}})?", re.DOTALL) if mark else None
+    columns = ["record_key", "url", "ip", "date", "type", "payload", "payload_bytes", "payload_digest", "file", "place", "reason"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for data in batch["arc"]:
-                rows = []
-                for f, payload in parse_arc(data):
-                    m = numbered.fullmatch(f["url"]) if numbered else None
-                    url, name = m.groups() if m else (f["url"], None)
-                    rows.append((int(name) if name else None, url, f["ip"], f["date"], f["type"], payload, len(payload), hashlib.sha256(payload).hexdigest()))
-                out = pd.DataFrame(rows, columns=["record_key", "url", "ip", "date", "type", "payload", "payload_bytes", "payload_digest"])
-                out["record_key"] = out["record_key"].astype("Int64")
-                yield out
-
-    return arcs.mapInPandas(run, "record_key long, url string, ip string, date string, type string, payload binary, payload_bytes long, payload_digest string")
+            for path, data in batch[["path", "arc"]].itertuples(index=False):
+                rows: list[tuple] = []
+                try:
+                    for f, payload in parse_arc(data):
+                        m = numbered.fullmatch(f["url"]) if numbered else None
+                        url, name = m.groups() if m else (f["url"], None)
+                        rows.append((int(name) if name else None, url, f["ip"], f["date"], f["type"], payload, len(payload), hashlib.sha256(payload).hexdigest(), None, None, None))
+                except Broken as e:
+                    rows.append((None,) * 8 + (path, e.place, e.reason))
+                yield pd.DataFrame(rows, columns=columns).astype({"record_key": "Int64", "payload_bytes": "Int64", "place": "Int64"})
+
+    path = F.col("path").cast("string") if "path" in arcs.columns else F.lit(None).cast("string")
+    rows = arcs.select(path.alias("path"), F.coalesce(F.col("arc"), F.lit(b"")).alias("arc"))
+    return rows.mapInPandas(run, "record_key long, url string, ip string, date string, type string, payload binary, payload_bytes long, payload_digest string, file string, place long, reason string")
 
 
 def with_types(records: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
@@ -169,13 +197,11 @@ def warc_record(records: DataFrame) -> Column:
         parts = [F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(F.lit("8"), F.substring(h, 18, 3)), F.substring(h, 21, 12)]
         return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
-    d = F.rpad(F.col("date"), 14, "0")
-    date = F.format_string("%s-%s-%sT%s:%s:%sZ", *[F.substring(d, a, n) for a, n in ((1, 4), (5, 2), (7, 2), (9, 2), (11, 2), (13, 2))])
     revisit = F.col("record_type") == "revisit"
     key = F.coalesce(F.col("record_key").cast("string"), F.lit(""))
     lines = [
         F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), F.col("record_type")), F.concat(F.lit("WARC-Record-ID: "), urn(F.col("record_key"), F.col("payload_digest"))),
-        F.concat(F.lit("WARC-Date: "), date), F.concat(F.lit("WARC-Target-URI: "), F.col("url")), F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("payload_digest")),
+        F.concat(F.lit("WARC-Date: "), warc_date(F.col("date"))), F.concat(F.lit("WARC-Target-URI: "), F.col("url")), F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("payload_digest")),
         F.concat(F.lit("WARC-Source-Key: "), key),
         F.when(~F.col("ip").isin("", "-", "0.0.0.0"), F.concat(F.lit("WARC-IP-Address: "), F.col("ip"))),
         F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), urn(F.col("refers_to"), F.col("payload_digest")), F.lit("\r\nWARC-Refers-To-Key: "), F.col("refers_to").cast("string"))),
@@ -237,21 +263,24 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInPandas(run, kinds)
 
 
-def convert(spark: SparkSession, arcs: DataFrame, path: str | None = None, mark: str | None = None, file_bytes: int = FILE_BYTES) -> tuple[DataFrame, str]:
-    """Converts ARC files (arc binary) to WARC files at ``path``; returns what reading them back gives, and the path."""
+def convert(spark: SparkSession, arcs: DataFrame, path: str | None = None, mark: str | None = None, file_bytes: int = FILE_BYTES) -> tuple[DataFrame, str, DataFrame]:
+    """Converts ARC files (arc binary, and path if known) to WARC files at ``path``; returns what reading them back gives, the
+    path, and the rejects: file, place and reason of the first record of a file that can't be read.
+    """
     path = path or scratch_path(spark, "warc")
     records = parsed(arcs, mark)
     if mark is None:  # records of other makers' archives are numbered
         records = records.withColumn("record_key", F.monotonically_increasing_id())
     records = materialize(records, "arc-records")
-    write_warc(with_types(records), path, file_bytes)
-    return read_warc(spark, path), path
+    rejects = records.where("reason IS NOT NULL").select("file", "place", "reason")
+    write_warc(with_types(records.where("reason IS NULL").drop("file", "place", "reason")), path, file_bytes)
+    return read_warc(spark, path), path, rejects
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as ARC files, converted to WARC and read back; a revisit's payload is its response's."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    back, _ = convert(spark, to_arc(pages, "page_id", "url", "html"), mark=MARK)
+    back, _, _ = convert(spark, to_arc(pages, "page_id", "url", "html"), mark=MARK)
     back = materialize(back.drop("body"), "read-back")
     # the full payload of a revisit is the body of the response that it refers to, found by its digest
     seen = back.where("record_type = 'response'").groupBy("body_digest").agg(F.min("body_bytes").alias("n"), F.count(F.lit(1)).alias("n_rows"))

@@ -33,7 +33,7 @@ PAGES = [
 
 def test_archives_round_trip(spark, tmp_path):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
-    back, _ = archives.convert(spark, archives.to_arc(pages, "page_id", "url", "html", per_file=3), f"file://{tmp_path}/warc", archives.MARK)
+    back, _, _ = archives.convert(spark, archives.to_arc(pages, "page_id", "url", "html", per_file=3), f"file://{tmp_path}/warc", archives.MARK)
     rows = back.collect()
     assert len(rows) == len(PAGES)
     bodies = Counter((r["key"], r["body"]) for r in rows if r["record_type"] == "response")
@@ -55,14 +55,14 @@ def test_foreign_archives_of_any_bytes(spark, tmp_path):
     for url, ip, body in bodies:
         data += f"{url} {ip} 20240102030405 text/html {len(body)}".encode("utf-8" if "caf" not in url else "latin-1") + b"\n" + body + b"\n"
     arcs = spark.createDataFrame([(bytearray(data),)], "arc binary")
-    back, path = archives.convert(spark, arcs, f"file://{tmp_path}/warc", file_bytes=5_000_000)
+    back, path, rejects = archives.convert(spark, arcs, f"file://{tmp_path}/warc", file_bytes=5_000_000)
     rows = {r["url"]: r for r in back.collect()}
     for url, ip, body in bodies:
         r = rows[url.replace(" ", "%20")]
         again = url == "http://again"
         assert bytes(r["body"]) == (b"" if again else body) and r["declared_digest"] == hashlib.sha256(body).hexdigest() and r["record_type"] == ("revisit" if again else "response")
         assert r["ip"] == (ip if ip[0] == "1" else None)
-    assert len(rows) == len(bodies) and {p.name for p in (tmp_path / "warc").iterdir()} == {"size=0", "size=1", "size=5"}
+    assert rejects.isEmpty() and len(rows) == len(bodies) and {p.name for p in (tmp_path / "warc").iterdir()} == {"size=0", "size=1", "size=5"}
 
 
 def test_pages_may_be_bytes(spark):
@@ -84,11 +84,31 @@ def test_arc_versions(version):
     data = archives.arc_version_block(version, "f.arc", "20240101000000") + archives.arc_header(version, "http://x y", "20240102030405", "text/html", len(body)) + body + b"\n" + archives.arc_header(version, "http://z", "20240102", "", 0) + b"\n"
     got = list(archives.parse_arc(data))
     assert [p for _, p in got] == [body, b""] and got[0][0]["url"] == "http://x%20y" and got[1][0]["type"] == "no-type"
-    assert archives.warc_date("20240102030405") == "2024-01-02T03:04:05Z" and archives.warc_date("20240102") == "2024-01-02T00:00:00Z"
-    with pytest.raises(ValueError):
+    with pytest.raises(archives.Broken):
         list(archives.parse_arc(data[:-20]))
 
 
+DATES = {
+    None: "1970-01-01T00:00:00Z", "": "1970-01-01T00:00:00Z", "-": "1970-01-01T00:00:00Z", "2024": "2024-01-01T00:00:00Z", "202405": "2024-05-01T00:00:00Z", "20240102": "2024-01-02T00:00:00Z",
+    "202401020304": "2024-01-02T03:04:00Z", "20240102030405": "2024-01-02T03:04:05Z", "20240102030405678": "2024-01-02T03:04:05Z", "20241301": "1970-01-01T00:00:00Z", "0000": "1970-01-01T00:00:00Z", "202": "1970-01-01T00:00:00Z",
+}
+
+
+def test_dates_and_broken_files(spark, tmp_path):
+    """A file cut short, an empty one and one that is no archive stand beside a good one; dates of any length become timestamps."""
+    good = archives.arc_version_block(1, "g", "20240101000000")
+    for i, d in enumerate(DATES):
+        good += f"http://{i} - {d or '-'} text/html 3".encode() + b"\nabc\n"
+    files = [("good", good), ("cut", good[:-30] + b"http://x - 2024 text/html 900\nabc"), ("none", b""), ("odd", b"\x00\xff" * 40), ("line", b"a b c\n"), ("version", b"f 0 1 text/plain 2\n9 \n"), ("sign", good + b"u - - t -5\nabc\n")]
+    arcs = spark.createDataFrame([(p, bytearray(b)) for p, b in files], "path string, arc binary")
+    back, _, rejects = archives.convert(spark, arcs, f"file://{tmp_path}/warc")
+    rows, bad = back.collect(), {r["file"]: r for r in rejects.collect()}
+    assert set(bad) == {"cut", "odd", "line", "version", "sign"} and bad["cut"]["place"] == len(good) - 32 and bad["sign"]["place"] == len(good) and "no end" in bad["odd"]["reason"]
+    assert len(rows) == 3 * len(DATES) - 1
+    want = [DATES[k] for k in DATES]
+    assert all(r["date"] == want[int(r["url"][7:])] for r in rows)
+
+
 def test_global_rank(spark):
     d = spark.range(500).select((F.col("id") % 7).alias("a"), "id").repartition(5)
     got = [r["rank"] for r in global_rank(d, [F.col("a"), F.col("id").desc()], "t").orderBy("a", F.col("id").desc()).collect()]
