@@ -62,18 +62,21 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: float = MOST, quality: Column | None = None, seed: int = 7) -> DataFrame:
-    """doc_id, text_hash, size, source_size, target, taken, copies, source, quality of every row."""
+    """doc_id, text_hash, size, source_size, target, taken, copies, source, quality, row_hash (of all its columns) of every row.
+
+    Rows that are equal in the key, the doc_id and the text follow each other by row_hash, so that reruns agree.
+    """
     text = F.col("text").cast("string")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(text).alias("size"),
-        F.coalesce(F.length(text), F.lit(0)).alias("chars"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"),
+        F.coalesce(F.length(text), F.lit(0)).alias("chars"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), F.xxhash64(*map(F.col, sorted(docs.columns))).alias("row_hash"),
         *([quality.alias("quality")] if quality is not None else []),
     )
     if quality is None:
         rows = rows.withColumn("quality", quality_weight(F.col("size"), F.col("chars")))
     key = -F.log(unit_hash(F.lit(seed), F.col("doc_id"))) / F.greatest(F.coalesce("quality", F.lit(1e-6)), F.lit(1e-6))
     rows = materialize(rows.drop("chars").withColumn("key", key).withColumn("at", F.monotonically_increasing_id()), "mix")
-    order = [F.col("source"), F.col("key"), F.col("doc_id"), F.col("text_hash"), F.col("at")]
+    order = [F.col("source"), F.col("key"), F.col("doc_id"), F.col("text_hash"), F.col("row_hash"), F.col("at")]
     rows = materialize(rows.repartitionByRange(*order).withColumn("cell", F.spark_partition_id()), "ranges")
     cells = materialize(rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size")), "cells")
     aims = targets(cells.groupBy("source").agg(F.sum("cell_size").cast("long").alias("source_size")), weights, share, most)
@@ -82,24 +85,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     cells = cells.join(aims, cells["source"].eqNullSafe(aims["source"])).drop(aims["source"])
     both = rows["source"].eqNullSafe(cells["source"]) & (rows["cell"] == cells["cell"])
     rows = rows.join(cells, both).drop(cells["source"], cells["cell"])
-    within = Window.partitionBy("source", "cell").orderBy("key", "doc_id", "text_hash", "at").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "cell").orderBy("key", "doc_id", "text_hash", "row_hash", "at").rowsBetween(Window.unboundedPreceding, 0)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rows = rows.withColumn("running", F.col("cells_before") + F.sum("size").over(within)).withColumn("epochs", epochs)
     budget = F.col("target") - F.col("epochs") * F.col("source_size")
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("epochs") + (2 * F.col("running") - F.col("size") <= 2 * budget).cast("long"))
     rows = rows.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return rows.select("doc_id", "text_hash", "size", "source_size", "target", "taken", "copies", "source", "quality")
+    return rows.select("doc_id", "text_hash", "size", "source_size", "target", "taken", "copies", "source", "quality", "row_hash")
 
 
 def expand(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with its columns (of rows with equal id, text and source, the first's)."""
-    none = F.lit(-(2**63)).cast("long")
-    taken = mix(docs, **how).where("copies > 0").select(F.coalesce("doc_id", none).alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), F.col("copies").alias("_copies"))
-    taken = taken.groupBy("_id", "_hash", "_source").agg(F.sum("_copies").alias("_copies"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), F.xxhash64(text).alias("hash"), F.col("source").cast("string").alias("of"))
-    rows = rows.dropDuplicates(["id", "hash", "of"])
-    rows = rows.join(taken, (rows["id"] == taken["_id"]) & (rows["hash"] == taken["_hash"]) & rows["of"].eqNullSafe(taken["_source"]))
+    """The mix itself: each row of docs as often as it is taken, with its columns. Rows that are equal in all columns share their copies."""
+    taken = mix(docs, **how).where("copies > 0").groupBy(F.col("row_hash").alias("_hash"), F.col("doc_id").alias("_id")).agg(F.sum("copies").alias("_copies"))
+    row, doc_id = F.xxhash64(*map(F.col, sorted(docs.columns))), F.col("doc_id").cast("long")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), doc_id.alias("id"), row.alias("hash")).dropDuplicates(["id", "hash"])
+    rows = rows.join(taken, (rows["hash"] == taken["_hash"]) & rows["id"].eqNullSafe(taken["_id"]))
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("row.*")
 
 

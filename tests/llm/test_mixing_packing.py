@@ -73,6 +73,15 @@ def test_mix_is_the_same_again_and_expands(docs, none):
     assert mixing.mix(none).count() == 0 and mixing.expand(none).count() == 0
 
 
+def test_rows_of_one_text_keep_their_own_columns(spark):
+    rows = [(i, f"w{i} " * 20, lang, "a") for i in range(30) for lang in ("en", "fr", None)] + [(7, "w7 " * 20, "en", "a")] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = Counter((r["doc_id"], r["lang"]) for r in mixing.expand(d).collect())
+    again = Counter((r["doc_id"], r["lang"]) for r in mixing.expand(d.repartition(2)).collect())
+    assert got == again and {(i, x) for i, _, x, _ in rows} == set(got) and sum(got.values()) == len(rows)
+    assert got[(7, "en")] == 4
+
+
 def test_empty_texts_take_nothing(spark):
     d = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert [r["taken"] for r in mixing.mix(d).collect()] == [0, 0]
