@@ -190,6 +190,12 @@ def publish_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.publishable(_rule_alerts(spark, sf_dir)).select("event_id", "kind", "dataset")
 
 
+@query(duck(_THREE + """, m AS (SELECT DISTINCT correlation_id, unnest([id1, id2, id3]) AS event_id FROM c3), j AS (SELECT m.correlation_id, l.event_id, l.ts_us, l.host_name FROM m JOIN l USING (event_id))
+SELECT correlation_id, (row_number() OVER w)::INT AS place, event_id, ts_us, host_name, ts_us - min(ts_us) OVER (PARTITION BY correlation_id) AS since_us FROM j WINDOW w AS (PARTITION BY correlation_id ORDER BY ts_us, event_id)"""))
+def chain_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correlate.timeline(*_three(spark, sf_dir))
+
+
 _CHAIN_FINDINGS = """, m AS (SELECT DISTINCT correlation_id, unnest([id1, id2, id3]) AS event_id FROM c3), j AS (SELECT m.correlation_id, l.* FROM m JOIN l USING (event_id)),
 g AS (SELECT correlation_id, count(*) AS n_events, count(DISTINCT host_id) AS n_hosts, avg(level) AS al, min(ts_us) AS first_us, arg_min(host_id, (ts_us, event_id)) AS host_id, array_to_string(list_sort(list(event_id)), ',') AS evidence FROM j GROUP BY 1),
 cf AS (SELECT 'lateral-movement-' || substr(md5(correlation_id), 1, 16) AS event_id, first_us AS ts_us, host_id, CASE WHEN al >= 3 THEN 80 WHEN al >= 2 THEN 70 WHEN al >= 1 THEN 60 ELSE 50 END AS severity, evidence FROM g WHERE n_events >= 2 AND n_hosts >= 2)"""
