@@ -11,7 +11,8 @@ All labelled training rows are used. Labels, lang, source and doc_id are never i
 Defined results: a null or empty text has the statistics of a text without words and gets their score; a null doc_id is
 scored, is never labelled and counts as held out as the remainder of an empty text says (crc32 of it is 0); a document's
 repeated labels count once, by their maximum, and null labels not at all; without any labelled row every score is 0.5;
-repeated rows are scored one by one; equal texts have equal scores; very long texts are read whole, and their statistics
+repeated rows are scored one by one; equal texts have equal scores, and raw scores of one bin tie and share its
+probability; very long texts are read whole, and their statistics
 are bounded; an empty table gives no rows; other columns are ignored.
 """
 

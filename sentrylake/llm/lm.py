@@ -20,7 +20,8 @@ each cell.
 4. Blocks are scored with their words' counts, in sparse numpy batches.
 
 Defined results: a null text is an empty one and has the end token alone; a null doc_id counts as the empty text for the
-crc32 and so as a training row; repeated rows are learnt from and scored one by one; without training tokens every token
+crc32 and so as a training row; repeated rows are learnt from and scored one by one; very long texts
+are cut into blocks and scored whole; words of equal counts in one cell tie and share its probability; without training tokens every token
 has probability 1; an empty table gives no rows; other columns are ignored.
 """
 

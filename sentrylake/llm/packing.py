@@ -3,18 +3,20 @@
 1. Documents are tokenised in tasks; only those over the sequence length are cut. From here on only (length, id) rows move.
 2. Pieces are range-sorted by descending length with all their ids as ties, which ranks each one in the whole input.
    Equal lengths are interchangeable, so the sorted pieces are runs (length, first rank, count): at most 4096 of them.
-3. Bulk-synchronous rounds over the runs: the longest run is matched against the sorted gaps by a successor sweep (the
+3. Rounds over the runs, in the driver: the longest run is matched against the sorted gaps by a successor sweep (the
    smallest gaps that hold it come first). Ranks resolve conflicts: as many pieces as there are gaps of that size
    take them in the order of their ranks, the others sweep on to the next larger gap, and pieces that no gap holds open
-   sequences. Then the gaps are updated and the next run follows. A step moves a whole run, never single pieces, so the
-   number of steps depends on the sequence length and not on the input. Each step says that the ranks from r on go to
+   sequences. Then the gaps are updated and the next run follows. A step moves a whole run, never single pieces; the
+   number of steps has no proven bound, but hardly changes with the input (42 to 43 thousand for 10^6 to 10^10 pieces of one
+   distribution of lengths). Each step says that the ranks from r on go to
    the sequences from s on at one offset.
 4. Every piece finds its step from its rank (a sorted search in the broadcast steps), in tasks.
 
 The runs are the one thing that passes through the driver: at most 4096 rows, with a count for each partition that a run
 spans. This is best-fit decreasing over all pieces, not within parts of them.
 
-Defined results: a null text is an empty one and has only the end token; repeated rows are packed one by one; ties are
+Defined results: a null text is an empty one and has only the end token; repeated rows are packed one by one; very long texts are tokenised
+whole and cut into as many pieces as they need; ties are
 taken in the order of doc_id (nulls first), row hash and piece; an empty table gives no rows; other columns are ignored.
 """
 

@@ -5,7 +5,8 @@ name. Shards take turns; each claims the first free slot of its permutation unti
 to a slot, and a broadcast of the table (its size is a parameter, not the data's) gives its shard in constant time.
 When a shard is lost, almost only its own rows move.
 
-Defined results: a null key hashes like an empty text; equal keys share a shard; an empty table gives no rows; the
+Defined results: a null key hashes like an empty text; equal keys share a shard, so repeated rows lie together;
+very long keys are hashed whole; two shards never tie for a slot, as they take turns; an empty table gives no rows; the
 caller's columns are kept unless they are named slot or shard, which are replaced.
 """
 

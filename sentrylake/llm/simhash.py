@@ -13,7 +13,7 @@ written to the shared folder.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero, linked like any other; equal
 texts are linked; a null doc_id is never a component's name unless nothing else is in it; repeated rows give repeated
-rows; an empty table gives no rows; other columns are ignored.
+rows; a bit that exactly half of the hashes have set is 0; very long texts are shingled whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

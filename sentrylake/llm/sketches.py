@@ -5,8 +5,9 @@ sequence). Sketches of parts merge to the sketch of the whole. From two sketches
 containment, and from one the number of distinct shingles; all three are exact while texts have fewer than K of them.
 
 Defined results: a null text is an empty one, whose sketch is empty; two empty sketches have resemblance 1, an empty and
-another one 0; equal hashes of different shingles count once; very long texts are sketched whole, in K hashes; rows with equal doc_id and text count as one document when a document's successor is sought, and a null
-doc_id comes first; a lone document follows itself; an empty table gives no rows; other columns are ignored.
+another one 0; equal hashes of different shingles count once; very long texts are sketched whole, in K hashes; rows with
+equal doc_id and text count as one document when a document's successor is sought, a null doc_id comes first, and rows that
+tie in doc_id follow each other by their texts' hashes; a lone document follows itself; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
