@@ -152,33 +152,50 @@ def dropped(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
 def write_back(found: DataFrame, all_nodes: DataFrame, chain_rows: DataFrame, picked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The edges and nodes with killchain (an id made of scope and chain): those of the chains' alarms and chosen paths.
 
-    Of several chains the first by id names an edge or a node; the others keep what they had.
+    Of several chains the one of most confidence (ties: the first by id) names an edge; a node is named by the first of its edges'
+    chains. Others keep what they had.
     """
     name = F.concat(F.lit("kc-"), F.substring(F.sha1(F.concat_ws("|", "scope", F.col("chain").cast("string"))), 1, 16)).alias("_killchain")
     kept = chain_rows.join(picked.select("scope", "chain").distinct(), ["scope", "chain"], "left_semi")
-    events = kept.select(name, "event_id").unionByName(picked.select(name, F.explode("steps").alias("event_id")))
-    events = events.groupBy("event_id").agg(F.min("_killchain").alias("_killchain"))
+    sure = F.col("confidence") if "confidence" in picked.columns else F.lit(0.5)
+    trust = picked.groupBy("scope", "chain").agg(F.avg(sure).alias("_sure"))
+    events = kept.select("scope", "chain", "event_id").unionByName(picked.select("scope", "chain", F.explode("steps").alias("event_id"))).join(trust, ["scope", "chain"])
+    events = events.select(name, "event_id", "_sure").groupBy("event_id").agg(F.min_by("_killchain", F.struct(-F.col("_sure"), "_killchain")).alias("_killchain"))
     old = F.col("killchain") if "killchain" in found.columns else F.lit(None).cast("string")
     out = found.withColumn("killchain", old).join(events, "event_id", "left").withColumn("killchain", F.coalesce("_killchain", "killchain")).drop("_killchain")
     touched = out.where("killchain IS NOT NULL").select(F.explode(F.array("src_uid", "dst_uid")).alias("uid"), F.col("killchain").alias("_killchain")).groupBy("uid").agg(F.min("_killchain").alias("killchain"))
     return out, all_nodes.drop("killchain").join(touched, "uid", "left")
 
 
-def kill_chains(alarms: DataFrame, found: DataFrame) -> DataFrame:
-    """scope, chain, n_pairs, hops, events, confidence of each chain that holds together; lone segments have 0.3."""
+def joined_chains(alarms: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The chains' rows, the pairs of their segments, and the path picked for each pair."""
     rows = fsa.chains(alarms)
     if {"rtype", "action"} <= set(alarms.columns):
         facts = alarms.groupBy("scope", "event_id", "src_uid", "dst_uid").agg(F.min("rtype").alias("rtype"), F.min("action").alias("action"))
         rows = rows.join(facts, ["scope", "event_id", "src_uid", "dst_uid"], "left")
     rows = cut(rows, "chains")
     pairs = cut(segment_pairs(rows), "pairs")
-    picked = choose(pairs, staged_paths(found, rows, pairs))
+    return rows, pairs, cut(choose(pairs, staged_paths(found, rows, pairs)), "picked")
+
+
+def kill_chains(alarms: DataFrame, found: DataFrame) -> DataFrame:
+    """scope, chain, n_pairs, hops, events, confidence of each chain that holds together; lone segments have 0.3."""
+    return summed(*joined_chains(alarms, found))
+
+
+def summed(rows: DataFrame, pairs: DataFrame, picked: DataFrame) -> DataFrame:
     joined = picked.groupBy("scope", "chain").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("hops").cast("long").alias("hops"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("steps")))).alias("events"), F.avg("confidence").alias("confidence"))
     lone = rows.select("scope", "chain").distinct().join(pairs.select("scope", "chain").distinct(), ["scope", "chain"], "left_anti")
     lone = lone.select("scope", "chain", F.lit(0).cast("long").alias("n_pairs"), F.lit(0).cast("long").alias("hops"), F.array().cast("array<string>").alias("events"), F.lit(0.3).alias("confidence"))
     return joined.unionByName(lone)
 
 
+def stored_chains(alarms: DataFrame, found: DataFrame, all_nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The kill chains, and the edges and nodes with the chain that they belong to: what an analysis stores."""
+    rows, pairs, picked = joined_chains(alarms, found)
+    return summed(rows, pairs, picked), *write_back(found, all_nodes, rows, picked)
+
+
 def without(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     """The pairs that have no candidate yet."""
     return pairs.join(candidates.select(*KEYS).distinct(), KEYS, "left_anti")

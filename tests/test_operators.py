@@ -332,6 +332,10 @@ def test_chains_and_kill_chain(spark):
     out = killchain.kill_chains(alarms, found).collect()
     assert len(out) == 1 and out[0]["events"] == ["x1", "x2"] and out[0]["n_pairs"] == 2 and out[0]["hops"] == 2
     assert killchain.kill_chains(alarms, found.where("event_id = 'late'")).count() == 0
+    chains, marked, touched = killchain.stored_chains(alarms, found, graph.endpoints(found))
+    assert sorted(map(str, chains.collect())) == sorted(map(str, out))
+    named = {r["event_id"] for r in marked.where("killchain IS NOT NULL").collect()}
+    assert {e for r in out for e in r["events"]} <= named and touched.where("killchain IS NOT NULL").count() > 1
 
 
 def test_candidate_paths_against_brute_force(spark):

@@ -19,4 +19,4 @@ def test_query_equals_its_sql(spark, name):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_query_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF).columns
+    assert registry.QUERIES[name](spark, SF).count() > 0
