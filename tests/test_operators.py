@@ -262,6 +262,35 @@ def test_two_stage_against_all_pairs(spark, hot, n):
         assert (got[i]["n_links"], got[i]["id2"]) == (len(partners), min(partners, key=lambda q: (-q[1], q[0]))[0])
 
 
+def test_wide_ranges_meet_in_few_blocks(spark):
+    """A range touches three blocks at most, however wide it is, and they hold all its ranks."""
+    rng = random.Random(5)
+    made = [(lo, lo + rng.randint(1, 10**e)) for e in range(1, 7) for lo in (rng.randint(0, 10**6) for _ in range(30))] + [(0, 1), (31, 33), (0, 64), (63, 127), (0, 65)]
+    rows = correlate.in_blocks(correlate.levelled(spark.createDataFrame(made, "low long, high long"))).collect()
+    blocks = {}
+    for r in rows:
+        size = correlate.BLOCK_RANKS * correlate.BLOCK_GROWTH ** r["level"]
+        blocks.setdefault((r["low"], r["high"]), set()).add((r["block"] * size, (r["block"] + 1) * size))
+    assert set(blocks) == set(made)
+    for (low, high), held in blocks.items():
+        assert len(held) <= 3 and min(b[0] for b in held) <= low and max(b[1] for b in held) >= high and sum(y - x for x, y in held) == max(b[1] for b in held) - min(b[0] for b in held)
+
+
+@pytest.mark.parametrize(("hot", "n"), [(0.1, 60), (0.9, 200)])
+def test_ranges_alone_are_those_of_two_stage(spark, hot, n, monkeypatch):
+    """Blocks of two ranks, so that ranges are on several levels."""
+    monkeypatch.setattr(correlate, "BLOCK_RANKS", 2)
+    rng = random.Random(n)
+    ip = lambda: None if rng.random() < 0.05 else "10.0.0.1" if rng.random() < hot else f"10.0.0.{rng.randint(2, 9)}"
+    rows = [(f"e{i}", rng.randint(0, 40) * 1_000_000, f"h{rng.randint(0, 3)}" if rng.random() < 0.95 else None, "x", "u", ip(), ip(), ip(), 0, rng.choice([0.0, 0.4])) for i in range(2 * n)]
+    first, second = (spark.createDataFrame(x, CORRELATED).repartition(5) for x in (rows[:n], rows[n:]))
+    ranges = correlate.two_stage_ranges(first, second, 9_000_000)
+    assert Counter(map(tuple, ranges.collect())) == Counter(map(tuple, correlate.two_stage(first, second, 9_000_000)[1].collect()))
+    met = lambda x, y: x is not None and x == y
+    want = Counter((p[0], q[0]) for p in rows[:n] for q in rows[n:] if p[2] and q[2] and p[2] != q[2] and (met(p[7], q[6]) or met(p[6], q[7])) and abs(p[1] - q[1]) <= 9_000_000)
+    assert Counter((r["id1"], r["id2"]) for r in correlate.two_stage_pairs(ranges, second).collect()) == want and want
+
+
 @pytest.mark.parametrize("forward", [False, True])
 def test_as_of_over_boundaries(spark, forward):
     """A key of most rows and many ties; with another value asked for or not; nothing is dealt to a single partition."""
