@@ -184,6 +184,15 @@ def test_paths(spark):
     assert len(best) == 2 and min(r["hops"] for r in best) == 1
 
 
+def test_walks_of_the_last_hop_are_not_stored(spark, monkeypatch):
+    """They are the result; before them, walks are stored once a hop."""
+    stored, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name: (stored.append(name), cut(df, name))[1])
+    got = graph.temporal_paths(edge_frame(spark), spark.createDataFrame([("a",)], "uid string"), 3, 0.0, 10.0).collect()
+    assert Counter((tuple(r["path"]), tuple(r["steps"])) for r in got) == brute_paths("a", 3)
+    assert stored == ["pool", "walks", "walks"]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_reverse_search_against_all_walks(spark, seed):
     """Latest departures for each number of hops, with times that tie and edges that go both ways."""
