@@ -61,18 +61,26 @@ def segment_pairs(chain_rows: DataFrame) -> DataFrame:
     return out.where("dst_uid IS NOT NULL")
 
 
-def candidate_paths(found: DataFrame, pairs: DataFrame, most: int = CANDIDATES) -> DataFrame:
+def search_pool(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """at, to, event_id, ts_float: the edges that any pair's window may hold, in both directions, stored for all searches."""
+    span = pairs.agg(F.min("t_min").alias("a"), F.max("t_max").alias("b")).first()
+    near = found.where(F.col("ts_float").between(span["a"], span["b"]))
+    pool = near.select(F.col("src_uid").alias("at"), F.col("dst_uid").alias("to"), "event_id", "ts_float")
+    return cut(pool.unionByName(pool.select(F.col("to").alias("at"), F.col("at").alias("to"), "event_id", "ts_float")).where("at <> to"), "pool")
+
+
+def candidate_paths(found: DataFrame, pairs: DataFrame, most: int = CANDIDATES, pool: DataFrame | None = None) -> DataFrame:
     """scope, chain, pair, hops, path, steps: for each pair the first ``most`` simple undirected paths from its source to
     its target whose times lie in its window and never descend, by (hops, steps); equal anchors give the empty path.
 
     All pairs are searched at once, from their own sources. A search backwards from the targets comes first; a walk then goes
     on only to nodes from which its target can still be reached, with the hops that are left and by edges that aren't too early, and walks over the same nodes are one: the one that arrives first, with the
-    smallest ids of edges, from which every continuation of the others is open too.
+    smallest ids of edges, from which every continuation of the others is open too. ``pool`` may be a search_pool of found
+    for these pairs or more.
     """
     keys = KEYS + ["order"] * ("order" in pairs.columns)
-    pool = found.select(F.col("src_uid").alias("at"), F.col("dst_uid").alias("to"), "event_id", "ts_float")
-    both = cut(pool.unionByName(pool.select(F.col("to").alias("at"), F.col("at").alias("to"), "event_id", "ts_float")).where("at <> to"), "pool")
     pairs = cut(pairs, "pairs")
+    both = search_pool(found, pairs) if pool is None else pool
     # windows of pairs hold few distinct links of the pool; searches run over these
     near = pairs.select(*keys, "src_uid", "dst_uid", "t_min", "t_max", F.col("hops").alias("most"))
     limit = pairs.agg(F.max("hops").alias("n")).first()["n"] or 0
@@ -238,15 +246,16 @@ def staged_paths(found: DataFrame, chain_rows: DataFrame, pairs: DataFrame) -> D
     hops (25); from any node of the first segment; and, where chain_rows have rtype and action, between semantic anchors.
     """
     pairs = cut(pairs, "pairs")
+    pool = search_pool(found, pairs)  # wider searches have the same windows
     wider = lambda p: p.withColumn("hops", F.col("hops") + 2)
-    out = cut(candidate_paths(found, pairs, 10), "found")
-    out = cut(out.unionByName(candidate_paths(found, wider(without(pairs, out)), 25)), "found")
+    out = cut(candidate_paths(found, pairs, 10, pool), "found")
+    out = cut(out.unionByName(candidate_paths(found, wider(without(pairs, out)), 25, pool)), "found")
     segments = fsa.segments(chain_rows, ["scope", "chain"], ["seq"])
     inside = segments.select("scope", "chain", F.col("segment").alias("pair"), F.explode(F.array("src_uid", "dst_uid")).alias("src_uid")).distinct()
     other = wider(without(pairs, out)).drop("src_uid").join(inside, KEYS)
-    out = cut(out.unionByName(candidate_paths(found, other, 25)), "found")
+    out = cut(out.unionByName(candidate_paths(found, other, 25, pool)), "found")
     if {"rtype", "action"} <= set(chain_rows.columns):
-        more = candidate_paths(found, wider(semantic_anchors(chain_rows, without(pairs, out))), 25)
+        more = candidate_paths(found, wider(semantic_anchors(chain_rows, without(pairs, out))), 25, pool)
         out = cut(out.unionByName(first_order(more)), "found")
     w = Window.partitionBy(*KEYS).orderBy("hops", "steps", "path")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= CANDIDATES)

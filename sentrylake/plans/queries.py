@@ -657,9 +657,13 @@ def apt_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ttp.ranked(techniques, spark.createDataFrame([("TA0001",), ("TA0007",)], "tactic_id string"), uses, tactics).select("group_id", r6("score"))
 
 
-def _chain_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _chain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What incidents, chains and paths need of the edges, projected once: each of them reads it several times."""
+    return tables.cut(_edges(spark, sf_dir).select("src_uid", "dst_uid", "rtype", "event_id", "ts_float", "is_alarm", "tactic_id", "action"), "edges")
+
+
+def _chain_alarms(found: DataFrame) -> DataFrame:
     """The alarms of connected incidents over hosts, in order of time."""
-    found = _edges(spark, sf_dir)
     own = found.where("rtype = 'HAS_IP'").select(F.col("dst_uid").alias("ip_uid"), F.col("src_uid").alias("host_uid"))
     return graph.incidents(found.where("rtype <> 'HAS_IP'"), own).withColumn("tactic_name", attack.tactic_name_of_id(F.col("tactic_id")))
 
@@ -718,13 +722,14 @@ def report_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fsa_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fsa.chains(_chain_alarms(spark, sf_dir))
+    return fsa.chains(_chain_alarms(_chain_edges(spark, sf_dir)))
 
 
 @query()
 def killchain_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths through all edges, alarms or not."""
-    return killchain.kill_chains(_chain_alarms(spark, sf_dir), _edges(spark, sf_dir))
+    found = _chain_edges(spark, sf_dir)
+    return killchain.kill_chains(_chain_alarms(found), found)
 
 
 _FALCO = """f AS (SELECT *, k % 4 AS t, n % 4 AS pr, '/bin/' || process_name AS exe FROM ecs),

@@ -436,6 +436,19 @@ def test_incidents_span_hosts_and_midnight(spark):
     assert {r["node"]: r["root"] for r in graph.components(links).collect()} == {f"{i:02d}": "00" for i in range(31)} | {"x": "x", "y": "x"}
 
 
+def test_edges_are_projected_once_for_all_searches(spark, monkeypatch):
+    """Incidents and searches read what is stored of the edges; wider searches share one pool."""
+    from sentrylake import registry
+    from sentrylake.operators import tables
+
+    stored, cut = [], tables.cut
+    for module in (tables, graph, killchain):
+        monkeypatch.setattr(module, "cut", lambda df, name: (stored.append((name, df.inputFiles())), cut(df, name))[1])
+    registry.QUERIES["killchain_paths"](spark, "/root/testdata/sf0.001")
+    assert [n for n, _ in stored].count("pool") == 1
+    assert [n for n, files in stored if any("events.parquet" in f for f in files)] == ["edges"]
+
+
 def test_kill_chain_query_over_the_events(spark):
     """Every chain that is left holds: its events are edges, and lone segments have none."""
     from sentrylake import registry
