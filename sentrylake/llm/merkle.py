@@ -141,6 +141,16 @@ def fold(digest: bytes, path: Iterable[tuple[int, tuple[bytes, ...]]]) -> bytes:
     return digest
 
 
+def verdicts(block: Block, subroot: bytes, root: bytes, path: list[tuple[int, tuple[bytes, ...]]]) -> Iterator[tuple]:
+    """The manifest's row of each leaf of a block; path: from the block's top to the root. Every leaf, its other one in its place
+    where there is one, is folded with its siblings up to a root of its own, which is then compared.
+    """
+    for index, digest, (key, other) in block.leaves:
+        way = block.siblings(index) + path
+        folded = fold(other or digest, way)
+        yield key, digest.hex(), subroot.hex(), root.hex(), digest_of(s for _, others in way for s in others).hex(), folded.hex(), folded == root
+
+
 def built(nodes: RDD, total: int, largest: int, arity: int = ARITY, depth: int = DEPTH, partition: int = PARTITION_NODES) -> list[RDD]:
     """The blocks ((group, size, number), Block) of each round, from nodes ((group, size), (index, digest, payload)).
 
@@ -221,14 +231,8 @@ def manifest(rows: DataFrame, group: str, key: str, leaf_name: str = "leaf", oth
     above = proofs(upper, spark.sparkContext.parallelize([((0, n_groups), (None, []))], 1), arity, depth)
     above = above.flatMap(lambda x: [((index, size), (digest, x[0].siblings(index) + x[1][1])) for index, digest, (size,) in x[0].leaves])
 
-    def told(x: tuple) -> Iterator[tuple]:
-        block, (subroot, path) = x
-        for index, digest, (key, other) in block.leaves:
-            way = block.siblings(index) + path
-            folded = root if other is None else fold(other, way)
-            yield key, digest.hex(), subroot.hex(), root.hex(), digest_of(s for _, others in way for s in others).hex(), folded.hex(), folded == root
-
-    return spark.createDataFrame(proofs(trees, above, arity, depth).flatMap(told), schema, verifySchema=False)
+    told = proofs(trees, above, arity, depth).flatMap(lambda x: verdicts(x[0], x[1][0], root, x[1][1]))
+    return spark.createDataFrame(told, schema, verifySchema=False)
 
 
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:

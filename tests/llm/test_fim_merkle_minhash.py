@@ -147,6 +147,17 @@ def test_parents_complete_whatever_the_order_and_split():
     assert len(tops) == len(links) == 1 and None not in tops
 
 
+def test_originals_are_folded_too():
+    """The root of every leaf is recomputed from its siblings, so a wrong sibling shows on rows that nobody tampered with."""
+    block = merkle.Block(5, 0, 2, 10)
+    digests = [hashlib.sha256(str(i).encode()).digest() for i in range(5)]
+    for i, d in enumerate(digests):
+        block.add((i, d, (i, None)))
+    assert all(r[-1] and r[-2] == block.top.hex() for r in merkle.verdicts(block, block.top, block.top, []))
+    block.links[0, 1] = (digests[2], digests[0])
+    assert [r[-1] for r in merkle.verdicts(block, block.top, block.top, [])] == [True, True, False, True, True]
+
+
 def test_leaves_count_bytes_and_nulls(spark):
     d = spark.createDataFrame([(1, None, "é"), (None, 12, "")], "a long, b long, c string")
     got = [r[0] for r in d.select(merkle.leaf(F.col("a"), F.col("b"), F.col("c"))).collect()]
