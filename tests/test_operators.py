@@ -300,6 +300,21 @@ def test_ranges_alone_are_those_of_two_stage(spark, hot, n, monkeypatch):
     assert Counter((r["id1"], r["id2"]) for r in correlate.two_stage_pairs(ranges, second).collect()) == want and want
 
 
+@pytest.mark.parametrize(("hot", "n", "part_rows"), [(0.1, 60, 1 << 14), (0.9, 200, 7)])
+def test_all_pairs_without_ranges(spark, hot, n, part_rows, monkeypatch):
+    """Nothing is stored for them; busy periods of an address are dealt, and times before 1970, windows of nothing and missing values are like others."""
+    monkeypatch.setattr(correlate, "PART_ROWS", part_rows)
+    monkeypatch.setattr(correlate, "cut", None)
+    rng = random.Random(n)
+    ip = lambda: None if rng.random() < 0.05 else "10.0.0.1" if rng.random() < hot else f"10.0.0.{rng.randint(2, 9)}"
+    rows = [(f"e{i}", rng.randint(-20, 20) * 1_000_000 if rng.random() < 0.95 else None, f"h{rng.randint(0, 3)}" if rng.random() < 0.95 else None, "x", "u", ip(), ip(), ip(), 0, rng.choice([0.0, 0.4])) for i in range(2 * n)]
+    first, second = (spark.createDataFrame(x, CORRELATED).repartition(5) for x in (rows[:n], rows[n:]))
+    met = lambda x, y: x is not None and x == y
+    for window in (9_000_000, 0):
+        want = Counter((p[0], q[0], p[1], 0.88 if max(p[9], q[9]) else 0.8) for p in rows[:n] for q in rows[n:] if p[2] and q[2] and p[2] != q[2] and p[1] is not None and q[1] is not None and (met(p[7], q[6]) or met(p[6], q[7])) and abs(p[1] - q[1]) <= window)
+        assert Counter((r["id1"], r["id2"], r["ts_us"], round(r["score"], 6)) for r in correlate.two_stage_all(first, second, window).collect()) == want and want
+
+
 @pytest.mark.parametrize("forward", [False, True])
 def test_as_of_over_boundaries(spark, forward):
     """A key of most rows and many ties; with another value asked for or not; nothing is dealt to a single partition."""
