@@ -193,6 +193,37 @@ def test_walks_of_the_last_hop_are_not_stored(spark, monkeypatch):
     assert stored == ["pool", "walks", "walks"]
 
 
+@pytest.mark.parametrize("pack", [2, 1024])
+def test_parallel_edges_are_walked_in_packs(spark, pack, monkeypatch):
+    """Paths are those of all walks, with ties, loops, repeated edges and ids that are missing; as texts they are the same."""
+    monkeypatch.setattr(graph, "PACK_EDGES", pack)
+    rng = random.Random(2)
+    edges = [(f"n{rng.randrange(4)}", f"n{rng.randrange(4)}", "SPAWN", f"e{i}" if i % 9 else None, float(rng.randint(0, 9)) if i % 11 else None) for i in range(36)]
+    edges += edges[:2]
+    ways = [(a, b, i, t) for x, y, _, i, t in edges for a, b in ((x, y), (y, x)) if x != y and t is not None and 1.0 <= t <= 8.0]
+    want, walks = Counter(), [(("n0",), (), -1.0)]
+    for _ in range(3):
+        walks = [((*p, b), (*s, i), t) for p, s, last in walks for a, b, i, t in ways if a == p[-1] and t >= last and b not in p]
+        want.update((p, s) for p, s, _ in walks)
+    found, source = spark.createDataFrame(edges, "src_uid string, dst_uid string, rtype string, event_id string, ts_float double"), spark.createDataFrame([("n0",)], "uid string")
+    got = graph.temporal_paths(found, source, 3, 1.0, 8.0)
+    assert Counter((tuple(r["path"]), tuple(r["steps"])) for r in got.collect()) == want and len(want) > 100
+    as_texts = got.select("src_uid", "dst_uid", "hops", F.array_join("path", ">"), F.array_join("steps", ","))
+    assert Counter(map(tuple, graph.temporal_paths(found, source, 3, 1.0, 8.0, texts=True).collect())) == Counter(map(tuple, as_texts.collect()))
+
+
+def test_stored_walks_do_not_follow_the_number_of_paths(spark, monkeypatch):
+    """Ten times the edges between the same nodes are as many stored walks, and a thousand times the paths."""
+    cut, stored = graph.cut, []
+    monkeypatch.setattr(graph, "cut", lambda df, name: (kept := cut(df, name), stored.append((name, kept.count())))[0])
+    paths = {}
+    for n in (1, 10):
+        edges = [(a, b, "SPAWN", f"{a}{i}", float(k)) for k, (a, b) in enumerate([("a", "b"), ("b", "c"), ("c", "d")]) for i in range(n)]
+        found = spark.createDataFrame(edges, "src_uid string, dst_uid string, rtype string, event_id string, ts_float double")
+        paths[n] = graph.temporal_paths(found, spark.createDataFrame([("a",)], "uid string"), 3, 0.0, 10.0).where("hops = 3").count()
+    assert paths == {1: 1, 10: 1000} and [n for name, n in stored if name == "walks"] == [1, 1, 1, 1]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_reverse_search_against_all_walks(spark, seed):
     """Latest departures for each number of hops, with times that tie and edges that go both ways."""
